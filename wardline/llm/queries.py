@@ -5,13 +5,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardline.llm import fingerprint, mixing, sharding
+from wardline.llm import fingerprint, mixing, quality, sharding, toxicity
 from wardline.llm.scratch import read
 
 SHARDS = [f"shard-{k:03d}" for k in range(64)]
 MIX_SEED = 7
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of each document."""
+    return quality.score_quality(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity score of each document."""
+    return toxicity.score_toxicity(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents mixed so that each source has the same share."""
     docs = read(spark, sf_dir, "documents")
@@ -28,7 +38,7 @@ def op10_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.fingerprints(read(spark, sf_dir, "documents")).withColumnRenamed("key", "doc_id")
 
 
-QUERIES = {f.__name__: f for f in (op3_mix_sources, op8_shard, op10_fingerprint)}
+QUERIES = {f.__name__: f for f in (op1_quality, op2_toxicity, op3_mix_sources, op8_shard, op10_fingerprint)}
 
 ORACLES = {
     "op3_mix_sources": """

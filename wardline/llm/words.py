@@ -35,6 +35,10 @@ SPACE_WORDS = byte_class(b"\x20\x09\x0a\x0b\x0c\x0d")
 #: Words of ``[^\x00-\x2F\x3A-\x60\x7B-\x7F]+`` after A-Z became a-z.
 ALNUM_WORDS = byte_class(bytes([*range(0x00, 0x30), *range(0x3A, 0x61), *range(0x7B, 0x80)]))
 
+#: 1 for letters, digits and everything beyond ASCII, 2 for the signs between: runs of either kind are words.
+SIGN_WORDS = np.where(np.isin(np.arange(256), [32, 9, 10, 11, 12, 13]), 0, 2).astype(np.uint8)
+SIGN_WORDS[48:58] = SIGN_WORDS[65:91] = SIGN_WORDS[97:123] = SIGN_WORDS[128:] = 1
+
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
@@ -92,7 +96,7 @@ def _bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def words(texts: pa.Array, table: np.ndarray, lower: bool = True) -> Words:
-    """Words of each text: maximal runs of bytes that ``table`` marks.
+    """Words of each text: maximal runs of bytes to which ``table`` gives one class, 0 (False) being none.
 
     ``lower`` turns A-Z to a-z first. Null and empty texts have no words. Equal
     words have equal hashes in every process; the hash covers the whole word.
@@ -110,7 +114,7 @@ def words(texts: pa.Array, table: np.ndarray, lower: bool = True) -> Words:
             k = np.searchsorted(off, end, "right") - 1
             cut = off[k]
             inside = raw[max(at, cut) : end]
-            sep = np.flatnonzero(~table[_LOWER[inside] if lower else inside])
+            sep = np.flatnonzero(table[_LOWER[inside] if lower else inside] == 0)
             if len(sep):
                 end = max(at, cut) + int(sep[-1]) + 1
                 break
@@ -122,9 +126,10 @@ def words(texts: pa.Array, table: np.ndarray, lower: bool = True) -> Words:
         if lower:
             piece = _LOWER[piece]
         data[at:end] = piece
-        is_word = table[piece]
+        kind = table[piece]
+        is_word = kind > 0
         begin = is_word.copy()
-        begin[1:] &= ~is_word[:-1]
+        begin[1:] &= kind[1:] != kind[:-1]
         lo, hi = np.searchsorted(bounds, [at, end])
         inner = bounds[lo:hi] - at
         begin[inner] = is_word[inner]
@@ -151,6 +156,14 @@ def words(texts: pa.Array, table: np.ndarray, lower: bool = True) -> Words:
     )
 
 
+def prefix_hash(w: Words, at: np.ndarray, size: int) -> np.ndarray:
+    """Hashes of the first ``size`` bytes of the words ``at``, each at least so long; unlike any word's own hash."""
+    total = np.zeros(len(at), dtype=np.uint64)
+    for k in range(size):
+        total += _BYTE_VALUES[w.data[w.start[at] + k]] * _power_table(size)[k]
+    return mix(total + np.full(1, size, np.uint64) * _MULT + _U(0x5BD1E995))
+
+
 def hash_words(items: list[str], table: np.ndarray = SPACE_WORDS) -> np.ndarray:
     """Hashes of single words; each item must be one word of ``table``."""
     w = words(pa.array(items, pa.string()), table)
