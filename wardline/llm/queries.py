@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardline.llm import fingerprint, mixing, quality, sharding, toxicity
+from wardline.llm import fingerprint, licenses, mixing, pages, quality, secrets, sharding, toxicity
 from wardline.llm.scratch import read
 
 SHARDS = [f"shard-{k:03d}" for k in range(64)]
@@ -28,6 +28,21 @@ def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(docs, seed=MIX_SEED).select("doc_id", "source", "lang", "n_chars", "text", "rate", "copy", "mix_key")
 
 
+def op5_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of each page."""
+    return pages.main_text(read(spark, sf_dir, "pages"))
+
+
+def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence phrases and notices of each document."""
+    return licenses.scan(read(spark, sf_dir, "documents"))
+
+
+def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of each document."""
+    return secrets.scan(read(spark, sf_dir, "documents"))
+
+
 def op8_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The shard of each document."""
     return sharding.place(read(spark, sf_dir, "documents"), SHARDS).select("doc_id", "slot", "shard")
@@ -38,7 +53,7 @@ def op10_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.fingerprints(read(spark, sf_dir, "documents")).withColumnRenamed("key", "doc_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_quality, op2_toxicity, op3_mix_sources, op8_shard, op10_fingerprint)}
+QUERIES = {f.__name__: f for f in (op1_quality, op2_toxicity, op3_mix_sources, op5_main_text, op6_licenses, op7_secrets, op8_shard, op10_fingerprint)}
 
 ORACLES = {
     "op3_mix_sources": """
