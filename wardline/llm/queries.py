@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardline.llm import fingerprint, licenses, mixing, pages, quality, secrets, sharding, toxicity
+from wardline.llm import fingerprint, jaccard, licenses, mixing, pages, quality, secrets, sharding, toxicity
 from wardline.llm.scratch import read
 
 SHARDS = [f"shard-{k:03d}" for k in range(64)]
@@ -48,14 +48,32 @@ def op8_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.place(read(spark, sf_dir, "documents"), SHARDS).select("doc_id", "slot", "shard")
 
 
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Component of near-equal documents of each document."""
+    return jaccard.text_components(read(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
 def op10_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exact digests of each document, its edited text and its neighbour."""
     return fingerprint.fingerprints(read(spark, sf_dir, "documents")).withColumnRenamed("key", "doc_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_quality, op2_toxicity, op3_mix_sources, op5_main_text, op6_licenses, op7_secrets, op8_shard, op10_fingerprint)}
+QUERIES = {f.__name__: f for f in (op1_quality, op2_toxicity, op3_mix_sources, op5_main_text, op6_licenses, op7_secrets, op8_shard, op9_jaccard_join, op10_fingerprint)}
 
 ORACLES = {
+    "op9_jaccard_join": """
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\\x20\\x09-\\x0D]+') AS words FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(list_slice(words, i, i + least(len(words), 5) - 1), ' ') AS shingle
+      FROM w, range(1, 100000) AS r(i) WHERE i <= greatest(len(words) - 4, least(len(words), 1))),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+o AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+l AS (SELECT a, b FROM o JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 80 * (x.n + y.n - c)),
+r(doc_id, reach) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.doc_id, l.b FROM r JOIN l ON r.reach = l.a)
+SELECT r.doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(reach) AS component_id
+FROM r LEFT JOIN n ON n.doc_id = r.doc_id GROUP BY r.doc_id
+""",
     "op3_mix_sources": """
 WITH c AS (SELECT source, count(*) AS n FROM documents GROUP BY source),
 t AS (SELECT sum(n)::DOUBLE AS total, count(*)::DOUBLE AS sources FROM c),
