@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardline.llm import fingerprint, jaccard, licenses, mixing, pages, quality, secrets, sharding, toxicity
+from wardline.llm import fingerprint, jaccard, leaks, licenses, mixing, pages, quality, secrets, sharding, toxicity
 from wardline.llm.scratch import read
 
 SHARDS = [f"shard-{k:03d}" for k in range(64)]
@@ -28,6 +28,11 @@ def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(docs, seed=MIX_SEED).select("doc_id", "source", "lang", "n_chars", "text", "rate", "copy", "mix_key")
 
 
+def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark items that stand in documents."""
+    return leaks.find_leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 def op5_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Main text of each page."""
     return pages.main_text(read(spark, sf_dir, "pages"))
@@ -58,7 +63,7 @@ def op10_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.fingerprints(read(spark, sf_dir, "documents")).withColumnRenamed("key", "doc_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_quality, op2_toxicity, op3_mix_sources, op5_main_text, op6_licenses, op7_secrets, op8_shard, op9_jaccard_join, op10_fingerprint)}
+QUERIES = {f.__name__: f for f in (op1_quality, op2_toxicity, op3_mix_sources, op4_decontaminate, op5_main_text, op6_licenses, op7_secrets, op8_shard, op9_jaccard_join, op10_fingerprint)}
 
 ORACLES = {
     "op9_jaccard_join": """
