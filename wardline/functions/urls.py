@@ -174,13 +174,17 @@ def dedup_key(url: Column) -> Column:
 def char_ngrams(url: Column, sizes: tuple[int, ...] = (3, 4, 5), limit: int = 200) -> Column:
     """Character n-grams of the marked URL; each URL's first ``limit`` characters by definition of the feature."""
     marked = F.concat(F.lit("^"), F.substring(url, 1, limit), F.lit("$"))
-    grams = [F.when(F.length(marked) >= n, F.transform(F.sequence(F.lit(1), F.length(marked) - (n - 1)), lambda i, n=n: F.substring(marked, i, F.lit(n)))).otherwise(F.array().cast("array<string>")) for n in sizes]
-    return F.flatten(F.array(*grams))
+
+    def grams(n: int) -> Column:
+        starts = F.sequence(F.lit(1), F.length(marked) - (n - 1))
+        return F.when(F.length(marked) >= n, F.transform(starts, lambda i: F.substring(marked, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
+
+    return F.flatten(F.array(*[grams(n) for n in sizes]))
 
 
 def ipv4_number(ip: Column) -> Column:
     """A dotted address as a number; null where an octet is out of range."""
-    part = lambda i: F.split(ip, r"\.")[i].try_cast("long")
+    part = lambda i: F.get(F.split(ip, r"\."), F.lit(i)).try_cast("long")
     valid = reduce(lambda a, b: a & b, [part(i).between(0, 255) for i in range(4)])
     return F.when(valid, part(0) * 16777216 + part(1) * 65536 + part(2) * 256 + part(3))
 
