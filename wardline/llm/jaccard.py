@@ -14,7 +14,9 @@ their first n - ceil(0.8 n) + k ones. Four steps rest on that:
    hold as well can still have a link that matters.
 4. Index join of these. Hashes are ordered by the number of components that hold them,
    and each hash's list is cut into blocks of set sizes: blocks out of reach are skipped,
-   pairs whose places in the lists rule out the needed overlap too.
+   pairs whose places in the lists rule out the needed overlap too. A large component
+   is one entry for each of its parts, and a part that has answered a set with one link
+   is asked no further.
 
 Every link is checked on whole sets. Steps 1, 3 and 4 lose none, so components are exact.
 """
@@ -34,12 +36,19 @@ from wardline.llm.scratch import Scratch
 
 #: Words of a shingle, and the threshold in hundredths.
 SIZE, PERCENT = 5, 80
+#: A set's prefix is long enough to share one in so many of its hashes with a linked set: the smaller, the stricter the
+#: sieve and the longer the prefixes.
+PART = 5
 #: Texts whose prefixes one bucket of the sieve is meant for.
-BUCKET_TEXTS = 8192
+BUCKET_TEXTS = 1024
+#: Hashes that a block of a component's sets holds, about.
+BLOCK_HASHES = 16_384
+#: Sets up to which a component's sets stand in the index one by one, and entries that each remembers before it.
+SMALL, BEFORE = 8, 32
 #: Bits of the filter that leads back from sets to texts, at most; 8 MB.
 FILTER_BITS = 1 << 26
 #: Min-hashes by which leaders are found, in each round.
-ROUNDS = (2, 4)
+ROUNDS = (4, 8)
 BATCH_BYTES = 8 << 20
 
 
@@ -50,7 +59,7 @@ def _alpha(n):
 
 def _extra(n):
     """k of a set of n: shared hashes that its longer prefix stands for."""
-    return np.maximum(1, n // 20) if isinstance(n, np.ndarray) else max(1, n // 20)
+    return np.maximum(1, n // PART)
 
 
 def _alpha_col(n: Column) -> Column:
@@ -59,11 +68,11 @@ def _alpha_col(n: Column) -> Column:
 
 def _need_col(n: Column) -> Column:
     """Prefix hashes that a linked set must find in other sets' prefixes; the partner may be a fifth smaller."""
-    return F.greatest(F.lit(1), F.floor(_alpha_col(n) / 20)).cast("int")
+    return F.greatest(F.lit(1), F.floor(_alpha_col(n) / PART)).cast("int")
 
 
 def _prefix_col(n: Column) -> Column:
-    return n - _alpha_col(n) + F.greatest(F.lit(1), F.floor(n / 20)).cast("int")
+    return n - _alpha_col(n) + F.greatest(F.lit(1), F.floor(n / PART)).cast("int")
 
 
 def _sets(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -181,51 +190,64 @@ def _candidate_sets(docs: DataFrame, bits: np.ndarray) -> DataFrame:
     return raw.groupBy("digest").agg(*[F.first(c).alias(c) for c in ("n", "hashes", "mins")])
 
 
+def _linked(a: Column, b: Column) -> Column:
+    """Whether the intersection of two sets, counted in full, reaches the threshold."""
+    same = F.size(F.array_intersect(a, b))
+    return same * (100 + PERCENT) >= (F.size(a) + F.size(b)) * PERCENT
+
+
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (u, v) whose sets' intersection, counted in full, reaches the threshold.
+    """The pairs (u, v) that are linked.
 
     Sets travel once for each pair they are the second of. A first one that many pairs
     share is one row of its join, whose other side Spark splits where it is skewed.
     """
     second = pairs.join(sets.select(F.col("digest").alias("v"), F.col("hashes").alias("hv")), "v")
-    both = second.join(sets.select(F.col("digest").alias("u"), F.col("hashes").alias("hu")), "u").select("u", "v", "hu", "hv")
+    both = second.join(sets.select(F.col("digest").alias("u"), F.col("hashes").alias("hu")), "u")
+    return both.filter(_linked(F.col("hu"), F.col("hv"))).select("u", "v")
 
-    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in it:
-            sides = []
-            for name in ("hu", "hv"):
-                col = b.column(name)
-                sides.append((col.values.to_numpy().view(np.uint64), col.offsets.to_numpy()))
-            ok = np.zeros(b.num_rows, bool)
-            for k in range(b.num_rows):
-                x, y = (values[off[k] : off[k + 1]] for values, off in sides)
-                same = len(x) + len(y) - len(np.union1d(x, y))
-                ok[k] = 100 * same >= PERCENT * (len(x) + len(y) - same)
-            yield b.filter(pa.array(ok)).select(["u", "v"])
 
-    return both.mapInArrow(run, "u long, v long")
+def component_links(asks: DataFrame, sets: DataFrame, members: DataFrame) -> DataFrame:
+    """(a, b): components found linked by asking.
+
+    ``asks`` (u, a, b, part) has a set of component a ask a part of component b, whose
+    sets ``members`` (digest, comp, part) names. A part stops answering at its first
+    link: what follows in it has the same answer.
+    """
+    wanted = members.join(asks.select(F.col("b").alias("comp"), "part").distinct(), ["comp", "part"], "left_semi")
+    held = wanted.join(sets.select("digest", "hashes"), "digest").groupBy(F.col("comp").alias("b"), "part").agg(F.collect_list("hashes").alias("block"))
+    asking = asks.join(sets.select(F.col("digest").alias("u"), F.col("hashes").alias("hu")), "u")
+    return asking.join(held, ["b", "part"]).filter(F.exists("block", lambda h: _linked(F.col("hu"), h))).select("a", "b").distinct()
 
 
 def _merge(comps: DataFrame, links: DataFrame, scratch: Scratch) -> DataFrame:
-    """``comps`` (digest, comp) after its components were joined along ``links`` (u, v)."""
+    """``comps`` (digest, comp) after components were joined along ``links`` (a, b) of theirs."""
     links = scratch.keep(links)
     if links.isEmpty():
         return comps
-    named = links.join(comps.select(F.col("digest").alias("u"), F.col("comp").alias("a")), "u").join(comps.select(F.col("digest").alias("v"), F.col("comp").alias("b")), "v")
-    roots = components(named.select(F.col("a").alias("u"), F.col("b").alias("v")).filter("u <> v").distinct(), scratch)
+    roots = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")), scratch)
     return scratch.keep(comps.join(roots.withColumnRenamed("node", "comp"), "comp", "left").select("digest", F.coalesce("root", "comp").alias("comp")))
 
 
+def _between(links: DataFrame, comps: DataFrame) -> DataFrame:
+    """Linked sets (u, v) as the components (a, b) that they stand in."""
+    u = comps.select(F.col("digest").alias("u"), F.col("comp").alias("a"))
+    v = comps.select(F.col("digest").alias("v"), F.col("comp").alias("b"))
+    return links.join(u, "u").join(v, "v").select("a", "b").filter("a <> b").distinct()
+
+
 def _close(a: Column, b: Column) -> Column:
     """Whether sets of these sizes can be linked."""
     return F.least(a, b) * 100 >= F.greatest(a, b) * PERCENT
 
 
 def _leader_pairs(sets: DataFrame, comps: DataFrame, mins: slice) -> DataFrame:
-    """(leader, set) pairs of different components among the sets of each min-hash."""
+    """(leader, set) pairs of different components among the sets of each min-hash; leaders are of the largest component there."""
     picked = F.slice("mins", mins.start + 1, mins.stop - mins.start)
-    rows = sets.select("digest", "n", F.explode(picked).alias("m")).join(comps, "digest")
-    lead = rows.groupBy("m").agg(F.min(F.struct("digest", "n", "comp")).alias("l"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi")
+    sizes = comps.groupBy("comp").agg(F.count(F.lit(1)).alias("size"))
+    rows = sets.select("digest", "n", picked.alias("picked")).join(comps, "digest").join(sizes, "comp").select("digest", "n", "comp", "size", F.explode("picked").alias("m"))
+    first = F.struct(-F.col("size"), F.xxhash64("digest", F.lit(mins.start)), "digest", "n", "comp")
+    lead = rows.groupBy("m").agg(F.min(first).alias("l"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi")
     lead = lead.select("m", F.col("l.digest").alias("u"), F.col("l.n").alias("un"), F.col("l.comp").alias("uc"))
     pairs = rows.join(lead, "m").filter((F.col("comp") != F.col("uc")) & _close(F.col("n"), F.col("un")))
     return pairs.select("u", F.col("digest").alias("v")).distinct()
@@ -233,28 +255,57 @@ def _leader_pairs(sets: DataFrame, comps: DataFrame, mins: slice) -> DataFrame:
 
 def _residual(sets: DataFrame, comps: DataFrame) -> DataFrame:
     """(digest, comp) of the sets that may have a link into another component."""
-    prefix = sets.select("digest", "n", F.explode(F.slice("hashes", F.lit(1), _prefix_col(F.col("n")))).alias("h")).join(comps, "digest")
+    prefix = sets.select("digest", "n", F.slice("hashes", F.lit(1), _prefix_col(F.col("n"))).alias("hs")).join(comps, "digest").select("digest", "n", "comp", F.explode("hs").alias("h"))
     mixed = prefix.groupBy("h").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("h")
     hits = prefix.join(mixed, "h").groupBy("digest").agg(F.count(F.lit(1)).alias("hits"), F.first("n").alias("n"))
     return hits.filter(F.col("hits") >= _need_col(F.col("n"))).select("digest").join(comps, "digest")
 
 
-def _index_pairs(sets: DataFrame, residual: DataFrame) -> DataFrame:
-    """Pairs of different components that the ordered, blocked index can't rule out."""
-    rows = sets.select("digest", "n", F.explode("hashes").alias("h")).join(residual, "digest")
+def _index(sets: DataFrame, residual: DataFrame) -> DataFrame:
+    """The index's entries: (h, digest, n, comp, size, parts, part, place, block, before).
+
+    Each set's hashes stand in order of the components that hold them, the rarest first,
+    and its prefix enters the lists of those that two components hold. ``block`` is the
+    class of the set's size; ``before`` are the entries just before in the same set.
+    """
+    totals = sets.select("digest", "n").join(residual, "digest").groupBy("comp").agg(F.count(F.lit(1)).alias("size"), F.ceil(F.sum("n") / BLOCK_HASHES).alias("parts"))
+    parts = F.when(F.col("size") > SMALL, F.col("parts")).otherwise(1)
+    rows = sets.select("digest", "n", "hashes").join(residual, "digest").select("digest", "n", "comp", F.explode("hashes").alias("h"))
     spread = rows.select("h", "comp").distinct().groupBy("h").agg(F.count(F.lit(1)).alias("held"))
     ranked = rows.join(spread, "h").selectExpr("*", "row_number() over (partition by digest order by held, h) as place")
-    index = ranked.filter((F.col("place") <= F.col("n") - _alpha_col(F.col("n")) + 1) & (F.col("held") > 1))
+    index = ranked.filter((F.col("place") <= F.col("n") - _alpha_col(F.col("n")) + 1) & (F.col("held") > 1)).drop("held")
+    index = index.selectExpr("*", f"collect_list(h) over (partition by digest order by place rows between {BEFORE} preceding and 1 preceding) as before")
     block = F.floor(F.log(F.col("n").cast("double")) / float(np.log(100 / PERCENT))).cast("int")
-    index = index.select("h", "digest", "n", "comp", "place", block.alias("block"))
-    a = index.select("h", "block", *[F.col(c).alias(f"a_{c}") for c in ("digest", "n", "comp", "place")])
-    # a block of sizes reaches itself and the next one; one more for rounding of logarithms
-    b = index.select("h", F.explode(F.array(F.col("block"), F.col("block") - 1, F.col("block") - 2)).alias("block"), *[F.col(c).alias(f"b_{c}") for c in ("digest", "n", "comp", "place")])
-    need = F.ceil((F.col("a_n") + F.col("b_n")) * PERCENT / F.lit(100.0 + PERCENT) - 1e-9)
+    index = index.withColumn("block", block).join(totals, "comp")
+    return index.withColumn("part", F.pmod(F.xxhash64("digest"), parts))
+
+
+def _asks(index: DataFrame) -> DataFrame:
+    """(u, a, b, part): sets that the index can't rule out to be linked with a set in a part of another component.
+
+    Sets of small components meet each other one by one, at the first hash they share.
+    A large component stands in each list as one entry for each part and class of sizes.
+    """
+    columns = ("digest", "n", "comp", "size", "place", "before")
+    a = index.select("h", "block", *[F.col(c).alias(f"a_{c}") for c in columns])
+    reached = lambda df, classes: df.withColumn("block", F.explode(F.array(*[F.col("block") + k for k in classes])))
+    small = index.filter(F.col("size") <= SMALL).select("h", "block", "part", *[F.col(c).alias(f"b_{c}") for c in columns])
+    need = lambda m, n: F.ceil((m + n) * PERCENT / F.lit(100.0 + PERCENT) - 1e-9)
     reach = F.least(F.col("a_n") - F.col("a_place"), F.col("b_n") - F.col("b_place")) + 1
-    smaller = (F.col("a_n") < F.col("b_n")) | ((F.col("a_n") == F.col("b_n")) & (F.col("a_digest") < F.col("b_digest")))
-    pairs = a.join(b, ["h", "block"]).filter((F.col("a_comp") != F.col("b_comp")) & smaller & _close(F.col("a_n"), F.col("b_n")) & (reach >= need))
-    return pairs.select(F.col("a_digest").alias("u"), F.col("b_digest").alias("v")).distinct()
+    larger = (F.col("a_n") < F.col("b_n")) | ((F.col("a_n") == F.col("b_n")) & (F.col("a_digest") < F.col("b_digest")))
+    # a class of sizes reaches itself and the next one; one more for rounding of logarithms
+    one = reached(a.filter(F.col("a_size") <= SMALL), (0, 1, 2)).join(small, ["h", "block"])
+    one = one.filter((F.col("a_comp") != F.col("b_comp")) & larger & _close(F.col("a_n"), F.col("b_n")) & (reach >= need(F.col("a_n"), F.col("b_n"))) & ~F.arrays_overlap("a_before", "b_before"))
+    large = index.filter(F.col("size") > SMALL).groupBy("h", "block", "part", F.col("comp").alias("b_comp"), F.col("size").alias("b_size"))
+    large = large.agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.min("place").alias("b_place"))
+    other = (F.col("a_size") < F.col("b_size")) | ((F.col("a_size") == F.col("b_size")) & (F.col("a_comp") < F.col("b_comp")))
+    many = reached(a, (-2, -1, 0, 1, 2)).join(large, ["h", "block"])
+    many = many.filter(
+        other & (F.col("a_n") * PERCENT <= F.col("hi") * 100) & (F.col("lo") * PERCENT <= F.col("a_n") * 100)
+        & (F.least(F.col("a_n") - F.col("a_place"), F.col("hi") - F.col("b_place")) + 1 >= need(F.col("a_n"), F.col("lo")))
+    )
+    pick = lambda df: df.select(F.col("a_digest").alias("u"), F.col("a_comp").alias("a"), F.col("b_comp").alias("b"), "part")
+    return pick(one).unionByName(pick(many)).distinct()
 
 
 def text_components(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -284,11 +335,15 @@ def text_components(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
         comps = scratch.keep(sets.select("digest", F.col("digest").alias("comp")))
         at = 0
         for k in ROUNDS:
-            comps = _merge(comps, verified(_leader_pairs(sets, comps, slice(at, at + k)), sets), scratch)
+            comps = _merge(comps, _between(verified(_leader_pairs(sets, comps, slice(at, at + k)), sets), comps), scratch)
             at += k
         residual = scratch.keep(_residual(sets, comps))
         if not residual.isEmpty():
-            comps = _merge(comps, verified(_index_pairs(sets, residual), sets), scratch)
+            index = scratch.keep(_index(sets, residual))
+            parts = index.select("comp", "size", "parts").distinct()
+            part = F.pmod(F.xxhash64("digest"), F.when(F.col("size") > SMALL, F.col("parts")).otherwise(1))
+            members = residual.join(parts, "comp").select("digest", "comp", part.alias("part"))
+            comps = _merge(comps, component_links(scratch.keep(_asks(index)), sets, members), scratch)
         whole = classes.join(comps, "digest", "left").select("digest", "least", F.coalesce("comp", "digest").alias("comp"))
         low = whole.groupBy("comp").agg(F.min("least").alias("component_id"))
         named = whole.join(low, "comp").select("digest", "component_id")

@@ -25,6 +25,10 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+#: With it Spark removes a query's shuffle files once the query has run; what is written needs them no more.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 class Scratch:
     """Parquet tables of one run, each droppable once nothing reads it any more."""
 
@@ -38,7 +42,12 @@ class Scratch:
         """Write ``df`` and read it back: executors lost later don't recompute it."""
         self.made += 1
         path = f"{self.root}/{self.made}"
-        df.write.parquet(path)
+        before = self.spark.conf.get(_CLEANUP, "false")
+        self.spark.conf.set(_CLEANUP, "true")
+        try:
+            df.write.parquet(path)
+        finally:
+            self.spark.conf.set(_CLEANUP, before)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._wardline_path = path
         return out
