@@ -21,6 +21,7 @@ TEMPLATES = (
     ("agpl-3.0", "licensed under the gnu affero general public license version 3", ("affero general public license",)),
     ("apache-2.0", "licensed under the apache license version 2 0", ("apache license", "version 2 0")),
     ("apache-2.0", "you may not use this file except in compliance with the license you may obtain a copy of the license at http www apache org licenses license 2 0", ("except in compliance with the license",)),
+    ("apache-2.0", "apache license version 2 0", ("apache license", "version 2 0")),
     ("artistic-2.0", "licensed under the artistic license version 2 0", ("artistic license", "2 0")),
     ("bsd", "released under the bsd license", ("bsd license",)),
     ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met", ("source and binary forms",)),
@@ -35,10 +36,13 @@ TEMPLATES = (
     ("cc0-1.0", "dedicated to the public domain under cc0 1 0 universal", ("cc0 1 0",)),
     ("epl-2.0", "made available under the terms of the eclipse public license 2 0", ("eclipse public license",)),
     ("gpl-2.0", "this work is licensed under the gnu general public license version 2", ("gnu general public license", "version 2")),
+    ("gpl-2.0", "gnu general public license version 2", ("gnu general public license", "version 2")),
+    ("gpl-3.0", "gnu general public license version 3", ("gnu general public license", "version 3")),
     ("gpl-3.0", "this work is licensed under the gnu general public license version 3", ("gnu general public license", "version 3")),
     ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", ("with or without fee is hereby granted",)),
     ("lgpl", "licensed under the gnu lesser general public license version", ("lesser general public license",)),
     ("mit", "released under the mit license", ("mit license",)),
+    ("mit", "mit license", ("mit license",)),
     ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files", ("permission is hereby granted free of charge",)),
     ("mpl-2.0", "this source code form is subject to the terms of the mozilla public license v 2 0", ("mozilla public license",)),
     ("unlicense", "this is free and unencumbered software released into the public domain", ("free and unencumbered software",)),
