@@ -53,7 +53,7 @@ def suffix_of(host: Column, suffixes: tuple[str, ...] = refdata.PUBLIC_SUFFIXES)
     parts = labels(host)
     n = F.size(parts)
     tails = F.transform(F.sequence(F.lit(1), n), lambda i: F.array_join(F.slice(parts, i, n), "."))
-    return F.coalesce(F.element_at(F.filter(tails, lambda t: t.isin(*suffixes)), 1), F.element_at(parts, -1))
+    return F.coalesce(F.get(F.filter(tails, lambda t: t.isin(*suffixes)), F.lit(0)), F.element_at(parts, -1))
 
 
 def registrable(host: Column, suffixes: tuple[str, ...] = refdata.PUBLIC_SUFFIXES) -> Column:

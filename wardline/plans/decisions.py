@@ -144,7 +144,7 @@ def history_keep_last(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(
-    """SELECT event_type, event_id, row_number() OVER w AS version, CASE WHEN lead(event_id) OVER w IS NULL THEN 'active' ELSE 'archived' END AS status FROM events WHERE value > 200
+    """SELECT event_type, event_id, (row_number() OVER w)::INT AS version, CASE WHEN lead(event_id) OVER w IS NULL THEN 'active' ELSE 'archived' END AS status FROM events WHERE value > 200
 WINDOW w AS (PARTITION BY event_type ORDER BY ts, event_id)"""
 )
 def model_versions(spark: SparkSession, sf: str) -> DataFrame:

@@ -60,7 +60,8 @@ def read_suffix_list(spark: SparkSession, path: str) -> DataFrame:
 def read_confusables(spark: SparkSession, path: str) -> DataFrame:
     """(source, target) code points of a confusables file, single sources only."""
     rows = spark.read.text(path).select(F.split(F.regexp_replace("value", "#.*$", ""), ";").alias("f")).filter(F.size("f") >= 2)
-    hexed = rows.select(F.trim(F.col("f")[0]).alias("source"), F.trim(F.col("f")[1]).alias("target"))
+    bare = lambda c: F.regexp_replace(c, r"^\s+|\s+$", "")
+    hexed = rows.select(bare(F.col("f")[0]).alias("source"), bare(F.col("f")[1]).alias("target"))
     return hexed.filter(~F.col("source").contains(" ") & (F.col("source") != ""))
 
 
