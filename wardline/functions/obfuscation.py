@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import StringType
 
 # Hosts that wrap links, and the parameter that holds the target.
 WRAPPERS = (
@@ -67,7 +68,7 @@ def mixed_script(host: Column) -> Column:
     return F.exists(F.split(host, r"\."), lambda x: script_count(x) > 1)
 
 
-@pandas_udf("string")
+@pandas_udf(StringType())
 def to_unicode(host: pd.Series) -> pd.Series:
     """Host with punycode labels as they display; broken labels stay. No built-in decodes punycode."""
 
@@ -83,7 +84,7 @@ def to_unicode(host: pd.Series) -> pd.Series:
 _SPACED = re.compile(r"\b(?:[A-Za-z][ .\-_*]){3,}[A-Za-z]\b")
 
 
-@pandas_udf("string")
+@pandas_udf(StringType())
 def join_spaced(text: pd.Series) -> pd.Series:
     """Spaced-out letters joined, if a joined word has five letters; a replacement by function has no built-in."""
 
