@@ -24,7 +24,7 @@ from wardline.llm.scratch import Scratch
 #: Hash space of the terms.
 BUCKETS = 1 << 22
 #: Texts' bytes handled at once in a task.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 2 << 20
 
 #: Bytes of a word's stem.
 STEM_BYTES = 5

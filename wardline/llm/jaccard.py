@@ -49,7 +49,7 @@ SMALL, BEFORE = 8, 32
 FILTER_BITS = 1 << 26
 #: Min-hashes by which leaders are found, in each round.
 ROUNDS = (4, 8)
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 3 << 20
 
 
 def _alpha(n):

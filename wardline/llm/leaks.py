@@ -32,7 +32,7 @@ BLOCK_BITS = 64 // BLOCKS
 BLOCK_RADIUS = RADIUS // BLOCKS
 #: Items whose index is broadcast at once, and characters of theirs: more items are further passes.
 PASS_ITEMS, PASS_CHARS = 20_000, 8_000_000
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 2 << 20
 
 
 def simhash(hashes: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:

@@ -95,7 +95,7 @@ def word_rows(docs: DataFrame, text: str = "text") -> DataFrame:
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(len(number) + 1, np.int64)
-        for b in W.batches(it, 8 << 20, text):
+        for b in W.batches(it, 2 << 20, text):
             w = W.words(b.column(0), W.ALNUM_WORDS)
             at, word = _numbers(w, sorted_hash, number)
             total[:-1] += np.bincount(np.unique(w.doc[at] * len(number) + word) % len(number), minlength=len(number))
@@ -175,7 +175,7 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     types = [T.LongType()] * 4 + [T.StringType()] * 2 + [T.DoubleType(), T.ArrayType(T.StringType())]
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in W.batches(it, 8 << 20, text):
+        for b in W.batches(it, 2 << 20, text):
             w = W.words(b.column(text), W.ALNUM_WORDS)
             at, word = _numbers(w, sorted_hash, number)
             n, out = np.diff(w.first), {}

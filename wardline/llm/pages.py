@@ -200,7 +200,7 @@ def host_paths(pages: DataFrame) -> DataFrame:
     """
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in W.batches(it, 8 << 20, "html"):
+        for b in W.batches(it, 4 << 20, "html"):
             hosts, paths, scores = [], [], []
             for host, page in zip(b.column("host").to_pylist(), b.column("html"), strict=True):
                 for path, s in page_votes(blocks(page.as_py())).items():
@@ -227,7 +227,7 @@ def main_text(pages: DataFrame) -> DataFrame:
     joined = pages.select("page_id", "url", "html").join(winners, host_of(F.col("url")) == F.col("__host"), "left").select("page_id", "url", "html", F.col("__path").alias("path"))
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in W.batches(it, 8 << 20, "html"):
+        for b in W.batches(it, 4 << 20, "html"):
             texts = [extract(page.as_py(), path) for page, path in zip(b.column("html"), b.column("path").to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 

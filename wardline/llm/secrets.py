@@ -108,7 +108,7 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
         return (*count, hashlib.sha256(_written(base).encode()).hexdigest(), _written(spans), len(novel), float(most))
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in W.batches(it, 16 << 20, text):
+        for b in W.batches(it, 4 << 20, text):
             col = pc.fill_null(b.column(text).cast(pa.large_string()), "")
             maybe = pc.or_(pc.match_substring_regex(col, _SIEVE), pc.match_substring_regex(col, "[0-9a-f]{24}"))
             rows = [one(v.as_py()) if m else nothing for v, m in zip(col, maybe.to_pylist(), strict=True)]

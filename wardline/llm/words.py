@@ -221,13 +221,12 @@ def list_array(values: pa.Array, bounds: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), values)
 
 
-def batches(it: Iterator[pa.RecordBatch], max_bytes: int = 16 << 20, column: str = "text") -> Iterator[pa.RecordBatch]:
+def batches(it: Iterator[pa.RecordBatch], max_bytes: int = 4 << 20, column: str = "text") -> Iterator[pa.RecordBatch]:
     """The same rows in slices whose ``column`` has at most ``max_bytes``, one row at least."""
     for batch in it:
         if not batch.num_rows:
             continue
-        col = batch.column(batch.schema.get_field_index(column)).cast(pa.large_string())
-        size = np.cumsum(np.asarray(pa.compute.fill_null(pa.compute.binary_length(col), 0)), dtype=np.int64)
+        size = np.cumsum(np.asarray(pa.compute.fill_null(pa.compute.binary_length(batch.column(column)), 0)), dtype=np.int64)
         at = 0
         while at < batch.num_rows:
             base = size[at - 1] if at else 0
