@@ -7,9 +7,9 @@ import pytest
 
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 sys.path.insert(0, ROOT)
+sys.path.insert(0, os.path.join(ROOT, "tests"))
 os.environ["PYTHONPATH"] = os.pathsep.join([ROOT, os.environ.get("PYTHONPATH", "")])
 
-DATA = "/root/testdata/sf0.001"
 
 
 @pytest.fixture(scope="session")
@@ -29,6 +29,7 @@ def spark(tmp_path_factory):
 @pytest.fixture(scope="session")
 def duck():
     import duckdb
+    from compare import DATA
 
     con = duckdb.connect()
     for t in "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split():

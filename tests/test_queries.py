@@ -1,8 +1,7 @@
 """Every query with an SQL twin gives the twin's rows."""
 
 import pytest
-from compare import lines
-from conftest import DATA
+from compare import DATA, lines
 
 from wardline.plans import catalogue
 
