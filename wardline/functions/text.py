@@ -95,13 +95,14 @@ def channel(text: Column) -> Column:
 
 def intent_hits(text: Column, intents=refdata.INTENTS, most: int = 3) -> Column:
     """Array of (id, weight, evidence) of the intents that a text shows; evidence keeps the first ``most`` phrases."""
-    low = F.lower(text)
+    first = lambda value, f: F.get(F.transform(F.array(value), f), F.lit(0))  # noqa: E731 - binds a value that is used several times
 
-    def one(name: str, weight: float, patterns: tuple[str, ...]) -> Column:
+    def one(low: Column, name: str, weight: float, patterns: tuple[str, ...]) -> Column:
         found = F.regexp_extract_all(low, F.lit("(" + "|".join(f"(?:{p})" for p in patterns) + ")"), F.lit(1))
-        return F.when(F.size(found) > 0, F.struct(F.lit(name).alias("id"), F.lit(weight).alias("weight"), F.slice(F.array_distinct(found), 1, most).alias("evidence")))
+        hit = lambda f: F.struct(F.lit(name).alias("id"), F.lit(weight).alias("weight"), F.slice(F.array_distinct(f), 1, most).alias("evidence"))
+        return first(found, lambda f: F.when(F.size(f) > 0, hit(f)))
 
-    return F.filter(F.array(*[one(*i) for i in intents]), lambda h: h.isNotNull())
+    return first(F.lower(text), lambda low: F.filter(F.array(*[one(low, *i) for i in intents]), lambda h: h.isNotNull()))
 
 
 def intent_score(hits: Column) -> Column:
