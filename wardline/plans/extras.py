@@ -36,6 +36,13 @@ def base64_hidden_links(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("page_id", F.explode(O.base64_links(F.col("t"))).alias("link"))
 
 
+@query()
+def base64_hidden_links_whole(spark: SparkSession, sf: str) -> DataFrame:
+    """Every page's link hidden as base64 in a sentence, found again."""
+    hidden = F.concat(F.lit("open "), F.base64(F.encode("url", "UTF-8")), F.lit(" now"))
+    return table(spark, sf, "pages").select("page_id", F.explode(O.base64_links(hidden)).alias("link"))
+
+
 @query(
     f"""WITH {PARSED_SQL} SELECT page_id, CASE WHEN page_id % 5 = 0 OR page_id % 7 = 0 THEN 'FLAG' END AS decision FROM p"""
 )

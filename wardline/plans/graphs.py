@@ -89,6 +89,16 @@ def graph_known_bad_paths(spark: SparkSession, sf: str) -> DataFrame:
     return G.bad_paths(e, spec, seeds, bad, depth=2).withColumn("spec", F.round("spec", 9))
 
 
+@query()
+def graph_known_bad_paths_whole(spark: SparkSession, sf: str) -> DataFrame:
+    """Paths of up to three steps from every customer with a negative balance to suppliers with one."""
+    e = edges(spark, sf)
+    kind = F.substring_index("id", ":", 1)
+    spec = G.degrees(e).select("id", (F.when(kind == "order", 0.9).otherwise(0.7) * G.damping(F.col("degree"))).alias("spec"))
+    below = lambda name, key, balance: table(spark, sf, name).filter(F.col(balance) < 0).select(F.concat(F.lit(f"{name}:"), F.col(key).cast("string")).alias("id"))
+    return G.bad_paths(e, spec, below("customer", "c_custkey", "c_acctbal"), below("supplier", "s_suppkey", "s_acctbal")).withColumn("spec", F.round("spec", 9))
+
+
 _SHARED_SQL = """
 own AS (SELECT DISTINCT l_suppkey AS src, l_orderkey AS dst FROM lineitem), deg AS (SELECT dst, count(*) AS degree FROM own GROUP BY dst),
 rare AS (SELECT dst, 0.9 * CASE WHEN degree > 4 THEN 1 / log2(1 + degree) ELSE 1 END AS spec FROM deg), kept AS (SELECT src, own.dst, spec FROM own JOIN rare ON own.dst = rare.dst WHERE spec >= 0.3 - 1e-9),
@@ -137,6 +147,12 @@ def graph_components(spark: SparkSession, sf: str) -> DataFrame:
     return G.components(e)
 
 
+@query()
+def graph_components_whole(spark: SparkSession, sf: str) -> DataFrame:
+    """Components of all orders and their parts."""
+    return G.components(edges(spark, sf).filter("rel = 'HOLDS'"))
+
+
 @query(
     f"""WITH {_EDGES_SQL} SELECT a AS id, count(DISTINCT b) FILTER (starts_with(b, 'order:')) AS n_orders, count(DISTINCT b) FILTER (starts_with(b, 'part:')) AS n_parts,
   count(DISTINCT b) FILTER (starts_with(b, 'supplier:')) AS n_suppliers, count(DISTINCT b) FILTER (starts_with(b, 'nation:')) AS n_nations FROM both_ways GROUP BY a"""
