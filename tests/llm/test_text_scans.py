@@ -90,6 +90,21 @@ def test_consensus_overrules_a_page(spark):
     assert got[9] == "short main"
 
 
+def test_host_path_keeps_the_whole_article(spark):
+    long = "inner words of the article " * 40
+    page = "<body><article><h1>Heading</h1><p>The lead of it.</p><div class='body'><p>{}</p></div><section class='more'><p>A last part.</p></section></article><div class='links'><p>Noise beside.</p></div></body>"
+    plain = "<body><div class='links'><p>Noise beside.</p></div><div class='wrap'><h1>Heading</h1><p>The lead of it.</p><div class='body'><p>{}</p></div></div></body>"
+    bare = "<div class='a'><p>{}</p></div><section><p>A second section.</p></section><p>Last line.</p>"
+    hosts = {"a": (page, [long] * 5 + ["Short."]), "w": (plain, [long] * 5 + ["Short."]), "n": (bare, [long])}
+    rows = [(k, f"https://{h}.example/{k}", p.format(t)) for h, (p, ts) in hosts.items() for k, t in enumerate(ts)]
+    got = {r["url"]: r["text"] for r in pages.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got["https://a.example/0"] == f"Heading\n\nThe lead of it.\n\n{long.strip()}\n\nA last part."
+    assert got["https://a.example/5"] == "Heading\n\nThe lead of it.\n\nShort.\n\nA last part."
+    assert got["https://w.example/0"] == f"Heading\n\nThe lead of it.\n\n{long.strip()}"
+    assert got["https://w.example/5"] == "Heading\n\nThe lead of it.\n\nShort."
+    assert got["https://n.example/0"] == f"{long.strip()}\n\nA second section.\n\nLast line."
+
+
 def weighted(a, b):
     grams = lambda ws: Counter(tuple(ws[i : i + 5]) for i in range(len(ws) - 4))
     a, b = grams(a), grams(b)

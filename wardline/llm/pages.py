@@ -71,7 +71,7 @@ def _marked(name: str, attributes: dict[str, str], in_article: bool) -> bool:
 def blocks(page: str | None) -> list[tuple[str, str, int]]:
     """(container path, text, characters in links) of each block of text outside boilerplate, in page order.
 
-    A container path is the generalised names of the containers from the body inwards.
+    A container path is the generalised names of the containers from the body inwards; a page without a body tag has one.
     Broken pages are read as far as they go: open elements end where the page ends.
     """
     parts = _TAG.split(_COMMENT.sub(" ", page or ""))
@@ -84,7 +84,8 @@ def blocks(page: str | None) -> list[tuple[str, str, int]]:
         nonlocal linked
         whole = " ".join(entities.unescape("".join(text)).split())
         if whole and not bad:
-            out.append(("/".join(s[1] for s in stack if s[1]), whole, min(len(whole), linked)))
+            inner = [s[1] for s in stack if s[1] and s[0] != "body"]
+            out.append(("/".join(["body", *inner]), whole, min(len(whole), linked)))
         text.clear()
         linked = 0
 
@@ -173,14 +174,53 @@ def choose(votes: dict[str, float], pages: float) -> str | None:
     return max(close, key=lambda p: (p.count("/"), votes[p], p))
 
 
+def _linky(found: list[tuple[str, str, int]]) -> bool:
+    """Whether half of the text or more is in links."""
+    return 2 * sum(linked for _, _, linked in found) >= sum(len(text) for _, text, _ in found)
+
+
+def around(found: list[tuple[str, str, int]], path: str) -> list[str] | None:
+    """Texts of the article whose core is the container path; None for a page that doesn't have it.
+
+    Host votes find the core, which may be an inner part. The article is the outermost
+    article or main element around it, or else the core. To that comes what stands beside
+    it without being mostly links: text of the containers around it, sections and articles
+    and, where neither article nor main tells the end, all of a wrapper inside the body.
+    """
+    names = path.split("/")
+    tags = [n.split(".")[0] for n in names]
+    top = next((i for i, t in enumerate(tags) if t in ("article", "main")), None)
+    root = "/".join(names[: top + 1]) if top is not None else path
+    if not any(p == root or p.startswith(root + "/") for p, _, _ in found):
+        return None
+    parent = root.rpartition("/")[0]
+    outer = {"/".join(root.split("/")[:k]) for k in range(1, root.count("/") + 1)}
+    siblings: dict[str, list[tuple[str, str, int]]] = {}
+    for block in found:
+        if parent and block[0].startswith(parent + "/"):
+            siblings.setdefault(block[0][len(parent) + 1 :].split("/")[0], []).append(block)
+    whole = top is None and parent not in ("", "body")
+    beside = {n for n, inside in siblings.items() if (whole or n.split(".")[0] in ("section", "article", "main")) and not _linky(inside)}
+
+    def kept(block: tuple[str, str, int]) -> bool:
+        p = block[0]
+        if p == root or p.startswith(root + "/"):
+            return True
+        if p in outer:
+            return not _linky([block])
+        return bool(parent) and p.startswith(parent + "/") and p[len(parent) + 1 :].split("/")[0] in beside
+
+    return [b[1] for b in found if kept(b)]
+
+
 def extract(page: str | None, path: str | None) -> str:
-    """Text of the blocks inside the container path; of the page's own best path where it has none there."""
+    """Text of the article around the container path; around the page's own best path where it has none there."""
     found = blocks(page)
-    inside = [t for p, t, _ in found if path is not None and (p == path or p.startswith(path + "/"))]
-    if not inside and found:
+    inside = around(found, path) if path else None
+    if inside is None and found:
         own = choose(page_votes(found), 1.0)
-        inside = [t for p, t, _ in found if own is None or p == own or p.startswith(own + "/")]
-    return "\n\n".join(inside)
+        inside = around(found, own) if own else [t for _, t, _ in found]
+    return "\n\n".join(inside or [])
 
 
 def host_of(url) -> F.Column:
