@@ -105,6 +105,19 @@ def test_host_path_keeps_the_whole_article(spark):
     assert got["https://n.example/0"] == f"{long.strip()}\n\nA second section.\n\nLast line."
 
 
+def test_raw_elements_end_at_their_own_end_tag():
+    page = "<html><head><title>T</title>{}</head><body><article><p>The first part of it.</p>{}<p>The second part of it.</p></article></body></html>"
+    whole = "The first part of it.\n\nThe second part of it."
+    raw = ["for(var i=0;i<n;i++){t+='a'}", "var s='<div', u=\"it's\";", "var c = '<!-- never closed';", "if (a</b/.test(c)) x='<a';"]
+    for code in raw:
+        for script in (f"<script>{code}</script>", f"<SCRIPT type='x'>{code}</Script >"):
+            assert pages.extract(page.format("", script), None) == whole == pages.extract(page.format(script, ""), None)
+    assert pages.extract(page.format("<style>a:before{content:'<b'}</style>", "<!-- <script> -->"), None) == whole
+    assert pages.extract(page.format("", "<select><option>x<svg>"), None).startswith("The first part of it.")
+    for opened in ("<head><meta charset=x><title>T</title><body>", "<head><title>T</title>", "<head class='nav'><title>T</title><script>a<b</script>"):
+        assert pages.extract(f"<html>{opened}<p>Text of a page without an end of its head.</p>", None) == "Text of a page without an end of its head."
+
+
 def weighted(a, b):
     grams = lambda ws: Counter(tuple(ws[i : i + 5]) for i in range(len(ws) - 4))
     a, b = grams(a), grams(b)

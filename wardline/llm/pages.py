@@ -15,7 +15,7 @@ from wardline.llm import words as W
 from wardline.llm.scratch import Scratch
 
 # Elements by their part in a page.
-SKIPPED = frozenset("script style noscript template iframe svg math object canvas audio video head title select textarea datalist".split())
+SKIPPED = frozenset("script style noscript template iframe svg math object canvas audio video title select textarea datalist".split())
 BOILERPLATE = frozenset("nav footer aside form menu dialog button label fieldset address".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCKS = frozenset(
@@ -30,8 +30,11 @@ MARKS = frozenset(
     "trending comment comments disqus replies respond reply footer foot masthead topbar toolbar header popup modal overlay skip-link copyright disclaimer toc tags tag-list".split()
 )
 
-_COMMENT = re.compile(r"<!--.*?(?:--!?>|$)", re.S)
-_TAG = re.compile(r"""(<(?:[/!?]|(?=[a-zA-Z]))(?:[^>"']++|"[^"]*+"|'[^']*+')*+>|<(?:[/!?]|(?=[a-zA-Z]))[^>]*(?:>|$))""")
+_COMMENT = r"<!--(?:-?>|.*?(?:--!?>|\Z))"
+_TAG = re.compile(r"""(?s:(?P<comment>""" + _COMMENT + r"""))|(<(?:[/!?]|(?=[a-zA-Z]))(?:[^>"']++|"[^"]*+"|'[^']*+')*+>|<(?:[/!?]|(?=[a-zA-Z]))[^>]*(?:>|$))""")
+# elements that end at their own end tag and nowhere else, whatever is in them
+_RAW_END = {name: re.compile(rf"</{name}(?=[\s/>]|\Z)[^>]*(?:>|\Z)", re.I) for name in SKIPPED}
+_UNENDED = frozenset("script style noscript iframe title textarea".split())  # hide the rest of the page without an end tag
 _NAME = re.compile(r"</?\s*([a-zA-Z][a-zA-Z0-9:-]*)")
 _ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|style|aria-hidden)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.I)
 _IMPLIED = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
@@ -74,11 +77,11 @@ def blocks(page: str | None) -> list[tuple[str, str, int]]:
     A container path is the generalised names of the containers from the body inwards; a page without a body tag has one.
     Broken pages are read as far as they go: open elements end where the page ends.
     """
-    parts = _TAG.split(_COMMENT.sub(" ", page or ""))
+    page = page or ""
     stack: list[tuple[str, str | None, bool]] = []  # name, general name if a container, boilerplate
     out: list[tuple[str, str, int]] = []
     text: list[str] = []
-    linked, in_link, bad, article, raw = 0, 0, 0, 0, None
+    linked, in_link, bad, article, at, unended = 0, 0, 0, 0, 0, set()
 
     def flush() -> None:
         nonlocal linked
@@ -89,26 +92,28 @@ def blocks(page: str | None) -> list[tuple[str, str, int]]:
         text.clear()
         linked = 0
 
-    def close(at: int) -> None:
+    def close(depth: int) -> None:
         nonlocal bad, in_link, article
-        while len(stack) > at:
+        while len(stack) > depth:
             name, _, boiler = stack.pop()
             bad -= boiler
             in_link -= name == "a"
             article -= name in ("article", "main")
 
-    for k, part in enumerate(parts):
-        if k % 2 == 0:
-            if raw is None and part:
-                text.append(part)
-                if in_link:
-                    linked += len(part.strip())
+    while at < len(page):
+        m = _TAG.search(page, at)
+        between = page[at : m.start() if m else len(page)]
+        if between:
+            text.append(between)
+            if in_link:
+                linked += len(between.strip())
+        if m is None:
+            break
+        at, part = m.end(), m[0]
+        if m["comment"] is not None:
+            text.append(" ")
             continue
         found = _NAME.match(part)
-        if raw is not None:
-            if found and part[1] == "/" and found[1].lower() == raw:
-                raw = None
-            continue
         if not found:
             continue
         name = found[1].lower()
@@ -122,7 +127,13 @@ def blocks(page: str | None) -> list[tuple[str, str, int]]:
             continue
         if name in SKIPPED:
             if not part.endswith("/>"):
-                raw = name
+                end = None if name in unended else _RAW_END[name].search(page, at)
+                if end:
+                    at = end.end()
+                elif name in _UNENDED:
+                    at = len(page)
+                else:
+                    unended.add(name)
             text.append(" ")
             continue
         if name in BLOCKS:
@@ -135,7 +146,7 @@ def blocks(page: str | None) -> list[tuple[str, str, int]]:
                     break
         elif name == "br":
             text.append(" ")
-        if name in VOID or part.endswith("/>"):
+        if name in VOID or name == "head" or part.endswith("/>"):
             continue
         attributes = _attributes(part) if " " in part or "\n" in part or "\t" in part else {}
         boiler = _marked(name, attributes, article > 0)
