@@ -118,6 +118,21 @@ def test_raw_elements_end_at_their_own_end_tag():
         assert pages.extract(f"<html>{opened}<p>Text of a page without an end of its head.</p>", None) == "Text of a page without an end of its head."
 
 
+def test_marked_wrappers_of_the_article_stay():
+    text = "Words of the article that nobody should lose. " * 5
+    inner = f"<p>{text}</p><div class='sidebar'><p>Other things to look at.</p></div>"
+    wrappers = [
+        "<div class='content has-sidebar'>{}</div>", "<div id='main' class='no-sidebar'>{}</div>", "<div class='post without-comments'>{}</div>", "<div class='post with-comments'>{}</div>",
+        "<div class='sidebar-layout'>{}</div>", "<form id='aspnet'>{}</form>", "<div class='content-header'><main>{}</main></div><p class='x'>Beside it.</p>",
+    ]
+    for w in wrappers:
+        assert text.strip() in pages.extract(f"<body>{w.format(inner)}</body>", None), w
+        assert "Other things" not in pages.extract(f"<body>{w.format(inner)}</body>", None), w
+    beside = "<body><article><p>Short article.</p></article><div id='comments'><article class='comment'><p>{}</p></article></div><footer>{}</footer></body>"
+    assert pages.extract(beside.format(text, text), None) == "Short article."
+    assert pages.extract(f"<body><p>Seen.</p><div style='display:none'><main>{text}</main></div></body>", None) == "Seen."
+
+
 def weighted(a, b):
     grams = lambda ws: Counter(tuple(ws[i : i + 5]) for i in range(len(ws) - 4))
     a, b = grams(a), grams(b)

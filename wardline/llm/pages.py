@@ -30,6 +30,9 @@ MARKS = frozenset(
     "trending comment comments disqus replies respond reply footer foot masthead topbar toolbar header popup modal overlay skip-link copyright disclaimer toc tags tag-list".split()
 )
 
+STATES = frozenset("has have no not with without is hide".split())  # pieces of names that tell what an element has beside it
+WRAPPERS = frozenset("form fieldset".split())  # boilerplate that some sites put around the whole page
+
 _COMMENT = r"<!--(?:-?>|.*?(?:--!?>|\Z))"
 _TAG = re.compile(r"""(?s:(?P<comment>""" + _COMMENT + r"""))|(<(?:[/!?]|(?=[a-zA-Z]))(?:[^>"']++|"[^"]*+"|'[^']*+')*+>|<(?:[/!?]|(?=[a-zA-Z]))[^>]*(?:>|$))""")
 # elements that end at their own end tag and nowhere else, whatever is in them
@@ -51,35 +54,51 @@ def _general(name: str, attributes: dict[str, str]) -> str:
     return name + "".join(f".{re.sub(r'[0-9]+', '#', c)}" for c in sorted(set(classes))[:4])
 
 
-def _marked(name: str, attributes: dict[str, str], in_article: bool) -> bool:
-    """Whether an element holds what is not the article."""
-    if name in BOILERPLATE or (name == "header" and not in_article):
-        return True
-    if not attributes:
-        return False
-    if attributes.get("role", "").lower() in ROLES or "hidden" in attributes or attributes.get("aria-hidden", "").lower() == "true":
-        return True
-    if re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", attributes.get("style", ""), re.I):
-        return True
-    if name in ("html", "body", "article", "main"):
-        return False
+def _named(attributes: dict[str, str], in_article: bool) -> bool:
+    """Whether a class or id says that an element isn't the article; states such as has-sidebar say nothing."""
     for value in (attributes.get("class", ""), attributes.get("id", "")):
         for token in re.split(r"\s+", value.lower()):
             pieces = [p for p in re.split(r"[-_:]+", token) if p]
+            if STATES.intersection(pieces):
+                continue
             if token in MARKS or (pieces and (pieces[0] in MARKS or pieces[-1] in MARKS)) and not (in_article and pieces[-1] in ("header", "tags")):
                 return True
     return False
 
 
+def _marked(name: str, attributes: dict[str, str], in_article: bool) -> str:
+    """How an element is marked as not the article: "sure", "likely" (if its content agrees) or not at all."""
+    if attributes:
+        if "hidden" in attributes or attributes.get("aria-hidden", "").lower() == "true":
+            return "sure"
+        if re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", attributes.get("style", ""), re.I):
+            return "sure"
+    if name in WRAPPERS:
+        return "likely"
+    if name in BOILERPLATE or (name == "header" and not in_article):
+        return "sure"
+    if not attributes:
+        return ""
+    if attributes.get("role", "").lower() in ROLES:
+        return "likely" if attributes["role"].lower() in ("form", "search") else "sure"
+    if name in ("html", "body", "article", "main"):
+        return ""
+    return "likely" if _named(attributes, in_article) else ""
+
+
 def blocks(page: str | None) -> list[tuple[str, str, int]]:
     """(container path, text, characters in links) of each block of text outside boilerplate, in page order.
 
     A container path is the generalised names of the containers from the body inwards; a page without a body tag has one.
     Broken pages are read as far as they go: open elements end where the page ends.
+    What is marked by its name alone stays if it holds all article and main elements of
+    the page, or most of the text without links and no such element is outside of it.
     """
     page = page or ""
-    stack: list[tuple[str, str | None, bool]] = []  # name, general name if a container, boilerplate
-    out: list[tuple[str, str, int]] = []
+    stack: list[tuple[str, str | None, bool, int | None]] = []  # name, general name if a container, surely boilerplate, number among likely ones
+    out: list[tuple[str, str, int, tuple[int, ...]]] = []
+    likely: list[list[int]] = []  # articles and characters without links inside
+    articles = 0
     text: list[str] = []
     linked, in_link, bad, article, at, unended = 0, 0, 0, 0, 0, set()
 
@@ -88,14 +107,17 @@ def blocks(page: str | None) -> list[tuple[str, str, int]]:
         whole = " ".join(entities.unescape("".join(text)).split())
         if whole and not bad:
             inner = [s[1] for s in stack if s[1] and s[0] != "body"]
-            out.append(("/".join(["body", *inner]), whole, min(len(whole), linked)))
+            within = tuple(s[3] for s in stack if s[3] is not None)
+            for i in within:
+                likely[i][1] += len(whole) - min(len(whole), linked)
+            out.append(("/".join(["body", *inner]), whole, min(len(whole), linked), within))
         text.clear()
         linked = 0
 
     def close(depth: int) -> None:
         nonlocal bad, in_link, article
         while len(stack) > depth:
-            name, _, boiler = stack.pop()
+            name, _, boiler, _ = stack.pop()
             bad -= boiler
             in_link -= name == "a"
             article -= name in ("article", "main")
@@ -149,14 +171,24 @@ def blocks(page: str | None) -> list[tuple[str, str, int]]:
         if name in VOID or name == "head" or part.endswith("/>"):
             continue
         attributes = _attributes(part) if " " in part or "\n" in part or "\t" in part else {}
-        boiler = _marked(name, attributes, article > 0)
+        mark = _marked(name, attributes, article > 0)
+        boiler = mark == "sure"
         general = _general(name, attributes) if name in CONTAINERS and not boiler else None
-        stack.append((name, general, boiler))
+        stack.append((name, general, boiler, len(likely) if mark == "likely" else None))
+        if mark == "likely":
+            likely.append([0, 0])
+        if name in ("article", "main") and not bad and not boiler and not _named(attributes, False):
+            articles += 1
+            for s in stack:
+                if s[3] is not None:
+                    likely[s[3]][0] += 1
         bad += boiler
         in_link += name == "a"
         article += name in ("article", "main")
     flush()
-    return out
+    total = sum(len(text) - linked for _, text, linked, _ in out)
+    stays = [n == articles and (n > 0 or 2 * worth > total) for n, worth in likely]
+    return [(path, text, linked) for path, text, linked, within in out if all(stays[i] for i in within)]
 
 
 def page_votes(found: list[tuple[str, str, int]]) -> dict[str, float]:
