@@ -5,7 +5,11 @@ from collections import defaultdict
 
 import pytest
 from compare import DATA
+from pyspark.sql import functions as F
 
+from wardline import ml
+from wardline.functions import text as X
+from wardline.functions import urls as U
 from wardline.plans import catalogue
 
 LARGER = DATA.replace("sf0.001", "sf0.01")  # the smallest one with a supplier of negative balance
@@ -64,3 +68,26 @@ def test_bad_paths_from_all_customers(spark):
 def test_hidden_links_of_all_pages(spark):
     got = catalogue.QUERIES["base64_hidden_links_whole"](spark, DATA).collect()
     assert sorted(tuple(r) for r in got) == sorted(rows_of(spark, DATA, "pages", "page_id", "url"))
+
+
+def test_texts_that_differ_late_are_told_apart(spark, tmp_path):
+    opening = "licence words " * 400
+    texts = [opening + "one", opening + "two", opening + "One!", "short"]
+    rows = [(i + 1, t) for i, t in enumerate(texts)] + [(10, opening + "ten")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = catalogue.QUERIES["text_dedup_whole"](spark, str(tmp_path)).collect()
+    assert sorted((r["doc_id"], r["n"]) for r in got) == [(1, 2), (2, 1), (4, 1), (10, 1)]
+    got = {r["outcome"]: (r["n"], r["sum_ids"]) for r in catalogue.QUERIES["feedback_corpus_whole"](spark, str(tmp_path)).collect()}
+    assert got == {"kept": (2, 3), "duplicate": (1, 3), "short": (1, 4)}
+
+
+def test_features_reach_the_end(spark):
+    df = spark.createDataFrame([("a" * 300 + "xyz", "word " * 900 + "last")], "url string, text string")
+    row = df.select(U.char_ngrams(F.col("url")).alias("g"), U.char_ngrams(F.col("url"), limit=200).alias("h"), ml.word_features(F.col("text")).alias("w"), X.text_key(F.col("text"), 2000).alias("k"), X.text_key(F.expr("text || ' more'"), 2000).alias("l")).first()
+    assert "xyz$" in row["g"] and "xyz$" not in row["h"] and "last" in row["w"] and row["k"] == row["l"]
+
+
+def test_ngrams_of_whole_links(spark, tmp_path):
+    url = "http://h.example/" + "p" * 400
+    spark.read.parquet(f"{DATA}/pages.parquet").limit(1).withColumn("url", F.lit(url)).write.parquet(f"{tmp_path}/pages.parquet")
+    assert catalogue.QUERIES["url_char_ngrams_whole"](spark, str(tmp_path)).first()["n_grams"] > 3 * 400

@@ -171,9 +171,9 @@ def dedup_key(url: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.lower(url), r"^[a-z][a-z0-9+.-]*://(?:www\.)?", ""), "/+$", "")
 
 
-def char_ngrams(url: Column, sizes: tuple[int, ...] = (3, 4, 5), limit: int = 200) -> Column:
-    """Character n-grams of the marked URL; each URL's first ``limit`` characters by definition of the feature."""
-    marked = F.concat(F.lit("^"), F.substring(url, 1, limit), F.lit("$"))
+def char_ngrams(url: Column, sizes: tuple[int, ...] = (3, 4, 5), limit: int | None = None) -> Column:
+    """Character n-grams of the marked URL; the prior system's feature takes the first 200 characters as ``limit``."""
+    marked = F.concat(F.lit("^"), url if limit is None else F.substring(url, 1, limit), F.lit("$"))
 
     def grams(n: int) -> Column:
         starts = F.sequence(F.lit(1), F.length(marked) - (n - 1))

@@ -37,9 +37,9 @@ def tree_model(rows: DataFrame, columns: list[str], boosted: bool = True, trees:
     return Pipeline(stages=[assemble, made]).fit(balanced(rows))
 
 
-def word_features(text: Column) -> Column:
-    """Tokens and their pairs; the feature looks at the first 800 tokens."""
-    words = F.slice(X.tokens(text), 1, 800)
+def word_features(text: Column, limit: int | None = None) -> Column:
+    """Tokens and their pairs; the prior system's feature takes the first 800 tokens as ``limit``."""
+    words = X.tokens(text) if limit is None else F.slice(X.tokens(text), 1, limit)
     return F.concat(words, X.bigrams(words))
 
 

@@ -109,10 +109,20 @@ n AS (SELECT page_id, substr(s, i, k) AS gram FROM m, range(3, 6) AS a(k), range
 SELECT page_id, count(*) AS n_grams, count(DISTINCT gram) AS n_distinct FROM n GROUP BY page_id"""
 )
 def url_char_ngrams(spark: SparkSession, sf: str) -> DataFrame:
-    grams = U.char_ngrams(F.col("normalized"))
+    return _gram_counts(spark, sf, 200)
+
+
+def _gram_counts(spark: SparkSession, sf: str, limit: int | None) -> DataFrame:
+    grams = U.char_ngrams(F.col("normalized"), limit=limit)
     return parsed_pages(spark, sf).select("page_id", F.size(grams).cast("long").alias("n_grams"), F.size(F.array_distinct(grams)).cast("long").alias("n_distinct"))
 
 
+@query()
+def url_char_ngrams_whole(spark: SparkSession, sf: str) -> DataFrame:
+    """N-grams of whole links."""
+    return _gram_counts(spark, sf, None)
+
+
 _RULES_SQL = """
 hits AS (SELECT page_id, normalized, list_filter([
   CASE WHEN scheme IN ('javascript', 'data') THEN {'id': 'script_url', 'w': 0.7::DOUBLE} END, CASE WHEN is_ip > 0 THEN {'id': 'ip_host', 'w': 0.35::DOUBLE} END,

@@ -68,7 +68,17 @@ _KEY_SQL = r"md5(substr(trim(regexp_replace(lower(text), '[^\p{L}\p{N}_]+', ' ',
 
 @query(f"SELECT {_KEY_SQL} AS text_key, min(doc_id) AS doc_id, count(*) AS n FROM documents GROUP BY 1")
 def text_dedup(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "documents").groupBy(X.text_key(F.col("text")).alias("text_key")).agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("n"))
+    return _equal_texts(spark, sf, 2000)
+
+
+def _equal_texts(spark: SparkSession, sf: str, limit: int | None) -> DataFrame:
+    return table(spark, sf, "documents").groupBy(X.text_key(F.col("text"), limit).alias("text_key")).agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("n"))
+
+
+@query()
+def text_dedup_whole(spark: SparkSession, sf: str) -> DataFrame:
+    """Groups of texts that are equal to their ends."""
+    return _equal_texts(spark, sf, None)
 
 
 @query("SELECT CASE WHEN length(text) <= 320 THEN 'sms' ELSE 'email' END AS channel, count(*) AS n, round(avg(length(text)), 6) AS mean_chars FROM documents GROUP BY 1")
@@ -176,11 +186,21 @@ SELECT outcome, count(*) AS n, sum(doc_id)::BIGINT AS sum_ids FROM j GROUP BY ou
 )
 def feedback_corpus(spark: SparkSession, sf: str) -> DataFrame:
     """Feedback rows that enter training, and why others don't: short, seen before, duplicate."""
-    docs = table(spark, sf, "documents").withColumn("k", X.text_key(F.col("text")))
+    return _outcomes(spark, sf, 2000)
+
+
+def _outcomes(spark: SparkSession, sf: str, limit: int | None) -> DataFrame:
+    docs = table(spark, sf, "documents").withColumn("k", X.text_key(F.col("text"), limit))
     marked = clean_corpus(docs.filter("doc_id % 10 <> 0"), docs.filter("doc_id % 10 = 0"), "k", "doc_id", F.length("text"), 200)
     return marked.groupBy("outcome").agg(F.count(F.lit(1)).alias("n"), F.sum("doc_id").alias("sum_ids"))
 
 
+@query()
+def feedback_corpus_whole(spark: SparkSession, sf: str) -> DataFrame:
+    """The same with texts told apart to their ends."""
+    return _outcomes(spark, sf, None)
+
+
 @query("SELECT doc_id, source, md5('7:' || doc_id) AS hash_key FROM documents ORDER BY hash_key, doc_id LIMIT 100")
 def sample_by_hash(spark: SparkSession, sf: str) -> DataFrame:
     """A fixed-size sample in hash order: the same rows at any partitioning."""
