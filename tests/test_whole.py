@@ -91,3 +91,15 @@ def test_ngrams_of_whole_links(spark, tmp_path):
     url = "http://h.example/" + "p" * 400
     spark.read.parquet(f"{DATA}/pages.parquet").limit(1).withColumn("url", F.lit(url)).write.parquet(f"{tmp_path}/pages.parquet")
     assert catalogue.QUERIES["url_char_ngrams_whole"](spark, str(tmp_path)).first()["n_grams"] > 3 * 400
+
+
+def test_all_indicators_are_found(spark, tmp_path):
+    mails = [f"user{k}@host{k}.example" for k in range(300)]
+    text = " ".join([*mails, *mails[:5], *[f"10.0.{k}.1" for k in range(40)], *[f"+49 1234 567 {k:04}" for k in range(30)]])
+    spark.createDataFrame([(4, text)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, "http://h.example/x", "<p>none")], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    row = catalogue.QUERIES["text_indicators_whole"](spark, str(tmp_path)).first()
+    assert row["emails"].split(",") == sorted(mails) and [len(row[c].split(",")) for c in ("phones", "ips")] == [30, 40]
+    row = catalogue.QUERIES["ioc_candidates_whole"](spark, str(tmp_path)).first()
+    assert row["n"] == 302 and row["candidates"].split(" ")[2:] == [m.split("@")[1] for m in mails]
+    assert spark.createDataFrame([(" ".join("1" + c * 30 for c in "abcdefgh"),)], "t string").select(F.size(X.wallets(F.col("t")))).first()[0] == 8

@@ -62,25 +62,26 @@ def bigrams(words: Column) -> Column:
     return F.when(n >= 2, pairs).otherwise(F.array().cast("array<string>"))
 
 
-def _sorted_distinct(found: Column, most: int) -> Column:
-    return F.slice(F.array_sort(F.array_distinct(found)), 1, most)
+def _sorted_distinct(found: Column, most: int | None) -> Column:
+    values = F.array_sort(F.array_distinct(found))
+    return values if most is None else F.slice(values, 1, most)
 
 
-def emails(text: Column, most: int = 20) -> Column:
-    """Sorted distinct addresses; the feature keeps the first ``most``."""
+def emails(text: Column, most: int | None = None) -> Column:
+    """Sorted distinct addresses; the first ``most`` for display."""
     return _sorted_distinct(F.regexp_extract_all(F.lower(text), F.lit(r"([a-z0-9._%+-]+@[a-z0-9.-]+\.[a-z]{2,})"), F.lit(1)), most)
 
 
-def phones(text: Column, most: int = 10) -> Column:
+def phones(text: Column, most: int | None = None) -> Column:
     found = F.regexp_extract_all(text, F.lit(r"(\+[0-9]{1,3}[ -]?\(?[0-9]{3,4}\)?[ -]?[0-9]{3,4}[ -]?[0-9]{2,4})"), F.lit(1))
     return _sorted_distinct(F.transform(found, lambda p: F.regexp_replace(p, "[ ()-]", "")), most)
 
 
-def ips(text: Column, most: int = 10) -> Column:
+def ips(text: Column, most: int | None = None) -> Column:
     return _sorted_distinct(F.regexp_extract_all(text, F.lit(r"\b([0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3})\b"), F.lit(1)), most)
 
 
-def wallets(text: Column, most: int = 5) -> Column:
+def wallets(text: Column, most: int | None = None) -> Column:
     return _sorted_distinct(F.regexp_extract_all(text, F.lit(r"\b(bc1[a-z0-9]{25,59}|[13][a-km-zA-HJ-NP-Z1-9]{25,34})\b"), F.lit(1)), most)
 
 

@@ -56,9 +56,19 @@ SELECT origin, id, array_to_string(emails, ',') AS emails, array_to_string(phone
 WHERE len(emails) + len(phones) + len(ips) > 0"""
 )
 def text_indicators(spark: SparkSession, sf: str) -> DataFrame:
+    return _indicators(spark, sf, 20, 10, 10)
+
+
+@query()
+def text_indicators_whole(spark: SparkSession, sf: str) -> DataFrame:
+    """All distinct addresses and numbers of each text."""
+    return _indicators(spark, sf)
+
+
+def _indicators(spark: SparkSession, sf: str, n_emails: int | None = None, n_phones: int | None = None, n_ips: int | None = None) -> DataFrame:
     docs = table(spark, sf, "documents").select(F.lit("documents").alias("origin"), F.col("doc_id").alias("id"), "text")
     pages = table(spark, sf, "pages").select(F.lit("pages").alias("origin"), F.col("page_id").alias("id"), F.col("html").alias("text"))
-    found = docs.unionByName(pages).select("origin", "id", X.emails(F.col("text")).alias("emails"), X.phones(F.col("text")).alias("phones"), X.ips(F.col("text")).alias("ips"))
+    found = docs.unionByName(pages).select("origin", "id", X.emails(F.col("text"), n_emails).alias("emails"), X.phones(F.col("text"), n_phones).alias("phones"), X.ips(F.col("text"), n_ips).alias("ips"))
     some = found.filter(F.size("emails") + F.size("phones") + F.size("ips") > 0)
     return some.select("origin", "id", *[F.array_join(c, ",").alias(c) for c in ("emails", "phones", "ips")])
 
@@ -154,12 +164,22 @@ f AS (SELECT page_id, v, min(i) AS i FROM e GROUP BY page_id, v), r AS (SELECT *
 SELECT page_id, count(*) AS n, string_agg(v, ' ' ORDER BY i) AS candidates FROM r WHERE k <= 12 GROUP BY page_id"""
 )
 def ioc_candidates(spark: SparkSession, sf: str) -> DataFrame:
+    return _candidates(spark, sf, 12)
+
+
+@query()
+def ioc_candidates_whole(spark: SparkSession, sf: str) -> DataFrame:
+    """All candidates of each page."""
+    return _candidates(spark, sf, None)
+
+
+def _candidates(spark: SparkSession, sf: str, most: int | None) -> DataFrame:
     mail = F.regexp_extract_all(F.lower("text"), F.lit(r"[a-z0-9._%+-]+@([a-z0-9.-]+\.[a-z]{2,})"), F.lit(1))
     docs = table(spark, sf, "documents").select((F.col("doc_id") / 4).alias("key"), mail.alias("mail"))
     pages = table(spark, sf, "pages").select("page_id", "url", F.lower(F.regexp_extract("url", r"^[a-z]+://([^/?#:]+)", 1)).alias("host"))
     joined = pages.join(docs, pages["page_id"].cast("double") == docs["key"], "left")
     values = F.concat(F.array("url", "host"), F.coalesce("mail", F.array().cast("array<string>")))
-    kept = F.slice(F.array_distinct(values), 1, 12)
+    kept = F.array_distinct(values) if most is None else F.slice(F.array_distinct(values), 1, most)
     return joined.select("page_id", F.size(kept).cast("long").alias("n"), F.array_join(kept, " ").alias("candidates"))
 
 
