@@ -1,13 +1,11 @@
-"""Licences, secrets, pages, leaks against brute force and on odd rows."""
+"""Licences, secrets, pages against brute force and on odd rows."""
 
 import hashlib
-import random
 import re
-from collections import Counter
 
 from fixtures import empty, odd, odd_rows, prose
 
-from wardline.llm import leaks, licenses, pages, secrets
+from wardline.llm import licenses, pages, secrets
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 PHRASES = {"cc-by": ["cc", "by"], "gpl": ["general", "public", "license"], "reserved": ["all", "rights", "reserved"]}
@@ -131,63 +129,3 @@ def test_marked_wrappers_of_the_article_stay():
     beside = "<body><article><p>Short article.</p></article><div id='comments'><article class='comment'><p>{}</p></article></div><footer>{}</footer></body>"
     assert pages.extract(beside.format(text, text), None) == "Short article."
     assert pages.extract(f"<body><p>Seen.</p><div style='display:none'><main>{text}</main></div></body>", None) == "Seen."
-
-
-def weighted(a, b):
-    grams = lambda ws: Counter(tuple(ws[i : i + 5]) for i in range(len(ws) - 4))
-    a, b = grams(a), grams(b)
-    low = sum((a & b).values())
-    return low / max(1, sum(a.values()) + sum(b.values()) - low)
-
-
-def test_leaks_equal_brute_force(spark):
-    rng = random.Random(5)
-    items = [(k, prose(100 + k, rng.randrange(12, 50))) for k in range(30)] + [(90, "two words"), (91, ""), (92, None)]
-    docs, expect = [], set()
-    for d in range(300):
-        k, t = items[d % 30]
-        ws = t.split()
-        for _ in range(rng.choice([0, 1, 1, 2])):
-            ws[rng.choice([0, 1, len(ws) - 1, rng.randrange(len(ws))])] = "other"
-        base = prose(1000 + d, 80).split()
-        at = rng.randrange(80)
-        full = base[:at] + ws + base[at:]
-        docs.append((d, " ".join(full)))
-        n = len(t.split())
-        if max(weighted(full[s : s + n], t.split()) for s in range(len(full) - n + 1)) >= 0.8:
-            expect.add((d, k))
-    docs += [(900, "here are Two, Words"), (901, None), (902, "")]
-    df, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
-    got = {(r["doc_id"], r["item_id"]) for r in leaks.find_leaks(df, bench).collect()}
-    assert got == expect | {(900, 90)} and len(expect) > 100
-    kept = {r["doc_id"] for r in leaks.drop_leaked(df, bench).collect()}
-    assert kept == {d for d, _ in docs} - {d for d, _ in got}
-
-
-def test_blocks_find_all_within_the_radius():
-    import numpy as np
-
-    rng = np.random.default_rng(3)
-    texts = [prose(k, 30) for k in range(50)]
-    index = leaks.Index.build(list(range(50)), texts, 5)
-    for _ in range(500):
-        i, flips = int(rng.integers(50)), rng.choice(64, int(rng.integers(0, leaks.RADIUS + 1)), replace=False)
-        value = index.prints[i] ^ np.bitwise_or.reduce(np.uint64(1) << flips.astype(np.uint64)) if len(flips) else index.prints[i]
-        cells = np.array([value]).view(np.uint8)
-        hit = np.bitwise_or.reduce([index.near[k][cells[k]] for k in range(leaks.BLOCKS)])
-        assert np.unpackbits(hit, count=50)[i]
-
-
-def test_leaks_of_odd_rows(spark):
-    bench = spark.createDataFrame([(1, prose(2, 60)), (1, prose(2, 60))], "item_id long, text string")
-    assert {r["doc_id"] for r in leaks.find_leaks(odd(spark), bench).collect()} == {1, 2}
-    kept = leaks.drop_leaked(odd(spark), bench)
-    assert kept.columns == odd(spark).columns and kept.count() == len(odd_rows()) - 3
-    assert leaks.find_leaks(empty(spark), bench).count() == 0 and leaks.drop_leaked(odd(spark), bench.limit(0)).count() == len(odd_rows())
-
-
-def test_passes_over_many_items_find_the_same(spark, monkeypatch):
-    bench = spark.createDataFrame([(k, prose(k, 20)) for k in range(9)], "item_id long, text string")
-    docs = spark.createDataFrame([(k, "start " + prose(k, 20) + " end") for k in range(9)], "doc_id long, text string")
-    monkeypatch.setattr(leaks, "PASS_ITEMS", 2)
-    assert {(r["doc_id"], r["item_id"]) for r in leaks.find_leaks(docs, bench).collect()} == {(k, k) for k in range(9)}

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from wardline.llm import words as W
 from wardline.llm.components import components
-from wardline.llm.scratch import Scratch
+from wardline.llm.scratch import Scratch, bitmap
 
 #: Words of a shingle, and the threshold in hundredths.
 SIZE, PERCENT = 5, 80
@@ -151,15 +151,6 @@ def _bucket_hits(entries: DataFrame) -> DataFrame:
     return entries.groupBy("bucket").applyInArrow(meet, "digest long, hits long")
 
 
-def _bits(hashes: DataFrame, size: int) -> np.ndarray:
-    """A bitmap of ``size`` bits, a power of two, with those of the hashes set."""
-    place = F.col("text_hash").bitwiseAND(F.lit(size - 1))
-    rows = hashes.select(F.shiftright(place, 6).alias("w"), F.expr("shiftleft(1L, cast(text_hash & 63 as int))").alias("b")).groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
-    out = np.zeros(size // 64, np.int64)
-    out[rows.column("w").to_numpy()] = rows.column("b").to_numpy()
-    return out
-
-
 def _candidate_sets(docs: DataFrame, bits: np.ndarray) -> DataFrame:
     """(digest, n, hashes, mins) of the texts whose hash the bitmap holds."""
     sent = docs.sparkSession.sparkContext.broadcast(bits)
@@ -331,7 +322,7 @@ def text_components(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     named = classes.select("digest", F.col("least").alias("component_id"))
     if many:
         size = min(FILTER_BITS, 1 << max(16, int(many * 16).bit_length()))
-        sets = scratch.keep(_candidate_sets(rows, _bits(wanted, size)))
+        sets = scratch.keep(_candidate_sets(rows, bitmap(wanted, "text_hash", size).view(np.int64)))
         comps = scratch.keep(sets.select("digest", F.col("digest").alias("comp")))
         at = 0
         for k in ROUNDS:
