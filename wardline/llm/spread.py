@@ -11,16 +11,18 @@ PARTS, ROWS = 4096, 2000
 LOOK_ROWS = 400_000
 
 
-def spread_join(left: DataFrame, right: DataFrame, keys: list[str], by: list[str], how: str = "inner") -> DataFrame:
+def spread_join(left: DataFrame, right: DataFrame, keys: list[str], by: list[str], how: str = "inner", like: DataFrame | None = None) -> DataFrame:
     """``left.join(right, keys, how)`` for an inner, left, semi or anti join, with frequent keys of ``left`` split.
 
-    ``left`` should be a written table, for it is counted first. Rows of a frequent key
+    ``left`` should be a written table, for it is counted first; else ``like`` is one with
+    the same keys as often. Rows of a frequent key
     are dealt by a hash of the columns ``by`` over several pieces, and what ``right``
     holds of that key is copied to each. At most PARTS keys can be that frequent, so
     their list is small whatever the input. Null keys match nothing.
     """
-    total = left.count()
-    looked = left.select(*keys)
+    like = left if like is None else like
+    total = like.count()
+    looked = like.select(*keys)
     share = min(1.0, LOOK_ROWS / max(1, total))
     if share < 1.0:
         looked = looked.sample(share, seed=5)
