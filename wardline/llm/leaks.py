@@ -10,8 +10,8 @@ their shingles, each weighing as often as it occurs.
 
 Before it is fingerprinted a window passes a sieve that can't lose a match: similarity
 0.8 with any item needs 4/9 of both their shingles together, so at least that many of
-the window's shingles must be ones that some item has. The sieve is a bitmap of all
-items' shingles; what it lets through wrongly costs time and is refused by the index.
+the window's shingles must be ones that some item of its size has. The sieve is a bitmap
+of items' shingles; what it lets through wrongly costs time and is refused by the index.
 """
 
 from __future__ import annotations
@@ -107,22 +107,45 @@ def _items(items: DataFrame, scratch: Scratch) -> DataFrame:
     return numbered.select("no", "text").mapInArrow(run, _ITEM).join(numbered.select("no", "item_id"), "no")
 
 
-def windows(h: np.ndarray, doc: np.ndarray, known: np.ndarray, size: int, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _sized(h: np.ndarray, words: int) -> np.ndarray:
+    """Shingles as those of items of so many words."""
+    return W.mix(h + np.full(1, words, np.uint64) * np.uint64(0xA0761D6478BD642F))
+
+
+def _in(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
+    place = h & np.uint64(len(bits) * 64 - 1)
+    return (bits[place >> np.uint64(6)] >> (place & np.uint64(63))) & np.uint64(1) == 1
+
+
+def windows(h: np.ndarray, doc: np.ndarray, bits: np.ndarray, size: int, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(first shingle, end, words of the item) of all windows that pass the sieve, sorted by place.
 
-    ``known`` marks the shingles that some item has. A text shorter than an item is one window.
+    ``bits`` holds the items' shingles, alone and with the words of their item. A window
+    that passes holds some m known shingles in a row of those, so it is found between the
+    first and the last of them. A text shorter than an item is one window.
     """
-    count = np.concatenate([[0], np.cumsum(known)])
+    known = np.flatnonzero(_in(bits, h))
     first = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]])) if len(doc) else np.zeros(0, np.int64)
-    end = np.append(first[1:], len(doc)).astype(np.int64)
+    size_of = np.diff(np.append(first, len(doc)))
+    text = np.searchsorted(first, known, "right") - 1
     found = []
     for words in lengths.tolist():
         n = words - size + 1
-        if len(h) >= n:
-            a = np.flatnonzero((count[n:] - count[:-n] >= least(n, n)) & (doc[: len(h) - n + 1] == doc[n - 1 :]))
+        m = least(n, n)
+        own = _in(bits, _sized(h[known], words))
+        at, t = known[own], text[own]
+        if not len(at):
+            continue
+        if len(at) >= m:
+            i = np.flatnonzero((at[m - 1 :] - at[: len(at) - m + 1] < n) & (t[m - 1 :] == t[: len(at) - m + 1]))
+            lo = np.maximum(at[i + m - 1] - n + 1, first[t[i]])
+            hi = np.minimum(at[i], first[t[i]] + size_of[t[i]] - n)
+            span = np.maximum(0, hi - lo + 1)
+            a = np.unique(np.arange(span.sum()) - np.repeat(np.cumsum(span) - span, span) + np.repeat(lo, span))
             found.append((a, a + n, np.full(len(a), words)))
-        short = np.flatnonzero((end - first < n) & (count[end] - count[first] >= least(end - first, n)))
-        found.append((first[short], end[short], np.full(len(short), words)))
+        some, count = np.unique(t, return_counts=True)
+        short = some[(size_of[some] < n) & (count >= least(size_of[some], n))]
+        found.append((first[short], first[short] + size_of[short], np.full(len(short), words)))
     a, e, words = (np.concatenate(c).astype(np.int64) for c in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 3
     order = np.lexsort((words, a))
     return a[order], e[order], words[order]
@@ -145,6 +168,14 @@ def _regions(a: np.ndarray, e: np.ndarray) -> Iterator[slice]:
 _REGION = "row long, h1 long, h2 long, part int, size int, run array<long>, first int, start array<int>, len array<int>, words array<int>, f array<array<long>>"
 
 
+def _sieved(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """What the sieve holds of items (words, shingles)."""
+    for b in it:
+        for words, run in zip(b.column("words").to_pylist(), b.column("shingles"), strict=True):
+            h = run.values.to_numpy().view(np.uint64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([h, _sized(h, words)]).view(np.int64))], ["h"])
+
+
 def _window_table(docs: DataFrame, items: DataFrame) -> DataFrame:
     """Overlapping windows of each text of ``docs`` (key, row, h1, h2, text): a row for each region, with its shingles and its windows."""
     spark = docs.sparkSession
@@ -152,9 +183,9 @@ def _window_table(docs: DataFrame, items: DataFrame) -> DataFrame:
     kinds = sorted(tuple(r) for r in items.select("size", "words").distinct().collect())
     sieves = []
     for size in sorted({k[0] for k in kinds}):
-        own = items.filter(F.col("size") == size).select(F.explode("shingles").alias("h"))
-        bits = min(SIEVE_BITS, 1 << max(16, int(own.count() * 16).bit_length()))
-        sieves.append((size, np.array([w for s, w in kinds if s == size]), bitmap(own, "h", bits)))
+        own = items.filter(F.col("size") == size)
+        bits = min(SIEVE_BITS, 1 << max(16, int(own.agg(F.sum(F.size("shingles"))).first()[0] * 32).bit_length()))
+        sieves.append((size, np.array([w for s, w in kinds if s == size]), bitmap(own.mapInArrow(_sieved, "h long"), "h", bits)))
     sent = spark.sparkContext.broadcast(sieves)
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -163,12 +194,7 @@ def _window_table(docs: DataFrame, items: DataFrame) -> DataFrame:
             part = 0
             for size, lengths, bits in sent.value:
                 h, doc, at = W.shingles(w, size)
-                place = h & np.uint64(len(bits) * 64 - 1)
-                known = (bits[place >> np.uint64(6)] >> (place & np.uint64(63))) & np.uint64(1) == 1
-                enough = np.bincount(doc[known], minlength=b.num_rows) >= min(least(n, n) for n in [int(lengths[0]) - size + 1])
-                on = enough[doc]
-                h, doc, at, known = h[on], doc[on], at[on], known[on]
-                a, e, words = windows(h, doc, known, size, lengths)
+                a, e, words = windows(h, doc, bits, size, lengths)
                 out = []
                 for g in _regions(a, e):
                     lo, hi = int(a[g][0]), int(e[g].max())
