@@ -116,6 +116,62 @@ def test_raw_elements_end_at_their_own_end_tag():
         assert pages.extract(f"<html>{opened}<p>Text of a page without an end of its head.</p>", None) == "Text of a page without an end of its head."
 
 
+def test_nothing_of_the_article_is_lost():
+    page = "<body><nav><a href='/'>Menu</a></nav><article><h1>Head</h1>{}<p>The last words of the article stand here.</p></article><footer>Foot</footer></body>"
+    last = "The last words of the article stand here."
+    for inner, text in (
+        ("<p>Let <math><mi>x</mi></math> be big.</p>", "Let x be big."), ("<p class='notice-period'>Three months.</p>", "Three months."), ("<address>10 Some Street</address>", "10 Some Street"),
+        ("<fieldset><p>Facts in a box.</p></fieldset>", "Facts in a box."), ("<div class='header-note'><p>Opening words.</p></div>", "Opening words."), ("<p><label>Name</label> of it.</p>", "Name of it."),
+        ("<p>One</p><svg><path d='m'><p>Two</p>", "One\n\nTwo"), ("<p>One</p><svg><path d='m'><p>Two</p><svg><text>no</text></svg>", "One\n\nTwo"), ("<svg><foreignObject><div>no</div></foreignObject></svg><p>Two</p>", "Two"),
+        ("<p>One</p><object data=x><p>Told instead.</p></object>", "One\n\nTold instead."), ("<select><option>a<input><p>Two</p><select><option>b</select>", "Two"),
+    ):
+        assert pages.extract(page.format(inner), None) == f"Head\n\n{text}\n\n{last}", inner
+    for noise in ("<div class='ad-slot'>Buy</div>", "<div class='share-buttons'><a href=x>Share</a></div>", "<p class='notice'>We moved.</p>", "<ul class='related-posts'><li>More</li></ul>", "<aside>Aside</aside>", "<form><label>Mail</label></form>", "<button>Copy</button>"):
+        assert pages.extract(page.format(noise), None) == f"Head\n\n{last}", noise
+    assert pages.extract(f"<body><nav><ul><li>Menu<main><p>{last}</p></main></body>", None) == last
+    many = "".join(f"<div class='a b c d {k}x'><p>{t}</p></div>" for k, t in (("keep", "words " * 30), ("side", "noise")))
+    assert {p for p, _, _ in pages.blocks(f"<body>{many}</body>")} == {"body/div.a.b.c.d.keepx", "body/div.a.b.c.d.sidex"}
+
+
+def test_pages_equal_a_parser(spark):
+    """The supplied pages against the standard library's parser: each keeps its article element, block by block."""
+    from html.parser import HTMLParser
+
+    class Article(HTMLParser):
+        blocks, inside, text = (), 0, ""
+
+        def end(self):
+            self.blocks = (*self.blocks, " ".join(self.text.split()))
+            self.text = ""
+
+        def handle_starttag(self, tag, _):
+            self.inside += tag == "article"
+            if tag in ("p", "h1", "article", "ul", "li"):
+                self.end()
+            self.text += " " * (tag == "br")
+
+        def handle_endtag(self, tag):
+            if tag in ("p", "h1", "article", "ul", "li"):
+                self.end()
+            self.inside -= tag == "article"
+
+        def handle_data(self, data):
+            if self.inside:
+                self.text += data
+
+    table = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    html = {r["page_id"]: r["html"] for r in table.collect()}
+    out = pages.main_text(table).collect()
+    assert len(out) == len(html) > 200
+    for r in out:
+        reader = Article(convert_charrefs=True)
+        reader.feed(html[r["page_id"]] or "")
+        reader.close()
+        reader.end()
+        want = "\n\n".join(x for x in reader.blocks if x)
+        assert (r["text"], r["n_chars"]) == (want, len(want))
+
+
 def test_marked_wrappers_of_the_article_stay():
     text = "Words of the article that nobody should lose. " * 5
     inner = f"<p>{text}</p><div class='sidebar'><p>Other things to look at.</p></div>"

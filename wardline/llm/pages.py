@@ -15,8 +15,9 @@ from wardline.llm import words as W
 from wardline.llm.scratch import Scratch
 
 # Elements by their part in a page.
-SKIPPED = frozenset("script style noscript template iframe svg math object canvas audio video title select textarea datalist".split())
-BOILERPLATE = frozenset("nav footer aside form menu dialog button label fieldset address".split())
+SKIPPED = frozenset("script style noscript template iframe svg canvas audio video title select textarea datalist button annotation annotation-xml".split())
+BOILERPLATE = frozenset("nav footer aside form menu dialog".split())
+OUTSIDE = frozenset("header address label".split())  # boilerplate where no article is around
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header "
@@ -30,13 +31,27 @@ MARKS = frozenset(
     "trending comment comments disqus replies respond reply footer foot masthead topbar toolbar header popup modal overlay skip-link copyright disclaimer toc tags tag-list".split()
 )
 
+# names that say so inside an article as well; others there may belong to the text, as header-note does
+STRONG = frozenset(
+    "nav navbar navigation menu menus sidebar side-bar ad ads advert adverts advertisement advertising adsense sponsor sponsored promo promotion cookie cookies consent gdpr newsletter "
+    "subscribe subscription breadcrumb breadcrumbs pagination pager share sharing social related comment comments disqus popup modal".split()
+)
+PHRASES = frozenset("p li dt dd h1 h2 h3 h4 h5 h6 blockquote pre td th caption figcaption span b i em strong a code summary".split())  # text-level: only a whole name tells
+
 STATES = frozenset("has have no not with without is hide".split())  # pieces of names that tell what an element has beside it
-WRAPPERS = frozenset("form fieldset".split())  # boilerplate that some sites put around the whole page
+LEFT_OPEN = {"article": frozenset("nav menu header".split()), "main": frozenset("nav menu header aside footer".split())}  # what can't hold such an element ends before it
 
 _COMMENT = r"<!--(?:-?>|.*?(?:--!?>|\Z))"
 _TAG = re.compile(r"""(?s:(?P<comment>""" + _COMMENT + r"""))|(<(?:[/!?]|(?=[a-zA-Z]))(?:[^>"']++|"[^"]*+"|'[^']*+')*+>|<(?:[/!?]|(?=[a-zA-Z]))[^>]*(?:>|$))""")
 # elements that end at their own end tag and nowhere else, whatever is in them
 _RAW_END = {name: re.compile(rf"</{name}(?=[\s/>]|\Z)[^>]*(?:>|\Z)", re.I) for name in SKIPPED}
+# what ends an open drawing, list of options or button as an end tag would
+_BREAKS = {
+    "svg": re.compile(r"<(?:b|big|blockquote|body|br|center|code|dd|div|dl|dt|em|embed|h[1-6]|hr|i|img|li|menu|nobr|ol|p|pre|ruby|s|small|span|strike|strong|sub|sup|table|tt|u|ul|var)(?=[\s/>])", re.I),
+    "select": re.compile(r"<(?:select|input|textarea)(?=[\s/>])", re.I),
+    "button": re.compile(r"<(?:button|article|main|/form|/div|/p)(?=[\s/>])", re.I),
+}
+_INTEGRATION = re.compile(r"<(?:foreignobject|desc|title)(?=[\s/>])", re.I)  # parts of a drawing that hold blocks
 _UNENDED = frozenset("script style noscript iframe title textarea".split())  # hide the rest of the page without an end tag
 _NAME = re.compile(r"</?\s*([a-zA-Z][a-zA-Z0-9:-]*)")
 _ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|style|aria-hidden)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.I)
@@ -51,21 +66,38 @@ def _attributes(tag: str) -> dict[str, str]:
 def _general(name: str, attributes: dict[str, str]) -> str:
     """Tag and classes without what changes from page to page: numbers and long codes."""
     classes = [c for c in re.split(r"\s+", attributes.get("class", "").lower()) if c and not re.search(r"\d{3,}|[0-9a-f]{8,}", c)]
-    return name + "".join(f".{re.sub(r'[0-9]+', '#', c)}" for c in sorted(set(classes))[:4])
+    return name + "".join(f".{re.sub(r'[0-9]+', '#', c)}" for c in sorted(set(classes)))
 
 
-def _named(attributes: dict[str, str], in_article: bool) -> bool:
-    """Whether a class or id says that an element isn't the article; states such as has-sidebar say nothing."""
+def _named(name: str, attributes: dict[str, str], in_article: bool) -> bool:
+    """Whether a class or id says that an element isn't the article; states such as has-sidebar say nothing.
+
+    The whole name tells anywhere. Its first or last piece tells of elements that hold
+    others, inside an article only if it is a strong one. A header or a list of tags in
+    an article is the article's own.
+    """
     for value in (attributes.get("class", ""), attributes.get("id", "")):
-        for token in re.split(r"\s+", value.lower()):
+        for token in value.lower().split():
             pieces = [p for p in re.split(r"[-_:]+", token) if p]
-            if STATES.intersection(pieces):
+            if not pieces or STATES.intersection(pieces):
                 continue
-            if token in MARKS or (pieces and (pieces[0] in MARKS or pieces[-1] in MARKS)) and not (in_article and pieces[-1] in ("header", "tags")):
+            if token in MARKS and not (in_article and token in ("header", "tags")):
+                return True
+            if name not in PHRASES and not (STRONG if in_article else MARKS).isdisjoint((pieces[0], pieces[-1])):
                 return True
     return False
 
 
+def _raw_end(name: str, page: str, at: int) -> int | None:
+    """Where the content of a raw element ends; None if nothing ends it."""
+    end = _RAW_END[name].search(page, at)
+    if name in _BREAKS:
+        m = _BREAKS[name].search(page, at, end.start() if end else len(page))
+        if m and not (name == "svg" and _INTEGRATION.search(page, at, m.start())):
+            return m.start()
+    return end.end() if end else None
+
+
 def _marked(name: str, attributes: dict[str, str], in_article: bool) -> str:
     """How an element is marked as not the article: "sure", "likely" (if its content agrees) or not at all."""
     if attributes:
@@ -73,9 +105,9 @@ def _marked(name: str, attributes: dict[str, str], in_article: bool) -> str:
             return "sure"
         if re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", attributes.get("style", ""), re.I):
             return "sure"
-    if name in WRAPPERS:
+    if name == "form" or (name == "fieldset" and not in_article):
         return "likely"
-    if name in BOILERPLATE or (name == "header" and not in_article):
+    if name in BOILERPLATE or (name in OUTSIDE and not in_article):
         return "sure"
     if not attributes:
         return ""
@@ -83,7 +115,7 @@ def _marked(name: str, attributes: dict[str, str], in_article: bool) -> str:
         return "likely" if attributes["role"].lower() in ("form", "search") else "sure"
     if name in ("html", "body", "article", "main"):
         return ""
-    return "likely" if _named(attributes, in_article) else ""
+    return "likely" if _named(name, attributes, in_article) else ""
 
 
 def blocks(page: str | None) -> list[tuple[str, str, int]]:
@@ -149,9 +181,9 @@ def blocks(page: str | None) -> list[tuple[str, str, int]]:
             continue
         if name in SKIPPED:
             if not part.endswith("/>"):
-                end = None if name in unended else _RAW_END[name].search(page, at)
-                if end:
-                    at = end.end()
+                end = None if name in unended else _raw_end(name, page, at)
+                if end is not None:
+                    at = end
                 elif name in _UNENDED:
                     at = len(page)
                 else:
@@ -170,6 +202,10 @@ def blocks(page: str | None) -> list[tuple[str, str, int]]:
             text.append(" ")
         if name in VOID or name == "head" or part.endswith("/>"):
             continue
+        if bad and name in LEFT_OPEN:
+            depth = next((i for i, o in enumerate(stack) if o[0] in LEFT_OPEN[name]), None)
+            if depth is not None:
+                close(depth)
         attributes = _attributes(part) if " " in part or "\n" in part or "\t" in part else {}
         mark = _marked(name, attributes, article > 0)
         boiler = mark == "sure"
@@ -177,7 +213,7 @@ def blocks(page: str | None) -> list[tuple[str, str, int]]:
         stack.append((name, general, boiler, len(likely) if mark == "likely" else None))
         if mark == "likely":
             likely.append([0, 0])
-        if name in ("article", "main") and not bad and not boiler and not _named(attributes, False):
+        if name in ("article", "main") and not bad and not boiler and not _named(name, attributes, False):
             articles += 1
             for s in stack:
                 if s[3] is not None:
