@@ -147,6 +147,19 @@ def test_neighbours_across_buckets(spark, monkeypatch):
     assert got == {f"t{i}": f"t{j}" for i, j in zip(ids, [*ids[1:], ids[0]], strict=True)}
 
 
+def test_neighbours_of_frequent_keys(spark, monkeypatch):
+    """A key with a third of all rows, unlike texts and equal ones, and as many rows without a key."""
+    monkeypatch.setattr(fingerprint, "BUCKET_ROWS", 5)
+    monkeypatch.setattr(fingerprint, "CELLS", 9)
+    rows = [(k, f"t{k}") for k in range(60)] + [(30, f"u{k % 20}") for k in range(60)] + [(None, f"n{k % 7}") for k in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    tie = {r["text"]: r["t"] for r in df.select("text", F.xxhash64("text").alias("t")).collect()}
+    line = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, tie[r[1]]))
+    expect = sorted((str(i), t, line[(k + 1) % len(line)][1]) for k, (i, t) in enumerate(line))
+    assert sorted((str(r["key"]), r["text"], r["next_text"]) for r in fingerprint.with_next(df).collect()) == expect
+    assert fingerprint.fingerprints(df).count() == len(rows)
+
+
 def test_fingerprints_of_odd_rows(spark):
     out = fingerprint.fingerprints(odd(spark)).collect()
     assert len(out) == len(odd_rows())
