@@ -14,6 +14,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -26,8 +27,8 @@ BUCKETS = 1 << 22
 #: Texts' bytes handled at once in a task.
 BATCH_BYTES = 2 << 20
 
-#: Bytes of a word's stem.
-STEM_BYTES = 5
+#: Bytes of a word's stems.
+STEM_BYTES = (4, 5)
 
 
 @dataclass(frozen=True)
@@ -84,11 +85,13 @@ def ngram_terms(texts: pa.Array, keep: np.ndarray | None = None) -> Terms:
 
 
 def presence_terms(texts: pa.Array, keep: np.ndarray | None = None) -> Terms:
-    """Lower-cased words and the stems of the longer ones, each counting once."""
+    """Lower-cased words and the stems of longer ones, each counting once."""
     w = W.words(texts, W.ALNUM_WORDS)
-    long = np.flatnonzero(w.length > STEM_BYTES)
-    row = np.concatenate([w.doc, w.doc[long]])
-    bucket = np.concatenate([w.hash, W.prefix_hash(w, long, STEM_BYTES)]) & np.uint64(BUCKETS - 1)
+    rows, hashes = [w.doc], [w.hash]
+    for size in STEM_BYTES:
+        long = np.flatnonzero(w.length > size)
+        rows.append(w.doc[long]), hashes.append(W.prefix_hash(w, long, size))
+    row, bucket = np.concatenate(rows), np.concatenate(hashes) & np.uint64(BUCKETS - 1)
     if keep is not None:
         on = keep[bucket]
         row, bucket = row[on], bucket[on]
@@ -199,17 +202,17 @@ def train(rows: DataFrame, labelled: DataFrame, featurise: Callable[..., Terms],
         for b in W.batches(it, BATCH_BYTES):
             row, bucket, x = featurise(b.column("text"))
             cut = np.searchsorted(row, np.arange(b.num_rows + 1))
-            yield pa.RecordBatch.from_arrays(
-                [b.column("shard"), b.column("label"), W.list_array(pa.array(bucket.astype(np.int32)), cut), W.list_array(pa.array(x.astype(np.float32)), cut)], ["shard", "label", "terms", "x"]
-            )
-
-    schema = "shard int, label int, terms array<int>, x array<float>"
-    data = scratch.keep(picked.select("shard", "label", "text").mapInArrow(to_terms, schema).repartition(shards, "shard"))
-    common = data.select(F.explode("terms").alias("term")).groupBy("term").count().filter(F.col("count") >= s.min_rows)
-    terms = np.array(sorted(r[0] for r in common.orderBy(F.desc("count"), "term").limit(s.max_terms).select("term").collect()), dtype=np.int64)
+            packed = lambda v, cut=cut: pa.array([v[i:j].tobytes() for i, j in zip(cut[:-1], cut[1:], strict=True)], pa.binary())
+            yield pa.RecordBatch.from_arrays([b.column("shard"), b.column("label"), packed(bucket.astype(np.int32)), packed(x.astype(np.float32))], ["shard", "label", "terms", "x"])
+
+    # the sample is dealt once: from then on a shard is one row, wherever it is read
+    dealt = picked.select("shard", "label", "text").mapInArrow(to_terms, "shard int, label int, terms binary, x binary").repartitionByRange(shards, "shard")
+    data = scratch.keep(dealt.mapInArrow(_packed_shards, "labels binary, lengths binary, terms binary, x binary"))
+    common = data.select("terms").mapInArrow(_term_rows, "term int, rows long").groupBy("term").agg(F.sum("rows").alias("rows")).filter(F.col("rows") >= s.min_rows)
+    terms = np.array(sorted(r[0] for r in common.orderBy(F.desc("rows"), "term").limit(s.max_terms).select("term").collect()), dtype=np.int64)
     model = Model.fresh(terms, s)
     if not len(terms):
-        mean = data.agg(F.avg("label")).first()[0]
+        mean = sample.agg(F.avg("label")).first()[0]
         odds = np.log(max(mean, 1e-3) / max(1 - mean, 1e-3)) if mean is not None else 0.0
         scratch.drop()
         return Scorer(terms, np.zeros(0), np.zeros((0, s.factors)), float(odds))
@@ -217,14 +220,17 @@ def train(rows: DataFrame, labelled: DataFrame, featurise: Callable[..., Terms],
         start = spark.sparkContext.broadcast(model)
 
         def one_pass(it: Iterator[pa.RecordBatch], k: int = k, start=start) -> Iterator[pa.RecordBatch]:
-            for table in _by_shard(it):
-                m = start.value
-                m = m.unpack(np.frombuffer(m.pack()))
-                n = [_pass_over(m, table, s, k * s.epochs + e) for e in range(s.epochs)][0]
-                yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([m.pack()], pa.binary())], ["n", "model"])
-
-        grouped = data.repartition(shards, "shard")
-        parts = grouped.mapInArrow(one_pass, "n long, model binary").collect()
+            for b in it:
+                for r in range(b.num_rows):
+                    shard = [np.frombuffer(b.column(c)[r].as_buffer(), t) for c, t in (("labels", np.int32), ("lengths", np.int32), ("terms", np.int32), ("x", np.float32))]
+                    m = start.value
+                    m = m.unpack(np.frombuffer(m.pack()))
+                    for e in range(s.epochs):
+                        _pass_over(m, *shard, s, k * s.epochs + e)
+                    yield pa.RecordBatch.from_arrays([pa.array([len(shard[0])], pa.int64()), pa.array([m.pack()], pa.binary())], ["n", "model"])
+
+        parts = data.mapInArrow(one_pass, "n long, model binary").collect()
+        parts.sort(key=lambda p: (p["n"], p["model"][:16]))  # sums of floats in one order
         weight = np.array([p["n"] for p in parts], dtype=float)
         flat = sum(w * np.frombuffer(p["model"]) for w, p in zip(weight / weight.sum(), parts, strict=True))
         model = model.unpack(flat)
@@ -235,21 +241,30 @@ def train(rows: DataFrame, labelled: DataFrame, featurise: Callable[..., Terms],
     return Scorer(terms[on], w[on], model.v[on], float(model.bias(s)))
 
 
-def _by_shard(it: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
-    """The partition's rows as one table for each shard; the sample's bound is theirs."""
+def _packed_shards(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row for each shard of a partition, its rows end to end; the sample's bound is theirs."""
     got = list(it)
-    if got:
-        table = pa.Table.from_batches(got)
-        for shard in sorted(set(table.column("shard").to_pylist())):
-            yield table.filter(pa.compute.equal(table.column("shard"), shard))
+    table = pa.Table.from_batches(got) if got else None
+    for shard in sorted(set(table.column("shard").to_pylist())) if table else ():
+        own = table.filter(pc.equal(table.column("shard"), shard))
+        y = own.column("label").to_numpy().astype(np.int32)
+        length = (pc.binary_length(own.column("terms")).to_numpy() // 4).astype(np.int32)
+        whole = [pa.array([b"".join(own.column(c).to_pylist())], pa.binary()) for c in ("terms", "x")]
+        yield pa.RecordBatch.from_arrays([pa.array([y.tobytes()], pa.binary()), pa.array([length.tobytes()], pa.binary()), *whole], ["labels", "lengths", "terms", "x"])
 
 
-def _pass_over(m: Model, table: pa.Table, s: Settings, k: int) -> int:
+def _term_rows(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(term, rows) of each shard: a row holds a term once."""
+    for b in it:
+        for packed in b.column("terms"):
+            term, rows = np.unique(np.frombuffer(packed.as_buffer(), np.int32), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(term), pa.array(rows, pa.int64())], ["term", "rows"])
+
+
+def _pass_over(m: Model, y: np.ndarray, length: np.ndarray, bucket: np.ndarray, x: np.ndarray, s: Settings, k: int) -> int:
     """Learn from all rows once, in an order of its own; returns the number of rows."""
-    terms = table.column("terms").combine_chunks()
-    cut = terms.offsets.to_numpy()
-    bucket, x = terms.values.to_numpy(), table.column("x").combine_chunks().values.to_numpy().astype(float)
-    y = table.column("label").to_numpy().astype(float)
+    cut = np.concatenate([[0], np.cumsum(length)])
+    y = y.astype(float)
     at = np.searchsorted(m.terms, bucket)
     known = m.terms[np.minimum(at, len(m.terms) - 1)] == bucket
     # rows may have come in any order: they are told apart by what they hold
@@ -260,7 +275,7 @@ def _pass_over(m: Model, table: pa.Table, s: Settings, k: int) -> int:
         idx = np.concatenate([np.arange(cut[r], cut[r + 1]) for r in rows])
         row = np.repeat(np.arange(len(rows)), cut[rows + 1] - cut[rows])
         on = known[idx]
-        m.learn(s, row[on], at[idx][on], x[idx][on], y[rows])
+        m.learn(s, row[on], at[idx][on], x[idx][on].astype(float), y[rows])
     return len(y)
 
 

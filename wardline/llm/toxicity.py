@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from wardline.llm import hashed
 from wardline.llm.quality import held_out, train
 
-SETTINGS = hashed.Settings(factors=4, min_rows=5, alpha=1.0, l1=6.0, l2=0.01, rounds=2)
+SETTINGS = hashed.Settings(factors=4, min_rows=5, batch=8, alpha=1.0, l1=10.0, l2=0.01, rounds=2)
 THRESHOLD = 0.5
 
 
