@@ -43,7 +43,7 @@ SIZE, PERCENT = 5, 80
 #: sieve and the longer the prefixes.
 PART = 5
 #: Texts whose prefixes one bucket of the sieve is meant for.
-BUCKET_TEXTS = 1024
+BUCKET_TEXTS = 256
 #: Hashes that a block of a component's sets holds, about.
 BLOCK_HASHES = 16_384
 #: Sets up to which a component's sets stand in the index one by one, and entries that each remembers before it.

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: A key with more than this share of the rows is split, and rows up to which a key never is.
 PARTS, ROWS = 4096, 2000
@@ -31,7 +32,7 @@ def spread_join(left: DataFrame, right: DataFrame, keys: list[str], by: list[str
     if not hot:
         return left.join(right, keys, how)
     rows = [(*(r[k] for k in keys), int(r["count"] / bound) + 1) for r in hot]
-    schema = left.select(*keys).schema.add("__pieces", "int")
+    schema = left.select(*keys).schema.add("__pieces", T.IntegerType())
     pieces = F.broadcast(left.sparkSession.createDataFrame(rows, schema))
     number = F.coalesce(F.col("__pieces"), F.lit(1))
     dealt = left.join(pieces, keys, "left").withColumn("__piece", F.pmod(F.xxhash64(*by), number).cast("int")).drop("__pieces")
