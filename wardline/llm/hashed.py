@@ -205,9 +205,10 @@ def train(rows: DataFrame, labelled: DataFrame, featurise: Callable[..., Terms],
             packed = lambda v, cut=cut: pa.array([v[i:j].tobytes() for i, j in zip(cut[:-1], cut[1:], strict=True)], pa.binary())
             yield pa.RecordBatch.from_arrays([b.column("shard"), b.column("label"), packed(bucket.astype(np.int32)), packed(x.astype(np.float32))], ["shard", "label", "terms", "x"])
 
-    # the sample is dealt once: from then on a shard is one row, wherever it is read
-    dealt = picked.select("shard", "label", "text").mapInArrow(to_terms, "shard int, label int, terms binary, x binary").repartitionByRange(shards, "shard")
-    data = scratch.keep(dealt.mapInArrow(_packed_shards, "labels binary, lengths binary, terms binary, x binary"))
+    # the sample is dealt once: from then on a shard is a file, whose rows are read together
+    found = scratch.keep(picked.select("shard", "label", "text").mapInArrow(to_terms, "shard int, label int, terms binary, x binary"))
+    data = scratch.keep(found.repartitionByRange(shards, "shard"))
+    scratch.drop(found)
     common = data.select("terms").mapInArrow(_term_rows, "term int, rows long").groupBy("term").agg(F.sum("rows").alias("rows")).filter(F.col("rows") >= s.min_rows)
     terms = np.array(sorted(r[0] for r in common.orderBy(F.desc("rows"), "term").limit(s.max_terms).select("term").collect()), dtype=np.int64)
     model = Model.fresh(terms, s)
@@ -220,14 +221,12 @@ def train(rows: DataFrame, labelled: DataFrame, featurise: Callable[..., Terms],
         start = spark.sparkContext.broadcast(model)
 
         def one_pass(it: Iterator[pa.RecordBatch], k: int = k, start=start) -> Iterator[pa.RecordBatch]:
-            for b in it:
-                for r in range(b.num_rows):
-                    shard = [np.frombuffer(b.column(c)[r].as_buffer(), t) for c, t in (("labels", np.int32), ("lengths", np.int32), ("terms", np.int32), ("x", np.float32))]
-                    m = start.value
-                    m = m.unpack(np.frombuffer(m.pack()))
-                    for e in range(s.epochs):
-                        _pass_over(m, *shard, s, k * s.epochs + e)
-                    yield pa.RecordBatch.from_arrays([pa.array([len(shard[0])], pa.int64()), pa.array([m.pack()], pa.binary())], ["n", "model"])
+            for shard in _shards(it):
+                m = start.value
+                m = m.unpack(np.frombuffer(m.pack()))
+                for e in range(s.epochs):
+                    _pass_over(m, *shard, s, k * s.epochs + e)
+                yield pa.RecordBatch.from_arrays([pa.array([len(shard[0])], pa.int64()), pa.array([m.pack()], pa.binary())], ["n", "model"])
 
         parts = data.mapInArrow(one_pass, "n long, model binary").collect()
         parts.sort(key=lambda p: (p["n"], p["model"][:16]))  # sums of floats in one order
@@ -241,24 +240,29 @@ def train(rows: DataFrame, labelled: DataFrame, featurise: Callable[..., Terms],
     return Scorer(terms[on], w[on], model.v[on], float(model.bias(s)))
 
 
-def _packed_shards(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One row for each shard of a partition, its rows end to end; the sample's bound is theirs."""
-    got = list(it)
-    table = pa.Table.from_batches(got) if got else None
-    for shard in sorted(set(table.column("shard").to_pylist())) if table else ():
-        own = table.filter(pc.equal(table.column("shard"), shard))
-        y = own.column("label").to_numpy().astype(np.int32)
-        length = (pc.binary_length(own.column("terms")).to_numpy() // 4).astype(np.int32)
-        whole = [pa.array([b"".join(own.column(c).to_pylist())], pa.binary()) for c in ("terms", "x")]
-        yield pa.RecordBatch.from_arrays([pa.array([y.tobytes()], pa.binary()), pa.array([length.tobytes()], pa.binary()), *whole], ["labels", "lengths", "terms", "x"])
+def _shards(it: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
+    """(labels, lengths, terms, values) of each shard of a partition, its rows end to end; the sample's bound is theirs."""
+    got: dict[int, tuple[bytearray, ...]] = {}
+    for b in it:
+        shards = b.column("shard").to_numpy()
+        for shard in np.unique(shards).tolist():
+            own = b.filter(pa.array(shards == shard))
+            parts = got.setdefault(shard, tuple(bytearray() for _ in range(4)))
+            parts[0].extend(own.column("label").to_numpy().astype(np.int32).tobytes())
+            parts[1].extend((pc.binary_length(own.column("terms")).to_numpy() // 4).astype(np.int32).tobytes())
+            for k, c in ((2, "terms"), (3, "x")):
+                for v in own.column(c):
+                    parts[k].extend(v.as_buffer())
+    for shard in sorted(got):
+        yield tuple(np.frombuffer(v, t) for v, t in zip(got.pop(shard), (np.int32, np.int32, np.int32, np.float32), strict=True))
 
 
 def _term_rows(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(term, rows) of each shard: a row holds a term once."""
-    for b in it:
-        for packed in b.column("terms"):
-            term, rows = np.unique(np.frombuffer(packed.as_buffer(), np.int32), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(term), pa.array(rows, pa.int64())], ["term", "rows"])
+    """(term, rows) of the rows of each batch: a row holds a term once."""
+    for b in W.batches(it, BATCH_BYTES, "terms"):
+        whole = np.frombuffer(b"".join(b.column("terms").to_pylist()), np.int32)
+        term, rows = np.unique(whole, return_counts=True)
+        yield pa.RecordBatch.from_arrays([pa.array(term), pa.array(rows, pa.int64())], ["term", "rows"])
 
 
 def _pass_over(m: Model, y: np.ndarray, length: np.ndarray, bucket: np.ndarray, x: np.ndarray, s: Settings, k: int) -> int:

@@ -8,6 +8,8 @@ character, so splitting bytes and splitting code points agree.
 
 from __future__ import annotations
 
+import ctypes
+import functools
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -221,8 +223,19 @@ def list_array(values: pa.Array, bounds: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), values)
 
 
+@functools.cache
+def _lean() -> None:
+    """Have this worker give freed arrays back to the system at once, so that its size is what it holds."""
+    pa.set_memory_pool(pa.system_memory_pool())
+    try:
+        ctypes.CDLL(None).mallopt(-3, 1 << 17)  # arrays from 128 KB up are maps of their own
+    except (OSError, AttributeError):  # another C library than glibc
+        return
+
+
 def batches(it: Iterator[pa.RecordBatch], max_bytes: int = 4 << 20, column: str = "text") -> Iterator[pa.RecordBatch]:
     """The same rows in slices whose ``column`` has at most ``max_bytes``, one row at least."""
+    _lean()
     for batch in it:
         if not batch.num_rows:
             continue
