@@ -2,7 +2,6 @@
 
 from pyspark.sql import functions as F
 
-from wardline.functions.scores import noisy_or
 from wardline.sources import messages as M
 
 RAW = b"""From: "PayPal" <Service@PayPal-Secure.test>
@@ -41,10 +40,13 @@ def test_raw_message(spark):
     assert (m["spf"], m["dkim"], m["dmarc"]) == ("softfail", "pass", "fail")
     assert m["attachments"][0]["size"] == 3 and m["attachments"][0]["filename"] == "invoice.pdf.exe"
     assert set(r) == {"p", "q", "r"}
-    signals = df.filter("path = 'p'").select(M.sender_signals(df, F.lit(True)).alias("s")).first()["s"]
-    assert [s["id"] for s in signals] == ["display_name_brand", "reply_to", "dmarc", "double_extension"]
-    score = df.filter("path = 'p'").select(noisy_or(F.transform(M.sender_signals(df), lambda h: h["weight"]))).first()[0]
-    assert abs(score - (1 - 0.7 * 0.6 * 0.5)) < 1e-9
+    claimed = df.filter("path = 'p'").withColumn("name_brand", F.lit("PayPal"))
+    signals = claimed.select(M.sender_signals(claimed).alias("s")).first()["s"]
+    assert [s["id"] for s in signals] == ["display_name_spoof", "reply_to_mismatch", "dmarc_fail", "spf_fail", "double_extension"]
+    score = df.filter("path = 'p'").select(M.sender_score(M.sender_signals(df))).first()[0]
+    assert score == round(100 * (1 - 0.7 * 0.6 * 0.89 * 0.5), 1)
+    trusted = claimed.withColumns({"official": F.lit("PayPal"), "dmarc": F.lit("pass"), "spf": F.lit("pass")})
+    assert trusted.select(M.sender_trust(trusted)).first()[0] and not claimed.withColumn("official", F.lit("PayPal")).select(M.sender_trust(claimed.withColumn("official", F.lit("PayPal")))).first()[0]
 
 
 def test_json_messages(spark, tmp_path):
@@ -56,4 +58,4 @@ def test_json_messages(spark, tmp_path):
 def test_provider_answers(spark):
     rows = [("virustotal", "a", 200, 5, 0, 60, 5, None, None), ("abuseipdb", "b", 200, None, None, None, None, 90, None), ("urlhaus", "c", 200, None, None, None, None, None, True), ("urlhaus", "d", 500, None, None, None, None, None, True)]
     df = spark.createDataFrame(rows, "source string, indicator string, http_status int, malicious int, suspicious int, harmless int, undetected int, abuse_score int, listed boolean")
-    assert {r["indicator"]: r["verdict"] for r in M.provider_verdicts(df).collect()} == {"a": "clean", "b": "malicious", "c": "malicious", "d": "unavailable"}
+    assert {r["indicator"]: r["verdict"] for r in M.provider_verdicts(df).collect()} == {"a": "malicious", "b": "malicious", "c": "malicious", "d": "unavailable"}

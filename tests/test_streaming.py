@@ -50,9 +50,15 @@ def test_graph_upsert_is_repeatable(spark, tmp_path):
     write = Q.upsert_graph(str(tmp_path))
     for k in (0, 1, 1):
         write(batch, k)
-    edge = spark.read.parquet(str(tmp_path / "edges" / "1")).first()
+    edge = Q.read_graph(spark, str(tmp_path), "edges").first()
     assert (edge["count"], edge["confidence"]) == (4, 0.7)
-    assert spark.read.parquet(str(tmp_path / "nodes" / "1")).filter(F.col("id") == "a").first()["risk"] == 9.0
+    assert Q.read_graph(spark, str(tmp_path), "nodes").filter(F.col("id") == "a").first()["risk"] == 9.0
+    # other keys leave the folders of these as they are
+    other = batch.withColumns({"src": F.lit("x"), "dst": F.lit("y")})
+    for k in (2, 3, 4):
+        write(other, k)
+    counts = {(r["src"], r["dst"]): r["count"] for r in Q.read_graph(spark, str(tmp_path), "edges").collect()}
+    assert set(counts.values()) == {4, 6} and len(list((tmp_path / "edges").glob("folder=*/version=*"))) == 4
 
 
 def test_recent_events_keep_the_latest(spark, tmp_path):
@@ -60,3 +66,38 @@ def test_recent_events_keep_the_latest(spark, tmp_path):
     for k in range(2):
         write(spark.createDataFrame([(5 * k + i, T0 + dt.timedelta(hours=5 * k + i)) for i in range(5)], "event_id int, ts timestamp"), k)
     assert sorted(r["event_id"] for r in spark.read.parquet(str(tmp_path / "1")).collect()) == [7, 8, 9]
+
+
+def test_breaker_tries_again_after_its_cooldown(spark, tmp_path):
+    at = lambda s: T0 + dt.timedelta(seconds=s)
+    calls = [(0, True), (1, True), (2, True), (3, True), (10, True), (60, False), (130, True), (140, True), (260, False), (261, True)]
+    rows = spark.createDataFrame([("p", at(s), f) for s, f in calls], "provider string, ts timestamp, failed boolean")
+    rows.coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in"))
+    q = Q.breaker_events(stream).writeStream.format("memory").queryName("breaker").outputMode("append").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "c")).start()
+    q.awaitTermination()
+    got = [r["state"] for r in spark.sql("select * from breaker order by ts").collect()]
+    # refused calls at 10 and 60 change nothing; the try at 130 fails and opens it again; the one at 260 closes it
+    assert got == ["closed"] * 4 + ["open", "open", "half-open", "open", "half-open", "closed"]
+
+
+def test_feeds_are_refreshed(spark, tmp_path):
+    path = str(tmp_path / "feeds")
+    kind = "ioc_type string, value string"
+
+    def broken(_):
+        raise OSError("gone")
+
+    readers = {"a": lambda s: s.createDataFrame([("url", "u1"), ("url", "u2"), ("url", "u1")], kind), "b": broken}
+    for _ in range(2):
+        Q.refresh_feeds(spark, readers, path, available_now=True).awaitTermination(60)
+    assert sorted((r["value"], r["source"]) for r in spark.read.parquet(path).collect()) == [("u1", "a"), ("u2", "a")]
+
+
+def test_verdicts_stream_in_two_phases(spark, tmp_path):
+    rows = spark.createDataFrame([(1, 1, 40.0, "FLAG"), (1, 2, 90.0, "BLOCK"), (2, 1, 5.0, "ALLOW")], "id int, phase int, risk double, decision string")
+    rows.write.parquet(str(tmp_path / "in"))
+    stream = Q.latest_verdicts(spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in")))
+    stream.writeStream.format("memory").queryName("verdicts").outputMode("update").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "c")).start().awaitTermination()
+    last = {r["id"]: (r["decision"], r["revised"]) for r in spark.sql("select * from verdicts").collect()}
+    assert last == {1: ("BLOCK", True), 2: ("ALLOW", False)}

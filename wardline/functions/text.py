@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wardline import refdata
+from wardline.functions.lexicon import ANCHORS
 from wardline.functions.scores import noisy_or
 
 # Characters that take no room.
@@ -23,8 +24,11 @@ def strip_zero_width(text: Column) -> tuple[Column, Column]:
 
 
 def refang(text: Column) -> Column:
-    """Links that were written to be harmless, made links again."""
-    steps = ((r"(?i)\bhxxp(s?)(?:://|\[:\]//|\[://\])", "http$1://"), (r"(?i)\[\.\]|\(\.\)|\{\.\}|\(dot\)|\[dot\]", "."), (r"\[:\]", ":"), (r"\[/\]", "/"))
+    """Links that were written to be harmless, made links again: hxxp and h**p, bracketed or spelt dots, colons, slashes."""
+    steps = (
+        (r"(?i)\bh(?:xx|\*\*|tt)p(s?) *(?::|\[ *: *\]|\( *: *\)) *(?://|\[ */+ *\])", "http$1://"), (r"(?i)\bhxxp(s?)\[ *:// *\]", "http$1://"),
+        (r"(?i) ?[\[({] *(?:\.|dot) *[\])}] ?", "."), (r"[\[(] *: *[\])]", ":"), (r"\[ */ *\]", "/"),
+    )
     return reduce(lambda t, s: F.regexp_replace(t, s[0], s[1]), steps, text)
 
 
@@ -42,6 +46,19 @@ def skeleton(name: Column) -> Column:
     return F.replace(F.replace(plain, F.lit("rn"), F.lit("m")), F.lit("vv"), F.lit("w"))
 
 
+def skeletons(names: DataFrame, confusables: DataFrame, column: str = "name") -> DataFrame:
+    """Adds ``skeleton``: each character as the one that a confusables file (source, target: code points in hex) gives for it, in lower case.
+
+    Characters are joined with the table, which Unicode bounds, so a file of any size of names is one shuffle.
+    """
+    text = lambda hexes: F.array_join(F.transform(F.split(hexes, " +"), lambda h: F.decode(F.unhex(F.lpad(h, 8, "0")), "UTF-32")), "")
+    table = confusables.select(F.lower(text(F.col("source"))).alias("c"), F.lower(text(F.col("target"))).alias("__t")).dropDuplicates(["c"])
+    own = names.select(column).distinct().select(column, F.posexplode(F.filter(F.split(F.lower(column), ""), lambda x: x != "")).alias("at", "c"))
+    like = own.join(F.broadcast(table), "c", "left").withColumn("__t", F.coalesce("__t", "c"))
+    made = like.groupBy(column).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "__t"))), lambda x: x["__t"]), "").alias("skeleton"))
+    return names.join(made, column, "left")
+
+
 def tokens(text: Column) -> Column:
     """Word tokens of 2 to 24 letters; links, addresses, amounts and numbers become marks."""
     steps = (
@@ -81,8 +98,34 @@ def ips(text: Column, most: int | None = None) -> Column:
     return _sorted_distinct(F.regexp_extract_all(text, F.lit(r"\b([0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3})\b"), F.lit(1)), most)
 
 
+#: Bitcoin addresses: bech32 after bc1, in one case and without 1, b, i, o; base58 after 1 or 3, without 0, O, I, l.
+_BECH32, _BASE58 = "023456789ac-hj-np-z", "1-9A-HJ-NP-Za-km-z"
+
+
 def wallets(text: Column, most: int | None = None) -> Column:
-    return _sorted_distinct(F.regexp_extract_all(text, F.lit(r"\b(bc1[a-z0-9]{25,59}|[13][a-km-zA-HJ-NP-Z1-9]{25,34})\b"), F.lit(1)), most)
+    """Sorted distinct Bitcoin addresses by their formats: 42 to 62 characters of bech32, 26 to 35 of base58."""
+    found = F.regexp_extract_all(text, F.lit(rf"(?<![A-Za-z0-9])(bc1[{_BECH32}]{{39,59}}|[13][{_BASE58}]{{25,34}})(?![A-Za-z0-9])"), F.lit(1))
+    return _sorted_distinct(found, most)
+
+
+# Providers of payment addresses.
+UPI_PROVIDERS = (
+    "okaxis", "okhdfcbank", "oksbi", "okicici", "ybl", "ibl", "axl", "paytm", "apl", "upi", "sbi", "icici", "hdfcbank", "axisbank", "kotak", "yesbank", "idfcbank", "federal", "indus", "rbl",
+    "jupiteraxis", "fam", "freecharge", "airtel", "jio", "pnb", "boi", "cnrb", "unionbank", "iob", "indianbank",
+)
+
+
+def payment_ids(text: Column, most: int | None = None) -> Column:
+    """Sorted distinct payment addresses, name@provider; an address that goes on with a dot is a mail address."""
+    found = F.regexp_extract_all(F.lower(text), F.lit(rf"(?<![a-z0-9._-])([a-z0-9._-]{{2,64}}@(?:{'|'.join(UPI_PROVIDERS)}))(?![a-z0-9-]|\.[a-z0-9])"), F.lit(1))
+    return _sorted_distinct(found, most)
+
+
+def national_phones(text: Column, most: int | None = None) -> Column:
+    """Sorted distinct Indian mobile numbers (ten digits from 6 to 9 up, with or without 91) and toll-free ones, digits only."""
+    mobile = F.regexp_extract_all(text, F.lit(r"(?<![0-9])(?:\+?91[ -]?)?([6-9][0-9]{4}[ -]?[0-9]{5})(?![0-9])"), F.lit(1))
+    free = F.regexp_extract_all(text, F.lit(r"(?<![0-9])(1[89]00[ -]?[0-9]{3}[ -]?[0-9]{3,4})(?![0-9])"), F.lit(1))
+    return _sorted_distinct(F.transform(F.concat(mobile, free), lambda p: F.regexp_replace(p, "[ -]", "")), most)
 
 
 def text_key(text: Column, limit: int | None = None) -> Column:
@@ -96,15 +139,28 @@ def channel(text: Column) -> Column:
 
 
 def intent_hits(text: Column, intents=refdata.INTENTS, most: int = 3) -> Column:
-    """Array of (id, weight, evidence) of the intents that a text shows; evidence keeps the first ``most`` phrases."""
+    """Array of (id, weight, evidence) of the intents that a text shows; evidence keeps the first ``most`` phrases.
+
+    A text is split into words once. Only intents with an anchor among them are looked for by
+    regular expression, so most texts need none; intents without anchors always are.
+    """
     first = lambda value, f: F.get(F.transform(F.array(value), f), F.lit(0))  # noqa: E731 - binds a value that is used several times
+    anchors = sorted({w for name, *_ in intents for w in ANCHORS.get(name, ())})
+    none = F.array().cast("array<string>")
 
-    def one(low: Column, name: str, weight: float, patterns: tuple[str, ...]) -> Column:
+    def one(low: Column, words: Column, name: str, weight: float, patterns: tuple[str, ...]) -> Column:
         found = F.regexp_extract_all(low, F.lit("(" + "|".join(f"(?:{p})" for p in patterns) + ")"), F.lit(1))
+        if name in ANCHORS:
+            found = F.when(F.arrays_overlap(words, F.array(*map(F.lit, ANCHORS[name]))), found).otherwise(none)
         hit = lambda f: F.struct(F.lit(name).alias("id"), F.lit(weight).alias("weight"), F.slice(F.array_distinct(f), 1, most).alias("evidence"))
         return first(found, lambda f: F.when(F.size(f) > 0, hit(f)))
 
-    return first(F.lower(text), lambda low: F.filter(F.array(*[one(low, *i) for i in intents]), lambda h: h.isNotNull()))
+    def all_hits(v: Column) -> Column:
+        return F.filter(F.array(*[one(v["low"], v["words"], *i) for i in intents]), lambda h: h.isNotNull())
+
+    known = lambda low: F.array_intersect(F.split(low, r"[^\p{L}\p{M}\p{N}]+"), F.array(*map(F.lit, anchors))) if anchors else none
+    bound = first(F.lower(text), lambda low: F.struct(low.alias("low"), known(low).alias("words")))
+    return first(bound, all_hits)
 
 
 def intent_score(hits: Column) -> Column:
@@ -126,10 +182,17 @@ def attachment_kind(name: Column) -> Column:
     return F.when(double, "double").when(risky, "risky").when((F.size(parts) >= 2) & last.isin(*refdata.ARCHIVE_ENDINGS), "archive").otherwise("plain")
 
 
+#: A line that is a text message's sender: a registered header, a short code or a phone number.
+SENDERS = r"^(?:[A-Z]{2}-[A-Z0-9]{3,8}(?:-[A-Z])?|[0-9]{5,6}|\+?[0-9][0-9 -]{8,14}[0-9])$"
+
 # Lines that a screenshot's frame adds to a message.
 CHROME_LINES = (
     r"^\s*\d{1,2}:\d{2}(?:\s*[AaPp][Mm])?\s*$", r"^\s*\d{1,3}\s*%\s*$", r"(?i)^\s*(?:4g|5g|lte|volte|wi-?fi)\s*$", r"(?i)^\s*(?:reply|reply all|forward|delete|archive|report spam|mark as read)\s*$",
     r"(?i)^\s*(?:type a message|text message|send message)\s*$", r"(?i)^\s*(?:today|yesterday)\s*$", r"(?i)^\s*to me\s*$",
+    r"(?i)^\s*(?:inbox|sent|drafts|spam|starred|important|all mail|unread)\s*$", r"(?i)^\s*(?:back|edit|done|cancel|close|more|menu|share|copy|search|settings)\s*$", r"(?i)^\s*(?:mon|tues|wednes|thurs|fri|satur|sun)day\s*$",
+    r"(?i)^\s*(?:messages and calls are end-to-end encrypted.*)$", r"(?i)^\s*(?:tap to load preview|tap for more info|learn more)\s*$", r"(?i)^\s*(?:sender is not in your contacts?.*|unknown sender)\s*$",
+    r"(?i)^\s*(?:add to contacts|block|report|mute|accept)\s*$", r"(?i)^\s*(?:show details|hide details|view details|translate message)\s*$", r"(?i)^\s*(?:unsubscribe|view in browser)\s*$",
+    r"(?i)^\s*[0-9]+ (?:of [0-9]+|unread messages?)\s*$", r"(?i)^\s*(?:airtel|jio|vi|bsnl|verizon|t-mobile|vodafone)\s*$", r"(?i)^\s*(?:delivered|read|sent|seen)(?: \d{1,2}:\d{2}.*)?\s*$", r"^\s*[<>←→•·|]+\s*$",
 )
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ipaddress
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -65,15 +66,23 @@ def registrable(host: Column, suffixes: tuple[str, ...] = refdata.PUBLIC_SUFFIXE
 
 
 def registrable_join(df: DataFrame, rules: DataFrame, host: str = "host") -> DataFrame:
-    """Adds ``registrable`` by a suffix table (suffix) of any size: exploded suffixes, an equi-join, the longest match."""
+    """Adds ``registrable`` by a suffix table (suffix, and kind: exact, wildcard or exception; exact without it) of any size.
+
+    All ends of each host are joined with the rules on equal keys. A wildcard makes one label
+    more than its suffix public, an exception one less; an exception goes before, then the longest.
+    """
     parts = labels(F.col(host))
     n = F.size(parts)
-    tails = df.select(host).distinct().select(host, F.posexplode(F.transform(F.sequence(F.lit(1), n), lambda i: F.array_join(F.slice(parts, i, n), "."))).alias("at", "suffix"))
-    best = tails.join(rules.select("suffix").distinct(), "suffix").groupBy(host).agg(F.min_by("suffix", "at").alias("__suffix"))
-    out = df.join(best, host, "left").withColumn("__suffix", F.coalesce("__suffix", F.element_at(parts, -1)))
-    rest = F.substring(F.col(host), F.lit(1), F.length(host) - F.length("__suffix") - 1)
-    own = F.concat(F.element_at(F.split(rest, r"\."), -1), F.lit("."), F.col("__suffix"))
-    return out.withColumn("registrable", F.when(is_ip(F.col(host)) | (F.col(host) == F.col("__suffix")), F.col(host)).otherwise(own)).drop("__suffix")
+    kind = F.col("kind") if "kind" in rules.columns else F.lit("exact")
+    table = rules.select("suffix", kind.alias("__kind")).distinct()
+    ends = F.transform(F.sequence(F.lit(1), n), lambda i: F.struct(F.array_join(F.slice(parts, i, n), ".").alias("suffix"), (n - i + 1).alias("k")))
+    tails = df.select(host).distinct().filter(F.col(host).isNotNull()).select(host, n.alias("__n"), F.explode(ends).alias("e")).select(host, "__n", "e.*")
+    public = F.col("k") + F.when(F.col("__kind") == "wildcard", 1).when(F.col("__kind") == "exception", -1).otherwise(0)
+    met = tails.join(table, "suffix").withColumn("__public", public).filter(F.col("__public") <= F.col("__n"))
+    best = met.groupBy(host).agg(F.max(F.struct((F.col("__kind") == "exception").alias("e"), F.col("__public").alias("p")))["p"].alias("__p"))
+    out = df.join(best, host, "left").withColumn("__p", F.coalesce("__p", F.lit(1)))
+    own = F.array_join(F.slice(parts, F.greatest(F.lit(1), n - F.col("__p")), n), ".")
+    return out.withColumn("registrable", F.when(is_ip(F.col(host)), F.col(host)).otherwise(own)).drop("__p")
 
 
 def entropy(s: Column) -> Column:
@@ -198,12 +207,57 @@ def private_ranges() -> list[tuple[int, int]]:
     return out
 
 
+def bound(value: Column, f) -> Column:
+    """``f`` of a value that it uses several times, worked out once: the plan holds the value's expression once too."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
+def ipv6_groups(host: Column) -> Column:
+    """The eight numbers of an IPv6 address, in brackets or not; null for anything else."""
+    none = F.array().cast("array<string>")
+    hexed = lambda n: F.lower(F.conv(n.cast("string"), 10, 16))
+
+    def flat(bare: Column) -> Column:
+        tail = ipv4_number(F.regexp_extract(bare, r":([0-9.]+\.[0-9.]+)$", 1))
+        return bound(tail, lambda t: F.when(t.isNotNull(), F.concat(F.regexp_replace(bare, r"[0-9.]+$", ""), hexed(F.floor(t / 65536)), F.lit(":"), hexed(t % 65536))).otherwise(bare))
+
+    def filled(sides: Column) -> Column:
+        left, right = F.get(sides, F.lit(0)), F.coalesce(F.get(sides, F.lit(1)), none)
+        fill = F.array_repeat(F.lit("0"), F.greatest(F.lit(0), 8 - F.size(left) - F.size(right)))
+        return F.when(F.size(sides) == 1, left).when((F.size(sides) == 2) & (F.size(left) + F.size(right) < 8), F.concat(left, fill, right))
+
+    def numbers(groups: Column) -> Column:
+        valid = (F.size(groups) == 8) & F.forall(groups, lambda g: g.rlike("^[0-9a-f]{1,4}$"))
+        return F.when(valid, F.transform(groups, lambda g: F.conv(g, 16, 10).cast("int")))
+
+    split = lambda x: bound(F.transform(F.split(x, "::"), lambda side: F.filter(F.split(side, ":"), lambda g: g != "")), lambda sides: bound(filled(sides), numbers))
+    bare = F.regexp_replace(F.regexp_replace(F.lower(host), r"^\[|\]$", ""), "%.*$", "")
+    return F.when(host.contains(":"), bound(bound(bare, flat), split))
+
+
+def _in_block(groups: Column, network: str, bits: int) -> Column:
+    packed = ipaddress.IPv6Address(network).packed
+    rules = []
+    for k in range(-(-bits // 16)):
+        mask = 0xFFFF & ~((1 << (16 - min(16, bits - 16 * k))) - 1)
+        rules.append(F.get(groups, F.lit(k)).bitwiseAND(F.lit(mask)) == int.from_bytes(packed[2 * k : 2 * k + 2], "big") & mask)
+    return reduce(lambda a, b: a & b, rules)
+
+
 def blocked_target(host: Column) -> Column:
-    """Whether a host is private, reserved or an address in disguise."""
-    number = ipv4_number(host)
-    inside = reduce(lambda a, b: a | b, [number.between(lo, hi) for lo, hi in private_ranges()])
+    """Whether a host is private, reserved, an address in disguise or a broken one; IPv4 inside IPv6 counts as itself."""
+    off = F.lit(False)
+
+    def rated(groups: Column) -> Column:
+        mapped = F.when(_in_block(groups, *refdata.PRIVATE_BLOCKS_6[-1]), F.get(groups, F.lit(6)).cast("long") * 65536 + F.get(groups, F.lit(7)))
+        inside = lambda number: reduce(lambda a, b: a | b, [number.between(lo, hi) for lo, hi in private_ranges()])
+        inside4 = bound(F.coalesce(ipv4_number(host), mapped), lambda n: F.coalesce(inside(n), off))
+        inside6 = reduce(lambda a, b: a | b, [_in_block(groups, *n) for n in refdata.PRIVATE_BLOCKS_6[:-1]])
+        return F.coalesce(inside4, off) | F.coalesce(inside6, off) | F.coalesce(host.rlike(r"^\[.*\]$") & groups.isNull(), off)
+
     name = host.isin(*refdata.PRIVATE_NAMES) | reduce(lambda a, b: a | b, [host.endswith(e) for e in refdata.PRIVATE_ENDINGS])
-    return F.coalesce(name | host.rlike(r"^(?:0x[0-9a-f]+|[0-9]{8,10})$") | F.coalesce(inside, F.lit(False)), F.lit(False))
+    broken = host.rlike(r"^(?:0x[0-9a-f]+|[0-9]{8,10})$") | (host.rlike(r"^[0-9]{1,3}(?:\.[0-9]{1,3}){3}$") & ipv4_number(host).isNull())
+    return F.coalesce(name, off) | F.coalesce(broken, off) | bound(ipv6_groups(host), rated)
 
 
 def shareable(p: dict[str, Column], url: Column) -> tuple[Column, Column]:

@@ -9,15 +9,6 @@ from wardline import refdata
 from wardline.functions.urls import has_suffix
 from wardline.operators.intel import family
 
-# Mail services open to anybody.
-FREE_MAIL = (
-    "gmail.com", "yahoo.com", "yahoo.co.in", "outlook.com", "hotmail.com", "live.com", "aol.com", "icloud.com", "proton.me", "protonmail.com",
-    "rediffmail.com", "zoho.com", "yandex.com", "mail.ru", "gmx.com", "gmx.net", "mail.com", "tutanota.com",
-)
-# Registered sender headers of text messages.
-SENDER_HEADER = r"^[A-Z]{2}-[A-Z0-9]{3,8}(?:-[A-Z])?$"
-
-
 def host_tokens(hosts: DataFrame) -> DataFrame:
     """(host, token): pieces of a host's labels and neighbouring pieces joined."""
     pieces = F.filter(F.split("host", r"[.\-_]"), lambda t: F.length(t) > 0)
@@ -41,17 +32,18 @@ def keyword_hits(hosts: DataFrame, keywords: DataFrame) -> DataFrame:
     return hits.groupBy("host").agg(first.alias("m")).select("host", "m.brand", "m.keyword", "m.kind")
 
 
-def claims(texts: DataFrame, keywords: DataFrame, key: str = "id", most: int = 5) -> DataFrame:
+def claims(texts: DataFrame, keywords: DataFrame, key: str = "id", most: int | None = 5, words: int = 4) -> DataFrame:
     """(key, brand, at): brands that a text names, the first ``most`` by place.
 
-    Texts are tokens and pairs of tokens, joined on equal spellings: a brand's words are met however many brands there are.
+    Texts are runs of up to ``words`` tokens, joined on equal spellings: a brand's words are met however many brands there are.
     """
-    words = F.regexp_extract_all(F.lower("text"), F.lit("([a-z0-9]+)"), F.lit(1))
-    prepared = texts.select(key, words.alias("w"))
-    n = F.size("w")
-    pairs = F.when(n > 1, F.zip_with(F.slice("w", F.lit(1), n - 1), F.slice("w", F.lit(2), n - 1), lambda a, b: F.concat(a, F.lit(" "), b))).otherwise(F.array().cast("array<string>"))
-    spelt = prepared.select(key, F.posexplode("w").alias("at", "keyword")).unionAll(prepared.select(key, F.posexplode(pairs).alias("at", "keyword")))
-    found = spelt.join(keywords.select("brand", F.lower("keyword").alias("keyword")).distinct(), "keyword").groupBy(key, "brand").agg(F.min("at").alias("at"))
+    prepared = texts.select(key, F.regexp_extract_all(F.lower("text"), F.lit("([a-z0-9]+)"), F.lit(1)).alias("w"))
+    runs = F.transform("w", lambda _, i: F.transform(F.sequence(F.lit(1), F.least(F.lit(words), F.size("w") - i)), lambda k: F.array_join(F.slice("w", i + 1, k), " ")))
+    spelt = prepared.select(key, F.posexplode(runs).alias("at", "r")).select(key, "at", F.explode("r").alias("keyword"))
+    known = keywords.select("brand", F.array_join(F.regexp_extract_all(F.lower("keyword"), F.lit("([a-z0-9]+)"), F.lit(1)), " ").alias("keyword")).filter("keyword <> ''").distinct()
+    found = spelt.join(known, "keyword").groupBy(key, "brand").agg(F.min("at").alias("at"))
+    if most is None:
+        return found
     return found.selectExpr("*", f"row_number() over (partition by {key} order by at, brand) as r").filter(F.col("r") <= most).drop("r")
 
 

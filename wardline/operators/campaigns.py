@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from wardline.operators.graph import HUB, khop, neighbour_counts
+
 #: Parts of a campaign's similarity.
 SEMANTIC, INFRASTRUCTURE, BRAND, TIME = 0.5, 0.3, 0.1, 0.1
 #: Similarity from which a message joins, and risk from which it founds a campaign.
@@ -34,15 +36,17 @@ def cosine(a: Column, b: Column) -> Column:
 def best_campaign(rows: DataFrame, campaigns: DataFrame, key: str, vector: str, label: str) -> DataFrame:
     """(key, best, similarity): the nearest of a stated set of campaigns, ties going to the later label.
 
-    The set is checked against MAX_CAMPAIGNS and sent to the messages as one array a task; each message is read once.
+    Up to MAX_CAMPAIGNS are sent to the messages as one array a task; more are sent in as many blocks
+    as it takes, and each message is read once.
     """
-    n = campaigns.count()
-    if n > MAX_CAMPAIGNS:
-        raise ValueError(f"{n} campaigns; pass the latest {MAX_CAMPAIGNS} at most")
-    together = campaigns.agg(F.collect_list(F.struct(F.col(label).alias("label"), "centre")).alias("all"))
-    scored = rows.join(F.broadcast(together)).select(
-        key, F.array_max(F.transform("all", lambda c: F.struct(F.round(cosine(F.col(vector), c["centre"]), 6).alias("similarity"), c["label"].alias("best")))).alias("m")
-    )
+    passes = -(-campaigns.count() // MAX_CAMPAIGNS)
+    block = F.pmod(F.xxhash64(label), F.lit(max(1, passes)))
+    score = lambda c: F.struct(F.round(cosine(F.col(vector), c["centre"]), 6).alias("similarity"), c["label"].alias("best"))
+    scored = rows.select(key, vector)
+    for k in range(max(1, passes)):  # one pass for each block of campaigns, the best so far beside the message
+        together = campaigns.filter(block == k).agg(F.collect_list(F.struct(F.col(label).alias("label"), "centre")).alias("all"))
+        best = F.array_max(F.transform("all", score))
+        scored = scored.join(F.broadcast(together)).withColumn("m", best if k == 0 else F.greatest("m", best)).drop("all")
     return scored.select(key, F.col("m.best").alias("best"), F.col("m.similarity").alias("similarity"))
 
 
@@ -64,6 +68,23 @@ def similarity(semantic: Column, infra: Column, brand: Column, recent: Column, r
     return SEMANTIC * F.coalesce(semantic, F.lit(0.0)) + rest
 
 
+def brand_overlap(rows: DataFrame, campaigns: DataFrame, key: str = "id", label: str = "campaign") -> DataFrame:
+    """(key, campaign): messages and campaigns, each (…, brand), that name a brand in common."""
+    return rows.select(key, "brand").distinct().join(campaigns.select(label, "brand").distinct(), "brand").select(key, label).distinct()
+
+
+def infrastructure(edges: DataFrame, seeds: DataFrame, depth: int = 5, limit: int = 1500, hub: int = HUB) -> DataFrame:
+    """(id, hops) of what a campaign's messages (id) rest on: nodes within ``depth`` steps that are no hubs, the nearest ``limit``."""
+    near = khop(edges, seeds, depth, hub)
+    hubs = neighbour_counts(edges).filter(F.col("neighbours") > hub).select("id")
+    return near.join(hubs, "id", "left_anti").orderBy("hops", "id").limit(limit)
+
+
+def statistics(edges: DataFrame, seeds: DataFrame, depth: int = 5, hub: int = HUB) -> DataFrame:
+    """(type, n): how many nodes of each type lie within ``depth`` steps of a campaign's messages (id)."""
+    return khop(edges, seeds, depth, hub).groupBy(F.substring_index("id", ":", 1).alias("type")).agg(F.count_distinct("id").alias("n"))
+
+
 def number_campaigns(founders: DataFrame, year: int, existing: int, time: str, tie: str) -> DataFrame:
     """Founders with ids that go on after the existing ones; founders are few beside messages."""
     k = F.row_number().over(Window.orderBy(time, tie)) + existing

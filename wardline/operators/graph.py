@@ -1,12 +1,13 @@
 """A property graph as two tables: merges, neighbourhoods, specificity, paths, shared infrastructure, scores.
 
 Nodes are (id, type, risk, malicious, ...), edges (src, dst, rel, ...); ids are type:key.
-Loops are bounded by their depth and cut lineage by writing each step with checkpoint().
+Loops are bounded by their depth and cut lineage by writing each step once.
 """
 
 from __future__ import annotations
 
-import tempfile
+import uuid
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -18,26 +19,83 @@ HUB = 150
 
 
 def _cut(df: DataFrame) -> DataFrame:
-    """The same rows without their history, kept in the session's checkpoint folder."""
+    """The same rows without their history, written once to the folder that the session shares."""
     spark = df.sparkSession
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        found = spark.conf.get("spark.checkpoint.dir", None)
-        spark.sparkContext.setCheckpointDir(found or tempfile.mkdtemp(prefix="wardline-"))
-    return df.checkpoint()
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        root = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_scratch"
+    path = f"{root.rstrip('/')}/graph-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
-def merge_nodes(rows: DataFrame) -> DataFrame:
-    """Nodes by id: greatest risk, malicious if any was, first and last time seen."""
-    return rows.groupBy("id").agg(F.max("risk").alias("risk"), F.bool_or("malicious").alias("malicious"), F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen"))
+def merge_nodes(rows: DataFrame, latest: tuple[str, ...] = ()) -> DataFrame:
+    """Nodes by id: greatest risk, malicious if any was, first and last time seen, and the last value seen of the properties ``latest``."""
+    last = [F.max_by(c, F.when(F.col(c).isNotNull(), F.col("last_seen"))).alias(c) for c in latest]
+    return rows.groupBy("id").agg(F.max("risk").alias("risk"), F.bool_or("malicious").alias("malicious"), F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen"), *last)
 
 
-def merge_edges(rows: DataFrame) -> DataFrame:
-    """Edges by ends and relation: counts add up, greatest confidence, first and last time seen."""
+def merge_edges(rows: DataFrame, first: tuple[str, ...] = ()) -> DataFrame:
+    """Edges by ends and relation: counts add up, greatest confidence, first and last time seen, and the first value seen of the properties ``first``."""
+    early = [F.min_by(c, F.when(F.col(c).isNotNull(), F.col("first_seen"))).alias(c) for c in first]
     return rows.groupBy("src", "dst", "rel").agg(
-        F.sum("count").alias("count"), F.max("confidence").alias("confidence"), F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen")
+        F.sum("count").alias("count"), F.max("confidence").alias("confidence"), F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen"), *early
     )
 
 
+def marked(nodes: DataFrame, bad: DataFrame) -> DataFrame:
+    """Nodes with those of ``bad`` (id) marked malicious at risk 95 or more: a confirmed verdict."""
+    on = nodes.join(bad.select("id").distinct().withColumn("__on", F.lit(True)), "id", "left")
+    return on.withColumn("risk", F.when(F.col("__on"), F.greatest("risk", F.lit(95.0))).otherwise(F.col("risk"))).withColumn("malicious", F.col("malicious") | F.coalesce("__on", F.lit(False))).drop("__on")
+
+
+def recent_nodes(nodes: DataFrame, kind: str, limit: int = 50) -> DataFrame:
+    """The ``limit`` nodes of a type seen last; ties go by id."""
+    return nodes.filter(F.substring_index("id", ":", 1) == kind).orderBy(F.desc("last_seen"), "id").limit(limit)
+
+
+def pruned_paths(paths: DataFrame, shared: DataFrame, most: int = 8) -> DataFrame:
+    """(seed, bad, hops, spec, rank): paths that shared infrastructure (a, b) doesn't explain already, the best ``most`` of each seed."""
+    left = paths.join(shared.select(F.col("a").alias("seed"), F.col("b").alias("bad")).distinct(), ["seed", "bad"], "left_anti")
+    order = Window.partitionBy("seed").orderBy("hops", F.desc("spec"), "bad")
+    return left.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= most)
+
+
+def feed_graph(iocs: DataFrame, official: DataFrame, brands: DataFrame, limit: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges) of listed links (url, host, registrable, source, ts), without official hosts (host).
+
+    A link is hosted on its domain and listed by its feed; ``brands`` (host, brand) makes a domain imitate a
+    brand. Domains of platforms lead to their platform. ``limit`` keeps the latest links.
+    """
+    rows = iocs.join(official.select("host").distinct(), "host", "left_anti")
+    if limit is not None:
+        rows = rows.orderBy(F.desc("ts"), "url").limit(limit)
+    url, domain = F.concat(F.lit("url:"), F.substring(F.sha2("url", 256), 1, 20)), F.concat(F.lit("domain:"), "host")
+    platform = F.get(F.filter(F.array(*map(F.lit, refdata.FREE_HOSTING)), lambda p: F.col("host").endswith(F.concat(F.lit("."), p))), F.lit(0))
+    made = [
+        rows.select(url.alias("src"), domain.alias("dst"), F.lit("HOSTED_ON").alias("rel"), "ts"), rows.select(url.alias("src"), F.concat(F.lit("feed:"), "source").alias("dst"), F.lit("LISTED_BY").alias("rel"), "ts"),
+        rows.join(brands.select("host", "brand").distinct(), "host").select(domain.alias("src"), F.concat(F.lit("brand:"), "brand").alias("dst"), F.lit("IMITATES").alias("rel"), "ts"),
+        rows.filter(platform.isNotNull()).select(domain.alias("src"), F.concat(F.lit("platform:"), platform).alias("dst"), F.lit("ON_PLATFORM").alias("rel"), "ts"),
+    ]
+    both = reduce(DataFrame.unionByName, made)
+    edges = merge_edges(both.select("src", "dst", "rel", F.lit(1).cast("long").alias("count"), F.lit(0.9).alias("confidence"), F.col("ts").alias("first_seen"), F.col("ts").alias("last_seen")))
+    bad = F.col("id").startswith("url:")
+    ends = both.selectExpr("explode(array(src, dst)) as id", "ts")
+    return merge_nodes(ends.select("id", F.when(bad, 90.0).otherwise(0.0).alias("risk"), bad.alias("malicious"), F.col("ts").alias("first_seen"), F.col("ts").alias("last_seen"))), edges
+
+
+def entity_edges(messages: DataFrame) -> DataFrame:
+    """(src, dst, rel, …) of what messages (id, brands, campaign, ts) and their domains (host, ips, ns) lead to: brands, campaigns, addresses, name servers."""
+    email = F.concat(F.lit("email:"), F.col("id").cast("string"))
+    one = lambda src, kind, values, rel: messages.select(src.alias("src"), F.explode(values).alias("v"), "ts").select("src", F.concat(F.lit(f"{kind}:"), "v").alias("dst"), F.lit(rel).alias("rel"), "ts")
+    host = F.concat(F.lit("domain:"), "host")
+    made = [one(email, "brand", F.col("brands"), "CLAIMS"), one(email, "campaign", F.array("campaign"), "PART_OF"), one(host, "ip", F.col("ips"), "RESOLVES_TO"), one(host, "ns", F.col("ns"), "USES_NS")]
+    rows = reduce(DataFrame.unionByName, made).filter("src is not null and dst is not null")
+    return merge_edges(rows.select("src", "dst", "rel", F.lit(1).cast("long").alias("count"), F.lit(1.0).alias("confidence"), F.col("ts").alias("first_seen"), F.col("ts").alias("last_seen")))
+
+
 def reset_risk(nodes: DataFrame, cleared: DataFrame) -> DataFrame:
     """Nodes with the risk of ``cleared`` (id) set to 0: a verdict of false positive beats every earlier maximum."""
     off = cleared.select("id").distinct().withColumn("__off", F.lit(True))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from wardline.functions.urls import parse, registrable
+
 
 def suffixes(host: Column) -> Column:
     """All label suffixes of a host, longest first."""
@@ -13,14 +15,33 @@ def suffixes(host: Column) -> Column:
     return F.transform(F.sequence(F.lit(1), n), lambda i: F.array_join(F.slice(parts, i, n), "."))
 
 
-def match_iocs(links: DataFrame, iocs: DataFrame, shared: DataFrame) -> DataFrame:
+def active(iocs: DataFrame, source: str | None = None) -> DataFrame:
+    """Indicators that are active, of one source or all."""
+    on = iocs.filter(F.coalesce("active", F.lit(False)))
+    return on if source is None else on.filter(F.col("source") == source)
+
+
+def match_values(values: DataFrame, iocs: DataFrame, kinds: tuple[str, ...] = ("ip", "hash")) -> DataFrame:
+    """(…, source, risk, confidence) of the values (ioc_type, value) that are listed as they stand: addresses and file hashes."""
+    wanted = F.col("ioc_type").isin(*kinds)
+    listed = iocs.filter(wanted).groupBy("ioc_type", F.lower("value").alias("value")).agg(F.min("source").alias("source"))
+    met = values.filter(wanted).withColumn("value", F.lower("value")).join(listed, ["ioc_type", "value"])
+    return met.withColumns({"risk": F.lit(95.0), "confidence": F.lit(0.95)})
+
+
+def match_iocs(links: DataFrame, iocs: DataFrame, shared: DataFrame, from_urls: bool = False) -> DataFrame:
     """(…, match, risk, confidence) of links (url, host, registrable): by URL, else host, else registrable domain.
 
     ``iocs`` is (ioc_type, value), ``shared`` (host): services that anybody uses, whose domains
-    never match. Exact matches have risk 95, domain matches 70. All joins are on equal keys.
+    never match. Exact matches have risk 95, domain matches 70. All joins are on equal keys. With
+    ``from_urls`` the registrable domains of listed URLs are listed domains too.
     """
     urls = iocs.filter("ioc_type = 'url'").select(F.col("value").alias("url")).distinct().withColumn("__url", F.lit(True))
-    domains = iocs.filter("ioc_type = 'domain'").select("value").distinct()
+    domains = iocs.filter("ioc_type = 'domain'").select("value")
+    if from_urls:
+        hosts = iocs.filter("ioc_type = 'url'").select(parse(F.col("value"))["host"].alias("host")).filter("host is not null")
+        domains = domains.unionAll(hosts.select(registrable(F.col("host"))))
+    domains = domains.distinct()
     usable = domains.join(shared.select(F.col("host").alias("value")).distinct(), "value", "left_anti").withColumn("__hit", F.lit(True))
     by_host = usable.withColumnsRenamed({"value": "host", "__hit": "__host"})
     by_reg = usable.withColumnsRenamed({"value": "registrable", "__hit": "__reg"})

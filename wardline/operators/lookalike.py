@@ -32,6 +32,33 @@ def swapped(a: Column, b: Column) -> Column:
     return (n == F.length(b)) & (n > 1) & (a != b) & F.exists(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), lambda i: at(i) == b)
 
 
+def swaps(name: Column) -> Column:
+    """All spellings with two neighbours swapped."""
+    n = F.length(name)
+    at = lambda i: F.concat(F.substring(name, F.lit(1), i - 1), F.substring(name, i + 1, F.lit(1)), F.substring(name, i, F.lit(1)), F.substring(name, i + 2, n))
+    return F.when(n > 1, F.transform(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), at)).otherwise(F.array().cast("array<string>"))
+
+
+def edits(a: Column, b: Column) -> Column:
+    """Edits and swaps of neighbours between two names, up to 2; 3 stands for more."""
+    plain = F.levenshtein(a, b)
+    one = F.exists(swaps(a), lambda s: s == b)
+    two = F.exists(swaps(a), lambda s: F.levenshtein(s, b) <= 1) | F.exists(swaps(b), lambda s: F.levenshtein(s, a) <= 1) | F.arrays_overlap(swaps(a), swaps(b))
+    return F.when(a == b, 0).when((plain == 1) | one, 1).when((plain == 2) | two, 2).otherwise(3)
+
+
+def by_typos(names: DataFrame, protected: DataFrame, most: int = 2, long: int = 8) -> DataFrame:
+    """(name, target, distance): names up to ``most`` (1 or 2) edits or swaps away; two only for targets of ``long`` letters and more.
+
+    Names within two edits share a spelling with at most two letters left out.
+    """
+    fewer = lambda c: F.array_distinct(F.flatten(F.transform(deletions(c), deletions))) if most > 1 else deletions(c)
+    a = names.select("name").distinct().select("name", F.explode(fewer(F.col("name"))).alias("d"))
+    b = protected.select("name").distinct().select(F.col("name").alias("target"), F.explode(fewer(F.col("name"))).alias("d"))
+    pairs = a.join(b, "d").filter("name <> target").select("name", "target").distinct().withColumn("distance", edits(F.col("name"), F.col("target")))
+    return pairs.filter((F.col("distance") == 1) | ((F.col("distance") <= most) & (F.length("target") >= long)))
+
+
 def by_typo(names: DataFrame, protected: DataFrame) -> DataFrame:
     """(name, target, distance): names one edit or one swap of neighbours away.
 

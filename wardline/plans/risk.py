@@ -68,7 +68,7 @@ def fusion_override_ladder(spark: SparkSession, sf: str) -> DataFrame:
 @query(
     """WITH o AS (SELECT l_orderkey AS k, list({'p': l_partkey, 'd': l_discount, 'f': l_returnflag}) AS urls FROM lineitem GROUP BY 1)
 SELECT k, len(list_filter(urls, lambda u: u.f = 'R')) > 0 AS hard_bad, len(list_filter(urls, lambda u: u.p % 50 = 0)) > 0 AS strong_brand, len(list_filter(urls, lambda u: u.d > 0.05)) = 0 AS all_trusted,
-  CASE WHEN len(list_filter(urls, lambda u: u.f = 'R')) > 0 THEN 'Blocked; indicators added to the local threat feed and the graph.' ELSE 'Delivered normally.' END AS action FROM o"""
+  CASE WHEN len(list_filter(urls, lambda u: u.f = 'R')) > 0 THEN 'block_and_list' ELSE 'deliver' END AS action FROM o"""
 )
 def evidence_flags(spark: SparkSession, sf: str) -> DataFrame:
     """Flags over each order's nested items, and what the playbook does."""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -31,67 +31,167 @@ def distinct_messages(rows: DataFrame, key: str = "message_id", time: str = "ts"
     return rows.withWatermark(time, late).dropDuplicatesWithinWatermark([key]) if rows.isStreaming else rows.dropDuplicates([key])
 
 
+#: How late a call may come, and how long after its last call a key is remembered, in the time of the calls.
+LATE, IDLE_MS = "10 minutes", 3_600_000
+
+
+def _forget_later(state: GroupState, last: float) -> None:
+    state.setTimeoutTimestamp(max(state.getCurrentWatermarkMs(), int(last * 1000)) + IDLE_MS)
+
+
+def _together(batches: Iterator[pd.DataFrame]) -> pd.DataFrame:
+    """All rows of a key in this micro-batch, in time order; its parts may come in any order."""
+    rows = list(batches)
+    return pd.concat(rows).sort_values("ts", kind="stable") if rows else pd.DataFrame()
+
+
 def rate_limited(rows: DataFrame, per_minute: float, burst: int) -> DataFrame:
-    """(client, ts, allowed): a token bucket for each client, refilled by the time between its calls."""
+    """(client, ts, allowed): a token bucket for each client, refilled by the time between its calls.
+
+    A client idle for IDLE_MS is forgotten, and starts with a full bucket.
+    """
 
     def calls(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         tokens, last = state.get if state.exists else (float(burst), None)
-        for batch in batches:
-            batch = batch.sort_values("ts")
-            out = []
-            for ts in batch["ts"]:
-                now = ts.timestamp()
-                tokens = tokens if last is None else min(float(burst), tokens + max(0.0, now - last) * per_minute / 60)
-                ok = tokens >= 1
-                tokens, last = tokens - ok, now
-                out.append(ok)
-            yield pd.DataFrame({"client": key[0], "ts": batch["ts"], "allowed": out})
-        if last is not None:
-            state.update((tokens, last))
-
-    return rows.groupBy("client").applyInPandasWithState(calls, "client string, ts timestamp, allowed boolean", "tokens double, last double", "append", GroupStateTimeout.NoTimeout)
+        batch, out = _together(batches), []
+        for ts in batch["ts"]:
+            now = ts.timestamp()
+            tokens = tokens if last is None else min(float(burst), tokens + max(0.0, now - last) * per_minute / 60)
+            ok = tokens >= 1
+            tokens, last = tokens - ok, now
+            out.append(ok)
+        state.update((tokens, last))
+        _forget_later(state, last)
+        yield pd.DataFrame({"client": key[0], "ts": batch["ts"], "allowed": out})
+
+    return rows.withWatermark("ts", LATE).groupBy("client").applyInPandasWithState(calls, "client string, ts timestamp, allowed boolean", "tokens double, last double", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def breaker_events(rows: DataFrame, threshold: int = 4, cooldown: float = 120.0) -> DataFrame:
-    """(provider, ts, state): closed, open or half-open before each call; consecutive failures open it."""
+    """(provider, ts, state): closed, open or half-open before each call; consecutive failures open it.
+
+    Calls while it is open are refused and change nothing. After the cooldown one is tried: if it
+    fails, the breaker is open again from then on, if not, closed.
+    """
 
     def calls(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         failures, opened = state.get if state.exists else (0, 0.0)
-        for batch in batches:
-            batch = batch.sort_values("ts")
-            out = []
-            for ts, failed in zip(batch["ts"], batch["failed"], strict=True):
-                now = ts.timestamp()
-                out.append("closed" if failures < threshold else "half-open" if now - opened > cooldown else "open")
-                if failed:
-                    failures += 1
-                    opened = now if failures >= threshold else opened
-                else:
-                    failures = 0
-            yield pd.DataFrame({"provider": key[0], "ts": batch["ts"], "state": out})
+        batch, out = _together(batches), []
+        for ts, failed in zip(batch["ts"], batch["failed"], strict=True):
+            now = ts.timestamp()
+            out.append("closed" if failures < threshold else "half-open" if now - opened > cooldown else "open")
+            if out[-1] == "open":
+                continue
+            failures = failures + 1 if failed else 0
+            opened = now if failures >= threshold else opened
         state.update((int(failures), float(opened)))
+        _forget_later(state, now)
+        yield pd.DataFrame({"provider": key[0], "ts": batch["ts"], "state": out})
+
+    return rows.withWatermark("ts", LATE).groupBy("provider").applyInPandasWithState(calls, "provider string, ts timestamp, state string", "failures int, opened double", "append", GroupStateTimeout.EventTimeTimeout)
 
-    return rows.groupBy("provider").applyInPandasWithState(calls, "provider string, ts timestamp, state string", "failures int, opened double", "append", GroupStateTimeout.NoTimeout)
 
+#: Folders that keys are dealt over: a micro-batch rewrites those it touches.
+FOLDERS = 64
 
-def upsert_graph(path: str):
-    """A foreachBatch function that merges nodes and edges of each micro-batch into a versioned folder.
 
-    A batch that runs again overwrites its own version, so retries change nothing.
+def upsert_graph(path: str, folders: int = FOLDERS):
+    """A foreachBatch function that merges nodes and edges of each micro-batch into folders by a hash of their key.
+
+    The batch is read once. Only folders that it touches are written, each as the version of the batch; the one
+    before is kept, so a batch that runs again starts from what was there before it, and older ones are removed.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        nodes = batch.selectExpr("explode(array(src, dst)) as id", "risk", "malicious", "ts as first_seen", "ts as last_seen")
-        edges = batch.selectExpr("src", "dst", "rel", "1L as count", "confidence", "ts as first_seen", "ts as last_seen")
-        for name, new, merge in (("nodes", nodes, merge_nodes), ("edges", edges, merge_edges)):
-            if batch_id > 0:
-                new = new.unionByName(spark.read.parquet(f"{path}/{name}/{batch_id - 1}"))
-            merge(new).write.mode("overwrite").parquet(f"{path}/{name}/{batch_id}")
+        rows = batch.persist()
+        nodes = rows.selectExpr("explode(array(src, dst)) as id", "risk", "malicious", "ts as first_seen", "ts as last_seen")
+        edges = rows.selectExpr("src", "dst", "rel", "1L as count", "confidence", "ts as first_seen", "ts as last_seen")
+        for name, new, merge, key in (("nodes", nodes, merge_nodes, ["id"]), ("edges", edges, merge_edges, ["src", "dst", "rel"])):
+            spot = F.pmod(F.xxhash64(*key), F.lit(folders)).cast("int")
+            touched = sorted(r[0] for r in new.select(spot).distinct().collect())  # as many as there are folders, at most
+            versions = _versions(spark, f"{path}/{name}")
+            old = [f"{path}/{name}/folder={k}/version={max(v for v in versions[k] if v < batch_id)}" for k in touched if any(v < batch_id for v in versions.get(k, ()))]
+            both = new.unionByName(spark.read.parquet(*old)) if old else new
+            merged = merge(both).withColumn("folder", spot).repartition("folder")
+            for k in touched:
+                _delete(spark, f"{path}/{name}/folder={k}/version={batch_id}")
+                for v in sorted(v for v in versions.get(k, ()) if v < batch_id)[:-1]:
+                    _delete(spark, f"{path}/{name}/folder={k}/version={v}")
+            merged.withColumn("version", F.lit(batch_id)).write.mode("append").partitionBy("folder", "version").parquet(f"{path}/{name}")
+        rows.unpersist()
 
     return write
 
 
+def read_graph(spark: SparkSession, path: str, name: str) -> DataFrame:
+    """The nodes or edges that ``upsert_graph`` has written, at each folder's last version."""
+    last = [f"{path}/{name}/folder={k}/version={max(v)}" for k, v in sorted(_versions(spark, f"{path}/{name}").items())]
+    return spark.read.parquet(*last)
+
+
+def _listed(spark: SparkSession, path: str) -> list[str]:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    return [s.getPath().getName() for s in system.listStatus(where)] if system.exists(where) else []
+
+
+def _versions(spark: SparkSession, path: str) -> dict[int, list[int]]:
+    number = lambda names, kind: [int(n.split("=")[1]) for n in names if n.startswith(f"{kind}=")]
+    return {k: number(_listed(spark, f"{path}/folder={k}"), "version") for k in number(_listed(spark, path), "folder")}
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def refresh_feeds(spark: SparkSession, readers: dict, path: str, minutes: int = 30, available_now: bool = False):
+    """A started query that reads all feeds (name to a function of the session) every ``minutes``, five at least, and adds what is new to ``path``.
+
+    A feed that can't be read leaves what its last refresh brought.
+    """
+
+    def write(_: DataFrame, batch_id: int) -> None:
+        for name, reader in readers.items():
+            try:
+                new = reader(spark).withColumn("source", F.lit(name))
+                kept = spark.read.parquet(path) if _listed(spark, path) else None
+                rows = new if kept is None else new.join(kept, ["ioc_type", "value", "source"], "left_anti")
+                rows.dropDuplicates(["ioc_type", "value", "source"]).withColumn("batch", F.lit(batch_id)).write.mode("append").parquet(path)
+            except Exception as e:  # noqa: BLE001 - one broken feed must not stop the others
+                print(f"feed {name}: {e}")
+
+    ticks = spark.readStream.format("rate").option("rowsPerSecond", 1).load()
+    writer = ticks.writeStream.foreachBatch(write)
+    return writer.trigger(availableNow=True).start() if available_now else writer.trigger(processingTime=f"{max(5, minutes)} minutes").start()
+
+
+def latest_verdicts(rows: DataFrame) -> DataFrame:
+    """(id, phase, risk, decision, revised) of verdicts (id, phase, risk, decision): the last phase counts, ``revised`` if it changed the decision.
+
+    On a stream in update mode a detection is sent again when its full verdict follows the fast one.
+    """
+    last, first = F.max_by(F.struct("risk", "decision"), "phase"), F.min_by("decision", "phase")
+    out = rows.groupBy("id").agg(F.max("phase").alias("phase"), last.alias("v"), first.alias("fast"))
+    return out.select("id", "phase", "v.risk", "v.decision", (F.col("v.decision") != F.col("fast")).alias("revised"))
+
+
+def cached_lookup(rows: DataFrame, cache: DataFrame, key: str, hours: float = 6.0) -> DataFrame:
+    """Rows (key, ts, …) with the latest cache entry (key, fetched_at, …) that was no older than ``hours`` when the row came; null otherwise."""
+    entry = cache.select(F.col(key).alias("__k"), "fetched_at", F.struct(*cache.columns).alias("__e"))
+    numbered = rows.withColumn("__row", F.monotonically_increasing_id())
+    fresh = (F.col(key) == F.col("__k")) & (F.col("fetched_at") <= F.col("ts")) & (F.col("fetched_at") > F.col("ts") - F.expr(f"interval {int(hours * 3600)} seconds"))
+    best = numbered.select("__row", key, "ts").join(entry, fresh).groupBy("__row").agg(F.max_by("__e", "fetched_at").alias("__e"))
+    return numbered.join(best, "__row", "left").select(*rows.columns, *[F.col(f"__e.{c}").alias(c) for c in cache.columns if c != key])
+
+
 def recent_events(path: str, keep: int = 200):
     """A foreachBatch function that leaves the latest ``keep`` events of all batches so far, versioned like the graph."""
 
