@@ -27,6 +27,36 @@ def test_licenses_equal_brute_force(spark):
     assert "gpl-2.0" in got[9]["labels"] and "gpl-3.0" not in got[9]["labels"]
 
 
+def test_whole_licence_texts_are_found(spark):
+    """Each whole text inside prose, with a word put in and one left out, names its licence; half a page of it does too."""
+    rows, expect = [], {}
+    for k, (label, text, _) in enumerate(licenses.WHOLE):
+        ws = text.split()
+        del ws[len(ws) - 4]
+        rows.append((k, f"{prose(k, 50)} Copyright 2020 Somebody. {' '.join(ws)} {prose(k + 1, 50)}"))
+        expect[k] = label
+    got = {r["doc_id"]: (r["labels"].split(","), r["score"]) for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for k, label in expect.items():
+        assert label in got[k][0] and got[k][1] > 0.5, (k, label, got[k])
+    assert "gpl-3.0" not in got[[x for _, x in sorted(expect.items())].index("gpl-2.0")][0]
+
+
+def test_the_index_loses_no_match(spark):
+    """Places found by rare words against every place of every template."""
+    import numpy as np
+
+    index = licenses.build_index(spark.createDataFrame([(1, "the license of the software")], "doc_id long, text string"))
+    rng = np.random.default_rng(1)
+    for _ in range(150):
+        k = int(rng.integers(len(index.templates)))
+        label, word, _ = index.templates[k]
+        line = np.concatenate([np.full(5, -1), np.where(rng.random(len(word)) < rng.random() * 0.6, -1, word), np.full(5, -1)])
+        share = index.idf[word[line[5:-5] == word]].sum() / index.idf[word].sum()
+        phrases = all(len(licenses._find(line[5 - licenses.SLACK : 5 + len(word) + licenses.SLACK], p)) for p in index.templates[k][2])
+        if share >= licenses.LEAST_SHARE and phrases:
+            assert (label, 5) in {(f[0], f[1]) for f in licenses.match_templates(line, index)}
+
+
 def test_licenses_of_odd_rows(spark):
     out = licenses.scan(odd(spark)).collect()
     assert len(out) == len(odd_rows()) and all(r["n_words"] == 0 for r in out if r["doc_id"] in (3, 4, 5))
@@ -58,6 +88,15 @@ def test_secrets_equal_brute_force(spark):
     assert got[8]["spans"] == "novel:20:40" and got[9]["n_novel"] == 0
 
 
+def test_identifiers_come_from_the_corpus(spark):
+    df = spark.createDataFrame([(k, f"token use of reconcile_ledger and a9b8c7d6e5f4g3h2 here {k}") for k in range(5)] + [(9, "no context reconcile_other")], "doc_id long, text string")
+    words = secrets.identifiers(df).split()
+    assert "reconcile_ledger" in words and "a9b8c7d6e5f4g3h2" not in words and "reconcile_other" not in words
+    spans = [(0, 0, 10), (5, 1, 30), (60, 0, 70)]
+    text = "x" * 40 + " " + "auth qZ8rT2mW9xK4vB7nL1pS" + " " * 40
+    assert [s[:3] for s in secrets.novel_spans(text, spans)] == [] and [s[:3] for s in secrets.novel_spans(text, spans[:2])] == [(46, 3, 66)]
+
+
 def test_secrets_of_odd_rows(spark):
     assert len(secrets.scan(odd(spark)).collect()) == len(odd_rows())
     assert secrets.scan(empty(spark)).count() == 0

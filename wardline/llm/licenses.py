@@ -1,7 +1,15 @@
-"""License scans with a positional index of rare words."""
+"""License scans with a positional index of rare words.
+
+Templates are wordings of public licences, from one line to whole texts. The index holds,
+for each word, where it stands in the templates of whose rarest words it is one. A file's
+licence words are looked up from the highest inverse document frequency down; what they
+say about a template's place in the file is put together by relative position. The words
+of a template that are indexed weigh more than what a match may lack, so no match is lost.
+"""
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -49,8 +57,55 @@ TEMPLATES = (
     ("zlib", "this software is provided as is without any express or implied warranty in no event will the authors be held liable", ("without any express or implied warranty",)),
 )
 
-#: Rarest words of a template by which it is looked up, and how many of them must agree on its place.
-ANCHORS, AGREE = 4, 2
+# Whole texts and notices of public licences, with the phrases that a match must hold.
+WHOLE = (
+    ("mit", """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software
+without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software
+is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS
+PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL
+THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE
+USE OR OTHER DEALINGS IN THE SOFTWARE.""", ("permission is hereby granted free of charge",)),
+    ("isc", """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission
+notice appear in all copies. THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO
+EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT,
+NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.""", ("for any purpose with or without fee",)),
+    ("bsd-2-clause", """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must
+retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the
+following disclaimer in the documentation and/or other materials provided with the distribution. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED
+WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED.""", ("source and binary forms", "must reproduce the above copyright notice")),
+    ("bsd-3-clause", """2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials
+provided with the distribution. 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior
+written permission.""", ("endorse or promote products",)),
+    ("zlib", """This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is
+granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: 1. The origin of this software
+must not be misrepresented; you must not claim that you wrote the original software. 2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original
+software. 3. This notice may not be removed or altered from any source distribution.""", ("must not be misrepresented",)),
+    ("unlicense", """This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code
+form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means. In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all
+copyright interest in the software to the public domain.""", ("free and unencumbered software",)),
+    ("bsl-1.0", """Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the "Software") to use,
+reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so.""", ("any person or organization obtaining a copy",)),
+    ("apache-2.0", """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at
+http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS
+OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.""", ("except in compliance with the license",)),
+    ("gpl-3.0", """This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of
+the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR
+A PARTICULAR PURPOSE. See the GNU General Public License for more details.""", ("gnu general public license", "version 3 of the license")),
+    ("gpl-2.0", """This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of
+the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR
+A PARTICULAR PURPOSE. See the GNU General Public License for more details.""", ("gnu general public license", "version 2 of the license")),
+    ("lgpl", """This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1
+of the License, or (at your option) any later version.""", ("lesser general public license",)),
+    ("mpl-2.0", """This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.""", ("mozilla public license",)),
+)
+
+
+def _plain(text: str) -> str:
+    return " ".join(re.findall("[a-z0-9]+", text.lower()))
+
+
+ALL_TEMPLATES = (*TEMPLATES, *((label, _plain(text), phrases) for label, text, phrases in WHOLE))
+
 #: Share of a template's weight, by inverse document frequency, that must stand at its place.
 LEAST_SHARE = 0.5
 #: Words beyond either end of a template's place in which its key phrases may stand.
@@ -66,10 +121,11 @@ class Index:
     templates: tuple[tuple[str, np.ndarray, tuple[np.ndarray, ...]], ...]  # label, word numbers, phrases' word numbers
     anchors: dict[int, list[tuple[int, int]]]  # word number: (template, place)
     phrases: tuple[tuple[str, np.ndarray], ...]  # base phrases
+    indexed: np.ndarray  # whether a word has anchors
 
 
 def _vocabulary() -> list[str]:
-    texts = [t for _, t, _ in TEMPLATES] + [p for _, _, ps in TEMPLATES for p in ps] + [p for _, p in BASE_PHRASES]
+    texts = [t for _, t, _ in ALL_TEMPLATES] + [p for _, _, ps in ALL_TEMPLATES for p in ps] + [p for _, p in BASE_PHRASES]
     return sorted({w for t in texts for w in t.split()})
 
 
@@ -113,12 +169,19 @@ def build_index(docs: DataFrame, text: str = "text") -> Index:
     n = rows.get(-1, 0)
     idf = np.array([np.log((n + 1) / (rows.get(k, 0) + 1)) + 1 for k in range(len(vocabulary))])
     seq = lambda t: np.array([number[w] for w in t.split()])
-    templates = tuple((label, seq(t), tuple(seq(p) for p in ps)) for label, t, ps in TEMPLATES)
+    templates = tuple((label, seq(t), tuple(seq(p) for p in ps)) for label, t, ps in ALL_TEMPLATES)
     anchors: dict[int, list[tuple[int, int]]] = {}
     for k, (_, word, _) in enumerate(templates):
-        for q in sorted(range(len(word)), key=lambda q: (-idf[word[q]], q))[:ANCHORS]:
+        # the rarest words that together weigh more than a match may lack: it holds one of them
+        weight, lack = idf[word], (1 - LEAST_SHARE) * idf[word].sum()
+        for q in np.lexsort((np.arange(len(word)), -weight)).tolist():
+            if lack < -1e-9:
+                break
             anchors.setdefault(int(word[q]), []).append((k, q))
-    return Index(tuple(vocabulary), idf, templates, anchors, tuple((label, seq(p)) for label, p in BASE_PHRASES))
+            lack -= weight[q]
+    indexed = np.zeros(len(vocabulary), bool)
+    indexed[list(anchors)] = True
+    return Index(tuple(vocabulary), idf, templates, anchors, tuple((label, seq(p)) for label, p in BASE_PHRASES), indexed)
 
 
 def _find(line: np.ndarray, phrase: np.ndarray) -> np.ndarray:
@@ -135,25 +198,26 @@ def _find(line: np.ndarray, phrase: np.ndarray) -> np.ndarray:
 def match_templates(line: np.ndarray, index: Index) -> list[tuple[str, int, float]]:
     """(label, start, share) of each template that stands in a text of word numbers.
 
-    Each rare word names the templates' places that it speaks for; places named by
-    enough rare words are scored by the weight of the words that stand where they
+    The text's words are looked up from the rarest on. Each names the templates' places that
+    it speaks for; a place is scored once, by the weight of the words that stand where they
     should, and kept if all key phrases are there.
     """
-    votes: dict[tuple[int, int], int] = {}
-    for p in np.flatnonzero(line >= 0).tolist():
-        for k, q in index.anchors.get(int(line[p]), ()):
-            votes[k, p - q] = votes.get((k, p - q), 0) + 1
+    at = np.flatnonzero(index.indexed[line] & (line >= 0))
+    at = at[np.argsort(-index.idf[line[at]], kind="stable")]
+    places: dict[tuple[int, int], None] = {}
+    for p, w in zip(at.tolist(), line[at].tolist(), strict=True):
+        for k, q in index.anchors[w]:
+            places[k, p - q] = None
     found = []
-    for (k, start), n in votes.items():
+    for k, start in places:
         label, word, phrases = index.templates[k]
-        if n < min(AGREE, len(word)):
-            continue
         a, b = max(0, start), min(len(line), start + len(word))
         same = line[a:b] == word[a - start : b - start]
         share = float(index.idf[word[a - start : b - start][same]].sum() / index.idf[word].sum())
-        around = line[max(0, start - SLACK) : start + len(word) + SLACK]
-        if share >= LEAST_SHARE and all(len(_find(around, p)) for p in phrases):
-            found.append((label, start, share))
+        if share >= LEAST_SHARE:
+            around = line[max(0, start - SLACK) : start + len(word) + SLACK]
+            if all(len(_find(around, p)) for p in phrases):
+                found.append((label, start, share))
     return found
 
 
