@@ -26,17 +26,18 @@ def fuse(scores: dict[str, Column]) -> Column:
 
 
 def override(final: Column, nlp: Column, meta: Column, hard_bad: Column, strong_brand: Column, trusted: Column, evasion: Column, families: Column, verified: Column, guard: Column) -> Column:
-    """The ladder of floors, caps and discounts; its order is its meaning."""
+    """The ladder of floors, caps and discounts; its order is its meaning.
+
+    Each step names the score so far once (the one for evasion twice), so the expression stays as long as the ladder;
+    a condition that doesn't hold gives null, which neither greatest nor least looks at.
+    """
     zero = lambda c: F.coalesce(c, F.lit(0.0))
     soft = ~hard_bad & ~strong_brand
-    final = F.when(hard_bad, F.greatest(final, F.lit(92.0))).otherwise(final)
-    final = F.when(strong_brand & (zero(nlp) >= 40), F.greatest(final, F.lit(85.0))).otherwise(final)
-    final = F.when(evasion & (final >= 30), F.least(F.lit(100.0), final + 8)).otherwise(final)
-    cap = F.when(zero(nlp) >= 70, 45.0).otherwise(30.0)
-    final = F.when(trusted & soft & (zero(meta) < 40), F.least(final, cap)).otherwise(final)
-    final = F.when(soft & (families == 0), F.least(final, F.lit(40.0))).when(soft & (families == 1), F.least(final, F.lit(55.0))).otherwise(final)
-    final = F.when(verified & soft, final * 0.6).otherwise(final)
-    final = F.when(guard, F.greatest(final, F.lit(refdata.THRESHOLDS[0] + 5))).otherwise(final)
+    final = F.greatest(final, F.when(hard_bad, 92.0), F.when(strong_brand & (zero(nlp) >= 40), 85.0))
+    final = F.least(F.lit(100.0), final + F.when(evasion & (final >= 30), 8.0).otherwise(0.0))
+    final = F.least(final, F.when(trusted & soft & (zero(meta) < 40), F.when(zero(nlp) >= 70, 45.0).otherwise(30.0)), F.when(soft & (families == 0), 40.0).when(soft & (families == 1), 55.0))
+    final = final * F.when(verified & soft, 0.6).otherwise(1.0)
+    final = F.greatest(final, F.when(guard, refdata.THRESHOLDS[0] + 5))
     return F.least(F.lit(100.0), F.greatest(F.lit(0.0), final))
 
 

@@ -65,11 +65,38 @@ def rate(condition: Column, among: Column) -> Column:
     return F.count_if(condition & among) / F.nullif(F.count_if(among), F.lit(0))
 
 
+def _ranged(counts: DataFrame, by: list[str], order: Column, sums: dict[str, str]) -> DataFrame:
+    """``counts`` with running sums over ``by`` in ``order``, its row's own included: new columns named by ``sums`` (column: name).
+
+    Rows are cut into ranges of the order, each summed by itself; what the ranges before it come to is added.
+    There are as many ranges as shuffle partitions, so the second step has that many rows a group.
+    """
+    spark = counts.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    cut = counts.repartitionByRange(n, *by, order).withColumn("__part", F.spark_partition_id())
+    own = Window.partitionBy(*by, "__part").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    inside = cut.withColumns({name: F.sum(c).over(own) for c, name in sums.items()})
+    totals = inside.groupBy(*by, "__part").agg(*[F.sum(c).alias(f"__{name}") for c, name in sums.items()])
+    before = Window.partitionBy(*by).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    totals = totals.withColumns({f"__{name}": F.coalesce(F.sum(f"__{name}").over(before), F.lit(0)) for name in sums.values()})
+    met = inside.join(totals, [*by, "__part"])
+    return met.withColumns({name: F.col(name) + F.col(f"__{name}") for name in sums.values()}).drop("__part", *[f"__{name}" for name in sums.values()])
+
+
 def latency_quantiles(rows: DataFrame, value: str, by: str) -> DataFrame:
-    """(by, n, p50, p95, p99): p50 is the true median, the others are the value at place min(n - 1, floor(n * p))."""
-    counted = rows.withColumn("__n", F.count(F.lit(1)).over(Window.partitionBy(by))).withColumn("__k", F.row_number().over(Window.partitionBy(by).orderBy(value)) - 1)
-    at = lambda p: F.max(F.when(F.col("__k") == F.least(F.col("__n") - 1, F.floor(F.col("__n") * p)), F.col(value)))
-    return counted.groupBy(by).agg(F.count(F.lit(1)).alias("n"), F.expr(f"percentile({value}, 0.5)").alias("p50"), at(0.95).alias("p95"), at(0.99).alias("p99"))
+    """(by, n, p50, p95, p99): p50 is the true median, the others are the value at place min(n - 1, floor(n * p)).
+
+    Equal values are counted first, in partial sums; places are found in the running sums of the counts.
+    """
+    counts = rows.filter(F.col(value).isNotNull()).groupBy(by, value).agg(F.count(F.lit(1)).alias("__c"))
+    total = rows.groupBy(by).agg(F.count(F.lit(1)).alias("n"), F.count(value).alias("__n"))
+    placed = _ranged(counts, [by], F.col(value), {"__c": "__to"}).join(total, by)
+    holds = lambda k: (F.col("__to") > k) & (F.col("__to") - F.col("__c") <= k)
+    at = lambda k: F.max(F.when(holds(k), F.col(value)))
+    n = F.col("__n")
+    place = lambda p: F.least(n - 1, F.floor(n * p))
+    out = placed.groupBy(by, "n").agg(((at(F.floor((n - 1) / 2)) + at(F.floor(n / 2))) / 2).alias("p50"), at(place(0.95)).alias("p95"), at(place(0.99)).alias("p99"))
+    return out.select(by, "n", "p50", "p95", "p99")
 
 
 def confusion(rows: DataFrame, score: Column, label: Column, threshold: float = 0.5) -> DataFrame:
@@ -88,16 +115,15 @@ def by_score(rows: DataFrame, score: Column, label: Column) -> DataFrame:
 
 def roc_auc(rows: DataFrame, score: Column, label: Column) -> DataFrame:
     """(auc): chance that a positive scores above a negative, ties counting half."""
-    order = Window.orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
-    below = by_score(rows, score, label).withColumn("below", F.coalesce(F.sum("neg").over(order), F.lit(0)))
-    total = below.agg(F.sum(F.col("pos") * (F.col("below") + F.col("neg") / 2)).alias("u"), F.sum("pos").alias("p"), F.sum("neg").alias("n"))
+    upto = _ranged(by_score(rows, score, label), [], F.col("score"), {"neg": "upto"})
+    total = upto.agg(F.sum(F.col("pos") * (F.col("upto") - F.col("neg") / 2)).alias("u"), F.sum("pos").alias("p"), F.sum("neg").alias("n"))
     return total.select((F.col("u") / F.nullif(F.col("p") * F.col("n"), F.lit(0))).alias("auc"))
 
 
 def average_precision(rows: DataFrame, score: Column, label: Column) -> DataFrame:
     """(ap): precision at each distinct score, weighted by the recall that it adds."""
-    order = Window.orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
-    cum = by_score(rows, score, label).select("pos", F.sum("pos").over(order).alias("tp"), F.sum(F.col("pos") + F.col("neg")).over(order).alias("n"))
+    counted = by_score(rows, score, label).withColumn("all", F.col("pos") + F.col("neg")).withColumn("down", -F.col("score"))
+    cum = _ranged(counted, [], F.col("down"), {"pos": "tp", "all": "n"})
     return cum.agg((F.sum(F.col("pos") * F.col("tp") / F.col("n")) / F.nullif(F.sum("pos"), F.lit(0))).alias("ap"))
 
 

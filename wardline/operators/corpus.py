@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -11,18 +11,24 @@ def conflicting_keys(labelled: DataFrame, key: list[str], label: str) -> DataFra
     return labelled.groupBy(*key).agg(F.min(label).alias("lo"), F.max(label).alias("hi")).filter("lo <> hi").select(*key)
 
 
+def _first(rows: DataFrame, key: str, order: str) -> DataFrame:
+    """(key, order) of the first row of each key: partial minima, so a key with a third of all rows is a row a task."""
+    return rows.groupBy(F.col(key).alias("__key")).agg(F.min(order).alias("__order"))
+
+
 def deduplicate(rows: DataFrame, key: str, order: str) -> DataFrame:
-    """The first row of each key by ``order``; conflicts are to be removed before."""
-    first = Window.partitionBy(key).orderBy(order)
-    return rows.withColumn("__r", F.row_number().over(first)).filter("__r = 1").drop("__r")
+    """The first row of each key by ``order``, which tells rows of a key apart; conflicts are to be removed before."""
+    first = _first(rows, key, order)
+    return rows.join(first, rows[key].eqNullSafe(first["__key"]) & (rows[order] == first["__order"]), "left_semi")
 
 
 def clean_corpus(rows: DataFrame, seen: DataFrame, key: str, order: str, size: Column, least: int) -> DataFrame:
-    """``rows`` with ``outcome``: short, seen, duplicate or kept."""
+    """``rows`` with ``outcome``: short, seen, duplicate or kept; ``order`` tells rows of a key apart."""
     known = seen.select(key).distinct().withColumn("__seen", F.lit(True))
-    ranked = rows.withColumn("__r", F.row_number().over(Window.partitionBy(key).orderBy(order))).join(known, key, "left")
-    outcome = F.when(size < least, "short").when(F.col("__seen"), "seen").when(F.col("__r") > 1, "duplicate").otherwise("kept")
-    return ranked.withColumn("outcome", outcome).drop("__r", "__seen")
+    first = _first(rows, key, order)
+    marked = rows.join(first, rows[key].eqNullSafe(first["__key"]) & (rows[order] == first["__order"]), "left").join(known, key, "left")
+    outcome = F.when(size < least, "short").when(F.col("__seen"), "seen").when(F.col("__order").isNull(), "duplicate").otherwise("kept")
+    return marked.withColumn("outcome", outcome).drop("__key", "__order", "__seen")
 
 
 def hash_sample(rows: DataFrame, key: str, n: int, seed: int = 0) -> DataFrame:
