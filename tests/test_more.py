@@ -4,9 +4,10 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
+from wardline import ml
 from wardline.functions import obfuscation, scores
 from wardline.operators import brands, campaigns, corpus, feedback, graph, lookalike
-from wardline.sources import messages
+from wardline.sources import feeds, messages
 
 T0 = dt.datetime(2024, 1, 1)
 
@@ -73,3 +74,14 @@ def test_small_functions(spark):
     assert one.select(F.round(scores.text_score(F.col("m"), F.col("i"), F.lit(True)), 6)).first()[0] == 0.65
     assert one.select(F.round(scores.text_score(F.col("m"), F.col("i"), F.lit(False)), 6)).first()[0] == 0.3
     assert spark.createDataFrame([("xn--pypal-4ve.com",)], "h string").select(obfuscation.to_unicode(F.col("h"))).first()[0].startswith("p")
+
+
+def test_removed_indicators_stay_removed(spark):
+    feed = spark.createDataFrame([("url", "a"), ("url", "b"), ("domain", "a")], "ioc_type string, value string")
+    kept = feeds.without_removed(feed, spark.createDataFrame([("url", "a")], "ioc_type string, value string"))
+    assert sorted(map(tuple, kept.collect())) == [("domain", "a"), ("url", "b")]
+
+
+def test_blended_models(spark):
+    a, b = spark.createDataFrame([(1, 0.2), (2, 0.8)], "id int, p double"), spark.createDataFrame([(1, 0.6), (2, None)], "id int, p double")
+    assert {r["id"]: round(r["p"], 6) for r in ml.blend([a, b], "id", [3.0, 1.0]).collect()} == {1: 0.3, 2: 0.8}

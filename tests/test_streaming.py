@@ -101,3 +101,11 @@ def test_verdicts_stream_in_two_phases(spark, tmp_path):
     stream.writeStream.format("memory").queryName("verdicts").outputMode("update").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "c")).start().awaitTermination()
     last = {r["id"]: (r["decision"], r["revised"]) for r in spark.sql("select * from verdicts").collect()}
     assert last == {1: ("BLOCK", True), 2: ("ALLOW", False)}
+
+
+def test_messages_get_a_verdict_as_they_come(spark, tmp_path):
+    rows = [(1, T0, "URGENT: verify your account, share the OTP"), (2, T0, "see you at lunch"), (3, T0, None)]
+    schema = "id int, ts timestamp, text string"
+    got = {r["id"]: (r["intents"], r["score"], r["decision"]) for r in replay(spark, tmp_path, rows, schema, Q.scored_messages)}
+    assert got == {r["id"]: (r["intents"], r["score"], r["decision"]) for r in Q.scored_messages(spark.createDataFrame(rows, schema)).collect()}
+    assert got[1][0] == ["credential_request", "otp_request", "urgency"] and got[1][1:] == (59.1, "FLAG") and got[2][2] == "ALLOW" and got[3][1] == 0.0

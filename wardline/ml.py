@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.clustering import KMeans
@@ -84,3 +86,10 @@ def contributions(rows: DataFrame, weights: DataFrame, key: str, terms: Column,
     each = rows.select(key, F.explode(F.array_distinct(terms)).alias("term")).join(weights, "term").filter("weight > 0")
     found = each.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("weight", "term")), asc=False).alias("r"))
     return found.select(key, F.slice("r", 1, most).alias("reasons"))
+
+
+def blend(scored: list[DataFrame], key: str, weights: list[float] | None = None, name: str = "p") -> DataFrame:
+    """(key, p): weighted mean of the probabilities of several models over the same rows; rows that one model lacks take the others' mean."""
+    weights = weights or [1.0] * len(scored)
+    rows = [df.select(key, (F.col(name) * w).alias("__s"), F.when(F.col(name).isNotNull(), w).alias("__w")) for df, w in zip(scored, weights, strict=True)]
+    return reduce(DataFrame.unionAll, rows).groupBy(key).agg((F.sum("__s") / F.sum("__w")).alias(name))

@@ -177,6 +177,11 @@ def bad_paths(edges: DataFrame, spec: DataFrame, seeds: DataFrame, bad: DataFram
     return found.withColumn("__r", F.row_number().over(best)).filter("__r = 1").drop("__r")
 
 
+def bad_proximity(paths: DataFrame) -> DataFrame:
+    """(seed, proximity) of paths (seed, hops, spec): specificity over distance, summed, halved and capped at 1."""
+    return paths.groupBy("seed").agg(F.least(F.lit(1.0), F.sum(F.col("spec") / F.col("hops")) / 2).alias("proximity"))
+
+
 def shared_infrastructure(edges: DataFrame, rels: tuple[str, ...], least: float = 0.3, base: float = 0.9) -> DataFrame:
     """(a, b, n, overlap): pairs of sources that share targets specific enough; overlap adds up and is capped.
 

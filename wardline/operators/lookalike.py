@@ -115,3 +115,27 @@ def attacks(names: DataFrame) -> DataFrame:
     named = lambda kind, v: F.transform(v, lambda x: F.struct(F.lit(kind).alias("kind"), x.alias("attack")))
     made = F.flatten(F.array(*[named(k, v) for k, v in kinds.items()]))
     return names.select("name", F.explode(F.array_distinct(made)).alias("m")).select("name", "m.kind", "m.attack").filter("attack <> name and attack <> ''")
+
+
+#: Neighbours on a QWERTY keyboard, row by row.
+_ROWS = ("qwertyuiop", "asdfghjkl", "zxcvbnm")
+#: Letters of other scripts that look like Latin ones.
+_FOREIGN = ("aeopcxy", "аеорсху")
+
+
+def wider_attacks(names: DataFrame, suffix: str = "com") -> DataFrame:
+    """(name, kind, attack): a neighbouring key for each letter, letters of other scripts, the name as a subdomain, under other suffixes, with hyphens."""
+    name, n = F.col("name"), F.length("name")
+    spots = F.sequence(F.lit(1), n)
+    put = lambda i, c: F.concat(F.substring(name, F.lit(1), i - 1), c, F.substring(name, i + 1, n))
+    left = {b: a for row in _ROWS for a, b in zip(row, row[1:], strict=False)}
+    right = {a: b for row in _ROWS for a, b in zip(row, row[1:], strict=False)}
+    shift = lambda table: F.transform(spots, lambda i: put(i, F.translate(F.substring(name, i, F.lit(1)), "".join(table), "".join(table.values()))))
+    dot = F.lit(f".{suffix}")
+    kinds = {
+        "keyboard": F.concat(shift(left), shift(right)), "homoglyph": F.transform(spots, lambda i: put(i, F.translate(F.substring(name, i, F.lit(1)), *_FOREIGN))),
+        "subdomain": F.array(F.concat(name, dot, F.lit(".verify.example")), F.concat(F.lit("login."), name, F.lit("-secure.example"))), "tld_swap": F.transform(F.array(*map(F.lit, ("net", "org", "xyz", "top"))), lambda t: F.concat(name, F.lit("."), t)),
+        "hyphenation": F.transform(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), lambda i: F.concat(F.substring(name, F.lit(1), i), F.lit("-"), F.substring(name, i + 1, n))),
+    }
+    named = lambda kind, v: F.transform(F.array_distinct(v), lambda x: F.struct(F.lit(kind).alias("kind"), x.alias("attack")))
+    return names.select("name", F.explode(F.flatten(F.array(*[named(k, v) for k, v in kinds.items()]))).alias("m")).select("name", "m.kind", "m.attack").filter("attack <> name")

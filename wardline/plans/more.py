@@ -8,10 +8,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from wardline import refdata
 from wardline.functions import extract as E
 from wardline.functions import screens
 from wardline.functions import text as X
 from wardline.functions import urls as U
+from wardline.functions.scores import decision
+from wardline.functions.splits import cross_splits
+from wardline.operators import analytics as A
 from wardline.operators import brands as B
 from wardline.operators import campaigns as C
 from wardline.operators import graph as G
@@ -497,3 +501,44 @@ def suppressed_terms(spark: SparkSession, sf: str) -> DataFrame:
     """Terms, best first, without those that overlap a better one."""
     rows = spark.createDataFrame([(1, [("paypal", 0.9), ("pay", 0.8), ("verify", 0.5), ("verify-now", 0.4)]), (2, [("ab", 1.0), ("abc", 0.5)])], "id long, terms array<struct<term:string,weight:double>>")
     return rows.select("id", F.array_join(F.transform(S.substring_suppressed(F.col("terms")), lambda t: t["term"]), ",").alias("kept"))
+
+
+@query(
+    """WITH s AS (SELECT DISTINCT source AS train_on FROM documents), p AS (SELECT a.train_on, b.train_on AS test_on FROM s a, s b WHERE a.train_on <> b.train_on)
+SELECT train_on, test_on, 'train' AS part, count(*) AS n FROM documents JOIN p ON source = train_on GROUP BY 1, 2 UNION ALL SELECT train_on, test_on, 'test', count(*) FROM documents JOIN p ON source = test_on GROUP BY 1, 2"""
+)
+def cross_source_splits(spark: SparkSession, sf: str) -> DataFrame:
+    """Each source of documents as training and as test set of every other one."""
+    return cross_splits(table(spark, sf, "documents").select("doc_id", "source")).groupBy("train_on", "test_on", "part").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("WITH p AS (SELECT l_suppkey AS seed, l_linenumber AS hops, l_discount AS spec FROM lineitem WHERE l_returnflag = 'R') SELECT seed, round(least(1.0, sum(spec / hops) / 2), 6) AS proximity FROM p GROUP BY seed")
+def graph_bad_proximity(spark: SparkSession, sf: str) -> DataFrame:
+    """Returned line items as paths of a supplier."""
+    lines = table(spark, sf, "lineitem").filter("l_returnflag = 'R'").select(F.col("l_suppkey").alias("seed"), F.col("l_linenumber").alias("hops"), F.col("l_discount").alias("spec"))
+    return G.bad_proximity(lines).select("seed", F.round("proximity", 6).alias("proximity"))
+
+
+@query("SELECT event_id, CASE WHEN value >= 85 THEN 'block_and_list' WHEN value >= 60 THEN 'hold_for_review' WHEN value >= 30 THEN 'deliver_with_banner' ELSE 'deliver' END AS action FROM events")
+def decision_actions(spark: SparkSession, sf: str) -> DataFrame:
+    """What follows each decision; all four of them."""
+    actions = F.create_map(*[F.lit(x) for pair in refdata.PLAYBOOK for x in pair])
+    return table(spark, sf, "events").select("event_id", actions[decision(F.col("value"))].alias("action"))
+
+
+@query(
+    "SELECT event_type, round(count(*) FILTER (value >= 60 AND user_id % 3 = 0) / nullif(count(*) FILTER (user_id % 3 = 0), 0), 6) AS caught, round(count(*) FILTER (value >= 60 AND user_id % 3 = 1) / nullif(count(*) FILTER (user_id % 3 = 1), 0), 6) AS alarms FROM events GROUP BY 1"
+)
+def rates_of_verdicts(spark: SparkSession, sf: str) -> DataFrame:
+    """Two rates over their own rows: a third of the users as bad ones, a third as good ones."""
+    on, user = F.col("value") >= 60, F.col("user_id") % 3
+    return table(spark, sf, "events").groupBy("event_type").agg(F.round(A.rate(on, user == 0), 6).alias("caught"), F.round(A.rate(on, user == 1), 6).alias("alarms"))
+
+
+KINDS = [("kiosk", "homoglyph", 1), ("kiosk", "hyphenation", 4), ("kiosk", "keyboard", 10), ("kiosk", "subdomain", 2), ("kiosk", "tld_swap", 4)]
+
+
+@query(stated("name kind n", KINDS))
+def attack_kinds(spark: SparkSession, sf: str) -> DataFrame:
+    """How many forged spellings of each further kind a name has."""
+    return L.wider_attacks(spark.createDataFrame([("kiosk",)], "name string")).groupBy("name", "kind").agg(F.count(F.lit(1)).alias("n"))

@@ -75,3 +75,8 @@ def merge_iocs(existing: DataFrame, incoming: DataFrame) -> tuple[DataFrame, Dat
     key = ["ioc_type", "value", "source"]
     new = incoming.dropDuplicates(key).join(existing.select(*key), key, "left_anti")
     return existing.unionByName(new, allowMissingColumns=True), new.groupBy("source").agg(F.count(F.lit(1)).alias("n_new"))
+
+
+def without_removed(feed: DataFrame, removed: DataFrame) -> DataFrame:
+    """A feed read again, without the indicators (ioc_type, value) that analysts have removed before: the list is remembered, the feed isn't."""
+    return feed.join(removed.select("ioc_type", "value").distinct(), ["ioc_type", "value"], "left_anti")

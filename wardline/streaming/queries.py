@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from wardline.functions.scores import decision
+from wardline.functions.text import intent_hits, intent_score
 from wardline.operators.graph import merge_edges, merge_nodes
 
 
@@ -173,6 +175,13 @@ def refresh_feeds(spark: SparkSession, readers: dict, path: str, minutes: int =
     return writer.trigger(availableNow=True).start() if available_now else writer.trigger(processingTime=f"{max(5, minutes)} minutes").start()
 
 
+def scored_messages(rows: DataFrame) -> DataFrame:
+    """(id, ts, intents, score, decision) of messages (id, ts, text): the fast verdict, row by row, so a stream needs no state for it."""
+    hits = rows.withColumn("hits", intent_hits(F.col("text")))
+    score = F.round(100 * intent_score(F.coalesce("hits", F.array().cast("array<struct<id:string,weight:double,evidence:array<string>>>"))), 1)
+    return hits.select("id", "ts", F.array_sort(F.transform("hits", lambda h: h["id"])).alias("intents"), score.alias("score"), decision(score).alias("decision"))
+
+
 def latest_verdicts(rows: DataFrame) -> DataFrame:
     """(id, phase, risk, decision, revised) of verdicts (id, phase, risk, decision): the last phase counts, ``revised`` if it changed the decision.
 
