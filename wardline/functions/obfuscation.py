@@ -82,6 +82,24 @@ def to_unicode(host: pd.Series) -> pd.Series:
     return host.map(lambda h: None if h is None else ".".join(label(x) for x in h.split(".")))
 
 
+@pandas_udf(StringType())
+def to_ascii(host: pd.Series) -> pd.Series:
+    """Host with each label that needs it as punycode; labels that have no such form stay. No built-in encodes punycode."""
+
+    def label(x: str) -> str:
+        try:
+            return x if x.isascii() else x.encode("idna").decode("ascii")
+        except UnicodeError:
+            return x
+
+    return host.map(lambda h: None if h is None else ".".join(label(x) for x in h.split(".")))
+
+
+def script_features(host: Column) -> dict[str, Column]:
+    """has_unicode and mixed_script of a host as it displays."""
+    return {"has_unicode": F.coalesce(host.rlike(r"[^\x00-\x7F]"), F.lit(False)).cast("long"), "mixed_script": F.coalesce(mixed_script(host), F.lit(False)).cast("long")}
+
+
 #: Single letters with one separator between each, four and more of them.
 _SPACED = re.compile(r"(?<![^\W_])[A-Za-z](?:[-_.* ][A-Za-z]){3,}(?![^\W_])")
 

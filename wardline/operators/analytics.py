@@ -55,9 +55,10 @@ def psi(rows: DataFrame, score: Column, recent: Column, least: int = 20) -> Data
     return one.select("n_old", "n_recent", F.when((F.col("n_old") >= least) & (F.col("n_recent") >= least), F.round("s", 4)).alias("psi"))
 
 
-def new_values(rows: DataFrame, values: list[str], recent: Column) -> DataFrame:
-    """Values that only recent rows have."""
-    return rows.groupBy(*values).agg(F.max((~recent).cast("int")).alias("__old")).filter("__old = 0").drop("__old")
+def new_values(rows: DataFrame, values: list[str], recent: Column, most: int | None = None) -> DataFrame:
+    """Values that only recent rows have; for a report the ``most`` frequent ones with how often they occur, ties in order."""
+    found = rows.groupBy(*values).agg(F.max((~recent).cast("int")).alias("__old"), F.count(F.lit(1)).alias("n")).filter("__old = 0").drop("__old")
+    return found.drop("n") if most is None else found.orderBy(F.desc("n"), *values).limit(most)
 
 
 def rate(condition: Column, among: Column) -> Column:

@@ -13,6 +13,7 @@ from wardline.functions import extract as E
 from wardline.functions import screens
 from wardline.functions import text as X
 from wardline.functions import urls as U
+from wardline.functions.obfuscation import script_features, to_ascii
 from wardline.functions.scores import decision
 from wardline.functions.splits import cross_splits
 from wardline.operators import analytics as A
@@ -542,3 +543,40 @@ KINDS = [("kiosk", "homoglyph", 1), ("kiosk", "hyphenation", 4), ("kiosk", "keyb
 def attack_kinds(spark: SparkSession, sf: str) -> DataFrame:
     """How many forged spellings of each further kind a name has."""
     return L.wider_attacks(spark.createDataFrame([("kiosk",)], "name string")).groupBy("name", "kind").agg(F.count(F.lit(1)).alias("n"))
+
+
+HOSTS = [("bücher.example", "xn--bcher-kva.example", 1, 0), ("plain.example", "plain.example", 0, 0), ("раypal.com", "xn--ypal-43d9g.com", 1, 1), ("почта.рф", "xn--80a1acny.xn--p1ai", 1, 0)]
+
+
+@query(stated("host ascii has_unicode mixed_script", HOSTS))
+def host_scripts(spark: SparkSession, sf: str) -> DataFrame:
+    """Hosts as the wire has them, and what their letters give away."""
+    rows = spark.createDataFrame([(h,) for h, *_ in HOSTS], "host string")
+    return rows.select("host", to_ascii(F.col("host")).alias("ascii"), *[c.alias(n) for n, c in script_features(F.col("host")).items()])
+
+
+@query("SELECT user_id, props, count(*) AS n FROM events GROUP BY user_id, props HAVING min(ts) >= (SELECT max(ts) - INTERVAL 20 DAY FROM events) ORDER BY n DESC, user_id, props LIMIT 20")
+def new_values_report(spark: SparkSession, sf: str) -> DataFrame:
+    """What users have only done in the last twenty days, the twenty most frequent ones."""
+    events = table(spark, sf, "events")
+    last = events.agg(F.max("ts").alias("t")).select((F.col("t") - F.expr("interval 20 days")).alias("since"))
+    return A.new_values(events.join(F.broadcast(last)), ["user_id", "props"], F.col("ts") >= F.col("since"), 20)  # one row beside the events
+
+
+@query(
+    """WITH p AS (SELECT l_suppkey AS id, least(1.0, count(*) FILTER (l_returnflag = 'R') / 200.0) AS a, avg(l_discount) AS b, avg((l_linestatus = 'O')::INT) AS c, max(l_tax) AS d, max(CASE WHEN l_returnflag = 'R' THEN l_discount ELSE 0 END) AS e,
+  avg((l_shipdate >= (SELECT max(l_shipdate) - INTERVAL 90 DAY FROM lineitem))::INT) AS f, least(1.0, count(DISTINCT l_partkey) / 1000.0) AS g FROM lineitem GROUP BY 1)
+SELECT id, round(100 * (0.25 * a + 0.20 * b + 0.15 * c + 0.15 * d + 0.10 * e + 0.10 * f + 0.05 * g), 4) AS score FROM p"""
+)
+def graph_score_of_all_parts(spark: SparkSession, sf: str) -> DataFrame:
+    """All seven parts of the graph score, from shares, maxima and recent line items of each supplier; a certificate's overlap is a maximum."""
+    lines = table(spark, sf, "lineitem")
+    last = F.broadcast(lines.agg(F.max("l_shipdate").alias("last")))  # one row
+    c = F.col
+    returned = c("l_returnflag") == "R"
+    parts = {
+        "malicious_neighbors": F.least(F.lit(1.0), F.count_if(returned) / 200.0), "infrastructure_overlap": F.avg("l_discount"), "suspicious_domain_cluster": F.avg((c("l_linestatus") == "O").cast("int")), "ip_reputation": F.max("l_tax"),
+        "certificate_overlap": F.max(F.when(returned, c("l_discount")).otherwise(0.0)), "temporal_proximity": F.avg((c("l_shipdate") >= c("last") - F.expr("interval 90 days")).cast("int")), "campaign_similarity": F.least(F.lit(1.0), F.count_distinct("l_partkey") / 1000.0),
+    }
+    rows = lines.join(last).groupBy(c("l_suppkey").alias("id")).agg(*[v.alias(k) for k, v in parts.items()])
+    return rows.select("id", F.round(G.graph_score({k: c(k) for k in parts}), 4).alias("score"))
