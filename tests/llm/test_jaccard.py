@@ -83,3 +83,28 @@ def test_one_of_each(spark):
     assert jaccard.one_of_each(empty(spark)).count() == 0
     same = spark.createDataFrame([(4, "x y z", "en", "s", 5)] * 3, SCHEMA)
     assert jaccard.one_of_each(same).count() == 1
+
+
+def test_small_bounds_change_nothing(spark, monkeypatch):
+    """Chains of edited copies and a large group, with every bound so small that all ways are taken."""
+    from wardline.llm import spread
+
+    for name, value in (("CHUNK", 300), ("BUCKET_TEXTS", 16), ("SMALL", 2), ("BLOCK_HASHES", 200), ("BLOCK_ENTRIES", 2), ("BLOCK_PLACES", 2), ("ROUNDS", (1, 1))):
+        monkeypatch.setattr(jaccard, name, value)
+    monkeypatch.setattr(spread, "ROWS", 5)
+    rng = random.Random(17)
+    rows = []
+    for g in range(12):
+        ws = prose(900 + g, rng.randrange(25, 60)).split()
+        for _ in range(40 if g == 0 else rng.randrange(1, 14)):
+            if rng.random() < 0.7:
+                ws = list(ws)
+                ws[rng.choice([0, -1, rng.randrange(len(ws))])] = f"edit{rng.randrange(10**6)}"
+                if rng.random() < 0.3:
+                    ws = ws + prose(rng.randrange(10**6), 3).split()
+            rows.append((len(rows), " ".join(ws)))
+    common = prose(5, 12)
+    rows += [(len(rows) + k, f"{common} {prose(3000 + k, rng.randrange(2, 30))}") for k in range(60)]
+    rng.shuffle(rows)
+    got = {r["doc_id"]: r["component_id"] for r in jaccard.text_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    assert got == {i: comp for i, (_, comp) in brute(rows).items()}
