@@ -39,3 +39,15 @@ def merge_sightings(known: DataFrame, new: DataFrame) -> DataFrame:
 def without_demo(rows: DataFrame) -> DataFrame:
     """Rows that are no demonstration data."""
     return rows.filter(~F.coalesce("demo", F.lit(False)))
+
+
+def blocked_iocs(detections: DataFrame, links: DataFrame) -> DataFrame:
+    """(ioc_type, value, source) of the untrusted links (detection_id, url, host, registrable, trusted) of blocked detections (id, decision).
+
+    What a block feeds into the local list; hosts that are registrable domains of their own stay out, as with confirmed verdicts.
+    """
+    blocked = detections.filter("decision = 'BLOCK'").select(F.col("id").alias("detection_id")).distinct()
+    bad = links.filter(~F.coalesce("trusted", F.lit(False))).join(blocked, "detection_id", "left_semi")
+    urls = bad.select(F.lit("url").alias("ioc_type"), F.col("url").alias("value"))
+    hosts = bad.filter("host <> registrable").select(F.lit("domain").alias("ioc_type"), F.col("host").alias("value"))
+    return urls.unionAll(hosts).distinct().withColumn("source", F.lit("blocked"))

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from wardline.functions.text import ips
 from wardline.functions.urls import parse, registrable
 
 
@@ -61,3 +64,21 @@ def official_root(hosts: DataFrame, roots: DataFrame, host: str = "host", root:
 def family(name: Column) -> Column:
     """First word of a brand's name in lower case: brands of one family are not rivals."""
     return F.lower(F.regexp_extract(F.trim(name), r"^([^\s/]+)", 1))
+
+
+def candidates(messages: DataFrame, links: DataFrame, key: str = "id", most: int | None = None) -> DataFrame:
+    """(key, ioc_type, value) of what to look up for messages (key, sender_domain, text, attachments (sha256)) and their links (key, url, host, trusted).
+
+    Links, their hosts, the sender's domain, addresses in the text and attachments' hashes, each once and in this
+    order; trusted links and their hosts are left out. ``most`` keeps the first ones of a message.
+    """
+    own = links.filter(~F.coalesce("trusted", F.lit(False)))
+    kinds = [
+        own.select(key, F.lit(0).alias("at"), F.lit("url").alias("ioc_type"), F.col("url").alias("value")), own.select(key, F.lit(1).alias("at"), F.lit("domain").alias("ioc_type"), F.col("host").alias("value")),
+        messages.select(key, F.lit(2).alias("at"), F.lit("domain").alias("ioc_type"), F.lower("sender_domain").alias("value")), messages.select(key, F.lit(3).alias("at"), F.lit("ip").alias("ioc_type"), F.explode(ips(F.col("text"))).alias("value")),
+        messages.select(key, F.lit(4).alias("at"), F.lit("hash").alias("ioc_type"), F.explode("attachments").alias("a")).select(key, "at", "ioc_type", F.lower("a.sha256").alias("value")),
+    ]
+    each = reduce(DataFrame.unionByName, kinds).filter("value is not null and value <> ''").groupBy(key, "ioc_type", "value").agg(F.min("at").alias("at"))
+    if most is not None:
+        each = each.selectExpr("*", f"row_number() over (partition by {key} order by at, value) as __r").filter(F.col("__r") <= most).drop("__r")
+    return each.drop("at")

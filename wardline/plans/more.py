@@ -19,6 +19,7 @@ from wardline.functions.splits import cross_splits
 from wardline.operators import analytics as A
 from wardline.operators import brands as B
 from wardline.operators import campaigns as C
+from wardline.operators import feedback as K
 from wardline.operators import graph as G
 from wardline.operators import intel as I
 from wardline.operators import lookalike as L
@@ -580,3 +581,27 @@ def graph_score_of_all_parts(spark: SparkSession, sf: str) -> DataFrame:
     }
     rows = lines.join(last).groupBy(c("l_suppkey").alias("id")).agg(*[v.alias(k) for k, v in parts.items()])
     return rows.select("id", F.round(G.graph_score({k: c(k) for k in parts}), 4).alias("score"))
+
+
+LOOKED_UP = [(1, "url", "https://a.example/x"), (1, "domain", "a.example"), (1, "domain", "s.example"), (1, "ip", "192.0.2.7"), (1, "hash", "ff00"), (2, "domain", "t.example")]
+
+
+@query(stated("id ioc_type value", LOOKED_UP))
+def message_candidates(spark: SparkSession, sf: str) -> DataFrame:
+    """What is looked up for two written messages; the second one's link is trusted."""
+    sent = spark.createDataFrame([(1, "S.example", "from 192.0.2.7", [("FF00",)]), (2, "t.example", None, None)], "id int, sender_domain string, text string, attachments array<struct<sha256:string>>")
+    links = spark.createDataFrame([(1, "https://a.example/x", "a.example", False), (1, "https://a.example/x", "a.example", None), (2, "https://b.example/", "b.example", True)], "id int, url string, host string, trusted boolean")
+    return I.candidates(sent, links)
+
+
+@query(
+    """WITH l AS (SELECT o_orderkey AS id, 'https://h' || o_custkey || '.x.example/' || o_orderkey AS url, 'h' || o_custkey || '.x.example' AS host, o_orderkey % 3 = 0 AS trusted FROM orders WHERE o_totalprice >= 250000)
+SELECT 'url' AS ioc_type, url AS value FROM l WHERE NOT trusted UNION SELECT 'domain', host FROM l WHERE NOT trusted"""
+)
+def blocked_indicators(spark: SparkSession, sf: str) -> DataFrame:
+    """Orders as detections, dear ones blocked, with a link each, every third trusted."""
+    orders = table(spark, sf, "orders")
+    found = orders.select(F.col("o_orderkey").alias("id"), F.when(F.col("o_totalprice") >= 250000, "BLOCK").otherwise("FLAG").alias("decision"))
+    host = F.concat(F.lit("h"), F.col("o_custkey").cast("string"), F.lit(".x.example"))
+    links = orders.select(F.col("o_orderkey").alias("detection_id"), F.concat(F.lit("https://"), host, F.lit("/"), F.col("o_orderkey").cast("string")).alias("url"), host.alias("host"), F.lit("x.example").alias("registrable"), (F.col("o_orderkey") % 3 == 0).alias("trusted"))
+    return K.blocked_iocs(found, links).select("ioc_type", "value")
