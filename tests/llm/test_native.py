@@ -138,6 +138,12 @@ def test_fingerprints_equal_brute_force(spark):
     assert got[74]["group_id"] == 37 and got[74]["group_size"] == 2
 
 
+def test_white_space_folds(spark):
+    texts = ["a b", "a  b", " a b ", "a \n b", "a\n\n b\t", "\u3000a\u00a0 b\x85", "a\x1cb", "a\u2003\u2003b"]
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select(fingerprint.canonical(F.col("t"))).collect()
+    assert {r[0] for r in got} == {"a b"}
+
+
 def test_neighbours_across_buckets(spark, monkeypatch):
     monkeypatch.setattr(fingerprint, "BUCKET_ROWS", 1)
     monkeypatch.setattr(fingerprint, "CELLS", 7)

@@ -16,6 +16,10 @@ BUCKET_ROWS = 2048
 CELLS = 4096
 
 
+#: White space but for the space.
+_OTHER_SPACE = r"\t\n\x0B\f\r\x1C-\x1F\x85\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
+
+
 def canonical(text: Column) -> Column:
     """The text under compatibility composition, full case folding and white space folding.
 
@@ -28,7 +32,7 @@ def canonical(text: Column) -> Column:
     compose = lambda x: F.java_method(icu, F.lit("compose"), x, F.lit(True))
     fold = lambda x: F.java_method(F.lit("com.ibm.icu.lang.UCharacter"), F.lit("foldCase"), x, F.lit(True))
     folded = F.when(text.rlike(r"[^\x00-\x7F]"), compose(fold(compose(text)))).otherwise(F.lower(text))
-    return F.trim(F.regexp_replace(folded, r"[\s\x1C-\x1F\x85\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+", " "))
+    return F.trim(F.regexp_replace(folded, rf"[{_OTHER_SPACE}][ {_OTHER_SPACE}]*| [ {_OTHER_SPACE}]+", " "))  # a space by itself stays as it is
 
 
 def digest(canon: Column) -> Column:
@@ -49,7 +53,7 @@ def _clashes(docs: DataFrame, rows: DataFrame, key: str, text: str) -> DataFrame
     are compared byte by byte: the smallest with the largest, in partial sums.
     """
     several = rows.groupBy("digest").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("digest")
-    ties = rows.join(several, "digest", "left_semi").select("tie").distinct()
+    ties = spread_join(rows, several, ["digest"], ["key"], "left_semi").select("tie").distinct()
     texts = docs.select(F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("tie", F.xxhash64("text")).join(ties, "tie", "left_semi")
     canon = texts.select(canonical(F.col("text")).alias("canon")).withColumn("digest", digest(F.col("canon")))
     clash = canon.groupBy("digest").agg(F.min("canon").alias("a"), F.max("canon").alias("b")).filter("a <> b").select("digest")
