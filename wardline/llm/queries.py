@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardline.llm import fingerprint, jaccard, leaks, licenses, mixing, pages, quality, secrets, sharding, toxicity
+from wardline.llm import codes, fingerprint, jaccard, leaks, licenses, mixing, pages, quality, secrets, sharding, toxicity
 from wardline.llm.scratch import read
 
 SHARDS = [f"shard-{k:03d}" for k in range(64)]
@@ -63,9 +65,46 @@ def op10_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.fingerprints(read(spark, sf_dir, "documents")).withColumnRenamed("key", "doc_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_quality, op2_toxicity, op3_mix_sources, op4_decontaminate, op5_main_text, op6_licenses, op7_secrets, op8_shard, op9_jaccard_join, op10_fingerprint)}
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The product code of each vector, and its error."""
+    rows, books = codes.compress(read(spark, sf_dir, "embeddings"), keep=("label",))
+    code = F.array_join(F.transform("code", lambda c: F.lpad(F.lower(F.hex(c)), 2, "0")), "").alias("code")
+    named = hashlib.sha256(",".join(map(str, books.ravel().tolist())).encode()).hexdigest()
+    return codes.error_by(rows, "label").select("vec_id", code, "error", "label_error", F.lit(named).alias("codebooks_sha256"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (op1_quality, op2_toxicity, op3_mix_sources, op4_decontaminate, op5_main_text, op6_licenses, op7_secrets, op8_shard, op9_jaccard_join, op10_fingerprint, op13_vector_codes)
+}
+
+
+def _codes_sql(rounds: int = codes.ROUNDS) -> str:
+    """Brute force over all entries; each round is a table expression."""
+    out = f"""
+WITH v AS (
+  SELECT row_number() OVER (ORDER BY vec_id) AS row, vec_id, label, list_transform(embedding, lambda x: floor({codes.SCALE} * x::DOUBLE)::BIGINT) AS point
+  FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+x AS (SELECT row, (i - 1) // (len(point) // {codes.PARTS}) AS part, (i - 1) % (len(point) // {codes.PARTS}) AS pos, point[i] AS x
+      FROM v, range(1, 100000) AS r(i) WHERE i <= len(point)),
+e0 AS (SELECT part, row - 1 AS entry, pos, x FROM x WHERE row <= {codes.ENTRIES})"""
+    for k in range(rounds + 1):
+        out += f""",
+d{k} AS (SELECT x.row, x.part, e.entry, sum((x.x - e.x) * (x.x - e.x))::BIGINT AS d FROM x JOIN e{k} e ON x.part = e.part AND x.pos = e.pos GROUP BY ALL),
+a{k} AS (SELECT row, part, min(d) AS d, arg_min(entry, d * 1024::HUGEINT + entry) AS entry FROM d{k} GROUP BY row, part)"""
+        if k < rounds:
+            out += f""",
+s{k} AS (SELECT x.part, a.entry, x.pos, sum(x.x)::BIGINT AS s, count(*) AS n FROM x JOIN a{k} a ON x.row = a.row AND x.part = a.part GROUP BY ALL),
+e{k + 1} AS (SELECT e.part, e.entry, e.pos, coalesce((s - ((s % n) + n) % n) // n, e.x) AS x FROM e{k} e LEFT JOIN s{k} USING (part, entry, pos))"""
+    return f"""{out},
+c AS (SELECT row, string_agg(printf('%02x', entry), '' ORDER BY part) AS code, sum(d)::BIGINT AS error FROM a{rounds} GROUP BY row),
+b AS (SELECT sha256(string_agg(x::VARCHAR, ',' ORDER BY part, entry, pos)) AS codebooks_sha256 FROM e{rounds})
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, codebooks_sha256 FROM v JOIN c USING (row), b
+"""
+
 
 ORACLES = {
+    "op13_vector_codes": _codes_sql(),
     "op9_jaccard_join": """
 WITH RECURSIVE w AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
