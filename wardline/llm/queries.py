@@ -7,7 +7,7 @@ import hashlib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardline.llm import codes, fingerprint, jaccard, leaks, licenses, mixing, pages, quality, secrets, sharding, toxicity
+from wardline.llm import codes, fingerprint, jaccard, leaks, licenses, mixing, pages, quality, runs, secrets, sharding, toxicity
 from wardline.llm.scratch import read
 
 SHARDS = [f"shard-{k:03d}" for k in range(64)]
@@ -65,6 +65,29 @@ def op10_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.fingerprints(read(spark, sf_dir, "documents")).withColumnRenamed("key", "doc_id")
 
 
+def _replayed(docs: DataFrame) -> DataFrame:
+    """(doc_id, text): in a tenth of the rows, by a hash of doc_id, what follows some word is replaced by repeats of its first words."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    g = F.floor(h / 10)
+    words = F.when(h % 10 == 0, F.filter(F.split("text", r"[ \t-\r]+"), lambda w: w != ""))
+    n, a, p = F.col("n"), F.col("a").cast("int"), F.col("p").cast("int")
+    rows = docs.select("doc_id", "text", words.alias("words"), g.alias("g")).withColumn("n", F.coalesce(F.size("words"), F.lit(0)))
+    rows = rows.withColumn("a", F.col("g") % F.greatest(n, F.lit(1))).withColumn("p", 1 + F.floor((n - F.col("a")) / (3 + F.col("g") % 8)))
+    tail = F.flatten(F.array_repeat(F.slice("words", a + 1, p), F.ceil((n - a) / p).cast("int")))
+    edited = F.array_join(F.concat(F.slice("words", F.lit(1), a), F.slice(tail, F.lit(1), n - a)), " ")
+    return rows.select("doc_id", F.when(n > 0, edited).otherwise(F.col("text")).alias("text"))
+
+
+def op11_word_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of words that repeat with a period in each document, and digests of the runs and of the text without repeats."""
+    found = runs.collapse(_replayed(read(spark, sf_dir, "documents"))).withColumn("best", runs.strongest(F.col("runs")))
+    lines = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", *[r[c].cast("string") for c in ("start", "length", "period")]), F.lit("\n"))), "")
+    sha = lambda x: F.sha2(F.encode(x, "UTF-8"), 256)
+    ratio = F.expr("1000 * best.length div best.period")
+    best = [F.col(f"best.{c}").alias(c) for c in ("start", "length", "period")]
+    return found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), *best, ratio.alias("exponent_milli"), sha(lines).alias("runs_sha256"), sha(F.col("collapsed")).alias("collapsed_sha256"))
+
+
 def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The product code of each vector, and its error."""
     rows, books = codes.compress(read(spark, sf_dir, "embeddings"), keep=("label",))
@@ -75,7 +98,7 @@ def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_quality, op2_toxicity, op3_mix_sources, op4_decontaminate, op5_main_text, op6_licenses, op7_secrets, op8_shard, op9_jaccard_join, op10_fingerprint, op13_vector_codes)
+    for f in (op1_quality, op2_toxicity, op3_mix_sources, op4_decontaminate, op5_main_text, op6_licenses, op7_secrets, op8_shard, op9_jaccard_join, op10_fingerprint, op11_word_runs, op13_vector_codes)
 }
 
 
@@ -103,7 +126,31 @@ SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS la
 """
 
 
+_RUNS_SQL = """
+WITH b AS (
+  SELECT doc_id, text, list_reduce(flatten([[ascii(c)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1] FOR c IN string_split(doc_id::VARCHAR, '')]),
+    lambda c, x: CASE WHEN x >= 0 THEN xor(c, x) WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, 4294967295::BIGINT) AS c FROM documents),
+w AS (SELECT row_number() OVER () AS row, doc_id, xor(c, 4294967295) AS h, xor(c, 4294967295) // 10 AS g,
+        regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS words FROM b),
+a AS (SELECT row, doc_id, words, len(words) AS n, h % 10 = 0 AND len(words) > 0 AS edit, g % greatest(len(words), 1) AS a, g FROM w),
+p AS (SELECT *, 1 + (n - a) // (3 + g % 8) AS p FROM a),
+e AS (SELECT row, doc_id, n, CASE WHEN edit THEN list_transform(words, lambda x, i: CASE WHEN i - 1 < a THEN x ELSE words[a + (i - 1 - a) % p + 1] END) ELSE words END AS words FROM p),
+x AS (SELECT row, n, i - 1 AS i, words[i] AS word FROM e, range(1, 1000000) AS r(i) WHERE i <= n),
+q AS (SELECT u.row, u.n, v.i - u.i AS period, u.i FROM x u JOIN x v ON u.row = v.row AND u.word = v.word AND v.i > u.i AND 4 * (v.i - u.i) <= u.n),
+k AS (SELECT *, i - row_number() OVER (PARTITION BY row, period ORDER BY i) AS island FROM q),
+s AS (SELECT row, period, min(i) AS start, count(*) + period AS length FROM k GROUP BY row, period, island HAVING count(*) + period >= greatest(6, 4 * period)),
+f AS (SELECT row, start, length, min(period) AS period FROM s GROUP BY row, start, length),
+m AS (SELECT row, count(*) AS n_runs, string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS lines,
+        arg_max({'start': start, 'length': length, 'period': period}, (length::DOUBLE / period, -start, -period)) AS best FROM f GROUP BY row),
+g AS (SELECT DISTINCT x.row, x.i FROM x JOIN f ON x.row = f.row AND x.i >= f.start + f.period AND x.i < f.start + f.length),
+c AS (SELECT x.row, string_agg(x.word, ' ' ORDER BY x.i) AS kept FROM x ANTI JOIN g ON x.row = g.row AND x.i = g.i GROUP BY x.row)
+SELECT e.doc_id, coalesce(m.n_runs, 0) AS n_runs, best.start AS start, best.length AS length, best.period AS period,
+  1000 * best.length // best.period AS exponent_milli, sha256(coalesce(lines, '')) AS runs_sha256, sha256(coalesce(kept, '')) AS collapsed_sha256
+FROM e LEFT JOIN m USING (row) LEFT JOIN c USING (row)
+"""
+
 ORACLES = {
+    "op11_word_runs": _RUNS_SQL,
     "op13_vector_codes": _codes_sql(),
     "op9_jaccard_join": """
 WITH RECURSIVE w AS (
