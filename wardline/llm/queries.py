@@ -7,7 +7,7 @@ import hashlib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardline.llm import codes, fingerprint, jaccard, leaks, licenses, mixing, pages, quality, runs, secrets, sharding, toxicity
+from wardline.llm import codes, fingerprint, jaccard, leaks, licenses, mixing, pages, quality, runs, secrets, sharding, substrings, toxicity
 from wardline.llm.scratch import read
 
 SHARDS = [f"shard-{k:03d}" for k in range(64)]
@@ -88,6 +88,13 @@ def op11_word_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), *best, ratio.alias("exponent_milli"), sha(lines).alias("runs_sha256"), sha(F.col("collapsed")).alias("collapsed_sha256"))
 
 
+def op12_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of each document without strings of 100 bytes that also start earlier."""
+    out = substrings.remove_repeats(read(spark, sf_dir, "documents"))
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+    return out.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The product code of each vector, and its error."""
     rows, books = codes.compress(read(spark, sf_dir, "embeddings"), keep=("label",))
@@ -98,7 +105,7 @@ def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_quality, op2_toxicity, op3_mix_sources, op4_decontaminate, op5_main_text, op6_licenses, op7_secrets, op8_shard, op9_jaccard_join, op10_fingerprint, op11_word_runs, op13_vector_codes)
+    for f in (op1_quality, op2_toxicity, op3_mix_sources, op4_decontaminate, op5_main_text, op6_licenses, op7_secrets, op8_shard, op9_jaccard_join, op10_fingerprint, op11_word_runs, op12_substrings, op13_vector_codes)
 }
 
 
@@ -149,7 +156,25 @@ SELECT e.doc_id, coalesce(m.n_runs, 0) AS n_runs, best.start AS start, best.leng
 FROM e LEFT JOIN m USING (row) LEFT JOIN c USING (row)
 """
 
+_SUBSTRINGS_SQL = """
+WITH t AS (SELECT row_number() OVER (ORDER BY doc_id) AS row, doc_id, lower(hex(encode(coalesce(text, '')))) AS h FROM documents),
+n AS (SELECT row, doc_id, h, length(h) // 2 AS n FROM t),
+w AS (SELECT row, i, md5_number(substr(h, 2 * i + 1, 200)) AS d FROM n, range(0, 1000000) AS r(i) WHERE i + 100 <= n),
+f AS (SELECT d, min(row * 10000000 + i) AS first FROM w GROUP BY d HAVING count(*) > 1),
+l AS (SELECT row, i FROM w JOIN f USING (d) WHERE row * 10000000 + i <> first),
+o AS (SELECT row, i, i > lag(i) OVER (PARTITION BY row ORDER BY i) + 100 AS gap FROM l),
+k AS (SELECT row, i, sum(CASE WHEN gap OR gap IS NULL THEN 1 ELSE 0 END) OVER (PARTITION BY row ORDER BY i) AS span FROM o),
+s AS (SELECT row, span, min(i) AS a, max(i) + 100 AS b FROM k GROUP BY row, span),
+p AS (SELECT n.row, span, substr(h, 2 * coalesce(lag(b) OVER v, 0) + 1, 2 * (a - coalesce(lag(b) OVER v, 0))) AS kept, a, b,
+        CASE WHEN lead(a) OVER v IS NULL THEN substr(h, 2 * b + 1) ELSE '' END AS rest
+      FROM s JOIN n USING (row) WINDOW v AS (PARTITION BY n.row ORDER BY span)),
+g AS (SELECT row, sum(b - a)::BIGINT AS n_removed, count(*) AS n_spans, string_agg(kept || rest, '' ORDER BY span) AS kept FROM p GROUP BY row)
+SELECT doc_id, n AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, h))) AS kept_sha256
+FROM n LEFT JOIN g USING (row)
+"""
+
 ORACLES = {
+    "op12_substrings": _SUBSTRINGS_SQL,
     "op11_word_runs": _RUNS_SQL,
     "op13_vector_codes": _codes_sql(),
     "op9_jaccard_join": """

@@ -84,11 +84,11 @@ class Words:
         return self.data[a : a + self.length[i]].tobytes().decode("utf-8", "replace")
 
 
-def _bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+def utf8(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes of all texts in one array, and n + 1 offsets; null counts as empty."""
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()
-    texts = texts.cast(pa.large_string()).fill_null("")
+    texts = texts.cast(pa.large_binary()).fill_null(b"")
     if not len(texts):
         return np.zeros(0, np.uint8), np.zeros(1, np.int64)
     _, offsets, data = texts.buffers()
@@ -103,7 +103,7 @@ def words(texts: pa.Array, table: np.ndarray, lower: bool = True) -> Words:
     ``lower`` turns A-Z to a-z first. Null and empty texts have no words. Equal
     words have equal hashes in every process; the hash covers the whole word.
     """
-    raw, off = _bytes(texts)
+    raw, off = utf8(texts)
     n = len(raw)
     data = np.empty(n, np.uint8)
     hashes, starts, lengths = [], [], []
