@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from functools import reduce
 
 import pandas as pd
@@ -100,23 +99,47 @@ def script_features(host: Column) -> dict[str, Column]:
     return {"has_unicode": F.coalesce(host.rlike(r"[^\x00-\x7F]"), F.lit(False)).cast("long"), "mixed_script": F.coalesce(mixed_script(host), F.lit(False)).cast("long")}
 
 
-#: Single letters with one separator between each, four and more of them.
-_SPACED = re.compile(r"(?<![^\W_])[A-Za-z](?:[-_.* ][A-Za-z]){3,}(?![^\W_])")
+#: Signs that are put between letters; letters from which a spaced word is joined, and which one of a text's must have.
+SPACERS, LEAST_LETTERS, LONG_LETTERS = " -_.*", 4, 5
 
 
-@pandas_udf(StringType())
-def join_spaced(text: pd.Series) -> pd.Series:
-    """Spaced-out letters joined, if a joined word has five letters; a replacement by function has no built-in."""
+def spaced_words(text: str) -> list[tuple[int, int]]:
+    """(start, end) of the words written letter by letter, such as f-r-e-e-d: alternating letters (ASCII) and single spacers.
+
+    A scan over the text: from a letter that no letter or digit precedes it goes on as long as a spacer and a
+    letter follow, and gives the last letter back if that one begins a word of its own.
+    """
+    out, i, n = [], 0, len(text)
+    letter = lambda k: k < n and text[k].isascii() and text[k].isalpha()
+    while i < n:
+        end = i + 1
+        if letter(i) and not (i and text[i - 1].isalnum()):
+            while end < n and text[end] in SPACERS and letter(end + 1):
+                end += 2
+            while end > i + 1 and end < n and text[end].isalnum():
+                end -= 2
+            if end - i >= 2 * LEAST_LETTERS - 1:
+                out.append((i, end))
+        i = end
+    return out
 
-    def joined(m: re.Match) -> str:
-        return m[0][::2]
 
-    def one(t: str | None) -> str | None:
-        if t is None or not any(len(m[0]) >= 9 for m in _SPACED.finditer(t)):
-            return t
-        return _SPACED.sub(joined, t)
+def unspaced(text: str) -> str:
+    """The text with its spaced words joined, if one of them is long."""
+    found = spaced_words(text)
+    if not any(b - a >= 2 * LONG_LETTERS - 1 for a, b in found):
+        return text
+    pieces, at = [], 0
+    for a, b in found:
+        pieces += [text[at:a], text[a:b:2]]
+        at = b
+    return "".join([*pieces, text[at:]])
 
-    return text.map(one)
+
+@pandas_udf(StringType())
+def join_spaced(text: pd.Series) -> pd.Series:
+    """Spaced-out letters joined (``unspaced``); no built-in scans so. Texts without a spacer between two letters stay as they are."""
+    return text.map(lambda t: t if t is None else unspaced(t))
 
 
 def offline_check(p: dict[str, Column]) -> Column:

@@ -2,24 +2,32 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from wardline.functions.text import SENDERS
 
-_STEPS = (
-    (r"(?i)\bh[tl1]{2}ps? ?[:;] ?/ ?/ ?", "https://"),  # letters and signs that look alike, spaces in the scheme
-    (r"(?i)\bhttps?:/([^/\s])", "https://$1"),
-    (r"(?i)(https?://[^\s]*[-/=?&_.])[ \t]*\n[ \t]*(?=[^\s])", "$1"),  # a link that goes on in the next line
-    (r"(?i)\b((?:https?://|www\.)[a-z0-9-]+(?:\.[a-z0-9-]+)*) ?\. ?(?=(?:com|net|org|in|co|info|xyz|top|io|app|link|site|online)\b)", "$1."),
-)
+# Top-level domains that a link's broken end is known by.
+ENDINGS = ("com", "net", "org", "in", "co", "info", "xyz", "top", "io", "app", "link", "site", "online")
+#: What recognition takes t and s for in a scheme, and a colon for.
+_T, _S, _COLON = "tl1i|", "s5$", ":;"
 
 
 def repair_links(text: Column) -> Column:
-    """Links as they were before recognition broke them: scheme slips, spaces around dots, links over two lines."""
-    return reduce(lambda t, s: F.regexp_replace(t, s[0], s[1]), _STEPS, text)
+    """Links as they were before recognition broke them: slips in the scheme, spaces around dots, links over two lines.
+
+    In turn: a scheme with look-alike signs, up to one space between its signs and one slash at least, is written as
+    it should be (without an s where none was read but the letter is, with one where the letter was misread); a link that ends in a sign that links don't end in
+    is joined with the next line; a space beside the dot before one of ENDINGS goes.
+    """
+    slashes = " ?/ ?(?:/ ?)?"
+    misread = rf"(?i)\bh[{_T}]{{2}}[{_T}]?p[{_S}]?[ ]?[{_COLON}]{slashes}"
+    plain = rf"(?i)\bhttp[ ]?[{_COLON}]{slashes}"
+    out = F.regexp_replace(text, rf"(?:{plain})", "http://")
+    out = F.regexp_replace(out, rf"(?!(?i:http://)){misread}", "https://")
+    out = F.regexp_replace(out, r"(?i)(\bhttps?://\S*[-/=?&_.])\s*\n\s*(?=\S)", "$1")
+    begun = r"(?i)(\bhttps?://|\bwww\.)((?:[a-z0-9-]+\.)*[a-z0-9-]+)"
+    return F.regexp_replace(out, rf"{begun}(?: \. ?|\. )(?=(?:{'|'.join(ENDINGS)})\b)", "$1$2.")
 
 
 def layout(text: Column) -> Column:

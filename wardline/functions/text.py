@@ -8,13 +8,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wardline import refdata
-from wardline.functions.lexicon import ANCHORS
+from wardline.functions import phrases
+from wardline.functions.phrases import LOOKS_FROM, LOOKS_PAIRS, LOOKS_TO
 from wardline.functions.scores import noisy_or
 
 # Characters that take no room.
 ZERO_WIDTH = "​‌‍⁠﻿­"
-# Look-alike letters of other scripts and what they look like.
-CONFUSABLE_FROM, CONFUSABLE_TO = "асеорхуіјѕԁԛԝӏοανικρτυ", "aceopxyijsdqwloavikptu"
+#: Look-alike letters of other scripts, without the digits and signs that follow them in the list.
+CONFUSABLE_FROM, CONFUSABLE_TO = LOOKS_FROM[:-8], LOOKS_TO[:-8]
 
 
 def strip_zero_width(text: Column) -> tuple[Column, Column]:
@@ -23,13 +24,26 @@ def strip_zero_width(text: Column) -> tuple[Column, Column]:
     return clean, (F.length(text) - F.length(clean)).cast("long")
 
 
+# How a link is written harmless; each sign may stand in brackets, a scheme may be spelt with stand-ins.
+BRACKETS = (("[", "]"), ("(", ")"), ("{", "}"))
+SCHEMES = (("hxxps", "https"), ("hxxp", "http"), ("h**ps", "https"), ("h**p", "http"))
+SPELT_SIGNS = ((".", "."), ("dot", "."), (":", ":"), ("/", "/"), ("://", "://"))
+
+
 def refang(text: Column) -> Column:
-    """Links that were written to be harmless, made links again: hxxp and h**p, bracketed or spelt dots, colons, slashes."""
-    steps = (
-        (r"(?i)\bh(?:xx|\*\*|tt)p(s?) *(?::|\[ *: *\]|\( *: *\)) *(?://|\[ */+ *\])", "http$1://"), (r"(?i)\bhxxp(s?)\[ *:// *\]", "http$1://"),
-        (r"(?i) ?[\[({] *(?:\.|dot) *[\])}] ?", "."), (r"[\[(] *: *[\])]", ":"), (r"\[ */ *\]", "/"),
-    )
-    return reduce(lambda t, s: F.regexp_replace(t, s[0], s[1]), steps, text)
+    """Links that were written to be harmless, made links again.
+
+    Signs that stand alone in brackets (BRACKETS, SPELT_SIGNS, with spaces inside; around a dot one space outside too)
+    lose them, wherever they stand; then schemes written with stand-ins (SCHEMES) before a colon get their letters back.
+    """
+    quoted = lambda x: "".join("\\" + c if not c.isalnum() else c for c in x)
+    out = text
+    for sign, plain in SPELT_SIGNS:
+        inside = "|".join(f"{quoted(a)} *{quoted(sign)} *{quoted(b)}" for a, b in BRACKETS)
+        out = F.regexp_replace(out, f"(?i) ?(?:{inside}) ?" if plain == "." else f"(?i)(?:{inside})", plain)
+    for spelt, plain in SCHEMES:
+        out = F.regexp_replace(out, f"(?i)\\b{quoted(spelt)}(?=:)", plain)
+    return out
 
 
 def repair_mixed_words(text: Column) -> Column:
@@ -42,8 +56,8 @@ def repair_mixed_words(text: Column) -> Column:
 
 def skeleton(name: Column) -> Column:
     """What a name looks like: digits and look-alike letters as the letters they imitate."""
-    plain = F.translate(F.lower(name), CONFUSABLE_FROM + "013457@$", CONFUSABLE_TO + "oleastas")
-    return F.replace(F.replace(plain, F.lit("rn"), F.lit("m")), F.lit("vv"), F.lit("w"))
+    plain = F.translate(F.lower(name), LOOKS_FROM, LOOKS_TO)
+    return reduce(lambda x, pair: F.replace(x, F.lit(pair[0]), F.lit(pair[1])), LOOKS_PAIRS, plain)
 
 
 def skeletons(names: DataFrame, confusables: DataFrame, column: str = "name") -> DataFrame:
@@ -121,11 +135,23 @@ def payment_ids(text: Column, most: int | None = None) -> Column:
     return _sorted_distinct(found, most)
 
 
+# The numbering plan of India. Mobile numbers have ten digits, the first from 6 to 9; toll-free and
+# shared-cost series begin with these four digits and go on with six or seven.
+COUNTRY, MOBILE_FIRST, FREE_SERIES = "91", "6789", ("1800", "1900")
+
+
 def national_phones(text: Column, most: int | None = None) -> Column:
-    """Sorted distinct Indian mobile numbers (ten digits from 6 to 9 up, with or without 91) and toll-free ones, digits only."""
-    mobile = F.regexp_extract_all(text, F.lit(r"(?<![0-9])(?:\+?91[ -]?)?([6-9][0-9]{4}[ -]?[0-9]{5})(?![0-9])"), F.lit(1))
-    free = F.regexp_extract_all(text, F.lit(r"(?<![0-9])(1[89]00[ -]?[0-9]{3}[ -]?[0-9]{3,4})(?![0-9])"), F.lit(1))
-    return _sorted_distinct(F.transform(F.concat(mobile, free), lambda p: F.regexp_replace(p, "[ -]", "")), most)
+    """Sorted distinct Indian mobile numbers without the country's code, and toll-free ones, digits only.
+
+    Runs of digits, in which single spaces and hyphens may stand, are taken whole and then read by the numbering
+    plan, so a longer number never gives part of itself.
+    """
+    runs = F.regexp_extract_all(text, F.lit(r"([0-9](?:[ -]?[0-9])+)"), F.lit(1))
+    digits = F.transform(runs, lambda r: F.translate(r, " -", ""))
+    bare = F.transform(digits, lambda d: F.when((F.length(d) == 12) & d.startswith(COUNTRY), F.substring(d, 3, 10)).otherwise(d))
+    mobile = lambda d: (F.length(d) == 10) & F.substring(d, 1, 1).isin(*MOBILE_FIRST)
+    free = lambda d: F.length(d).between(10, 11) & F.substring(d, 1, 4).isin(*FREE_SERIES)
+    return _sorted_distinct(F.filter(bare, lambda d: mobile(d) | free(d)), most)
 
 
 def text_key(text: Column, limit: int | None = None) -> Column:
@@ -139,28 +165,13 @@ def channel(text: Column) -> Column:
 
 
 def intent_hits(text: Column, intents=refdata.INTENTS, most: int = 3) -> Column:
-    """Array of (id, weight, evidence) of the intents that a text shows; evidence keeps the first ``most`` phrases.
-
-    A text is split into words once. Only intents with an anchor among them are looked for by
-    regular expression, so most texts need none; intents without anchors always are.
-    """
-    first = lambda value, f: F.get(F.transform(F.array(value), f), F.lit(0))  # noqa: E731 - binds a value that is used several times
-    anchors = sorted({w for name, *_ in intents for w in ANCHORS.get(name, ())})
-    none = F.array().cast("array<string>")
+    """Array of (id, weight, evidence) of the intents that a text shows; evidence keeps the first ``most`` phrases."""
+    return phrases.hits(text, tuple(intents), most)
 
-    def one(low: Column, words: Column, name: str, weight: float, patterns: tuple[str, ...]) -> Column:
-        found = F.regexp_extract_all(low, F.lit("(" + "|".join(f"(?:{p})" for p in patterns) + ")"), F.lit(1))
-        if name in ANCHORS:
-            found = F.when(F.arrays_overlap(words, F.array(*map(F.lit, ANCHORS[name]))), found).otherwise(none)
-        hit = lambda f: F.struct(F.lit(name).alias("id"), F.lit(weight).alias("weight"), F.slice(F.array_distinct(f), 1, most).alias("evidence"))
-        return first(found, lambda f: F.when(F.size(f) > 0, hit(f)))
 
-    def all_hits(v: Column) -> Column:
-        return F.filter(F.array(*[one(v["low"], v["words"], *i) for i in intents]), lambda h: h.isNotNull())
-
-    known = lambda low: F.array_intersect(F.split(low, r"[^\p{L}\p{M}\p{N}]+"), F.array(*map(F.lit, anchors))) if anchors else none
-    bound = first(F.lower(text), lambda low: F.struct(low.alias("low"), known(low).alias("words")))
-    return first(bound, all_hits)
+def intent_spans(text: Column, intents=refdata.INTENTS) -> Column:
+    """Array of (name, phrase, start, end): where each intent's phrases stand, in code points."""
+    return phrases.spans(text, tuple((name, found) for name, _, found in intents))
 
 
 def intent_score(hits: Column) -> Column:
@@ -185,20 +196,34 @@ def attachment_kind(name: Column) -> Column:
 #: A line that is a text message's sender: a registered header, a short code or a phone number.
 SENDERS = r"^(?:[A-Z]{2}-[A-Z0-9]{3,8}(?:-[A-Z])?|[0-9]{5,6}|\+?[0-9][0-9 -]{8,14}[0-9])$"
 
-# Lines that a screenshot's frame adds to a message.
-CHROME_LINES = (
-    r"^\s*\d{1,2}:\d{2}(?:\s*[AaPp][Mm])?\s*$", r"^\s*\d{1,3}\s*%\s*$", r"(?i)^\s*(?:4g|5g|lte|volte|wi-?fi)\s*$", r"(?i)^\s*(?:reply|reply all|forward|delete|archive|report spam|mark as read)\s*$",
-    r"(?i)^\s*(?:type a message|text message|send message)\s*$", r"(?i)^\s*(?:today|yesterday)\s*$", r"(?i)^\s*to me\s*$",
-    r"(?i)^\s*(?:inbox|sent|drafts|spam|starred|important|all mail|unread)\s*$", r"(?i)^\s*(?:back|edit|done|cancel|close|more|menu|share|copy|search|settings)\s*$", r"(?i)^\s*(?:mon|tues|wednes|thurs|fri|satur|sun)day\s*$",
-    r"(?i)^\s*(?:messages and calls are end-to-end encrypted.*)$", r"(?i)^\s*(?:tap to load preview|tap for more info|learn more)\s*$", r"(?i)^\s*(?:sender is not in your contacts?.*|unknown sender)\s*$",
-    r"(?i)^\s*(?:add to contacts|block|report|mute|accept)\s*$", r"(?i)^\s*(?:show details|hide details|view details|translate message)\s*$", r"(?i)^\s*(?:unsubscribe|view in browser)\s*$",
-    r"(?i)^\s*[0-9]+ (?:of [0-9]+|unread messages?)\s*$", r"(?i)^\s*(?:airtel|jio|vi|bsnl|verizon|t-mobile|vodafone)\s*$", r"(?i)^\s*(?:delivered|read|sent|seen)(?: \d{1,2}:\d{2}.*)?\s*$", r"^\s*[<>←→•·|]+\s*$",
+#: What the frame of a screenshot writes on lines of its own: words of buttons, folders and dates (whole lines, any case),
+#: and beginnings of notices. Times, charge, counters, networks and single signs are read by shape.
+FRAME_WORDS = (
+    "reply", "reply all", "forward", "delete", "archive", "report spam", "mark as read", "translate message", "unsubscribe", "view in browser", "show details", "hide details", "view details",
+    "type a message", "text message", "send message", "tap to load preview", "tap for more info", "learn more", "add to contacts", "block", "report", "mute", "accept", "back", "edit", "done", "cancel", "close",
+    "more", "menu", "share", "copy", "search", "settings", "inbox", "sent", "drafts", "spam", "starred", "important", "all mail", "unread", "to me", "today", "yesterday", "monday", "tuesday", "wednesday", "thursday",
+    "friday", "saturday", "sunday", "4g", "5g", "lte", "volte", "wifi", "wi-fi", "airtel", "jio", "vi", "bsnl", "verizon", "t-mobile", "vodafone", "delivered", "read", "seen", "unknown sender",
 )
+FRAME_NOTICES = ("messages and calls are end-to-end encrypted", "sender is not in your contact")
+FRAME_SHAPES = (
+    r"[0-9]{1,2}:[0-9]{2}(?: ?[ap]m)?",  # the clock
+    r"[0-9]{1,3} ?%",  # the charge
+    r"(?:delivered|read|sent|seen) [0-9]{1,2}:[0-9]{2}.*",  # a receipt
+    r"[0-9]+ (?:of [0-9]+|unread messages?)",  # counters
+    r"[^\p{L}\p{N}]",  # an arrow, a dot, a bar
+)
+
+
+def is_frame(line: Column) -> Column:
+    """Whether a line of a transcript belongs to the screenshot's frame."""
+    plain = F.trim(F.lower(F.regexp_replace(line, r"[\s]+", " ")))
+    tests = [plain.isin(*FRAME_WORDS), plain.rlike("^(?:" + "|".join(FRAME_SHAPES) + ")$"), *[plain.startswith(n) for n in FRAME_NOTICES]]
+    return reduce(lambda a, b: a | b, tests)
 
 
 def drop_chrome(lines: Column) -> Column:
     """Lines of a transcript without those of the frame."""
-    return F.filter(lines, lambda x: ~reduce(lambda a, b: a | b, [x.rlike(p) for p in CHROME_LINES]))
+    return F.filter(lines, lambda x: ~is_frame(x))
 
 
 def reflow(lines: Column) -> Column:

@@ -97,38 +97,65 @@ def text_channel_split(spark: SparkSession, sf: str) -> DataFrame:
     return docs.groupBy(X.channel(F.col("text")).alias("channel")).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(F.length("text")), 6).alias("mean_chars"))
 
 
-# frequent words stand in for the lexicon, which has almost no hits in invented prose
-_STAND_IN = (("urgency", 0.14, (r"\bthe of\b", r"\bin the\b")), ("fear", 0.14, (r"\bworthless\b", r"\btrash\b")), ("reward", 0.2, (r"\bof the\b",)), ("licence", 0.1, (r"\blicensed under\b", r"\blicense\b")))
+# frequent words stand in for the lexicon, which has few hits in invented prose
+_STAND_IN = (("urgency", 0.14, ("the of", "in the")), ("fear", 0.14, ("worthless", "trash")), ("reward", 0.2, ("of the",)), ("licence", 0.1, ("licensed under", "license")))
 _ALL = tuple(refdata.INTENTS) + tuple((f"{a}_words", b, c) for a, b, c in _STAND_IN)
 
 
-def _intent_sql(name: str, weight: float, patterns: tuple[str, ...]) -> str:
-    pattern = "|".join(f"(?:{p})" for p in patterns).replace("'", "''")
-    return f"SELECT origin, id, '{name}' AS intent, {weight}::DOUBLE AS weight, regexp_extract_all(t, '{pattern}') AS f FROM src"
+def _phrases_sql(groups) -> str:
+    rows = [(g, name, weight, k, p) for g, (name, weight, several) in enumerate(groups) for k, p in enumerate(several)]
+    listed_ = ", ".join(f"({g}, '{n}', {w}::DOUBLE, {k}, '{p}')" for g, n, w, k, p in rows)
+    return f"ph AS (SELECT *, string_split(phrase, ' ') AS pw FROM (VALUES {listed_}) AS t(g, intent, weight, k, phrase))"
 
 
-_SRC_SQL = "src AS (SELECT 'documents' AS origin, doc_id AS id, lower(text) AS t FROM documents UNION ALL SELECT 'pages', page_id, lower(html) FROM pages)"
-_HITS_SQL = f"{_SRC_SQL}, hits AS ({' UNION ALL '.join(_intent_sql(*i) for i in _ALL)})"
+def _found_sql(groups, src: str) -> str:
+    """Each place where a phrase stands: (origin, id, intent, weight, g, k, phrase, i, n) with its first word's number and its words."""
+    lower = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    return f"""src AS ({src}), {_phrases_sql(groups)},
+ws AS (SELECT origin, id, list_transform(regexp_extract_all({lower}, '[\\p{{L}}\\p{{M}}\\p{{N}}]+'), lambda x: CASE WHEN regexp_full_match(x, '[0-9]+') THEN '0' ELSE x END) AS words FROM src),
+wn AS (SELECT origin, id, unnest(range(1, len(words) + 1)) AS i, words FROM ws), ah AS (SELECT origin, id, i, words[i] AS first, list_slice(words, i, i + 9) AS ahead FROM wn),
+found AS (SELECT origin, id, intent, weight, g, k, phrase, i, len(pw) AS n FROM ah JOIN ph ON first = pw[1] AND list_slice(ahead, 1, len(pw)) = pw)"""
 
 
-def _intents(spark: SparkSession, sf: str) -> DataFrame:
+_SRC_SQL = "SELECT 'documents' AS origin, doc_id AS id, text FROM documents UNION ALL SELECT 'pages', page_id, html FROM pages"
+_HITS_SQL = f"{_found_sql(_ALL, _SRC_SQL)}, hits AS (SELECT origin, id, intent, any_value(weight) AS weight, arg_min(phrase, (i, n, g, k)) AS first_evidence, least(3, count(DISTINCT phrase)) AS n_evidence FROM found GROUP BY 1, 2, 3)"
+
+
+def _texts(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents").select(F.lit("documents").alias("origin"), F.col("doc_id").alias("id"), "text")
     pages = table(spark, sf, "pages").select(F.lit("pages").alias("origin"), F.col("page_id").alias("id"), F.col("html").alias("text"))
-    return docs.unionByName(pages).select("origin", "id", X.intent_hits(F.col("text"), _ALL).alias("hits"))
+    return docs.unionByName(pages)
+
+
+def _intents(spark: SparkSession, sf: str) -> DataFrame:
+    return _texts(spark, sf).select("origin", "id", X.intent_hits(F.col("text"), _ALL).alias("hits"))
 
 
-@query(f"WITH {_HITS_SQL} SELECT origin, id, count(*) AS n_intents, round(1 - product(1 - weight), 6) AS intent_score FROM hits WHERE len(f) > 0 GROUP BY 1, 2")
+@query(f"WITH {_HITS_SQL} SELECT origin, id, count(*) AS n_intents, round(1 - product(1 - weight), 6) AS intent_score FROM hits GROUP BY 1, 2")
 def intent_hits(spark: SparkSession, sf: str) -> DataFrame:
     found = _intents(spark, sf).filter(F.size("hits") > 0)
     return found.select("origin", "id", F.size("hits").cast("long").alias("n_intents"), F.round(X.intent_score(F.col("hits")), 6).alias("intent_score"))
 
 
-@query(f"WITH {_HITS_SQL} SELECT origin, id, intent, f[1] AS first_evidence, least(3, len(list_distinct(f))) AS n_evidence FROM hits WHERE len(f) > 0")
+@query(f"WITH {_HITS_SQL} SELECT origin, id, intent, first_evidence, n_evidence FROM hits")
 def evidence_caps(spark: SparkSession, sf: str) -> DataFrame:
     each = _intents(spark, sf).select("origin", "id", F.explode("hits").alias("h"))
     return each.select("origin", "id", F.col("h.id").alias("intent"), F.col("h.evidence")[0].alias("first_evidence"), F.size("h.evidence").cast("long").alias("n_evidence"))
 
 
+@query(
+    f"""WITH {_found_sql(_ALL, _SRC_SQL)},
+pc AS (SELECT origin, id, unnest(regexp_extract_all(text, '[\\p{{L}}\\p{{M}}\\p{{N}}]+')) AS word, unnest(list_slice(regexp_split_to_array(text, '[\\p{{L}}\\p{{M}}\\p{{N}}]+'), 1, len(regexp_extract_all(text, '[\\p{{L}}\\p{{M}}\\p{{N}}]+')))) AS gap,
+  unnest(range(1, len(regexp_extract_all(text, '[\\p{{L}}\\p{{M}}\\p{{N}}]+')) + 1)) AS i FROM src),
+po AS (SELECT origin, id, i, sum(length(gap) + length(word)) OVER (PARTITION BY origin, id ORDER BY i) AS upto, length(word) AS n FROM pc)
+SELECT f.origin, f.id, f.intent, f.phrase, (a.upto - a.n)::INT AS start, b.upto::INT AS "end" FROM found f JOIN po a ON f.origin = a.origin AND f.id = a.id AND f.i = a.i JOIN po b ON f.origin = b.origin AND f.id = b.id AND b.i = f.i + f.n - 1"""
+)
+def intent_spans(spark: SparkSession, sf: str) -> DataFrame:
+    """Where in each text the phrases of each intent stand, all of them."""
+    each = _texts(spark, sf).select("origin", "id", F.explode(X.intent_spans(F.col("text"), _ALL)).alias("s"))
+    return each.select("origin", "id", F.col("s.name").alias("intent"), "s.phrase", "s.start", "s.end")
+
+
 @query(
     f"""WITH n AS (SELECT doc_id, source || '.' || lang || CASE doc_id % 5 WHEN 0 THEN '.exe' WHEN 1 THEN '.zip' WHEN 2 THEN '.txt' WHEN 3 THEN '' ELSE '_x.docm' END AS name FROM documents),
 s AS (SELECT doc_id, name, string_split(lower(name), '.') AS p FROM n)
