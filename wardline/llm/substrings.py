@@ -5,14 +5,17 @@ equal must meet in one shard, wherever they stand:
 
 1. Each window names an anchor, the KGRAM bytes in it with the smallest hash (the first of them). Equal windows
    name equal anchors. Neighbouring windows with one anchor form a segment, some 35 windows long.
-2. Sieve: anchors are counted over all texts; only segments whose anchor occurs again go on.
+2. Sieve: anchors, and whether their segments differ, are told over all texts. Only segments whose anchor occurs again
+   go on, with their bytes where the anchor has different ones.
 3. Equal segments are one from here on (partial minima): the first stays, of the others all windows are repeats. So a
    group of copies of any size, or a passage that a third of all texts holds, is one segment a place.
 4. The different segments of an anchor go to one shard. A shard sorts the suffixes of its segments (induced
    sorting) and takes their permuted common prefixes; suffixes next to each other with LENGTH bytes in common
    are equal windows, of which all but the first are repeats.
 5. An anchor with more than SETS different segments, such as the edge of a passage that very many texts quote, would
-   fill a shard by itself: its windows stand alone, are told apart by 128 bits, and meet by them.
+   fill a shard by itself. Its segments are cut into two by where the anchor stands in a window, and the bytes that all
+   windows of a half have in common are the new anchor; equal halves are one again. That goes on, at most until
+   windows stand alone, whose anchor is the whole window.
 6. Covered bytes leave each text.
 
 Nothing in a step holds more than a text, a shard of about SHARD_BYTES or a row a task for any key.
@@ -21,6 +24,7 @@ Nothing in a step holds more than a text, a shard of about SHARD_BYTES or a row
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -33,8 +37,8 @@ from wardline.llm.scratch import Scratch, bitmap
 from wardline.llm.spread import spread_join
 
 LENGTH, KGRAM = 100, 32
-#: Bytes of segments that a shard is meant for, and different segments of an anchor from which its windows stand alone.
-SHARD_BYTES, SETS = 1 << 20, 2048
+#: Bytes of segments that a shard is meant for, and different segments of an anchor up to which it is whole.
+SHARD_BYTES, SETS = 1 << 20, 1024
 #: Bits of the sieve at most (64 MB): with more anchors some pass that needn't, which costs time only.
 FILTER_BITS = 1 << 29
 BATCH_BYTES = 1 << 20
@@ -47,18 +51,21 @@ _POSITION = "none boolean, id long, tie long"
 
 def _rolled(raw: np.ndarray, size: int, which: int = 0) -> np.ndarray:
     """A hash of the ``size`` bytes (a power of two) from each place on."""
-    h, base, k = _TABLES[which][raw], _BASES[which], 1
+    h, k = _TABLES[which][raw], 1
     while k < size:
-        h = h[:-k] * _U(base) + h[k:] if len(h) > k else h[:0]
-        base, k = base * base % (1 << 64), 2 * k
+        h, k = _doubled(h, k, which), 2 * k
     return h
 
 
-def _windows_digest(raw: np.ndarray, start: np.ndarray, end: np.ndarray, which: int) -> np.ndarray:
-    """A hash of each stretch of bytes; stretches are 64 to 192 bytes long."""
-    h = _rolled(raw, 64, which)
+def _doubled(h: np.ndarray, size: int, which: int = 0) -> np.ndarray:
+    """Hashes of twice as many bytes, from those of ``size``."""
+    return h[:-size] * _U(pow(_BASES[which], size, 1 << 64)) + h[size:] if len(h) > size else h[:0]
+
+
+def _digest(rolled: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A hash of each stretch of 64 to 192 bytes, from the hashes of 64."""
     last = end - 64
-    return W.mix(W.combine([h[start], h[start + np.minimum(52, last - start)], h[last]]) + (end - start).astype(np.uint64))
+    return W.mix(W.combine([rolled[start], rolled[start + np.minimum(52, last - start)], rolled[last]]) + (end - start).astype(np.uint64))
 
 
 def _minima(h: np.ndarray, width: int) -> np.ndarray:
@@ -80,10 +87,13 @@ class Segments:
         windows = np.maximum(0, np.diff(self.off) - LENGTH + 1)
         total = int(windows.sum())
         empty = np.zeros(0, np.int64)
-        self.text, self.start, self.windows, self.anchor = empty, empty, empty, empty.astype(np.uint64)
+        self.text, self.start, self.windows, self.at, self.anchor = empty, empty, empty, empty, empty.astype(np.uint64)
+        self.rolled = self.anchor
         if not total:
             return
-        gram = W.mix(_rolled(self.raw, KGRAM))
+        rolled = _rolled(self.raw, KGRAM)
+        gram = W.mix(rolled)
+        self.rolled = _doubled(rolled, KGRAM)
         place = (gram & _U(0xFFFFFFFF00000000)) | np.arange(len(gram), dtype=np.uint64)
         best = _minima(place, LENGTH - KGRAM + 1)
         first = np.cumsum(windows) - windows
@@ -93,20 +103,43 @@ class Segments:
         self.start = at[cut]
         self.windows = np.diff(cut, append=total)
         self.text = np.searchsorted(self.off, self.start, "right") - 1
-        self.anchor = gram[chosen[cut]]
+        self.at = chosen[cut]
+        self.anchor = gram[self.at]
 
     @property
     def end(self) -> np.ndarray:
         return self.start + self.windows + LENGTH - 1
 
+    def digest(self) -> np.ndarray:
+        """Half of what tells segments apart; the other half is of another base."""
+        return _digest(self.rolled, self.start, self.end)
+
     def only(self, keep: np.ndarray) -> None:
-        self.text, self.start, self.windows, self.anchor = self.text[keep], self.start[keep], self.windows[keep], self.anchor[keep]
+        for name in ("text", "start", "windows", "at", "anchor"):
+            setattr(self, name, getattr(self, name)[keep])
 
 
-def _anchor_counts(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _anchors(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How often each anchor occurs, and the smallest and the largest digest of its segments."""
     for b in W.batches(it, BATCH_BYTES):
-        h, n = np.unique(Segments(b.column("text")).anchor, return_counts=True)
-        yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n)], ["anchor", "n"])
+        s = Segments(b.column("text"))
+        order = np.argsort(s.anchor)
+        anchor, digest = s.anchor[order].view(np.int64), s.digest()[order].view(np.int64)
+        cut = np.flatnonzero(np.concatenate([[True], anchor[1:] != anchor[:-1]])) if len(anchor) else order
+        low, high = (f.reduceat(digest, cut) if len(cut) else digest for f in (np.minimum, np.maximum))
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (anchor[cut], np.diff(cut, append=len(anchor)), low, high)], ["anchor", "n", "low", "high"])
+
+
+def _holds(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    place = hashes & _U(64 * len(bits) - 1)
+    return (bits[(place >> _U(6)).astype(np.int64)] >> (place & _U(63)) & _U(1)).astype(bool)
+
+
+def _pieces(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.Array:
+    """The stretches of bytes as an array."""
+    cut = np.concatenate([[0], np.cumsum(end - start)])
+    data = raw[np.arange(cut[-1]) + np.repeat(start - cut[:-1], end - start)]
+    return pa.BinaryArray.from_buffers(pa.binary(), len(start), [None, pa.py_buffer(cut.astype(np.int32)), pa.py_buffer(data)])
 
 
 def _joined(start: np.ndarray, end: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -120,36 +153,58 @@ def _joined(start: np.ndarray, end: np.ndarray, text: np.ndarray) -> tuple[np.nd
 
 
 def _emitter(sent):
-    """Segments whose anchor the sieve holds: the first of equal ones with its bytes, the others as stretches to be removed."""
+    """Segments whose anchor the sieve holds: the first of equal ones, with its bytes if others may differ, the rest as stretches to be removed."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = sent.value
+        again, unlike = sent.value
         for b in W.batches(it, BATCH_BYTES):
             s = Segments(b.column("text"))
-            place = s.anchor & _U(64 * len(bits) - 1)
-            s.only((bits[(place >> _U(6)).astype(np.int64)] >> (place & _U(63)) & _U(1)).astype(bool))
+            s.only(_holds(again, s.anchor))
             if not len(s.start):
                 continue
             position = [b.column(c) for c in ("none", "id", "tie")]
             rank = np.empty(b.num_rows, np.int64)
             rank[np.lexsort([c.to_numpy(zero_copy_only=False) for c in reversed(position)])] = np.arange(b.num_rows)
-            d1, d2 = (_windows_digest(s.raw, s.start, s.end, k) for k in range(2))
+            d1, d2 = s.digest(), _digest(_rolled(s.raw, 64, 1), s.start, s.end)
             order = np.lexsort((s.start, rank[s.text], d2, d1))
             same = (d1[order][1:] == d1[order][:-1]) & (d2[order][1:] == d2[order][:-1])
             later = np.zeros(len(order), bool)
             later[order[1:]] = same
             one = np.flatnonzero(~later)
-            length = s.end[one] - s.start[one]
-            cut = np.concatenate([[0], np.cumsum(length)])
-            data = s.raw[np.arange(cut[-1]) + np.repeat(s.start[one] - cut[:-1], length)]
-            contents = pa.BinaryArray.from_buffers(pa.binary(), len(one), [None, pa.py_buffer(cut.astype(np.int32)), pa.py_buffer(data)])
+            known = _holds(unlike, s.anchor[one])
+            contents = _pieces(s.raw, s.start[one][known], s.end[one][known]).take(pa.array(np.where(known, np.cumsum(known) - 1, -1), mask=~known))
             start, end, text = _joined(s.start[later], s.end[later], s.text[later])
             of = np.concatenate([s.text[one], text])
             none = pa.nulls(len(text), pa.int64())
-            known = [pa.concat_arrays([pa.array(x[one].view(np.int64)), none]) for x in (d1, d2, s.anchor)]
+            keys = [pa.concat_arrays([pa.array(x[one].view(np.int64)), none]) for x in (d1, d2, s.anchor)]
             starts, ends = np.concatenate([s.start[one], start]) - s.off[of], np.concatenate([s.end[one], end]) - s.off[of]
-            columns = [*(c.take(pa.array(of)) for c in position), pa.array(starts), pa.array(ends), *known, pa.concat_arrays([contents, pa.nulls(len(text), pa.binary())])]
-            yield pa.RecordBatch.from_arrays(columns, ["none", "id", "tie", "start", "end", "d1", "d2", "anchor", "bytes"])
+            at = pa.concat_arrays([pa.array(s.at[one] - s.off[s.text[one]]), none])
+            columns = [*(c.take(pa.array(of)) for c in position), pa.array(starts), pa.array(ends), *keys, at, pa.concat_arrays([contents, pa.nulls(len(text), pa.binary())])]
+            yield pa.RecordBatch.from_arrays(columns, _NAMES)
+
+    return run
+
+
+def _halves(low_width: int):
+    """The segments in two, by the place of the anchor in a window: halves of ``low_width`` places, and what their windows share as anchor."""
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in W.batches(it, BATCH_BYTES, "bytes"):
+            raw, off = W.utf8(b.column("bytes"))
+            start, end, at, low = (b.column(c).to_numpy() for c in ("start", "end", "at", "low"))
+            for k in range(2):
+                first, last = low + k * low_width, low + (k + 1) * low_width - 1  # bytes of a window before the anchor
+                a, z = np.maximum(start, at - last), np.minimum(end - LENGTH, at - first)
+                some = np.flatnonzero(a <= z)
+                base = off[:-1][some] - start[some]
+                a, z = a[some], z[some] + LENGTH
+                rolled = [_rolled(raw, 64, w) for w in range(2)]
+                d1, d2 = (_digest(r, a + base, z + base) for r in rolled)
+                core = _digest(rolled[0], at[some] - first[some] + base, at[some] - last[some] + LENGTH + base)
+                anchor = W.combine([core, first[some].astype(np.uint64)])
+                rows = [b.column(c).take(pa.array(some)) for c in ("none", "id", "tie")]
+                numbers = [pa.array(x) for x in (a, z, d1.view(np.int64), d2.view(np.int64), anchor.view(np.int64), at[some])]
+                yield pa.RecordBatch.from_arrays([*rows, *numbers, _pieces(raw, a + base, z + base), pa.array(first[some])], [*_NAMES, "low"])
 
     return run
 
@@ -182,65 +237,56 @@ def _shard_repeats(table: pa.Table) -> pa.Table:
     return rows.append_column("start", pa.array(start + here, pa.int64())).append_column("end", pa.array(end + here, pa.int64()))
 
 
-def _single_windows(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each window of the segments by itself, as 128 bits."""
-    for b in W.batches(it, BATCH_BYTES, "bytes"):
-        raw, off = W.utf8(b.column("bytes"))
-        windows = np.diff(off) - LENGTH + 1
-        of = np.repeat(np.arange(len(windows)), windows)
-        at = np.arange(len(of)) + np.repeat(off[:-1] - np.cumsum(windows) + windows, windows)
-        digest = [pa.array(_windows_digest(raw, at, at + LENGTH, k).view(np.int64)) for k in range(2)]
-        start = b.column("start").to_numpy()[of] + at - off[of]
-        yield pa.RecordBatch.from_arrays([*digest, *(b.column(c).take(pa.array(of)) for c in ("none", "id", "tie")), pa.array(start)], ["d1", "d2", "none", "id", "tie", "start"])
-
-
 _STRETCH = ["none", "id", "tie", "start", "end"]
+_NAMES = [*_STRETCH, "d1", "d2", "anchor", "at", "bytes"]
+_SCHEMA = f"{_POSITION}, start long, end long, d1 long, d2 long, anchor long, at long, bytes binary"
 
 
 def _here() -> Column:
     return F.struct("none", "id", "tie", "start")
 
 
-def _first_of(rows: DataFrame, *more: Column) -> DataFrame:
-    return rows.groupBy("d1", "d2").agg(F.min(_here()).alias("first"), *more)
+def _filter(hashes: DataFrame) -> np.ndarray:
+    return bitmap(hashes, "anchor", min(FILTER_BITS, 1 << max(16, int(hashes.count() * 16).bit_length())))
+
+
+def _told(segments: DataFrame, scratch: Scratch) -> DataFrame:
+    """The segments with whether they are the first of equal ones, and the number of different ones of their anchor (null: no other)."""
+    firsts = scratch.keep(segments.groupBy("d1", "d2").agg(F.min(_here()).alias("first"), F.min("anchor").alias("anchor")))
+    sets = firsts.groupBy("anchor").agg(F.count(F.lit(1)).alias("sets")).filter("sets > 1")
+    firsts = scratch.keep(spread_join(firsts, sets, ["anchor"], ["d1"], "left"))
+    told = spread_join(segments, firsts.drop("anchor"), ["d1", "d2"], ["id", "tie", "start"]).withColumn("is_first", _here() == F.col("first")).drop("first")
+    return scratch.keep(told.filter("not is_first or sets is not null").withColumn("bytes", F.when(F.col("is_first"), F.col("bytes"))))
 
 
 def stretches(rows: DataFrame, scratch: Scratch) -> DataFrame:
     """(none, id, tie, start, end): bytes to be removed from the texts of ``rows`` (none, id, tie, text), in pieces that may overlap."""
     spark = rows.sparkSession
     texts = rows.select("none", "id", "tie", "text")
-    again = scratch.keep(texts.select("text").mapInArrow(_anchor_counts, "anchor long, n long").groupBy("anchor").agg(F.sum("n").alias("n")).filter("n > 1").select("anchor"))
-    many = again.count()
-    if not many:
-        return texts.filter("false").select("none", "id", "tie", F.lit(0).cast("long").alias("start"), F.lit(0).cast("long").alias("end"))
-    bits = bitmap(again, "anchor", min(FILTER_BITS, 1 << max(16, int(many * 16).bit_length())))
-    scratch.drop(again)
-    schema = f"{_POSITION}, start long, end long, d1 long, d2 long, anchor long, bytes binary"
-    found = scratch.keep(texts.mapInArrow(_emitter(spark.sparkContext.broadcast(bits)), schema))
-    segments = found.filter("d1 is not null")
-    firsts = scratch.keep(_first_of(segments, F.min("anchor").alias("anchor")))
-    sets = firsts.groupBy("anchor").agg(F.count(F.lit(1)).alias("sets")).filter("sets > 1")
-    firsts = scratch.keep(spread_join(firsts, sets, ["anchor"], ["d1"], "left"))
-    marked = spread_join(segments, firsts.drop("anchor"), ["d1", "d2"], ["id", "tie", "start"]).withColumn("is_first", _here() == F.col("first"))
-    content = F.when(F.col("is_first"), F.col("bytes")).alias("bytes")
-    marked = scratch.keep(marked.filter("not is_first or sets is not null").select(*_STRETCH, "anchor", "is_first", "sets", content))
-    parts = [found.filter("d1 is null").select(*_STRETCH), marked.filter("not is_first").select(*_STRETCH)]
-    unlike = marked.filter("is_first").select(*_STRETCH, "anchor", "sets", "bytes")
-    size = unlike.filter(F.col("sets") <= SETS).agg(F.sum(F.length("bytes"))).first()[0] or 0
-    shard = F.pmod(F.xxhash64("anchor"), F.lit(max(1, -(-size // SHARD_BYTES)))).alias("shard")
+    anchors = texts.select("text").mapInArrow(_anchors, "anchor long, n long, low long, high long")
+    anchors = anchors.groupBy("anchor").agg(F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high"))
+    anchors = scratch.keep(anchors.filter("n > 1").select("anchor", (F.col("low") != F.col("high")).alias("unlike")))
+    sieves = (_filter(anchors), _filter(anchors.filter("unlike")))
+    scratch.drop(anchors)
+    found = scratch.keep(texts.mapInArrow(_emitter(spark.sparkContext.broadcast(sieves)), _SCHEMA))
+    parts, shards, size = [found.filter("d1 is null").select(*_STRETCH)], [], 0
+    segments, width = found.filter("d1 is not null").withColumn("low", F.lit(0).cast("long")), LENGTH - KGRAM + 1
+    while True:
+        told = _told(segments, scratch)
+        parts.append(told.filter("not is_first").select(*_STRETCH))
+        whole = told.filter("is_first").filter(F.col("sets") <= SETS).select("none", "id", "tie", "start", "anchor", "bytes")
+        shards.append(whole)
+        size += whole.agg(F.sum(F.length("bytes"))).first()[0] or 0
+        crowd = told.filter("is_first").filter(F.col("sets") > SETS).select(*_STRETCH, "at", "low", "bytes")
+        if crowd.isEmpty():
+            break
+        width = -(-width // 2)
+        segments = scratch.keep(crowd.mapInArrow(_halves(width), f"{_SCHEMA}, low long"))
     if size:
-        dealt = unlike.filter(F.col("sets") <= SETS).select("none", "id", "tie", "start", "bytes", shard)
+        shard = F.pmod(F.xxhash64("anchor"), F.lit(-(-size // SHARD_BYTES))).alias("shard")
+        dealt = reduce(DataFrame.unionByName, shards).select("none", "id", "tie", "start", "bytes", shard)
         parts.append(dealt.groupBy("shard").applyInArrow(_shard_repeats, f"{_POSITION}, start long, end long"))
-    alone = unlike.filter(F.col("sets") > SETS)
-    if not alone.isEmpty():
-        single = scratch.keep(alone.select("none", "id", "tie", "start", "bytes").mapInArrow(_single_windows, f"d1 long, d2 long, {_POSITION}, start long"))
-        repeated = _first_of(single, F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
-        later = spread_join(single, repeated, ["d1", "d2"], ["id", "tie", "start"]).filter(_here() != F.col("first"))
-        parts.append(later.withColumn("end", F.col("start") + LENGTH).select(*_STRETCH))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    return reduce(DataFrame.unionByName, parts)
 
 
 def _cut(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

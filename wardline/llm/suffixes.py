@@ -8,6 +8,8 @@ Over few symbols a scan takes a bucket at a time as an array; over many, as in t
 
 from __future__ import annotations
 
+from array import array
+
 import numpy as np
 
 #: Symbols for each suffix below which a bucket is long enough to be scanned as an array.
@@ -69,29 +71,27 @@ def _induce_buckets(s: np.ndarray, small: np.ndarray, lms: np.ndarray, symbols:
 
 
 def _induce_singly(s: np.ndarray, small: np.ndarray, lms: np.ndarray, symbols: int) -> np.ndarray:
-    """The same, suffix by suffix."""
-    n, text, smaller = len(s), s.tolist(), small.tolist()
-    bound = _bounds(s, symbols)
-    out, tail = [-1] * n, bound[1:].tolist()
-    for i in reversed(lms.tolist()):
-        tail[text[i]] -= 1
-        out[tail[text[i]]] = i
-    head = bound[:-1].tolist()
-    for k in range(n):
-        j = out[k] - 1
-        if j >= 0 and not smaller[j]:
-            c = text[j]
-            out[head[c]] = j
-            head[c] += 1
-    tail = bound[1:].tolist()
-    for k in range(n - 1, -1, -1):
-        j = out[k] - 1
-        if j >= 0 and smaller[j]:
-            c = text[j]
-            tail[c] -= 1
-            out[tail[c]] = j
-    out[0] = n - 1
-    return np.array(out, np.int64)
+    """The same, suffix by suffix. A free place holds 0, which has no predecessor and so induces nothing."""
+    packed = lambda x: array("i", x.astype(np.int32).tobytes())  # noqa: E731 - no object for each number
+    text, smaller, bound = packed(s), small.tobytes(), _bounds(s, symbols)
+    out, tail, head = packed(np.zeros(len(s))), packed(bound[1:]), packed(bound[:-1])
+    for i in packed(lms[::-1]):
+        c = text[i]
+        k = tail[c] - 1
+        tail[c], out[k] = k, i
+    for i in out:  # sees what the loop itself puts further on
+        if i and not smaller[i - 1]:
+            c = text[i - 1]
+            k = head[c]
+            out[k], head[c] = i - 1, k + 1
+    tail = packed(bound[1:])
+    for i in reversed(out):
+        if i and smaller[i - 1]:
+            c = text[i - 1]
+            k = tail[c] - 1
+            tail[c], out[k] = k, i - 1
+    out[0] = len(s) - 1
+    return np.frombuffer(out, np.int32).astype(np.int64)
 
 
 def _names(s: np.ndarray, lms: np.ndarray, order: np.ndarray) -> tuple[np.ndarray, int]:
