@@ -70,13 +70,11 @@ def _digest(rolled: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarra
 
 def _minima(h: np.ndarray, width: int) -> np.ndarray:
     """Smallest of each ``width`` neighbours."""
-    blocks = np.full(-(-len(h) // width) * width, np.iinfo(h.dtype).max, h.dtype)
-    blocks[: len(h)] = h
-    square = blocks.reshape(-1, width)
-    ahead = np.minimum.accumulate(square, axis=1).ravel()
-    back = np.minimum.accumulate(square[:, ::-1], axis=1)[:, ::-1].ravel()
-    n = len(h) - width + 1
-    return np.minimum(back[:n], ahead[width - 1 : width - 1 + n])
+    k = 1
+    while 2 * k <= width:
+        h, k = np.minimum(h[:-k], h[k:]), 2 * k
+    rest = width - k
+    return np.minimum(h[: len(h) - rest], h[rest:]) if rest else h
 
 
 class Segments:
@@ -121,7 +119,7 @@ class Segments:
 
 def _anchors(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """How often each anchor occurs, and the smallest and the largest digest of its segments."""
-    for b in W.batches(it, BATCH_BYTES):
+    for b in W.batches(it, BATCH_BYTES, lean=False):
         s = Segments(b.column("text"))
         order = np.argsort(s.anchor)
         anchor, digest = s.anchor[order].view(np.int64), s.digest()[order].view(np.int64)
@@ -157,7 +155,7 @@ def _emitter(sent):
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         again, unlike = sent.value
-        for b in W.batches(it, BATCH_BYTES):
+        for b in W.batches(it, BATCH_BYTES, lean=False):
             s = Segments(b.column("text"))
             s.only(_holds(again, s.anchor))
             if not len(s.start):
@@ -189,7 +187,7 @@ def _halves(low_width: int):
     """The segments in two, by the place of the anchor in a window: halves of ``low_width`` places, and what their windows share as anchor."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in W.batches(it, BATCH_BYTES, "bytes"):
+        for b in W.batches(it, BATCH_BYTES, "bytes", lean=False):
             raw, off = W.utf8(b.column("bytes"))
             start, end, at, low = (b.column(c).to_numpy() for c in ("start", "end", "at", "low"))
             for k in range(2):
@@ -290,7 +288,7 @@ def stretches(rows: DataFrame, scratch: Scratch) -> DataFrame:
 
 
 def _cut(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in W.batches(it, 4 << 20):
+    for b in W.batches(it, 4 << 20, lean=False):
         raw, off = W.utf8(b.column("text"))
         found = b.column("found")
         pieces = found.flatten()
@@ -325,10 +323,11 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     at = ["none", "id", "tie"]
     repeated = not rows.groupBy(*at).count().filter("count > 1").isEmpty()
     if repeated:
-        rows = scratch.keep(rows.groupBy(*at, "text").agg(F.count(F.lit(1)).alias("copies")))
+        rows = Scratch(docs.sparkSession).keep(rows.groupBy(*at, "text").agg(F.count(F.lit(1)).alias("copies")))
     else:
         rows = rows.withColumn("copies", F.lit(1).cast("long"))
-    found = stretches(rows, scratch).groupBy(*at).agg(F.collect_list(F.struct("start", "end")).alias("found"))  # a text has one for every few windows
+    pieces = scratch.last(stretches(rows, scratch))
+    found = pieces.groupBy(*at).agg(F.collect_list(F.struct("start", "end")).alias("found"))  # a text has one for every few windows
     out = rows.join(found, at, "left").select(*at, "copies", "text", "found")
     out = out.mapInArrow(_cut, "none boolean, id long, copies long, n_bytes long, spans array<struct<start: long, end: long>>, kept binary")
     if repeated:
@@ -336,4 +335,5 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
         gone = (F.col("copy") > 1) & (F.col("n_bytes") >= LENGTH)
         whole = F.array(F.struct(F.lit(0).cast("long").alias("start"), F.col("n_bytes").alias("end")))
         out = out.withColumn("copy", copy).withColumns({"spans": F.when(gone, whole).otherwise(F.col("spans")), "kept": F.when(gone, F.lit(b"")).otherwise(F.col("kept"))})
-    return scratch.last(out.select(F.when(~F.col("none"), F.col("id")).alias(key), "n_bytes", "spans", "kept"))
+    out = out.select(F.when(~F.col("none"), F.col("id")).alias(key), "n_bytes", "spans", "kept")
+    return Scratch(docs.sparkSession).keep(out)

@@ -233,9 +233,13 @@ def _lean() -> None:
         return
 
 
-def batches(it: Iterator[pa.RecordBatch], max_bytes: int = 4 << 20, column: str = "text") -> Iterator[pa.RecordBatch]:
-    """The same rows in slices whose ``column`` has at most ``max_bytes``, one row at least."""
-    _lean()
+def batches(it: Iterator[pa.RecordBatch], max_bytes: int = 4 << 20, column: str = "text", lean: bool = True) -> Iterator[pa.RecordBatch]:
+    """The same rows in slices whose ``column`` has at most ``max_bytes``, one row at least.
+
+    ``lean`` is for kernels with large arrays; many passes over small ones are faster where the worker keeps their room.
+    """
+    if lean:
+        _lean()
     for batch in it:
         if not batch.num_rows:
             continue
