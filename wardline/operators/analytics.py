@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from wardline.steps import Scratch
+
 DECISIONS = ("ALLOW", "FLAG", "QUARANTINE", "BLOCK")
 
 
@@ -70,11 +72,12 @@ def _ranged(counts: DataFrame, by: list[str], order: Column, sums: dict[str, str
     """``counts`` with running sums over ``by`` in ``order``, its row's own included: new columns named by ``sums`` (column: name).
 
     Rows are cut into ranges of the order, each summed by itself; what the ranges before it come to is added.
-    There are as many ranges as shuffle partitions, so the second step has that many rows a group.
+    There are as many ranges as shuffle partitions, so the second step has that many rows a group. Ranges are cut by a
+    sample, so the rows are written once with their range: both steps must see the same ones.
     """
     spark = counts.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    cut = counts.repartitionByRange(n, *by, order).withColumn("__part", F.spark_partition_id())
+    cut = Scratch(spark).keep(counts.repartitionByRange(n, *by, order).withColumn("__part", F.spark_partition_id()))
     own = Window.partitionBy(*by, "__part").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     inside = cut.withColumns({name: F.sum(c).over(own) for c, name in sums.items()})
     totals = inside.groupBy(*by, "__part").agg(*[F.sum(c).alias(f"__{name}") for c, name in sums.items()])

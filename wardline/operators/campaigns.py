@@ -91,6 +91,20 @@ def number_campaigns(founders: DataFrame, year: int, existing: int, time: str, t
     return founders.withColumn("campaign", F.format_string("CAMPAIGN-%d-%04d", F.lit(year), k))
 
 
+def online(messages: DataFrame, key: str = "channel", join_at: float = JOIN_AT, found_at: float = FOUND_AT) -> DataFrame:
+    """(key, id, ts, campaign, how, similarity) of messages (key, id, ts, vector, risk), taken one by one in time order (ties: by id).
+
+    A message may join what another one of its batch has founded. Each key is walked through by itself, with the
+    latest campaigns as its only state, so a key with very many messages is streamed. ``streaming.stateful.campaign_events`` is the stream.
+    """
+    from wardline.operators.folds import fold, micros, online_campaigns
+
+    kind, ident = messages.schema[key].dataType.simpleString(), messages.schema["id"].dataType.simpleString()
+    timed = messages.select(key, "id", "ts", "vector", "risk", micros(F.col("ts")).alias("us"))
+    step = online_campaigns(join_at, found_at, (key, "id", "ts"))
+    return fold(timed, [key], ["us", "id"], step, f"{key} {kind}, id {ident}, ts timestamp, campaign {ident}, how string, similarity double")
+
+
 def assign(matched: Column, similarity_: Column, risk: Column) -> Column:
     """joined, founded or none for each message against the campaigns before its batch.
 

@@ -6,31 +6,19 @@ Loops are bounded by their depth and cut lineage by writing each step once.
 
 from __future__ import annotations
 
-import uuid
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wardline import refdata
+from wardline.spread import spread_join
+from wardline.steps import Scratch
 
 #: Neighbours from which a node is a hub: reached, but not walked through.
 HUB = 150
 
 
-def _cut(df: DataFrame) -> DataFrame:
-    """The same rows without their history, written once to the folder that the session shares."""
-    spark = df.sparkSession
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        root = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_scratch"
-    path = f"{root.rstrip('/')}/graph-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def merge_nodes(rows: DataFrame, latest: tuple[str, ...] = ()) -> DataFrame:
     """Nodes by id: greatest risk, malicious if any was, first and last time seen, and the last value seen of the properties ``latest``."""
     last = [F.max_by(c, F.when(F.col(c).isNotNull(), F.col("last_seen"))).alias(c) for c in latest]
@@ -118,20 +106,28 @@ def neighbour_counts(edges: DataFrame) -> DataFrame:
     return undirected(edges).select("a", "b").distinct().groupBy(F.col("a").alias("id")).agg(F.count(F.lit(1)).alias("neighbours"))
 
 
-def khop(edges: DataFrame, seeds: DataFrame, depth: int, hub: int = HUB, closed_types: tuple[str, ...] = ("feed",)) -> DataFrame:
+def khop(edges: DataFrame, seeds: DataFrame, depth: int, hub: int = HUB, closed_types: tuple[str, ...] = ("feed",), limit: int | None = None) -> DataFrame:
     """(id, hops) of the nodes within ``depth`` steps of any seed (id).
 
-    Hubs and nodes of a closed type are reached but not walked through, unless they are seeds.
+    Hubs and nodes of a closed type are reached but not walked through, unless they are seeds. With a ``limit`` the
+    nearest so many nodes are given, ties by id, and no layer is walked beyond the one in which it is reached.
+    Each layer is a written table; layers are counted by their sums, never in one task.
     """
-    both = undirected(edges).select("a", "b").distinct()
-    stop = neighbour_counts(edges).filter(F.col("neighbours") > hub).select("id")
-    seen = seeds.select("id").distinct().withColumn("hops", F.lit(0))
-    front = seen.select("id")
+    scratch = Scratch(edges.sparkSession)
+    both = scratch.keep(undirected(edges).select("a", "b").distinct())
+    stop = both.groupBy(F.col("a").alias("id")).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > hub).select("id")
+    seen = scratch.keep(seeds.select("id").distinct().withColumn("hops", F.lit(0)))
+    front, total = seen.select("id"), seen.count() if limit is not None else 0
     for k in range(1, depth + 1):
+        if limit is not None and total >= limit:
+            break
         new = both.join(front, both["a"] == front["id"]).select(F.col("b").alias("id")).distinct().join(seen.select("id"), "id", "left_anti")
-        seen = _cut(seen.unionAll(new.withColumn("hops", F.lit(k))))
-        front = seen.filter(F.col("hops") == k).select("id").join(stop, "id", "left_anti").filter(~F.substring_index("id", ":", 1).isin(*closed_types))
-    return seen
+        more = scratch.keep(new.withColumn("hops", F.lit(k)))
+        seen, total = seen.unionAll(more), total + (more.count() if limit is not None else 0)
+        front = more.select("id").join(stop, "id", "left_anti").filter(~F.substring_index("id", ":", 1).isin(*closed_types))
+    if limit is None:
+        return seen
+    return seen.orderBy("hops", "id").limit(limit)
 
 
 def induced(edges: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -160,14 +156,15 @@ def bad_paths(edges: DataFrame, spec: DataFrame, seeds: DataFrame, bad: DataFram
     A path is worth the least specificity (id, spec) of its inner nodes, 1 without any;
     those below ``least`` are dropped on the way. Of several, the shortest, then the most specific one counts.
     """
-    both = undirected(edges).select("a", "b").distinct()
+    scratch = Scratch(edges.sparkSession)
+    both = scratch.keep(undirected(edges).select("a", "b").distinct())
     targets = bad.select("id").distinct().withColumn("__bad", F.lit(True))
     front = seeds.select(F.col("id").alias("seed"), F.col("id").alias("at"), F.lit(1.0).alias("spec"))
     seen = front.select("seed", "at")
     found = None
     for k in range(1, depth + 1):
         step = front.join(both, F.col("at") == F.col("a")).select("seed", F.col("b").alias("at"), "spec").groupBy("seed", "at").agg(F.max("spec").alias("spec"))
-        step = _cut(step.join(seen, ["seed", "at"], "left_anti"))
+        step = scratch.keep(step.join(seen, ["seed", "at"], "left_anti"))
         seen = seen.unionAll(step.select("seed", "at"))
         hits = step.join(targets.withColumnRenamed("id", "at"), "at").select("seed", F.col("at").alias("bad"), F.lit(k).alias("hops"), "spec")
         found = hits if found is None else found.unionAll(hits)
@@ -206,18 +203,25 @@ def graph_score(components: dict[str, Column]) -> Column:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(id, component): the smallest id that each node reaches, by smallest neighbours and pointer jumps."""
-    both = _cut(undirected(edges).select("a", "b").filter("a <> b").distinct())
+    """(id, component): the smallest id that each node reaches, by smallest neighbours and pointer jumps.
+
+    Each round is a written table, and the one before is deleted. Joins on a node that very many nodes are beside, or
+    on a component that holds a third of them, deal its rows over several tasks.
+    """
+    scratch = Scratch(edges.sparkSession)
+    both = scratch.keep(undirected(edges).select("a", "b").filter("a <> b").distinct())
     alone = edges.selectExpr("src as id").union(edges.selectExpr("dst as id")).distinct()
-    labels = _cut(alone.withColumn("component", F.col("id")))
+    labels = scratch.keep(alone.withColumn("component", F.col("id")))
     while True:
-        near = both.join(labels.withColumnRenamed("id", "b"), "b").groupBy(F.col("a").alias("id")).agg(F.min("component").alias("low"))
-        taken = labels.join(near, "id", "left").select("id", F.col("component").alias("was"), F.least("component", "low").alias("component"))
+        near = spread_join(both, labels.withColumnRenamed("id", "b"), ["b"], ["a"]).groupBy(F.col("a").alias("id")).agg(F.min("component").alias("low"))
+        taken = scratch.keep(labels.join(near, "id", "left").select("id", F.col("component").alias("was"), F.least("component", "low").alias("component")))
         jump = labels.select(F.col("id").alias("component"), F.col("component").alias("next"))
-        new = _cut(taken.join(jump, "component", "left").select("id", "was", F.least("component", F.coalesce("next", "component")).alias("component")))
-        labels = new.select("id", "component")
-        if new.filter("was <> component").isEmpty():
-            return labels
+        new = scratch.keep(spread_join(taken, jump, ["component"], ["id"], "left").select("id", "was", F.least("component", F.coalesce("next", "component")).alias("component")))
+        scratch.drop(labels, taken)
+        labels = new
+        if labels.filter("was <> component").isEmpty():
+            scratch.drop(both)
+            return labels.select("id", "component")
 
 
 def anchored_components(edges: DataFrame, anchors: tuple[str, ...]) -> DataFrame:

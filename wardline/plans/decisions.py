@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from wardline.functions.scores import decision
 from wardline.operators import analytics as A
+from wardline.operators import campaigns as C
+from wardline.operators import folds
 from wardline.plans.registry import query, table
 from wardline.streaming.queries import decisions_by_window
 
@@ -170,17 +172,34 @@ UNION ALL SELECT e.event_id, e.user_id, e.t, e.k, CASE WHEN least(3.0, b.tokens
 SELECT user_id, count(*) AS n, count(*) FILTER (allowed) AS n_allowed FROM b GROUP BY user_id"""
 )
 def rate_limiter_twin(spark: SparkSession, sf: str) -> DataFrame:
-    """Token bucket of 3, one a day, as a fold over each user's ordered times."""
-    t = F.unix_micros(F.col("ts").cast("timestamp")) / 1e6
-    users = table(spark, sf, "events").groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct(t.alias("t"), "event_id"))).alias("calls"))
+    """Token bucket of 3, one a day, over each user's calls in order."""
+    calls = table(spark, sf, "events").select("user_id", "event_id", folds.micros(F.col("ts")).alias("us"))
+    told = folds.fold(calls, ["user_id"], ["us", "event_id"], folds.token_bucket(1 / 1440, 3, ("user_id",)), "user_id long, allowed boolean")
+    return told.groupBy("user_id").agg(F.count(F.lit(1)).alias("n"), F.count_if("allowed").alias("n_allowed"))
 
-    def step(s, call):
-        tokens = F.when(s["last"].isNull(), 3.0).otherwise(F.least(F.lit(3.0), s["tokens"] + (call["t"] - s["last"]) / 86400.0))
-        ok = tokens >= 1
-        return F.struct(F.when(ok, tokens - 1).otherwise(tokens).alias("tokens"), call["t"].alias("last"), (s["allowed"] + ok.cast("long")).alias("allowed"))
 
-    start = F.struct(F.lit(3.0).alias("tokens"), F.lit(None).cast("double").alias("last"), F.lit(0).cast("long").alias("allowed"))
-    return users.select("user_id", F.size("calls").cast("long").alias("n"), F.aggregate("calls", start, step)["allowed"].alias("n_allowed"))
+@query(
+    """WITH RECURSIVE e AS (SELECT event_id, user_id, value < 120 AS failed, epoch_us(ts) AS us, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events),
+b AS (SELECT event_id, user_id, us, k, 'closed' AS state, failed::INT AS failures, CASE WHEN failed AND 1 >= 3 THEN us ELSE 0 END AS opened FROM e WHERE k = 1
+UNION ALL SELECT event_id, user_id, us, k, state, CASE WHEN state = 'open' THEN failures WHEN failed THEN failures + 1 ELSE 0 END AS failures,
+  CASE WHEN state <> 'open' AND failed AND failures + 1 >= 3 THEN us ELSE opened END FROM (
+  SELECT e.event_id, e.user_id, e.us, e.k, e.failed, b.failures, b.opened, CASE WHEN b.failures < 3 THEN 'closed' WHEN e.us - b.opened > 172800000000 THEN 'half-open' ELSE 'open' END AS state
+  FROM b JOIN e ON e.user_id = b.user_id AND e.k = b.k + 1))
+SELECT event_id, user_id, state, failures FROM b"""
+)
+def circuit_breaker_states(spark: SparkSession, sf: str) -> DataFrame:
+    """Breakers of users, with a cooldown of two days and half-open tries: the stream's own step over a batch."""
+    calls = table(spark, sf, "events").select("event_id", "user_id", folds.micros(F.col("ts")).alias("us"), (F.col("value") < 120).alias("failed"))
+    step = folds.circuit_breaker(3, 172_800, ("event_id", "user_id"))
+    return folds.fold(calls, ["user_id"], ["us", "event_id"], step, "event_id long, user_id long, state string, failures int")
+
+
+@query()
+def campaign_online(spark: SparkSession, sf: str) -> DataFrame:
+    """Vectors as messages of eight channels that come in order of their numbers: campaigns joined and founded one by one."""
+    n = F.col("vec_id")
+    told = table(spark, sf, "embeddings").select((n % 8).cast("int").alias("channel"), n.alias("id"), F.timestamp_seconds(n).alias("ts"), F.col("embedding").alias("vector"), (F.pmod(F.xxhash64(n), F.lit(100))).cast("double").alias("risk"))
+    return C.online(told).select("channel", "id", "campaign", "how", F.round("similarity", 6).alias("similarity"))
 
 
 @query(f"WITH {_DET} SELECT strftime(time_bucket(INTERVAL 1 HOUR, ts), '%Y-%m-%d %H:%M') AS window_start, decision, count(*) AS n FROM det GROUP BY 1, 2")

@@ -1,0 +1,85 @@
+"""Tables written once to the folder that driver and executors share, to cut lineage and to fix what is computed twice."""
+
+from __future__ import annotations
+
+import atexit
+import threading
+import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The session's spark.checkpoint.dir, which all executors must see; only a local session may go without."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if found:
+        return found.rstrip("/")
+    if not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    where = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_scratch"
+    spark.conf.set("spark.checkpoint.dir", where)
+    return where
+
+
+#: With it Spark removes a query's shuffle files once the query has ended; until then lost ones are made again as always.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_lock, _writing = threading.Lock(), []
+
+
+@contextmanager
+def _clean_shuffles(spark: SparkSession) -> Iterator[None]:
+    """Sets the option while any thread writes; the last one to end puts back what was there before."""
+    with _lock:
+        if not _writing:
+            _writing.append(spark.conf.get(_CLEANUP, "false"))
+        _writing.append(None)
+        spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        with _lock:
+            _writing.pop()
+            if len(_writing) == 1:
+                spark.conf.set(_CLEANUP, _writing.pop())
+
+
+class Scratch:
+    """Parquet tables of one run, each droppable once nothing reads it any more; what is left goes when the driver ends."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+        self.root = f"{shared_dir(spark)}/wardline-{uuid.uuid4().hex}"
+        self.made = 0
+        atexit.register(self.drop)
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        """Write ``df`` and read it back: executors lost later don't recompute it."""
+        self.made += 1
+        path = f"{self.root}/{self.made}"
+        with _clean_shuffles(self.spark):
+            df.write.parquet(path)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        out._wardline_path = path
+        return out
+
+    def last(self, df: DataFrame) -> DataFrame:
+        """Like ``keep``, and the run's other tables are deleted: what stays is the result."""
+        out = self.keep(df)
+        self.root, old = out._wardline_path, self.root
+        for k in range(1, self.made):
+            self._delete(f"{old}/{k}")
+        return out
+
+    def _delete(self, path: str) -> None:
+        try:
+            where = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)
+        except Exception:  # noqa: BLE001 - the session may have ended, its folder is then its owner's to clear
+            return
+
+    def drop(self, *tables: DataFrame) -> None:
+        """Delete these tables, or without any given the whole run's."""
+        for path in [t._wardline_path for t in tables] or [self.root]:
+            self._delete(path)

@@ -2,16 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from wardline.functions.scores import decision
 from wardline.functions.text import intent_hits, intent_score
 from wardline.operators.graph import merge_edges, merge_nodes
+from wardline.streaming.stateful import breaker_events, cached_stream, campaign_events, rate_limited  # noqa: F401 - the streams with state of their own
 
 
 def decisions_by_window(rows: DataFrame, width: str = "1 hour", late: str = "2 hours") -> DataFrame:
@@ -33,72 +30,6 @@ def distinct_messages(rows: DataFrame, key: str = "message_id", time: str = "ts"
     return rows.withWatermark(time, late).dropDuplicatesWithinWatermark([key]) if rows.isStreaming else rows.dropDuplicates([key])
 
 
-#: How late a call may come, and how long after its last call a key is remembered, in the time of the calls.
-LATE, IDLE_MS = "10 minutes", 3_600_000
-
-
-def _forget_later(state: GroupState, last: float) -> None:
-    state.setTimeoutTimestamp(max(state.getCurrentWatermarkMs(), int(last * 1000)) + IDLE_MS)
-
-
-def _together(batches: Iterator[pd.DataFrame]) -> pd.DataFrame:
-    """All rows of a key in this micro-batch, in time order; its parts may come in any order."""
-    rows = list(batches)
-    return pd.concat(rows).sort_values("ts", kind="stable") if rows else pd.DataFrame()
-
-
-def rate_limited(rows: DataFrame, per_minute: float, burst: int) -> DataFrame:
-    """(client, ts, allowed): a token bucket for each client, refilled by the time between its calls.
-
-    A client idle for IDLE_MS is forgotten, and starts with a full bucket.
-    """
-
-    def calls(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        tokens, last = state.get if state.exists else (float(burst), None)
-        batch, out = _together(batches), []
-        for ts in batch["ts"]:
-            now = ts.timestamp()
-            tokens = tokens if last is None else min(float(burst), tokens + max(0.0, now - last) * per_minute / 60)
-            ok = tokens >= 1
-            tokens, last = tokens - ok, now
-            out.append(ok)
-        state.update((tokens, last))
-        _forget_later(state, last)
-        yield pd.DataFrame({"client": key[0], "ts": batch["ts"], "allowed": out})
-
-    return rows.withWatermark("ts", LATE).groupBy("client").applyInPandasWithState(calls, "client string, ts timestamp, allowed boolean", "tokens double, last double", "append", GroupStateTimeout.EventTimeTimeout)
-
-
-def breaker_events(rows: DataFrame, threshold: int = 4, cooldown: float = 120.0) -> DataFrame:
-    """(provider, ts, state): closed, open or half-open before each call; consecutive failures open it.
-
-    Calls while it is open are refused and change nothing. After the cooldown one is tried: if it
-    fails, the breaker is open again from then on, if not, closed.
-    """
-
-    def calls(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        failures, opened = state.get if state.exists else (0, 0.0)
-        batch, out = _together(batches), []
-        for ts, failed in zip(batch["ts"], batch["failed"], strict=True):
-            now = ts.timestamp()
-            out.append("closed" if failures < threshold else "half-open" if now - opened > cooldown else "open")
-            if out[-1] == "open":
-                continue
-            failures = failures + 1 if failed else 0
-            opened = now if failures >= threshold else opened
-        state.update((int(failures), float(opened)))
-        _forget_later(state, now)
-        yield pd.DataFrame({"provider": key[0], "ts": batch["ts"], "state": out})
-
-    return rows.withWatermark("ts", LATE).groupBy("provider").applyInPandasWithState(calls, "provider string, ts timestamp, state string", "failures int, opened double", "append", GroupStateTimeout.EventTimeTimeout)
-
-
 #: Folders that keys are dealt over: a micro-batch rewrites those it touches.
 FOLDERS = 64
 
@@ -193,12 +124,23 @@ def latest_verdicts(rows: DataFrame) -> DataFrame:
 
 
 def cached_lookup(rows: DataFrame, cache: DataFrame, key: str, hours: float = 6.0) -> DataFrame:
-    """Rows (key, ts, …) with the latest cache entry (key, fetched_at, …) that was no older than ``hours`` when the row came; null otherwise."""
-    entry = cache.select(F.col(key).alias("__k"), "fetched_at", F.struct(*cache.columns).alias("__e"))
-    numbered = rows.withColumn("__row", F.monotonically_increasing_id())
-    fresh = (F.col(key) == F.col("__k")) & (F.col("fetched_at") <= F.col("ts")) & (F.col("fetched_at") > F.col("ts") - F.expr(f"interval {int(hours * 3600)} seconds"))
-    best = numbered.select("__row", key, "ts").join(entry, fresh).groupBy("__row").agg(F.max_by("__e", "fetched_at").alias("__e"))
-    return numbered.join(best, "__row", "left").select(*rows.columns, *[F.col(f"__e.{c}").alias(c) for c in cache.columns if c != key])
+    """Rows (key, ts, …) with the latest cache entry (key, fetched_at, …) that was no older than ``hours`` when the row came; null otherwise.
+
+    Rows and entries of a key are laid in time order side by side, in stretches of ``hours``: an entry stands in its own
+    stretch and in the next one. So nothing is multiplied, and a key with very many rows is as many groups as it has stretches. Of
+    entries fetched at one time the greatest counts. The batch twin of ``cached_stream``.
+    """
+    width = int(hours * 3_600_000_000)
+    stretch = lambda t: F.floor(F.unix_micros(t) / width)
+    entry, row = F.struct(*cache.columns), F.struct(*rows.columns)
+    none = lambda df, of: F.lit(None).cast(df.select(of.alias("x")).schema["x"].dataType)
+    kept = cache.filter(F.col(key).isNotNull()).select(F.col(key).alias("__k"), F.col("fetched_at").alias("__t"), F.lit(0).alias("__kind"), entry.alias("__e"), none(rows, row).alias("__r"))
+    kept = kept.withColumn("__s", F.explode(F.array(stretch(F.col("__t")), stretch(F.col("__t")) + 1)))
+    asked = rows.select(F.col(key).alias("__k"), F.col("ts").alias("__t"), F.lit(1).alias("__kind"), none(cache, entry).alias("__e"), row.alias("__r")).withColumn("__s", stretch(F.col("__t")))
+    order = Window.partitionBy("__k", "__s").orderBy("__t", "__kind", "__e").rowsBetween(Window.unboundedPreceding, 0)
+    met = kept.unionByName(asked).withColumn("__last", F.last("__e", ignorenulls=True).over(order)).filter("__kind = 1")
+    fresh = F.col("__last.fetched_at") > F.col("__t") - F.expr(f"interval {int(hours * 3600)} seconds")
+    return met.select("__r.*", *[F.when(fresh, F.col(f"__last.{c}")).alias(c) for c in cache.columns if c != key])
 
 
 def recent_events(path: str, keep: int = 200):
