@@ -38,6 +38,16 @@ STRONG = frozenset(
 )
 PHRASES = frozenset("p li dt dd h1 h2 h3 h4 h5 h6 blockquote pre td th caption figcaption span b i em strong a code summary".split())  # text-level: only a whole name tells
 
+# what readers say below an article: the whole name is enough anywhere
+COMMENTS = frozenset(
+    "comment comments commentlist comment-list comments-list comment-section comments-section comments-area comment-thread comment-body commentary-list disqus disqus_thread replies reply-list responses "
+    "respond reader-comments user-comments discussion-thread".split()
+)
+# with one of these a strong name says so inside an article as well: ad-slot, share-buttons; social-science and lunch-menu don't
+COMPANIONS = frozenset(
+    "area banner bar block box bottom btn button buttons card code column container content count footer form frame group header holder icon icons inline inner item items label left link links list main menu "
+    "mobile module network overlay page panel popup post posts primary right row secondary section side site slot small stories strip text title tools top unit units widget wrap wrapper zone".split()
+)
 STATES = frozenset("has have no not with without is hide".split())  # pieces of names that tell what an element has beside it
 LEFT_OPEN = {"article": frozenset("nav menu header".split()), "main": frozenset("nav menu header aside footer".split())}  # what can't hold such an element ends before it
 
@@ -54,13 +64,18 @@ _BREAKS = {
 _INTEGRATION = re.compile(r"<(?:foreignobject|desc|title)(?=[\s/>])", re.I)  # parts of a drawing that hold blocks
 _UNENDED = frozenset("script style noscript iframe title textarea".split())  # hide the rest of the page without an end tag
 _NAME = re.compile(r"</?\s*([a-zA-Z][a-zA-Z0-9:-]*)")
-_ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|style|aria-hidden)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.I)
+# one attribute after another: a name, and a value that may be quoted; what is in a value is no name
+_ATTRIBUTE = re.compile(r"""([^\s"'=<>/][^\s=<>/]*)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]*)))?""")
 _IMPLIED = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 _HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)"
 
 
 def _attributes(tag: str) -> dict[str, str]:
-    return {m[1].lower(): (m[2] or "").strip("\"'") for m in _ATTRIBUTE.finditer(tag)}
+    """Values by lower-cased name; of equal names the first counts, as in a browser."""
+    out: dict[str, str] = {}
+    for m in _ATTRIBUTE.finditer(tag, _NAME.match(tag).end()):
+        out.setdefault(m[1].lower(), next((v for v in m.groups()[1:] if v is not None), ""))
+    return out
 
 
 def _general(name: str, attributes: dict[str, str]) -> str:
@@ -73,7 +88,7 @@ def _named(name: str, attributes: dict[str, str], in_article: bool) -> bool:
     """Whether a class or id says that an element isn't the article; states such as has-sidebar say nothing.
 
     The whole name tells anywhere. Its first or last piece tells of elements that hold
-    others, inside an article only if it is a strong one. A header or a list of tags in
+    others; inside an article only if it is a strong one and the other piece is a companion. A header or a list of tags in
     an article is the article's own.
     """
     for value in (attributes.get("class", ""), attributes.get("id", "")):
@@ -83,11 +98,20 @@ def _named(name: str, attributes: dict[str, str], in_article: bool) -> bool:
                 continue
             if token in MARKS and not (in_article and token in ("header", "tags")):
                 return True
-            if name not in PHRASES and not (STRONG if in_article else MARKS).isdisjoint((pieces[0], pieces[-1])):
+            if name in PHRASES:
+                continue
+            if not in_article and not MARKS.isdisjoint((pieces[0], pieces[-1])):
+                return True
+            if in_article and not STRONG.isdisjoint((pieces[0], pieces[-1])) and all(p in STRONG or p in COMPANIONS or p.isdigit() for p in pieces):
                 return True
     return False
 
 
+def _comments(attributes: dict[str, str]) -> bool:
+    """Whether a class or id names reader comments."""
+    return any(token in COMMENTS for value in (attributes.get("class", ""), attributes.get("id", "")) for token in value.lower().split())
+
+
 def _raw_end(name: str, page: str, at: int) -> int | None:
     """Where the content of a raw element ends; None if nothing ends it."""
     end = _RAW_END[name].search(page, at)
@@ -113,7 +137,11 @@ def _marked(name: str, attributes: dict[str, str], in_article: bool) -> str:
         return ""
     if attributes.get("role", "").lower() in ROLES:
         return "likely" if attributes["role"].lower() in ("form", "search") else "sure"
-    if name in ("html", "body", "article", "main"):
+    if name in ("html", "body", "main") or (name == "article" and not in_article):
+        return ""
+    if _comments(attributes) and name not in PHRASES:
+        return "sure"
+    if name == "article":
         return ""
     return "likely" if _named(name, attributes, in_article) else ""
 
