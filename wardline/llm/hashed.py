@@ -203,12 +203,13 @@ def train(rows: DataFrame, labelled: DataFrame, featurise: Callable[..., Terms],
             row, bucket, x = featurise(b.column("text"))
             cut = np.searchsorted(row, np.arange(b.num_rows + 1))
             packed = lambda v, cut=cut: pa.array([v[i:j].tobytes() for i, j in zip(cut[:-1], cut[1:], strict=True)], pa.binary())
-            yield pa.RecordBatch.from_arrays([b.column("shard"), b.column("label"), packed(bucket.astype(np.int32)), packed(x.astype(np.float32))], ["shard", "label", "terms", "x"])
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("shard", "label", "who", "tie")), packed(bucket.astype(np.int32)), packed(x.astype(np.float32))], ["shard", "label", "who", "tie", "terms", "x"])
 
-    # the sample is dealt once: from then on a shard is a file, whose rows are read together
-    found = scratch.keep(picked.select("shard", "label", "text").mapInArrow(to_terms, "shard int, label int, terms binary, x binary"))
-    data = scratch.keep(found.repartitionByRange(shards, "shard"))
-    scratch.drop(found)
+    # a key that several rows have counts once, by the text with the smallest hash: the bound of the sample is one of rows
+    told = picked.select("shard", "label", "text", F.xxhash64("key").alias("who"), F.xxhash64("text").alias("tie"))
+    found = told.mapInArrow(to_terms, "shard int, label int, who long, tie long, terms binary, x binary")
+    once = found.groupBy("shard", "who").agg(F.min(F.struct("tie", "label", "terms", "x")).alias("r"))
+    data = scratch.keep(once.select("shard", "r.label", "r.terms", "r.x"))
     common = data.select("terms").mapInArrow(_term_rows, "term int, rows long").groupBy("term").agg(F.sum("rows").alias("rows")).filter(F.col("rows") >= s.min_rows)
     terms = np.array(sorted(r[0] for r in common.orderBy(F.desc("rows"), "term").limit(s.max_terms).select("term").collect()), dtype=np.int64)
     model = Model.fresh(terms, s)
@@ -220,15 +221,8 @@ def train(rows: DataFrame, labelled: DataFrame, featurise: Callable[..., Terms],
     for k in range(s.rounds):
         start = spark.sparkContext.broadcast(model)
 
-        def one_pass(it: Iterator[pa.RecordBatch], k: int = k, start=start) -> Iterator[pa.RecordBatch]:
-            for shard in _shards(it):
-                m = start.value
-                m = m.unpack(np.frombuffer(m.pack()))
-                for e in range(s.epochs):
-                    _pass_over(m, *shard, s, k * s.epochs + e)
-                yield pa.RecordBatch.from_arrays([pa.array([len(shard[0])], pa.int64()), pa.array([m.pack()], pa.binary())], ["n", "model"])
-
-        parts = data.mapInArrow(one_pass, "n long, model binary").collect()
+        # a shard is a group, however its rows are stored: one model each
+        parts = data.groupBy("shard").applyInArrow(_learner(start, s, k), "n long, model binary").collect()
         parts.sort(key=lambda p: (p["n"], p["model"][:16]))  # sums of floats in one order
         weight = np.array([p["n"] for p in parts], dtype=float)
         flat = sum(w * np.frombuffer(p["model"]) for w, p in zip(weight / weight.sum(), parts, strict=True))
@@ -240,21 +234,24 @@ def train(rows: DataFrame, labelled: DataFrame, featurise: Callable[..., Terms],
     return Scorer(terms[on], w[on], model.v[on], float(model.bias(s)))
 
 
-def _shards(it: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
-    """(labels, lengths, terms, values) of each shard of a partition, its rows end to end; the sample's bound is theirs."""
-    got: dict[int, tuple[bytearray, ...]] = {}
-    for b in it:
-        shards = b.column("shard").to_numpy()
-        for shard in np.unique(shards).tolist():
-            own = b.filter(pa.array(shards == shard))
-            parts = got.setdefault(shard, tuple(bytearray() for _ in range(4)))
-            parts[0].extend(own.column("label").to_numpy().astype(np.int32).tobytes())
-            parts[1].extend((pc.binary_length(own.column("terms")).to_numpy() // 4).astype(np.int32).tobytes())
-            for k, c in ((2, "terms"), (3, "x")):
-                for v in own.column(c):
-                    parts[k].extend(v.as_buffer())
-    for shard in sorted(got):
-        yield tuple(np.frombuffer(v, t) for v, t in zip(got.pop(shard), (np.int32, np.int32, np.int32, np.float32), strict=True))
+def _learner(start, s: Settings, k: int) -> Callable[[pa.Table], pa.Table]:
+    """A function that learns from a shard, beginning with the model of all shards so far."""
+
+    def one_pass(table: pa.Table) -> pa.Table:
+        shard = _shard(table)
+        m = start.value.unpack(np.frombuffer(start.value.pack()))
+        for e in range(s.epochs):
+            _pass_over(m, *shard, s, k * s.epochs + e)
+        return pa.table({"n": pa.array([len(shard[0])], pa.int64()), "model": pa.array([m.pack()], pa.binary())})
+
+    return one_pass
+
+
+def _shard(table: pa.Table) -> tuple[np.ndarray, ...]:
+    """(labels, lengths, terms, values) of a shard, its rows end to end; the sample's bound is theirs."""
+    whole = lambda c, t: np.frombuffer(b"".join(v.as_buffer() for v in table.column(c)), t)
+    lengths = (pc.binary_length(table.column("terms")).to_numpy() // 4).astype(np.int32)
+    return table.column("label").to_numpy().astype(np.int32), lengths, whole("terms", np.int32), whole("x", np.float32)
 
 
 def _term_rows(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
