@@ -130,6 +130,15 @@ def khop(edges: DataFrame, seeds: DataFrame, depth: int, hub: int = HUB, closed_
     return seen.orderBy("hops", "id").limit(limit)
 
 
+def two_hops(edges: DataFrame, kind: str, hub: int = HUB) -> DataFrame:
+    """(id, near, hops): what lies within two steps of each node of a type; hubs are reached, not walked through, which bounds what a node leads to."""
+    both = undirected(edges).select("a", "b").distinct()
+    walked = both.groupBy("a").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") <= hub).select("a")
+    one = both.filter(F.substring_index("a", ":", 1) == kind).select(F.col("a").alias("id"), F.col("b").alias("near"))
+    two = one.join(both.join(walked, "a", "left_semi"), one["near"] == both["a"]).select("id", F.col("b").alias("near")).filter("near <> id")
+    return one.withColumn("hops", F.lit(1)).unionAll(two.withColumn("hops", F.lit(2))).groupBy("id", "near").agg(F.min("hops").alias("hops"))
+
+
 def induced(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """Edges with both ends among ``nodes`` (id)."""
     ids = nodes.select("id")
