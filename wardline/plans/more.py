@@ -1,6 +1,7 @@
 """Queries of link extraction, senders, providers, suffixes, intents, findings, campaigns and graph views.
 
-Where the supplied tables hold nothing of the kind, short written rows do; their twins state what must come out.
+Where the supplied tables hold nothing of the kind, each of their rows is dealt one of a few written forms, or a form is
+filled with what the row holds; the twins state what must come out of each form.
 """
 
 from __future__ import annotations
@@ -49,6 +50,21 @@ def stated(columns: str, rows: list[tuple]) -> str:
     return f"SELECT {names} FROM (VALUES {', '.join('(' + ', '.join(map(_sql, r)) + ')' for r in rows)}) AS t({names})"
 
 
+def dealt(spark: SparkSession, sf: str, name: str, key: str, forms: list[tuple], columns: str) -> DataFrame:
+    """(id, columns): each row of a table with one of the written forms, by its key; the forms are a short list."""
+    listed_ = spark.createDataFrame([(k, *f) for k, f in enumerate(forms)], f"__k int, {columns}")
+    rows = table(spark, sf, name).select(F.expr(key).cast("long").alias("id"))
+    return rows.withColumn("__k", F.pmod("id", F.lit(len(forms))).cast("int")).join(F.broadcast(listed_), "__k").drop("__k")
+
+
+def dealt_sql(name: str, key: str, columns: str, forms: list[tuple]) -> str:
+    """SQL of what must come out of each row's form; a form may stand for any number of rows (k, …)."""
+    n = max(f[0] for f in forms) + 1 if forms else 1
+    return f"SELECT id, {', '.join(columns.split())} FROM (SELECT ({key})::BIGINT AS id FROM {name}) JOIN ({stated('k ' + columns, forms)}) ON id % {n} = k"
+
+
+_TURN, _TURN_SQL = "conv_id * 1000 + turn", "conv_id * 1000 + turn"
+
 ADDRESSES = [
     ("localhost", True), ("[::1]", True), ("[::]", True), ("[fe80::1]", True), ("[fe80::1%25eth0]", True), ("[febf::9]", True), ("[fec0::1]", False), ("[fc00::1]", True), ("[fdff:ffff::]", True), ("[ff02::1]", True), ("[::ffff:10.0.0.1]", True),
     ("[::ffff:8.8.8.8]", False), ("[2001:4860:4860::8888]", False), ("[1:2:3:4:5:6:7:8]", False), ("[1:2:3]", True), ("[1::2::3]", True), ("10.1.2.3", True), ("8.8.8.8", False), ("0x7f000001", True), ("2130706433", True),
@@ -56,11 +72,27 @@ ADDRESSES = [
 ]
 
 
-@query(stated("host blocked", ADDRESSES))
+_BLOCKS_SQL = "SELECT * FROM (VALUES " + ", ".join(f"({int.from_bytes(bytes(map(int, n.split('.'))))}, {int.from_bytes(bytes(map(int, n.split('.')))) + (1 << 32 - b) - 1})" for n, b in refdata.PRIVATE_BLOCKS) + ") AS t(low, high)"
+
+
+@query(
+    f"""WITH e AS (SELECT event_id, event_id % 5 AS form, [event_id * 7 % 256, user_id % 256, event_id % 256, event_id // 256 % 256] AS o FROM events),
+i AS (SELECT *, ((o[1] * 256 + o[2]) * 256 + o[3]) * 256 + o[4] AS n, array_to_string(o, '.') AS ip FROM e), b AS ({_BLOCKS_SQL}),
+h AS (SELECT event_id, form, n, CASE form WHEN 0 THEN ip WHEN 1 THEN '[::ffff:' || ip || ']' WHEN 2 THEN n::VARCHAR WHEN 3 THEN 'h' || event_id || '.local' ELSE 'h' || event_id || '.example.org' END AS host FROM i)
+SELECT event_id AS id, host, CASE form WHEN 2 THEN length(n::VARCHAR) >= 8 WHEN 3 THEN true WHEN 4 THEN false ELSE EXISTS (SELECT 1 FROM b WHERE n BETWEEN low AND high) END AS blocked FROM h
+UNION ALL {dealt_sql("customer", "c_custkey", "host blocked", [(k, *x) for k, x in enumerate(ADDRESSES)])}"""
+)
 def ssrf_addresses(spark: SparkSession, sf: str) -> DataFrame:
-    """Addresses of both kinds, names and disguises against the guard."""
-    hosts = spark.createDataFrame([(h,) for h, _ in ADDRESSES], "host string")
-    return hosts.select("host", U.blocked_target(F.col("host")).alias("blocked"))
+    """Addresses made of events' numbers, plain, mapped and as one number, private and public names, and written disguises, against the guard."""
+    n, user = F.col("event_id"), F.col("user_id")
+    parts = [n * 7 % 256, user % 256, n % 256, F.floor(n / 256) % 256]
+    ip = F.concat_ws(".", *[p.cast("long").cast("string") for p in parts])
+    number = ((parts[0] * 256 + parts[1]) * 256 + parts[2]) * 256 + parts[3]
+    form, text = n % 5, n.cast("string")
+    host = F.when(form == 0, ip).when(form == 1, F.concat(F.lit("[::ffff:"), ip, F.lit("]"))).when(form == 2, number.cast("long").cast("string")).when(form == 3, F.concat(F.lit("h"), text, F.lit(".local"))).otherwise(F.concat(F.lit("h"), text, F.lit(".example.org")))
+    made = table(spark, sf, "events").select(n.alias("id"), host.alias("host"))
+    written = dealt(spark, sf, "customer", "c_custkey", [(h,) for h, _ in ADDRESSES], "host string")
+    return made.unionByName(written).select("id", "host", U.blocked_target(F.col("host")).alias("blocked"))
 
 
 @query(
@@ -122,13 +154,18 @@ def sender_checks(spark: SparkSession, sf: str) -> DataFrame:
 HEADERS = [(1, "AX-HDFCBK", "HDFC Bank"), (2, "VM-SBIINB", "SBI"), (3, "JD-AMAZON-T", None), (4, "ax-icicib", "ICICI"), (5, "+919876543210", None), (6, "AX-AMAZON", "Amazon"), (7, "AX-X", None)]
 
 
-@query(stated("id brand", [(1, "HDFC Bank"), (2, "SBI"), (4, "ICICI"), (6, "Amazon")]))
+_TRUSTED = [(0, "HDFC Bank"), (1, "SBI"), (3, "ICICI"), (5, "Amazon")]
+
+
+@query(f"SELECT id, brand FROM (SELECT event_id AS id FROM events) JOIN ({stated('k brand', _TRUSTED)}) ON id % 7 = k")
 def registered_headers(spark: SparkSession, sf: str) -> DataFrame:
-    """Registered headers of text messages beside the brands that their texts claim; the third claims another one."""
-    sent = spark.createDataFrame([(i, s) for i, s, _ in HEADERS], "id long, sender string")
-    claims = spark.createDataFrame([(i, b) for i, _, b in HEADERS if b and i != 2] + [(3, "HDFC Bank")], "id long, brand string")
+    """Events as text messages with registered headers, beside the brands that their texts claim; the third form claims another one."""
+    sent = dealt(spark, sf, "events", "event_id", [(s, b if i != 2 else None) for i, s, b in HEADERS], "sender string, brand string")
+    other = sent.filter(F.pmod("id", F.lit(7)) == 2).select("id", F.lit("HDFC Bank").alias("brand"))
     words = spark.createDataFrame([("HDFC Bank", "hdfc"), ("SBI", "sbi"), ("Amazon", "amazon"), ("ICICI", "icici")], "brand string, keyword string")
-    return M.header_trust(sent, words, claims)
+    second = sent.filter(F.pmod("id", F.lit(7)) == 1).select("id", F.lit("SBI").alias("brand"))
+    claims = sent.filter("brand is not null").select("id", "brand").unionByName(other).unionByName(second)
+    return M.header_trust(sent.select("id", "sender"), words, claims)
 
 
 RULES = [("com", "exact"), ("net", "exact"), ("org", "exact"), ("example.com", "wildcard"), ("keep.example.com", "exception"), ("example.net", "exact"), ("co.uk", "exact")]
@@ -148,14 +185,12 @@ def public_suffix_rules(spark: SparkSession, sf: str) -> DataFrame:
     return U.registrable_join(hosts, spark.createDataFrame(RULES, "suffix string, kind string"))
 
 
-CONFUSED = [("раураl", "paypal"), ("g00gle", "gOOgle".lower()), ("ⅿail", "rnail"), ("plain", "plain")]
-
-
-@query(stated("name skeleton", [(a, b) for a, b in CONFUSED]))
+@query("SELECT DISTINCT translate(w, 'apyo', 'ару0') || 'ⅿ' AS name, w || 'rn' AS skeleton FROM (SELECT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS w FROM benchmark)")
 def confusable_skeletons(spark: SparkSession, sf: str) -> DataFrame:
-    """Names through a table of confusable characters, one of which stands for two letters."""
+    """Words of the benchmark in look-alike letters, through a table of confusable characters, one of which stands for two letters."""
     points = [("0440", "0070"), ("0430", "0061"), ("0443", "0079"), ("0030", "006F"), ("217F", "0072 006E")]
-    return X.skeletons(spark.createDataFrame([(a,) for a, _ in CONFUSED], "name string"), spark.createDataFrame(points, "source string, target string"))
+    words = table(spark, sf, "benchmark").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("([a-z]+)"), F.lit(1))).alias("w")).distinct()
+    return X.skeletons(words.select(F.concat(F.translate("w", "apyo", "ару0"), F.lit("ⅿ")).alias("name")), spark.createDataFrame(points, "source string, target string"))
 
 
 PAGES = [
@@ -172,10 +207,10 @@ LINKS = [
 ]
 
 
-@query(stated("id url registrable sources deceptive", LINKS))
+@query(dealt_sql("documents", "doc_id", "url registrable sources deceptive", [(i - 1, *x) for i, *x in LINKS]))
 def message_link_sources(spark: SparkSession, sf: str) -> DataFrame:
-    """Links of written messages with all their sources."""
-    found = E.message_links(spark.createDataFrame(PAGES, "id long, text string, html string"))
+    """Documents as messages of six written forms, their links with all their sources."""
+    found = E.message_links(dealt(spark, sf, "documents", "doc_id", [p[1:] for p in PAGES], "text string, html string"))
     return found.select("id", "url", "registrable", F.array_join("sources", ",").alias("sources"), "deceptive")
 
 
@@ -190,10 +225,10 @@ RATED = [  # url, model, official, established, names a brand, lies, rules, trus
 ]
 
 
-@query(stated("url rules trusted score", [(r[0], *r[6:]) for r in RATED]))
+@query(dealt_sql("pages", "page_id", "url rules trusted score", [(k, r[0], *r[6:]) for k, r in enumerate(RATED)]))
 def link_verdicts(spark: SparkSession, sf: str) -> DataFrame:
-    """All link rules with model, trust and user content, over written links."""
-    rows = spark.createDataFrame([r[:6] for r in RATED], "url string, model double, official boolean, established boolean, names boolean, lies boolean")
+    """All link rules with model, trust and user content, over written links dealt to pages."""
+    rows = dealt(spark, sf, "pages", "page_id", [r[:6] for r in RATED], "url string, model double, official boolean, established boolean, names boolean, lies boolean")
     p = U.parse(F.col("url"))
     rows = rows.select("*", *[c.alias(f"p_{n}") for n, c in p.items()])
     p = {n: F.col(f"p_{n}") for n in p}
@@ -205,7 +240,7 @@ def link_verdicts(spark: SparkSession, sf: str) -> DataFrame:
     trusted = E.trusted_link(F.col("official"), F.col("established"), F.col("p_host"), F.col("hits"))
     concrete = F.size(F.filter("hits", lambda h: ~(user & (h["id"] == "free_hosting")))) > 0
     score = U.url_score(F.col("hits"), F.col("model"), user & ~concrete, trusted, concrete)
-    return rows.select("url", F.array_join(F.transform("hits", lambda h: h["id"]), ",").alias("rules"), trusted.alias("trusted"), F.round(score, 1).alias("score"))
+    return rows.select("id", "url", F.array_join(F.transform("hits", lambda h: h["id"]), ",").alias("rules"), trusted.alias("trusted"), F.round(score, 1).alias("score"))
 
 
 INTENT_TEXTS = [
@@ -218,10 +253,10 @@ INTENT_TEXTS = [
 ]
 
 
-@query(stated("id intents", [(i, x) for i, _, x in INTENT_TEXTS]))
+@query(dealt_sql("conversations", _TURN_SQL, "intents", [(i - 1, x) for i, _, x in INTENT_TEXTS]))
 def intents_of_messages(spark: SparkSession, sf: str) -> DataFrame:
-    """Twenty intents in three languages over written messages."""
-    rows = spark.createDataFrame([(i, t) for i, t, _ in INTENT_TEXTS], "id long, text string")
+    """Twenty intents in three languages, over turns of conversations that say one of twenty written things."""
+    rows = dealt(spark, sf, "conversations", _TURN, [(t,) for _, t, _ in INTENT_TEXTS], "text string")
     hits = F.coalesce(X.intent_hits(F.col("text")), F.array().cast("array<struct<id:string,weight:double,evidence:array<string>>>"))
     return rows.select("id", F.array_join(F.array_sort(F.transform(hits, lambda h: h["id"])), ",").alias("intents"))
 
@@ -232,10 +267,19 @@ CONTACTS = [
 ]
 
 
-@query(stated("id payment phones wallets", [(i, *x) for i, _, *x in CONTACTS]))
+@query(
+    """WITH e AS (SELECT event_id AS id, 'u' || user_id || '@okaxis' AS payment, '9' || lpad((event_id * 7919 % 1000000000)::VARCHAR, 9, '0') AS mobile, '1800' || lpad((event_id % 10000000)::VARCHAR, 7, '0') AS free FROM events)
+SELECT id, payment, free || ',' || mobile AS phones, '' AS wallets FROM e UNION ALL """
+    + dealt_sql("customer", "c_custkey + 1000000000", "payment phones wallets", [(i - 1, *x) for i, _, *x in CONTACTS])
+)
 def contact_identifiers(spark: SparkSession, sf: str) -> DataFrame:
-    """Payment addresses, national numbers and wallets of written texts."""
-    rows = spark.createDataFrame([(i, t) for i, t, *_ in CONTACTS], "id long, text string")
+    """Payment addresses and national numbers made of events' numbers, in words; wallets and what is none in written texts."""
+    n = F.col("event_id")
+    mobile = F.concat(F.lit("9"), F.lpad((n * 7919 % 1_000_000_000).cast("string"), 9, "0"))
+    free = F.concat(F.lit("1800"), F.lpad((n % 10_000_000).cast("string"), 7, "0"))
+    said = F.concat(F.lit("Pay u"), F.col("user_id").cast("string"), F.lit("@okaxis, call +91 "), F.substring(mobile, 1, 5), F.lit(" "), F.substring(mobile, 6, 5), F.lit(" or 1800-"), F.substring(free, 5, 3), F.lit("-"), F.substring(free, 8, 4), F.lit("."))
+    rows = table(spark, sf, "events").select(n.alias("id"), said.alias("text"))
+    rows = rows.unionByName(dealt(spark, sf, "customer", "c_custkey + 1000000000", [(t,) for _, t, *_ in CONTACTS], "text string"))
     join = lambda c: F.array_join(c, ",")
     return rows.select("id", join(X.payment_ids(F.col("text"))).alias("payment"), join(X.national_phones(F.col("text"))).alias("phones"), join(X.wallets(F.col("text"))).alias("wallets"))
 
@@ -245,10 +289,13 @@ DEFANGED = [
 ]
 
 
-@query(stated("text refanged", DEFANGED))
+@query("SELECT page_id AS id, url AS refanged FROM pages UNION ALL " + dealt_sql("documents", "doc_id + 1000000000", "refanged", [((k + 6) % 7, r) for k, (_, r) in enumerate(DEFANGED)]))
 def refanged_links(spark: SparkSession, sf: str) -> DataFrame:
-    """Ways to write links harmless, undone."""
-    return spark.createDataFrame([(a,) for a, _ in DEFANGED], "text string").select("text", X.refang(F.col("text")).alias("refanged"))
+    """Links of pages written harmless, and other ways to write so, undone."""
+    harmless = F.replace(F.regexp_replace("url", "^http", "hxxp"), F.lit("."), F.lit("[.]"))
+    rows = table(spark, sf, "pages").select(F.col("page_id").cast("long").alias("id"), harmless.alias("text"))
+    forms = dealt(spark, sf, "documents", "doc_id + 1000000000", [(DEFANGED[(k + 1) % 7][0],) for k in range(7)], "text string")
+    return rows.unionByName(forms).select("id", X.refang(F.col("text")).alias("refanged"))
 
 
 _NAMES = "nm AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z]{6,12}')) AS name FROM benchmark)"
@@ -426,10 +473,14 @@ def graph_last_properties(spark: SparkSession, sf: str) -> DataFrame:
 FINDINGS = [("a.com", "homoglyph", "x", "com"), ("a.com", "keyword_affix", "y", "com"), ("b.in", "tld_swap", "x", "in"), ("c.xyz", "tld_swap", "x", "xyz"), ("d.org", "typosquat", "z", "org"), ("d.org", "subdomain", "z", "org")]
 
 
-@query(stated("host kind target confidence", [("a.com", "homoglyph", "x", 0.95), ("b.in", "tld_swap", "x", 0.5), ("c.xyz", "tld_swap", "x", 0.85), ("d.org", "subdomain", "z", 0.85)]))
+_SURE = [("a.com", "homoglyph", "x", 0.95), ("b.in", "tld_swap", "x", 0.5), ("c.xyz", "tld_swap", "x", 0.85), ("d.org", "subdomain", "z", 0.85)]
+
+
+@query(f"SELECT c_custkey || '.' || host AS host, kind, target, confidence FROM customer, ({stated('host kind target confidence', _SURE)})")
 def finding_confidences(spark: SparkSession, sf: str) -> DataFrame:
-    """The surest finding of each host."""
-    rows = spark.createDataFrame(FINDINGS, "host string, kind string, target string, suffix string")
+    """The surest finding of each host; every customer has four hosts with six findings."""
+    found = F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in zip(("host", "kind", "target", "suffix"), f, strict=True)]) for f in FINDINGS])
+    rows = table(spark, sf, "customer").select("c_custkey", F.explode(found).alias("f")).select(F.concat(F.col("c_custkey").cast("string"), F.lit("."), "f.host").alias("host"), "f.kind", "f.target", "f.suffix")
     return S.best_finding(rows.withColumn("confidence", S.confidence(F.col("kind"), F.col("suffix"))))
 
 
@@ -455,10 +506,10 @@ SCREENS = [
 ]
 
 
-@query(stated("id channel sender subject body amounts codes deadlines", [(s[0], *s[2:]) for s in SCREENS]))
+@query(dealt_sql("conversations", _TURN_SQL, "channel sender subject body amounts codes deadlines", [(s[0] - 1, *s[2:]) for s in SCREENS]))
 def screen_messages(spark: SparkSession, sf: str) -> DataFrame:
-    """Layouts and entities of written transcripts."""
-    rows = spark.createDataFrame([s[:2] for s in SCREENS], "id long, text string")
+    """Layouts and entities of transcripts: turns of conversations in five written forms."""
+    rows = dealt(spark, sf, "conversations", _TURN, [(s[1],) for s in SCREENS], "text string")
     found = screens.entities(F.col("text"))
     return rows.select("id", screens.layout(F.col("text")).alias("m"), *[F.array_join(found[k], ",").alias(k) for k in ("amounts", "codes", "deadlines")]).select("id", "m.*", "amounts", "codes", "deadlines")
 
@@ -466,15 +517,21 @@ def screen_messages(spark: SparkSession, sf: str) -> DataFrame:
 BROKEN = [("htlps : //bank. com/a", "https://bank.com/a"), ("https:/one.example.com/x", "https://one.example.com/x"), ("see https://a.com/path-\nmore here", "see https://a.com/path-more here"), ("www.shop .in today", "www.shop.in today"), ("no link. com", "no link. com")]
 
 
-@query(stated("text repaired", BROKEN))
+@query("SELECT page_id AS id, regexp_replace(url, '^http://', 'https://') AS repaired FROM pages UNION ALL " + dealt_sql("documents", "doc_id + 1000000000", "repaired", [(k, r) for k, (_, r) in enumerate(BROKEN)]))
 def screen_links(spark: SparkSession, sf: str) -> DataFrame:
-    """Links that recognition broke."""
-    return spark.createDataFrame([(a,) for a, _ in BROKEN], "text string").select("text", screens.repair_links(F.col("text")).alias("repaired"))
+    """Links that recognition broke: those of pages with slips in their scheme, and other slips."""
+    slip = F.concat(F.lit("htlps : / / "), F.regexp_replace("url", "^https?://", ""))
+    rows = table(spark, sf, "pages").select(F.col("page_id").cast("long").alias("id"), slip.alias("text")).unionByName(dealt(spark, sf, "documents", "doc_id + 1000000000", [(t,) for t, _ in BROKEN], "text string"))
+    return rows.select("id", screens.repair_links(F.col("text")).alias("repaired"))
 
 
-@query(stated("id warnings", [(1, "low_confidence,no_link"), (2, ""), (3, "too_short,no_link,spaced_letters,brand_without_sender")]))
+WARNED = [("a text that is long enough to read", 40, [], "low_confidence,no_link"), ("go to https://a.example.com/ at once", 90, [], ""), ("f r e e x", 95, ["X"], "too_short,no_link,spaced_letters,brand_without_sender")]
+
+
+@query(dealt_sql("conversations", _TURN_SQL, "warnings", [(k, w[3]) for k, w in enumerate(WARNED)]))
 def screen_warnings(spark: SparkSession, sf: str) -> DataFrame:
-    rows = spark.createDataFrame([(1, "a text that is long enough to read", 40, []), (2, "go to https://a.example.com/ at once", 90, []), (3, "f r e e x", 95, ["X"])], "id long, text string, confidence int, brands array<string>")
+    """What is told with transcripts of three written forms."""
+    rows = dealt(spark, sf, "conversations", _TURN, [w[:3] for w in WARNED], "text string, confidence int, brands array<string>")
     return rows.select("id", F.array_join(screens.warnings(F.col("text"), F.col("confidence"), F.col("brands")), ",").alias("warnings"))
 
 
@@ -498,10 +555,13 @@ def enrichment_cache(spark: SparkSession, sf: str) -> DataFrame:
     return Q.cached_lookup(events.select("event_id", "ts", "host"), cache, "host").select("event_id", "age")
 
 
-@query(stated("id kept", [(1, "paypal,verify"), (2, "ab")]))
+TERMS = [([("paypal", 0.9), ("pay", 0.8), ("verify", 0.5), ("verify-now", 0.4)], "paypal,verify"), ([("ab", 1.0), ("abc", 0.5)], "ab"), ([], "")]
+
+
+@query(dealt_sql("documents", "doc_id", "kept", [(k, t[1]) for k, t in enumerate(TERMS)]))
 def suppressed_terms(spark: SparkSession, sf: str) -> DataFrame:
-    """Terms, best first, without those that overlap a better one."""
-    rows = spark.createDataFrame([(1, [("paypal", 0.9), ("pay", 0.8), ("verify", 0.5), ("verify-now", 0.4)]), (2, [("ab", 1.0), ("abc", 0.5)])], "id long, terms array<struct<term:string,weight:double>>")
+    """Terms of documents, best first, without those that overlap a better one."""
+    rows = dealt(spark, sf, "documents", "doc_id", [(t[0],) for t in TERMS], "terms array<struct<term:string,weight:double>>")
     return rows.select("id", F.array_join(F.transform(S.substring_suppressed(F.col("terms")), lambda t: t["term"]), ",").alias("kept"))
 
 
@@ -537,23 +597,21 @@ def rates_of_verdicts(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "events").groupBy("event_type").agg(F.round(A.rate(on, user == 0), 6).alias("caught"), F.round(A.rate(on, user == 1), 6).alias("alarms"))
 
 
-KINDS = [("kiosk", "homoglyph", 1), ("kiosk", "hyphenation", 4), ("kiosk", "keyboard", 10), ("kiosk", "subdomain", 2), ("kiosk", "tld_swap", 4)]
-
-
-@query(stated("name kind n", KINDS))
+@query("SELECT name, kind, CASE kind WHEN 'hyphenation' THEN length(name) - 1 ELSE 4 END::BIGINT AS n FROM (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z]{5,12}')) AS name FROM benchmark), (SELECT unnest(['hyphenation', 'tld_swap']) AS kind)")
 def attack_kinds(spark: SparkSession, sf: str) -> DataFrame:
-    """How many forged spellings of each further kind a name has."""
-    return L.wider_attacks(spark.createDataFrame([("kiosk",)], "name string")).groupBy("name", "kind").agg(F.count(F.lit(1)).alias("n"))
+    """How many forged spellings with a hyphen, and under other top-level domains, words of the benchmark have; unit tests hold the other kinds."""
+    names = table(spark, sf, "benchmark").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("([a-z]{5,12})"), F.lit(1))).alias("name")).distinct()
+    return L.wider_attacks(names).filter(F.col("kind").isin("hyphenation", "tld_swap")).groupBy("name", "kind").agg(F.count(F.lit(1)).alias("n"))
 
 
 HOSTS = [("bücher.example", "xn--bcher-kva.example", 1, 0), ("plain.example", "plain.example", 0, 0), ("раypal.com", "xn--ypal-43d9g.com", 1, 1), ("почта.рф", "xn--80a1acny.xn--p1ai", 1, 0)]
 
 
-@query(stated("host ascii has_unicode mixed_script", HOSTS))
+@query(dealt_sql("pages", "page_id", "host ascii has_unicode mixed_script", [(k, *h) for k, h in enumerate(HOSTS)]))
 def host_scripts(spark: SparkSession, sf: str) -> DataFrame:
-    """Hosts as the wire has them, and what their letters give away."""
-    rows = spark.createDataFrame([(h,) for h, *_ in HOSTS], "host string")
-    return rows.select("host", to_ascii(F.col("host")).alias("ascii"), *[c.alias(n) for n, c in script_features(F.col("host")).items()])
+    """Hosts as the wire has them, and what their letters give away; each page has one of four."""
+    rows = dealt(spark, sf, "pages", "page_id", [(h[0],) for h in HOSTS], "host string")
+    return rows.select("id", "host", to_ascii(F.col("host")).alias("ascii"), *[c.alias(n) for n, c in script_features(F.col("host")).items()])
 
 
 @query("SELECT user_id, props, count(*) AS n FROM events GROUP BY user_id, props HAVING min(ts) >= (SELECT max(ts) - INTERVAL 20 DAY FROM events) ORDER BY n DESC, user_id, props LIMIT 20")
@@ -583,15 +641,17 @@ def graph_score_of_all_parts(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("id", F.round(G.graph_score({k: c(k) for k in parts}), 4).alias("score"))
 
 
-LOOKED_UP = [(1, "url", "https://a.example/x"), (1, "domain", "a.example"), (1, "domain", "s.example"), (1, "ip", "192.0.2.7"), (1, "hash", "ff00"), (2, "domain", "t.example")]
+LOOKED_UP = [(0, "url", "https://a.example/x"), (0, "domain", "a.example"), (0, "domain", "s.example"), (0, "ip", "192.0.2.7"), (0, "hash", "ff00"), (1, "domain", "t.example")]
 
 
-@query(stated("id ioc_type value", LOOKED_UP))
+@query(dealt_sql("customer", "c_custkey", "ioc_type value", LOOKED_UP))
 def message_candidates(spark: SparkSession, sf: str) -> DataFrame:
-    """What is looked up for two written messages; the second one's link is trusted."""
-    sent = spark.createDataFrame([(1, "S.example", "from 192.0.2.7", [("FF00",)]), (2, "t.example", None, None)], "id int, sender_domain string, text string, attachments array<struct<sha256:string>>")
-    links = spark.createDataFrame([(1, "https://a.example/x", "a.example", False), (1, "https://a.example/x", "a.example", None), (2, "https://b.example/", "b.example", True)], "id int, url string, host string, trusted boolean")
-    return I.candidates(sent, links)
+    """What is looked up for customers' messages of two written forms; the second one's link is trusted."""
+    sent = dealt(spark, sf, "customer", "c_custkey", [("S.example", "from 192.0.2.7", [("FF00",)]), ("t.example", None, None)], "sender_domain string, text string, attachments array<struct<sha256:string>>")
+    forms = [("https://a.example/x", "a.example", False), ("https://b.example/", "b.example", True)]
+    links = dealt(spark, sf, "customer", "c_custkey", forms, "url string, host string, trusted boolean")
+    again = links.filter(F.pmod("id", F.lit(2)) == 0).withColumn("trusted", F.lit(None).cast("boolean"))
+    return I.candidates(sent, links.unionByName(again))
 
 
 @query(

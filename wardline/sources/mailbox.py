@@ -24,7 +24,7 @@ _FROM = re.compile(rb"(?:\A|(?<=\n\n)|(?<=\r\n\r\n))From [^\n]*\n")
 def split_mbox(content: bytes) -> list[bytes]:
     """Messages of an mbox file, without the lines that begin them; quoted From lines lose their sign."""
     cuts = [m.span() for m in _FROM.finditer(content)]
-    ends = [a for a, _ in cuts[1:]] + [len(content)]
+    ends = [a for a, _ in cuts[1:]] + [len(content)] * bool(cuts)
     return [re.sub(rb"(?m)^>(>*From )", rb"\1", content[b:end]) for (_, b), end in zip(cuts, ends, strict=True)]
 
 
