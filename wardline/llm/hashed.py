@@ -222,10 +222,13 @@ def train(rows: DataFrame, labelled: DataFrame, featurise: Callable[..., Terms],
         start = spark.sparkContext.broadcast(model)
 
         # a shard is a group, however its rows are stored: one model each
-        parts = data.groupBy("shard").applyInArrow(_learner(start, s, k), "n long, model binary").collect()
-        parts.sort(key=lambda p: (p["n"], p["model"][:16]))  # sums of floats in one order
-        weight = np.array([p["n"] for p in parts], dtype=float)
-        flat = sum(w * np.frombuffer(p["model"]) for w, p in zip(weight / weight.sum(), parts, strict=True))
+        parts = data.groupBy("shard").applyInArrow(_learner(start, s, k), "n long, model binary").toArrow()
+        # sums of floats in one order; the driver holds the shards' models once
+        order = sorted(range(parts.num_rows), key=lambda i: (parts["n"][i].as_py(), parts["model"][i].as_py()[:16]))
+        total, flat = float(sum(parts["n"].to_pylist())), 0.0
+        for i in order:
+            flat = flat + parts["n"][i].as_py() / total * np.frombuffer(parts["model"][i].as_buffer())
+        del parts
         model = model.unpack(flat)
         start.destroy()
     scratch.drop()
