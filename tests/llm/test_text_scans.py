@@ -41,6 +41,19 @@ def test_whole_licence_texts_are_found(spark):
     assert "gpl-3.0" not in got[[x for _, x in sorted(expect.items())].index("gpl-2.0")][0]
 
 
+def test_wordings_with_words_put_in_are_found(spark):
+    """A word after every twelfth of a whole text moves all that follows; it still names its licence. Scattered words of one don't."""
+    rows, expect = [], {}
+    for k, (label, text, _) in enumerate(licenses.WHOLE):
+        ws = text.split()
+        rows.append((k, " ".join(w if i % 12 else f"{w} zq{i}" for i, w in enumerate(ws, 1))))
+        expect[k] = label
+    rows.append((1000, " ".join(f"{w} {prose(j, 9)}" for j, w in enumerate(licenses.WHOLE[0][1].split()))))
+    got = {r["doc_id"]: r["labels"].split(",") for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [k for k, label in expect.items() if label not in got[k]] == []
+    assert got[1000] == [""]
+
+
 def test_the_index_loses_no_match(spark):
     """Places found by rare words against every place of every template."""
     import numpy as np

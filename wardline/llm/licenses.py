@@ -2,14 +2,18 @@
 
 Templates are wordings of public licences, from one line to whole texts. The index holds,
 for each word, where it stands in the templates of whose rarest words it is one. A file's
-licence words are looked up from the highest inverse document frequency down; what they
-say about a template's place in the file is put together by relative position. The words
-of a template that are indexed weigh more than what a match may lack, so no match is lost.
+words of highest inverse document frequency are looked up; their postings in a template are
+intersected by relative position, with room for words put in or left out. Only a template of which two
+different places agree on where it stands is scored, over all its words in order, and its key phrases are verified. The
+places of a template that are indexed weigh more than what a match may lack and one place besides, so a match
+holds two of them.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -110,6 +114,10 @@ ALL_TEMPLATES = (*TEMPLATES, *((label, _plain(text), phrases) for label, text, p
 LEAST_SHARE = 0.5
 #: Words beyond either end of a template's place in which its key phrases may stand.
 SLACK = 3
+#: Words by which places of a template may be out of step: so many, or one in so many of its words.
+STEP, ONE_IN = 3, 8
+#: Words of a template from which a key phrase may hold one other word; in a line such a word may name another licence.
+LONG = 24
 
 
 @dataclass(frozen=True)
@@ -119,7 +127,8 @@ class Index:
     vocabulary: tuple[str, ...]
     idf: np.ndarray
     templates: tuple[tuple[str, np.ndarray, tuple[np.ndarray, ...]], ...]  # label, word numbers, phrases' word numbers
-    anchors: dict[int, list[tuple[int, int]]]  # word number: (template, place)
+    anchors: dict[int, list[tuple[int, int]]]  # word number: (template, place) of the places that are indexed
+    postings: tuple[dict[int, list[int]], ...]  # of each template, word number: its places
     phrases: tuple[tuple[str, np.ndarray], ...]  # base phrases
     indexed: np.ndarray  # whether a word has anchors
 
@@ -172,8 +181,8 @@ def build_index(docs: DataFrame, text: str = "text") -> Index:
     templates = tuple((label, seq(t), tuple(seq(p) for p in ps)) for label, t, ps in ALL_TEMPLATES)
     anchors: dict[int, list[tuple[int, int]]] = {}
     for k, (_, word, _) in enumerate(templates):
-        # the rarest words that together weigh more than a match may lack: it holds one of them
-        weight, lack = idf[word], (1 - LEAST_SHARE) * idf[word].sum()
+        # the rarest places that together weigh more than a match may lack and one place more: it holds two of them
+        weight, lack = idf[word], (1 - LEAST_SHARE) * idf[word].sum() + idf[word].max()
         for q in np.lexsort((np.arange(len(word)), -weight)).tolist():
             if lack < -1e-9:
                 break
@@ -181,7 +190,11 @@ def build_index(docs: DataFrame, text: str = "text") -> Index:
             lack -= weight[q]
     indexed = np.zeros(len(vocabulary), bool)
     indexed[list(anchors)] = True
-    return Index(tuple(vocabulary), idf, templates, anchors, tuple((label, seq(p)) for label, p in BASE_PHRASES), indexed)
+    postings: list[dict[int, list[int]]] = [{} for _ in templates]
+    for k, (_, word, _) in enumerate(templates):
+        for q, w in enumerate(word.tolist()):
+            postings[k].setdefault(w, []).append(q)
+    return Index(tuple(vocabulary), idf, templates, anchors, tuple(postings), tuple((label, seq(p)) for label, p in BASE_PHRASES), indexed)
 
 
 def _find(line: np.ndarray, phrase: np.ndarray) -> np.ndarray:
@@ -195,29 +208,82 @@ def _find(line: np.ndarray, phrase: np.ndarray) -> np.ndarray:
     return np.flatnonzero(hit)
 
 
+def _stands(line: np.ndarray, phrase: np.ndarray, loosely: bool) -> bool:
+    """Whether a key phrase stands in a row of word numbers; ``loosely``: with at most one other word put in."""
+    if len(_find(line, phrase)):
+        return True
+    return loosely and any(len(_find(line, np.insert(phrase, k, x))) for k in range(1, len(phrase)) for x in np.unique(line[np.flatnonzero(line[:-1] == phrase[k - 1]) + 1]).tolist())
+
+
+def _agreeing(hits: list[tuple[int, int]], room: int) -> list[int]:
+    """Relative positions p - q on which two different places of a template agree, one for each stretch of ``room``."""
+    out: list[int] = []
+    ordered = sorted((p - q, q) for p, q in hits)
+    low = 0
+    for k, (d, q) in enumerate(ordered):
+        while ordered[low][0] < d - room:
+            low += 1
+        if any(other != q for _, other in ordered[low:k]) and (not out or d - out[-1] > room):
+            out.append(d)
+    return out
+
+
+def _in_order(hits: list[tuple[int, int]], weight: np.ndarray) -> tuple[float, list[tuple[int, int]]]:
+    """The heaviest of the hits (p, q) in which both places rise, and its weight."""
+    hits = sorted(hits, key=lambda h: (h[0], -h[1]))
+    best, back = [0.0] * len(hits), [-1] * len(hits)
+    rising: list[tuple[int, float, int]] = []  # (q, weight of the best chain that ends there, hit), both rising
+    for k, (_, q) in enumerate(hits):
+        at = bisect_left(rising, (q,))
+        before = rising[at - 1] if at else (-1, 0.0, -1)
+        best[k], back[k] = before[1] + float(weight[q]), before[2]
+        if at < len(rising) and rising[at][0] == q and rising[at][1] >= best[k]:
+            continue
+        end = at
+        while end < len(rising) and rising[end][1] <= best[k]:
+            end += 1
+        rising[at:end] = [(q, best[k], k)]
+    chain, k = [], rising[-1][2] if rising else -1
+    total = best[k] if k >= 0 else 0.0
+    while k >= 0:
+        chain.append(hits[k])
+        k = back[k]
+    return total, chain[::-1]
+
+
 def match_templates(line: np.ndarray, index: Index) -> list[tuple[str, int, float]]:
     """(label, start, share) of each template that stands in a text of word numbers.
 
-    The text's words are looked up from the rarest on. Each names the templates' places that
-    it speaks for; a place is scored once, by the weight of the words that stand where they
-    should, and kept if all key phrases are there.
+    Indexed words of the text are looked up, the rarest first; a template is looked at where the relative positions of two of its
+    indexed places agree, give or take STEP words or one in ONE_IN of its length. There its words in the text, in
+    order and within that room, are weighed; it is kept if they have LEAST_SHARE of its weight and all key phrases are there.
     """
     at = np.flatnonzero(index.indexed[line] & (line >= 0))
     at = at[np.argsort(-index.idf[line[at]], kind="stable")]
-    places: dict[tuple[int, int], None] = {}
+    named: dict[int, list[tuple[int, int]]] = {}
     for p, w in zip(at.tolist(), line[at].tolist(), strict=True):
         for k, q in index.anchors[w]:
-            places[k, p - q] = None
+            named.setdefault(k, []).append((p, q))
     found = []
-    for k, start in places:
+    for k, hits in named.items():
         label, word, phrases = index.templates[k]
-        a, b = max(0, start), min(len(line), start + len(word))
-        same = line[a:b] == word[a - start : b - start]
-        share = float(index.idf[word[a - start : b - start][same]].sum() / index.idf[word].sum())
-        if share >= LEAST_SHARE:
-            around = line[max(0, start - SLACK) : start + len(word) + SLACK]
-            if all(len(_find(around, p)) for p in phrases):
-                found.append((label, start, share))
+        room = max(STEP, len(word) // ONE_IN)
+        weight = index.idf[word]
+        # a template all of whose indexed words are one place needs no second one
+        alone = len({q for w in set(word.tolist()) for t, q in index.anchors.get(w, ()) if t == k}) == 1
+        for d in [p - q for p, q in hits] if alone else _agreeing(hits, room):
+            a, b = max(0, d - room), min(len(line), d + len(word) + room)
+            near = [(a + i, q) for i, w in enumerate(line[a:b].tolist()) if w >= 0 for q in index.postings[k].get(w, ()) if abs(a + i - q - d) <= room]
+            if weight[sorted({q for _, q in near})].sum() < LEAST_SHARE * weight.sum():
+                continue
+            total, chain = _in_order(near, weight)
+            share = total / float(weight.sum())
+            if share < LEAST_SHARE:
+                continue
+            around = line[max(0, chain[0][0] - chain[0][1] - SLACK) : chain[-1][0] + len(word) - chain[-1][1] + SLACK]
+            if all(_stands(around, p, len(word) >= LONG) for p in phrases):
+                steps = Counter(p - q for p, q in chain)
+                found.append((label, min(steps, key=lambda x: (-steps[x], x)), share))
     return found
 
 
