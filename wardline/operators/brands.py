@@ -32,6 +32,20 @@ def keyword_hits(hosts: DataFrame, keywords: DataFrame) -> DataFrame:
     return hits.groupBy("host").agg(first.alias("m")).select("host", "m.brand", "m.keyword", "m.kind")
 
 
+def keyword_typos(hosts: DataFrame, keywords: DataFrame, least: int = 6) -> DataFrame:
+    """(host, brand, keyword, token): pieces of hosts that are one edit (a letter more, less, other, or two swapped) from a keyword of ``least`` letters or more.
+
+    Both sides meet on spellings with a letter left out; pieces that are a keyword themselves are ``keyword_hits``.
+    """
+    from wardline.operators.lookalike import by_typo
+
+    tokens = host_tokens(hosts).filter(F.length("token") >= least - 1)
+    known = keywords.filter(F.length("keyword") >= least).select("brand", "keyword").distinct()
+    pairs = by_typo(tokens.select(F.col("token").alias("name")).distinct(), known.select(F.col("keyword").alias("name")).distinct())
+    met = tokens.join(pairs.select(F.col("name").alias("token"), F.col("target").alias("keyword")), "token").join(known, "keyword")
+    return met.select("host", "brand", "keyword", "token").distinct()
+
+
 def claims(texts: DataFrame, keywords: DataFrame, key: str = "id", most: int | None = 5, words: int = 4) -> DataFrame:
     """(key, brand, at): brands that a text names, the first ``most`` by place.
 

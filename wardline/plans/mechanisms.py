@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from wardline.functions import phrases
 from wardline.functions import tagstream as T
 from wardline.functions import urls as U
+from wardline.operators import brands as B
 from wardline.operators import campaigns as C
 from wardline.operators import graph as G
 from wardline.operators import lookalike as L
@@ -121,3 +122,17 @@ def entity_view_two_hops(spark: SparkSession, sf: str) -> DataFrame:
     return G.two_hops(edges(spark, sf), "customer", hub=60).groupBy("id").agg(
         F.count_if(F.col("hops") == 1).alias("n_first"), F.count_if(F.col("hops") == 2).alias("n_second"), F.count_if(F.col("near").startswith("part:")).alias("n_parts"), F.count_if(F.col("near").startswith("supplier:")).alias("n_suppliers")
     )
+
+
+@query(
+    """WITH w AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(lower(text), '[a-z]{6,12}')) AS keyword FROM benchmark), k AS (SELECT keyword, min(item_id) AS brand FROM w GROUP BY keyword),
+h AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z]{5,13}')) || '.example.com' AS host FROM conversations), t AS (SELECT host, split_part(host, '.', 1) AS token FROM h)
+SELECT host, brand, keyword, token FROM t JOIN k ON token <> keyword AND abs(length(token) - length(keyword)) <= 1 AND damerau_levenshtein(token, keyword) = 1"""
+)
+def brand_keyword_typos(spark: SparkSession, sf: str) -> DataFrame:
+    """Words of conversations as hosts, words of the benchmark as keywords: pieces one edit away."""
+    word = lambda name, pattern: table(spark, sf, name).select("*", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(pattern), F.lit(0))).alias("w"))
+    known = word("benchmark", "[a-z]{6,12}").groupBy(F.col("w").alias("keyword")).agg(F.min("item_id").alias("brand"))
+    hosts = word("conversations", "[a-z]{5,13}").select(F.concat("w", F.lit(".example.com")).alias("host")).distinct()
+    found = B.keyword_typos(hosts, known)
+    return found.filter(F.col("token") == F.split("host", r"\.")[0])
