@@ -131,7 +131,7 @@ def cached_lookup(rows: DataFrame, cache: DataFrame, key: str, hours: float = 6.
     entries fetched at one time the greatest counts. The batch twin of ``cached_stream``.
     """
     width = int(hours * 3_600_000_000)
-    stretch = lambda t: F.floor(F.unix_micros(t) / width)
+    stretch = lambda t: F.floor(F.unix_micros(t.cast("timestamp")) / width)
     entry, row = F.struct(*cache.columns), F.struct(*rows.columns)
     none = lambda df, of: F.lit(None).cast(df.select(of.alias("x")).schema["x"].dataType)
     kept = cache.filter(F.col(key).isNotNull()).select(F.col(key).alias("__k"), F.col("fetched_at").alias("__t"), F.lit(0).alias("__kind"), entry.alias("__e"), none(rows, row).alias("__r"))
