@@ -6,6 +6,8 @@ from compare import DATA, lines
 from pyspark.sql import functions as F
 
 from wardline.functions import obfuscation as O
+from wardline.operators import brands as B
+from wardline.operators import graph as G
 from wardline.plans import catalogue
 
 
@@ -21,3 +23,20 @@ def test_long_hidden_links_are_whole(spark, duck, tmp_path):
 def test_a_hidden_link_ends_with_its_line(spark):
     text = F.concat(F.base64(F.lit(b"http://a.example/bcd")), F.lit("\nnext line"))
     assert spark.range(1).select(O.base64_links(text)).first()[0] == ["http://a.example/bcd"]
+
+
+def test_components_over_many_small_forests(spark, monkeypatch):
+    monkeypatch.setattr(G, "CHUNK", 7)  # forests of seven edges: several rounds of links between roots
+    path = [(f"n{k * 37 % 101}", f"n{(k + 1) * 37 % 101}", "R") for k in range(100)]
+    rows = [*path, *[("hub", f"leaf{k}", "R") for k in range(200)], ("self", "self", "R"), ("leaf3", "leaf3", "R"), ("half", None, "R"), ("leaf5", "m", "R")]
+    got = {r["id"]: r["component"] for r in G.components(spark.createDataFrame(rows, "src string, dst string, rel string").repartition(5)).collect()}
+    expected = {f"n{k}": "n0" for k in range(101)} | {f"leaf{k}": "hub" for k in range(200)} | {"hub": "hub", "m": "hub", "self": "self", "half": "half", None: None}
+    assert got == expected
+
+
+def test_claims_shuffle_no_runs(spark):
+    texts = spark.createDataFrame([(1, "Buy ACME-Corp now, acme corp of x"), (2, "corp acme"), (3, None), (4, ""), (5, "a b c d e")], "id long, text string")
+    keywords = spark.createDataFrame([("A", "acme corp"), ("C", "Corp!"), ("L", "a b c d"), ("M", "a b c d e"), ("B", "a"), ("B", "b"), ("N", "--")], "brand string, keyword string")
+    df = B.claims(texts, keywords, most=None)
+    assert sorted(tuple(r) for r in df.collect()) == [(1, "A", 1), (1, "C", 2), (2, "C", 0), (5, "B", 0), (5, "L", 0)]
+    assert "SortMergeJoin" not in df._jdf.queryExecution().sparkPlan().toString()
