@@ -9,6 +9,10 @@ from wardline import refdata
 from wardline.functions.urls import has_suffix
 from wardline.operators.intel import family
 
+#: Keywords up to which they are sent to every task.
+SENT_KEYWORDS = 100_000
+
+
 def host_tokens(hosts: DataFrame) -> DataFrame:
     """(host, token): pieces of a host's labels and neighbouring pieces joined."""
     pieces = F.filter(F.split("host", r"[.\-_]"), lambda t: F.length(t) > 0)
@@ -49,13 +53,18 @@ def keyword_typos(hosts: DataFrame, keywords: DataFrame, least: int = 6) -> Data
 def claims(texts: DataFrame, keywords: DataFrame, key: str = "id", most: int | None = 5, words: int = 4) -> DataFrame:
     """(key, brand, at): brands that a text names, the first ``most`` by place.
 
-    Texts are runs of up to ``words`` tokens, joined on equal spellings: a brand's words are met however many brands there are.
+    Each place of a text holds its token and the next ones, ``words`` in all; it meets the keywords that begin with its
+    token, and the rest is compared. Up to SENT_KEYWORDS keywords are sent to the texts, so that no run is shuffled; more are joined by key.
     """
-    prepared = texts.select(key, F.regexp_extract_all(F.lower("text"), F.lit("([a-z0-9]+)"), F.lit(1)).alias("w"))
-    runs = F.transform("w", lambda _, i: F.transform(F.sequence(F.lit(1), F.least(F.lit(words), F.size("w") - i)), lambda k: F.array_join(F.slice("w", i + 1, k), " ")))
-    spelt = prepared.select(key, F.posexplode(runs).alias("at", "r")).select(key, "at", F.explode("r").alias("keyword"))
-    known = keywords.select("brand", F.array_join(F.regexp_extract_all(F.lower("keyword"), F.lit("([a-z0-9]+)"), F.lit(1)), " ").alias("keyword")).filter("keyword <> ''").distinct()
-    found = spelt.join(known, "keyword").groupBy(key, "brand").agg(F.min("at").alias("at"))
+    spell = lambda c: F.regexp_extract_all(F.lower(c), F.lit("([a-z0-9]+)"), F.lit(1))
+    after = [F.slice("w", k + 1, F.size("w")).alias(f"w{k}") for k in range(words)]
+    spelt = texts.select(key, spell("text").alias("w")).select(key, F.posexplode(F.arrays_zip(*after)).alias("at", "__run")).withColumn("__first", F.col("__run.w0"))
+    k = spell("keyword")
+    known = keywords.select("brand", F.array_join(k, " ").alias("keyword"), F.get(k, F.lit(0)).alias("__first"), F.size(k).alias("__n")).filter(F.col("__n").between(1, words)).drop("__n").distinct()
+    if known.limit(SENT_KEYWORDS + 1).count() <= SENT_KEYWORDS:
+        known = F.broadcast(known)
+    met = spelt.join(known, "__first").filter(F.concat_ws(" ", *[F.col(f"__run.w{k}") for k in range(words)], F.lit("")).startswith(F.concat("keyword", F.lit(" "))))
+    found = met.groupBy(key, "brand").agg(F.min("at").alias("at"))
     if most is None:
         return found
     return found.selectExpr("*", f"row_number() over (partition by {key} order by at, brand) as r").filter(F.col("r") <= most).drop("r")
