@@ -27,6 +27,7 @@ from wardline.operators import lookalike as L
 from wardline.operators import signals as S
 from wardline.plans.links import PARSED_SQL, parsed_pages
 from wardline.plans.registry import query, table
+from wardline.spread import parts_of
 from wardline.sources import messages as M
 from wardline.streaming import queries as Q
 
@@ -440,8 +441,9 @@ r AS (SELECT p.*, row_number() OVER (PARTITION BY seed ORDER BY hops, spec DESC,
 def graph_pruned_paths(spark: SparkSession, sf: str) -> DataFrame:
     """Suppliers and parts as ends of paths; returned ones are explained already."""
     lines = table(spark, sf, "lineitem").select(F.col("l_suppkey").alias("seed"), F.col("l_partkey").alias("bad"), "l_linenumber", "l_discount", "l_returnflag")
-    paths = lines.groupBy("seed", "bad").agg(F.min("l_linenumber").alias("hops"), F.max("l_discount").alias("spec"))
-    return G.pruned_paths(paths, lines.filter("l_returnflag = 'R'").select(F.col("seed").alias("a"), F.col("bad").alias("b")))
+    parts = parts_of(lines)
+    paths = lines.repartition(parts, "seed", "bad").groupBy("seed", "bad").agg(F.min("l_linenumber").alias("hops"), F.max("l_discount").alias("spec"))
+    return G.pruned_paths(paths, lines.filter("l_returnflag = 'R'").select(F.col("seed").alias("a"), F.col("bad").alias("b")), parts=parts)
 
 
 @query(
