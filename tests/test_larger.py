@@ -5,6 +5,7 @@ from __future__ import annotations
 from compare import DATA, lines
 from pyspark.sql import functions as F
 
+from wardline import spread
 from wardline.functions import obfuscation as O
 from wardline.operators import brands as B
 from wardline.operators import graph as G
@@ -40,3 +41,29 @@ def test_claims_shuffle_no_runs(spark):
     df = B.claims(texts, keywords, most=None)
     assert sorted(tuple(r) for r in df.collect()) == [(1, "A", 1), (1, "C", 2), (2, "C", 0), (5, "B", 0), (5, "L", 0)]
     assert "SortMergeJoin" not in df._jdf.queryExecution().sparkPlan().toString()
+
+
+def test_groups_are_dealt_over_as_many_tasks_as_rows_demand(spark, monkeypatch):
+    monkeypatch.setattr(spread, "TASK_ROWS", 10)
+    rows = spark.range(300).select((F.col("id") % 6).alias("src"), F.floor(F.col("id") / 5).alias("dst"), F.lit("R").alias("rel"))
+    assert spread.parts_of(rows) == 30
+    shared = G.shared_infrastructure(rows, ("R",))
+    assert shared.rdd.getNumPartitions() >= 30
+    held = {}
+    for r in rows.distinct().collect():
+        held.setdefault(r["dst"], set()).add(r["src"])
+    expected = {}
+    for srcs in held.values():
+        for a in srcs:
+            for b in srcs - {a}:
+                expected[a, b] = expected.get((a, b), 0) + 1
+    assert {(r["a"], r["b"]): r["n"] for r in shared.collect()} == expected
+
+
+def test_walks_write_no_more_than_they_walk(spark):
+    rows = [("customer:1", "order:1", "P"), ("order:1", "part:1", "H"), ("order:1", "part:1", "H")] + [("order:1", f"part:{k}", "H") for k in range(2, 61)]
+    edges = spark.createDataFrame(rows, "src string, dst string, rel string")
+    got = G.two_hops(edges, "customer", hub=61).collect()  # 62 edges, but 61 neighbours: no hub
+    assert len(got) == 61 and G.two_hops(edges, "customer", hub=60).count() == 1
+    df = G.khop(edges, spark.createDataFrame([("customer:1",)], "id string"), 2, hub=61)
+    assert df.count() == 62
