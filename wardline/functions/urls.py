@@ -59,10 +59,14 @@ def suffix_of(host: Column, suffixes: tuple[str, ...] = refdata.PUBLIC_SUFFIXES)
 
 def registrable(host: Column, suffixes: tuple[str, ...] = refdata.PUBLIC_SUFFIXES) -> Column:
     """The suffix and the label before it; the host itself where it is an IP or a suffix."""
-    suffix = suffix_of(host, suffixes)
-    rest = F.substring(host, F.lit(1), F.length(host) - F.length(suffix) - 1)
-    own = F.concat(F.element_at(F.split(rest, r"\."), -1), F.lit("."), suffix)
-    return F.when(is_ip(host) | (host == suffix), host).otherwise(own)
+    def whole(h: Column, suffix: Column) -> Column:
+        rest = F.substring(h, F.lit(1), F.length(h) - F.length(suffix) - 1)
+        own = F.concat(F.element_at(F.split(rest, r"\."), -1), F.lit("."), suffix)
+        return F.when(is_ip(h) | (h == suffix), h).otherwise(own)
+
+    # the host and its suffix are named once, so that they are computed once
+    found = F.transform(F.array(host), lambda h: F.struct(h.alias("h"), suffix_of(h, suffixes).alias("s")))
+    return F.get(F.transform(found, lambda x: whole(x["h"], x["s"])), F.lit(0))
 
 
 def registrable_join(df: DataFrame, rules: DataFrame, host: str = "host") -> DataFrame:
