@@ -6,14 +6,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.functions import arrow_udf
 
 from wardline.operators.campaigns import cosine
-from wardline.spread import spread_join
 from wardline.steps import Scratch
 
 #: Cells of the inverted file at most, and cells that a vector looks into.
 MOST_CELLS, PROBES = 1024, 12
+#: Vectors of a cell for which a group is made, and cosine by which a centre may be off the best and is still scored exactly.
+GROUP_ROWS, MARGIN = 20_000, 1e-5
 
 
 def cells_of(centres: DataFrame, centre: str = "centre", most: int = MOST_CELLS, seed: int = 7) -> np.ndarray:
@@ -52,15 +54,60 @@ def indexed_best(rows: DataFrame, campaigns: DataFrame, key: str, vector: str, l
     get null. A cell that very many vectors look into is dealt over several tasks.
     """
     scratch = Scratch(rows.sparkSession)
+    campaigns = scratch.keep(campaigns.select(label, "centre"))
     cells = cells_of(campaigns, most=most_cells)
-    listed = campaigns.select(label, "centre", F.explode(nearest_cells(F.col("centre"), cells, 1)).alias("__cell"))
+    listed = scratch.keep(campaigns.select(F.col(label).alias("__label"), "centre", F.explode(nearest_cells(F.col("centre"), cells, 1)).alias("__cell")))
     asked = scratch.keep(rows.select(key, vector, F.explode(nearest_cells(F.col(vector), cells, probes)).alias("__cell")))
-    met = spread_join(asked, listed, ["__cell"], [key])
-    scored = met.select(key, F.struct(F.round(cosine(F.col(vector), F.col("centre")), 6).alias("similarity"), F.col(label).alias("best")).alias("m"))
+    # a cell that more vectors look into is more groups, and its centres are copied to each; cells are bounded, so their sizes are sent to all
+    sizes = F.broadcast(asked.groupBy("__cell").agg((F.floor(F.count(F.lit(1)) / GROUP_ROWS) + 1).alias("__n")))
+    dealt = asked.join(sizes, "__cell").withColumn("__block", F.pmod(F.xxhash64(key), F.col("__n"))).drop("__n")
+    copied = listed.join(sizes, "__cell").withColumn("__block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__n") - 1))).drop("__n")
+    schema = T.StructType([asked.schema[key], asked.schema[vector], listed.schema["__label"], listed.schema["centre"]])
+    met = dealt.groupBy("__cell", "__block").cogroup(copied.groupBy("__cell", "__block")).applyInArrow(_shortlist(key, vector), schema)
+    scored = met.select(key, F.struct(F.round(cosine(F.col(vector), F.col("centre")), 6).alias("similarity"), F.col("__label").alias("best")).alias("m"))
     best = scored.groupBy(key).agg(F.max("m").alias("m"))
     return rows.select(key).join(best, key, "left").select(key, F.col("m.best").alias("best"), F.col("m.similarity").alias("similarity"))
 
 
+def _shortlist(key: str, vector: str):
+    """A function of a group's vectors and centres that gives (key, vector, label, centre) of those within MARGIN of each vector's best in the group.
+
+    What has nulls, other lengths or values that aren't finite is left to the exact score beside all.
+    """
+
+    def matrix(column: pa.ChunkedArray, width: int) -> tuple[np.ndarray, np.ndarray]:
+        values = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+        sizes = np.asarray(values.value_lengths().fill_null(-1))
+        good, out = sizes == width, np.zeros((len(values), width))
+        at = np.flatnonzero(good)
+        out[at] = values.take(pa.array(at)).flatten().cast(pa.float64()).to_numpy(zero_copy_only=False).reshape(len(at), width)
+        norm = np.sqrt((out * out).sum(1))
+        good &= np.isfinite(norm) & (norm > 1e-150)
+        out[~good] = 0.0
+        return out / np.where(good, norm, 1.0)[:, None], good
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        n = len(right)
+        lefts, rights = [], []
+        if n and len(left):
+            width = int(np.asarray(right["centre"].combine_chunks().value_lengths().fill_null(0)).max())
+            centres, fit = matrix(right["centre"], width)
+            vectors, good = matrix(left[vector], width)
+            step = max(1, 4_000_000 // n)
+            for at in range(0, len(left), step):
+                score = np.maximum(vectors[at : at + step] @ centres.T, 0.0)  # the exact score has no negative values
+                near = score >= np.where(fit, score, -1.0).max(1, keepdims=True) - MARGIN
+                near |= ~fit[None, :] | ~good[at : at + step, None]
+                i, j = np.nonzero(near)
+                lefts.append(i + at)
+                rights.append(j)
+        i, j = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (lefts, rights))
+        l, r = left.select([key, vector]).take(pa.array(i)), right.select(["__label", "centre"]).take(pa.array(j))
+        return pa.table([*l.columns, *r.columns], names=[key, vector, "__label", "centre"])
+
+    return run
+
+
 def latest(campaigns: DataFrame, time: str, label: str, most: int = 200) -> DataFrame:
     """The ``most`` campaigns that got a message last, ties by label."""
     return campaigns.orderBy(F.desc(time), label).limit(most)
