@@ -1,14 +1,18 @@
 """Phrases, pages, vectors, times, mail folders and verdicts against plain Python."""
 
+import base64
 import datetime as dt
 import html.parser
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
+import regex
 from compare import DATA
 from pyspark.sql import functions as F
 
+from wardline.functions import extract as E
 from wardline.functions import lexicon, obfuscation, phrases, tagstream
 from wardline.functions import text as X
 from wardline.operators import analytics, campaigns, vectors, verdicts
@@ -192,6 +196,60 @@ def test_one_verdict_over_all_engines(spark, tmp_path, known):
     assert verdicts.verdicts(rows.filter("false"), known).count() == 0
 
 
+def test_texts_stay_where_they_are_unless_an_id_repeats(spark, known):
+    rows = spark.createDataFrame(MESSAGES, "id long, text string, html string, meta double")
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    assert "min(struct(text" not in plan(verdicts.verdicts(rows, known))
+    more = rows.unionAll(spark.createDataFrame([(3, "zzz see https://other.example.com/", None, 90.0), (None, "call b", None, None), (None, "call a now, please", None, 50.0)], rows.schema))
+    got, alone = ({r["id"]: r for r in verdicts.verdicts(x, known).collect()} for x in (more, rows))
+    assert "min(struct(text" in plan(verdicts.verdicts(more, known))
+    assert got.pop(None)["meta"] == 50.0 and got == alone
+
+
+def test_known_links_are_parsed_once(spark):
+    have = mechanisms.known(spark, DATA)
+    for df in (have.iocs, have.official, have.lookalikes, have.graph):
+        assert all("pages.parquet" not in f for f in df.inputFiles()) and df.inputFiles()
+    listed = spark.read.parquet(f"{DATA}/pages.parquet").filter("page_id % 7 = 0")
+    assert have.iocs.count() == listed.count()
+
+
+def test_like_pages_of_a_batch_are_read_once(monkeypatch):
+    pages = ["<p>a</p>", None, "<form><input type=password></form>", "<p>a</p>", "", None, "<p>a</p>"]
+    want = [tagstream.read(p) for p in pages]
+    read, calls = tagstream.read, []
+    monkeypatch.setattr(tagstream, "read", lambda p: calls.append(p) or read(p))
+    assert tagstream.read_batch(pa.array(pages, pa.string())).to_pylist() == want and len(calls) == 4
+    assert len(tagstream.read_batch(pa.array([], pa.string()))) == 0
+
+
+def test_spelling_of_every_sign():
+    word, number = regex.compile(r"[\p{L}\p{M}\p{N}]"), regex.compile(r"(?<![^ ])[0-9]+(?![^ ])")
+    signs = phrases._spelling()
+    assert all(signs[k] == (k + 32 if 65 <= k <= 90 else k if word.match(chr(k)) else 32) for k in range(0x110000))
+    lower = str.maketrans({chr(k): chr(k + 32) for k in range(65, 91)})
+    rng = random.Random(4)
+    for _ in range(3000):
+        text = "".join(rng.choice("aZ09 1\n_.-\u0b95\u0bcd\u00e9\u0301\u0661\u200b\u3000\U0001f600\U00020000") for _ in range(rng.randrange(14)))
+        assert phrases.spelled(text) == f" {number.sub('0', regex.sub(r'[^\p{L}\p{M}\p{N}]+', ' ', text.translate(lower)).strip())} "
+
+
+def test_texts_are_searched_only_for_what_they_may_hold(spark):
+    hidden = base64.b64encode(b"https://hidden.example.com/a").decode()
+    texts = ["HTTPS://A.example.com/x", "WwW.b.example.com/y.", "a@www.c.example.com d", "ftp://d.example.com", "http:/ /e www .f", hidden, base64.b64encode(b"HTTP://up.example.com/").decode(), "x" * 40, "", None, "m@n.example.org www.g.example.com", "one:// two"]
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "id int, t string")
+    unguarded = F.regexp_extract_all(F.regexp_replace(F.coalesce("t", F.lit("")), E._MAIL, " "), F.lit(E._IN_TEXT), F.lit(1))
+    found = lambda source: F.transform(F.filter(E.candidates(F.col("t"), F.lit(None).cast("string")), lambda c: c["source"] == source), lambda c: c["raw"])
+    rows = {r["id"]: r for r in df.select("id", found("text").alias("got"), unguarded.alias("want"), found("base64").alias("b"), obfuscation.base64_links(F.col("t")).alias("n")).collect()}
+    assert all(r["got"] == r["want"] for r in rows.values()) and [k for k, r in rows.items() if r["got"]] == [0, 1, 3, 10]
+    assert rows[5]["b"] == ["https://hidden.example.com/a"] and rows[6]["b"] == ["HTTP://up.example.com/"] and rows[9]["n"] is None and rows[7]["n"] == []
+    clean, n = X.strip_zero_width(F.col("t"))
+    signs = spark.createDataFrame([(f"a{z}b{z}",) for z in X.ZERO_WIDTH] + [("ab",), ("é",), (None,)], "t string")
+    assert [tuple(r) for r in signs.select(clean, n).collect()] == [("ab", 2)] * len(X.ZERO_WIDTH) + [("ab", 0), ("é", 0), (None, None)]
+    plan = df.select(found("text"), found("base64"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "Contains(coalesce(t" in plan and "://" in plan and "aHR0c)" in plan
+
+
 def test_lines_of_the_frame(spark):
     lines = ["12:45", " 9:05 PM", "87 %", "5G", "Reply all", "MONDAY", "Seen 10:20", "3 of 12", "→", "Messages and calls are end-to-end encrypted. Tap", "Reply to this at once", "pay 5 %", "at 12:45", ""]
     got = spark.createDataFrame([(k, x) for k, x in enumerate(lines)], "k int, x string").select("k", X.is_frame(F.col("x")).alias("f")).orderBy("k").collect()

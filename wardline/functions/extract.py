@@ -34,20 +34,23 @@ def _found(values: Column, source: str, shown=None) -> Column:
 
 
 def candidates(text: Column, html: Column) -> Column:
-    """Array of (raw, source, shown): targets of anchors (href, or button where it looks like one), buttons, forms and refreshes, links in text, links hidden as base64."""
+    """Array of (raw, source, shown): targets of anchors (href, or button where it looks like one), buttons, forms and refreshes, links in text, links hidden as base64.
+
+    A text without ``://`` and ``www.`` is not searched for links, one without ``@`` not for addresses.
+    """
     html, text = F.coalesce(html, F.lit("")), F.coalesce(text, F.lit(""))
     tags = lambda pattern: F.regexp_extract_all(html, F.lit(pattern), F.lit(0))
     plain = lambda a: F.trim(F.regexp_replace(F.regexp_replace(F.regexp_replace(a, r"(?is)^<a\b[^>]*>", ""), r"(?s)<[^>]*>", " "), r"\s+", " "))
     anchors = tags(r"(?is)<a\b[^>]*>.*?</a\s*>")
     is_button = lambda a: a.rlike(r"""(?is)^<a\b[^>]*\s(?:role\s*=\s*["']?button|class\s*=\s*["'][^"']*\b(?:btn|button)\b)""")
-    target = lambda a: (_decoded(_attribute(F.regexp_extract(a, r"(?is)^<a\b[^>]*>", 0), "href")), plain(a))
+    target = lambda a: (_decoded(U.bound(F.regexp_extract(a, r"(?is)^<a\b[^>]*>", 0), lambda tag: _attribute(tag, "href"))), plain(a))
+    of_anchors = U.bound(anchors, lambda several: F.concat(_found(F.filter(several, lambda a: ~is_button(a)), "href", target), _found(F.filter(several, is_button), "button", target)))
     clicks = F.transform(tags(r"(?is)<(?:button|input)\b[^>]*>"), lambda t: _decoded(F.concat(_attribute(t, "formaction"), F.regexp_extract(t, r"(?is)location(?:\.href)?\s*=\s*[\x27\"]?([^\x27\"\s;>]+)", 1))))
     forms = F.transform(tags(r"(?is)<form\b[^>]*>"), lambda t: _decoded(_attribute(t, "action")))
     refresh = F.transform(F.filter(tags(r"(?is)<meta\b[^>]*>"), lambda t: t.rlike(r"(?is)http-equiv\s*=\s*[\"']?refresh")), lambda t: _decoded(F.regexp_extract(_attribute(t, "content"), r"(?is)url\s*=\s*[\x27\"]?([^\x27\"\s]+)", 1)))
-    return F.concat(
-        _found(F.filter(anchors, lambda a: ~is_button(a)), "href", target), _found(F.filter(anchors, is_button), "button", target), _found(clicks, "button"), _found(forms, "form"), _found(refresh, "redirect"),
-        _found(F.regexp_extract_all(F.regexp_replace(text, _MAIL, " "), F.lit(_IN_TEXT), F.lit(1)), "text"), _found(base64_links(text), "base64"),
-    )
+    said = F.regexp_extract_all(F.when(text.contains("@"), F.regexp_replace(text, _MAIL, " ")).otherwise(text), F.lit(_IN_TEXT), F.lit(1))
+    said = F.when(text.contains("://") | text.rlike(r"(?i)www\."), said).otherwise(F.array().cast("array<string>"))
+    return F.concat(of_anchors, _found(clicks, "button"), _found(forms, "form"), _found(refresh, "redirect"), _found(said, "text"), _found(base64_links(text), "base64"))
 
 
 def message_links(messages: DataFrame, key: str = "id", most: int | None = None) -> DataFrame:

@@ -7,6 +7,7 @@ import re
 from bisect import bisect_right
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import Column
@@ -14,10 +15,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
 _WORD = regex.compile(r"[\p{L}\p{M}\p{N}]+")
-_BETWEEN = regex.compile(r"[^\p{L}\p{M}\p{N}]+")
-_NUMBER = re.compile(r"(?<![^ ])[0-9]+(?![^ ])")
+#: A word that is a number; its first digit is looked for before what stands around it.
+_NUMBER = re.compile(r"[0-9](?<![^ ][0-9])[0-9]*(?![^ ])")
 _ASCII = {k: chr(k).lower() if chr(k).isalnum() else " " for k in range(128)}
-_LOWER = str.maketrans({chr(k): chr(k + 32) for k in range(65, 91)})
 
 # Look-alike letters and digits, and what they look like; pairs of letters that look like one.
 LOOKS_FROM, LOOKS_TO = "асеорхуіјѕԁԛԝӏοανικρτυ013457@$", "aceopxyijsdqwloavikptuoleastas"
@@ -35,12 +35,24 @@ def _folded(words: str) -> str:
     return out
 
 
+@functools.cache
+def _spelling() -> np.ndarray:
+    """What each code point is spelled as: signs of words as themselves, A-Z in lower case, all others as a space."""
+    every = np.arange(0x110000, dtype="<u4")
+    out = np.full_like(every, 32)
+    for m in _WORD.finditer("".join(map(chr, every.tolist()))):
+        out[m.start() : m.end()] = every[m.start() : m.end()]
+    out[65:91] += 32
+    return out
+
+
 def spelled(text: str, folded: bool = False) -> str:
     """The words of a text, A-Z in lower case, numbers as 0, one space between and around them; ``folded``: each word as what it looks like."""
     if text.isascii():
-        words = " ".join(text.translate(_ASCII).split())
+        signs = text.translate(_ASCII)
     else:
-        words = _BETWEEN.sub(" ", text.translate(_LOWER)).strip()
+        signs = _spelling()[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")].tobytes().decode("utf-32-le")
+    words = " ".join(signs.split())
     return f" {_folded(words) if folded else _NUMBER.sub('0', words)} "
 
 

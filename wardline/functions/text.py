@@ -19,8 +19,8 @@ CONFUSABLE_FROM, CONFUSABLE_TO = LOOKS_FROM[:-8], LOOKS_TO[:-8]
 
 
 def strip_zero_width(text: Column) -> tuple[Column, Column]:
-    """The text without characters that take no room, and how many there were."""
-    clean = F.translate(text, ZERO_WIDTH, "")
+    """The text without characters that take no room, and how many there were; a text is gone through by signs only if it holds one."""
+    clean = F.when(reduce(lambda a, b: a | b, [text.contains(z) for z in ZERO_WIDTH]), F.translate(text, ZERO_WIDTH, "")).otherwise(text)
     return clean, (F.length(text) - F.length(clean)).cast("long")
 
 

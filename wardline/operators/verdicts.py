@@ -65,13 +65,20 @@ def scored_links(messages: DataFrame, known: Known) -> DataFrame:
     )
 
 
+def _one_each(messages: DataFrame) -> DataFrame:
+    """(id, text, html, meta): of the rows of one id the first. Ids are counted before; where none stands twice, texts and pages stay where they are."""
+    if messages.groupBy("id").count().filter("count > 1").isEmpty():
+        return messages.select("id", "text", "html", "meta")
+    return messages.groupBy("id").agg(F.min(F.struct("text", "html", "meta")).alias("m")).select("id", "m.*")
+
+
 def verdicts(messages: DataFrame, known: Known) -> DataFrame:
     """(id, nlp, url, ti, graph, brand, meta, families, final, decision, intents, n_links, evasion) of each message (id, text, html, meta).
 
     ``meta`` is the score of its sender and files (``sources.messages.sender_score``), or null. What a source can't tell is null and
     its weight goes to the others. Nulls in text and html are empty; rows of one id are one message whose text and page are those of the first.
     """
-    one = messages.groupBy("id").agg(F.min(F.struct("text", "html", "meta")).alias("m")).select("id", "m.*")
+    one = _one_each(messages)
     parts = page_parts(F.col("html"))
     said = one.withColumn("page", parts).withColumn("said", F.concat_ws("\n", "text", "page.text"))
     clean, zero_width = X.strip_zero_width(F.coalesce("said", F.lit("")))
